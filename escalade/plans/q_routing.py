@@ -1 +1,287 @@
-"""Registered queries."""
+"""Registered queries: requests, routers, cascade, joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from escalade.functions.hashing import unit_uniform_sql
+from escalade.functions.text import word_containment
+from escalade.operators import metrics as M
+from escalade.operators import requests as Q
+from escalade.operators import routing as R
+from escalade.plans.catalog import register, rounded
+from escalade.plans.oracle_views import with_views
+from escalade.sources import fixtures as fx
+from escalade.sources.tables import load
+
+
+def _toks(x: str) -> str:
+    return rf"len(list_filter(regexp_split_to_array(coalesce({x}, ''), '\s+'), lambda t: t <> ''))"
+
+
+def _wset(x: str) -> str:
+    return rf"list_distinct(list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '\s+'), lambda t: t <> ''))"
+
+
+@register("P8_validate_requests", with_views(["chat_requests"], """
+select request_id, n_errors = 0 as is_valid, n_errors::bigint as n_errors, error_fields
+from (select r.request_id,
+             (case when coalesce(m.n, 0) < 1 then 1 else 0 end + case when coalesce(m.bad, 0) > 0 then 1 else 0 end
+              + case when not (temperature between 0 and 2) then 1 else 0 end
+              + case when not (top_p between 0 and 1) then 1 else 0 end
+              + case when max_tokens < 1 then 1 else 0 end
+              + case when force_model is not null and force_model not in ('weak', 'strong') then 1 else 0 end) as n_errors,
+             concat_ws(',', case when coalesce(m.n, 0) < 1 then 'messages' end,
+                       case when coalesce(m.bad, 0) > 0 then 'messages.role' end,
+                       case when not (temperature between 0 and 2) then 'temperature' end,
+                       case when not (top_p between 0 and 1) then 'top_p' end,
+                       case when max_tokens < 1 then 'max_tokens' end,
+                       case when force_model is not null and force_model not in ('weak', 'strong') then 'force_model' end)
+               as error_fields
+      from chat_requests r
+      left join (select conv_id, count(*) as n,
+                        count(*) filter (where role is null or role not in ('system', 'user', 'assistant')) as bad
+                 from conversations group by conv_id) m on m.conv_id = r.request_id) v"""))
+def p8(spark, sf):
+    v = Q.validate_requests(fx.chat_requests(spark, sf, with_messages=True))
+    return v.select("request_id", "is_valid", F.size("errors").cast("bigint").alias("n_errors"),
+                    F.array_join(F.transform("errors", lambda e: e["field"]), ",").alias("error_fields"))
+
+
+@register("P9_evaluable", with_views(["chat_requests"], """
+select request_id, not coalesce(disable_evaluator, false) and force_model is null as evaluable from chat_requests"""))
+def p9(spark, sf):
+    return fx.chat_requests(spark, sf).select("request_id", Q.evaluable(True).alias("evaluable"))
+
+
+@register("R1_route", with_views(["routing_results"], """
+select request_id, case when routing_score >= 5e-1 then 'strong' else 'weak' end as decision from routing_results"""))
+def r1(spark, sf):
+    return fx.routing_results(spark, sf).select("request_id", R.route("routing_score", 0.5).alias("decision"))
+
+
+@register("R2_random_win_rate", f"""
+select doc_id, round({unit_uniform_sql('doc_id', 11)}, 6) as win_rate,
+       case when {unit_uniform_sql('doc_id', 11)} >= 5e-1 then 'strong' else 'weak' end as decision
+from documents""")
+def r2(spark, sf):
+    d = load(spark, sf, "documents").select("doc_id", R.random_win_rate("doc_id", 11).alias("win_rate"))
+    return rounded(d.withColumn("decision", R.route("win_rate", 0.5)))
+
+
+@register("R3_mf_win_rate", with_views(["battles", "queries"], """
+select q.query_id, round(1e0 / (1e0 + exp(-sum(e.v * a.d))), 6) as win_rate
+from (select query_id, unnest(range(len(embedding))) as dim, unnest(embedding)::double as v from queries) e
+join queries q using (query_id)
+join (select dim, avg(v) filter (where strong_wins = 1) - avg(v) filter (where strong_wins = 0) as d
+      from (select strong_wins, unnest(range(len(embedding))) as dim, unnest(embedding)::double as v from battles) b
+      group by dim) a using (dim)
+group by q.query_id"""))
+def r3(spark, sf):
+    params = R.mf_params_from_battles(fx.battles(spark, sf))
+    return rounded(R.mf_win_rate_from_params(fx.queries(spark, sf), params).select("query_id", "win_rate"))
+
+
+_R4_SQL = with_views(["battles", "queries"], """
+select query_id, round(sum(w * strong_wins) / sum(w), 6) as win_rate, round(any_value(mx), 6) as max_cos
+from (select query_id, strong_wins, mx, pow(1e1, 1e0 + cs / mx) as w
+      from (select q.query_id, b.strong_wins,
+                   list_cosine_similarity(q.embedding::double[], b.embedding::double[]) as cs,
+                   max(list_cosine_similarity(q.embedding::double[], b.embedding::double[])) over (partition by q.query_id) as mx
+            from queries q cross join battles b) s) t
+group by query_id""")
+
+
+@register("R4_sw_win_rate", _R4_SQL)
+def r4(spark, sf):
+    return rounded(R.sw_win_rate(fx.queries(spark, sf), fx.battles(spark, sf), gamma=10.0))
+
+
+@register("R4_sw_win_rate_blocked", _R4_SQL)
+def r4_blocked(spark, sf):
+    """The same router through the blocked path used when battles exceed the broadcast bound."""
+    return rounded(R.sw_win_rate(fx.queries(spark, sf), fx.battles(spark, sf), gamma=10.0, max_broadcast_rows=0,
+                                 block_rows=64))
+
+
+_LOGITS_SQL = "list_transform(embedding[1:5], lambda x: x::double)"
+
+
+@register("R6_causal_win_rate", f"""
+select vec_id, round(1e0 - (exp(l[4] - m) + exp(l[5] - m)) / list_sum(list_transform(l, lambda x: exp(x - m))), 6) as win_rate,
+       case when 1e0 - (exp(l[4] - m) + exp(l[5] - m)) / list_sum(list_transform(l, lambda x: exp(x - m))) >= 5e-1
+            then 'strong' else 'weak' end as decision
+from (select vec_id, l, list_max(l) as m from (select vec_id, {_LOGITS_SQL} as l from embeddings) a) b""")
+def r6(spark, sf):
+    e = load(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 5).alias("score_logits"))
+    return rounded(R.causal_win_rate(e, "score_logits", 4, 0.5).select("vec_id", "win_rate", "decision"))
+
+
+@register("F15_score_parse", """
+select conv_id, turn, try_cast(nullif(regexp_extract(text, '([1-5])', 1), '') as integer)::bigint as score
+from conversations""")
+def f15(spark, sf):
+    c = load(spark, sf, "conversations")
+    return c.select("conv_id", "turn", R.score_parse("text").cast("bigint").alias("score"))
+
+
+@register("R7_route_only", with_views(["routing_results"], """
+select request_id, case when weak_quality_score >= 5e-1 then 'strong' else 'weak' end as decision
+from routing_results"""))
+def r7(spark, sf):
+    rr = fx.routing_results(spark, sf).select("request_id", F.col("weak_quality_score").alias("win_rate"))
+    return R.route_only(rr, "win_rate", 0.5).select("request_id", "decision")
+
+
+# ---------------------------------------------------------------- cascade
+
+def _cascade_input(spark, sf):
+    rp = fx.response_pairs(spark, sf)
+    cr = fx.chat_requests(spark, sf).select(F.col("request_id").alias("conv_id"), "force_model", "disable_evaluator")
+    return (rp.withColumn("conv_id", F.floor(F.col("pair_id") / 1000).cast("bigint")).join(cr, "conv_id")
+            .select(F.col("pair_id").alias("request_id"), "prompt", "weak_response", "strong_response",
+                    "force_model", "disable_evaluator"))
+
+
+def _containment_scorer(prompt, response):
+    return word_containment(response, F.col("strong_response"))
+
+
+def _cascade_sql(routed: bool, body: str | None = None) -> str:
+    wr = unit_uniform_sql("request_id", 7) if routed else "0e0"
+    routed_strong = f"({wr} >= 5e-1)" if routed else "false"
+    base = """
+select request_id, model_used, round(win_rate, 6) as routing_score, round(score, 6) as weak_quality_score,
+       model_used = 'weak_then_strong' as evaluator_triggered, length(response)::bigint as response_chars,
+       pt::bigint as prompt_tokens, ct::bigint as completion_tokens, (pt + ct)::bigint as total_tokens,
+       wi::bigint as weak_input, wo::bigint as weak_output, si::bigint as strong_input, so::bigint as strong_output,
+       round((wi * 5e-1 + wo * 15e-1 + si * 1e1 + so * 3e1) / 1e6, 9) as cost_usd
+from x"""
+    ctes = [
+        ("cin", """
+select p.pair_id as request_id, p.prompt, p.weak_response, p.strong_response, c.force_model, c.disable_evaluator
+from response_pairs p join chat_requests c on c.request_id = p.pair_id // 1000"""),
+        ("c1", f"""
+select *, {routed_strong} as routed, {wr} as win_rate, {_toks('prompt')} as pt,
+       {_toks('weak_response')} as wot, {_toks('strong_response')} as sot,
+       case when len({_wset('weak_response')}) = 0 then null
+            else len(list_intersect({_wset('weak_response')}, {_wset('strong_response')})) / len({_wset('weak_response')}) end as raw
+from cin"""),
+        ("c2", """
+select *, case when force_model is null and not coalesce(disable_evaluator, false) and not routed
+                and raw is not null and not isnan(raw) then raw end as score
+from c1"""),
+        ("c3", """
+select *, case when force_model in ('weak', 'strong') then force_model when routed then 'strong'
+               when score < 6e-1 then 'weak_then_strong' else 'weak' end as model_used
+from c2"""),
+        ("x", f"""
+select *, {_toks('response')} as ct,
+       case when model_used in ('weak', 'weak_then_strong') then pt else 0 end as wi,
+       case when model_used in ('weak', 'weak_then_strong') then wot else 0 end as wo,
+       case when model_used in ('strong', 'weak_then_strong') then pt else 0 end as si,
+       case when model_used in ('strong', 'weak_then_strong') then sot else 0 end as so
+from (select *, case when model_used in ('strong', 'weak_then_strong') then strong_response
+                     else weak_response end as response from c3) r"""),
+    ]
+    if body is not None and "pre" in body:
+        ctes.append(("xp", f"select *, {unit_uniform_sql('request_id', 7)} >= 5e-1 as pre, "
+                           "model_used in ('strong', 'weak_then_strong') as casc from x"))
+    return with_views(["response_pairs", "chat_requests"], body or base, extra=ctes)
+
+
+def _cascade_out(d):
+    return rounded(d.select("request_id", "model_used", "routing_score", "weak_quality_score", "evaluator_triggered",
+                            F.length("response").cast("bigint").alias("response_chars"), "prompt_tokens",
+                            "completion_tokens", "total_tokens", "weak_input", "weak_output", "strong_input",
+                            "strong_output", "cost_usd"), ("cost_usd",))
+
+
+@register("R8_cascade", _cascade_sql(False))
+def r8(spark, sf):
+    return _cascade_out(R.cascade(_cascade_input(spark, sf), _containment_scorer, None, threshold=0.6))
+
+
+@register("R8_cascade_routed", _cascade_sql(True))
+def r8_routed(spark, sf):
+    inp = _cascade_input(spark, sf).withColumn("win_rate", R.random_win_rate("request_id", 7))
+    return _cascade_out(R.cascade(inp, _containment_scorer, "win_rate", threshold=0.6, router_threshold=0.5))
+
+
+@register("F10_response_envelope", _cascade_sql(False, body="""
+select 'chatcmpl-' || request_id as id, 'chat.completion' as object, model_used as model,
+       0::bigint as choice_index, 'assistant' as choice_role, 'stop' as finish_reason, model_used,
+       round(win_rate, 6) as routing_score, round(score, 6) as weak_quality_score,
+       model_used = 'weak_then_strong' as evaluator_triggered, length(response)::bigint as content_chars,
+       pt::bigint as prompt_tokens, ct::bigint as completion_tokens, (pt + ct)::bigint as total_tokens,
+       round((wi * 5e-1 + wo * 15e-1 + si * 1e1 + so * 3e1) / 1e6, 9) as cost_usd
+from x"""))
+def f10(spark, sf):
+    d = R.cascade(_cascade_input(spark, sf), _containment_scorer, None, threshold=0.6)
+    env = Q.response_envelope(d)
+    c0 = F.element_at("choices", 1)
+    return rounded(env.select(
+        "id", "object", "model", c0["index"].cast("bigint").alias("choice_index"),
+        c0["message"]["role"].alias("choice_role"), c0["finish_reason"].alias("finish_reason"),
+        F.col("routing_metadata.model_used").alias("model_used"),
+        F.col("routing_metadata.routing_score").alias("routing_score"),
+        F.col("routing_metadata.weak_quality_score").alias("weak_quality_score"),
+        F.col("routing_metadata.evaluator_triggered").alias("evaluator_triggered"),
+        F.length(c0["message"]["content"]).cast("bigint").alias("content_chars"),
+        F.col("usage.prompt_tokens").alias("prompt_tokens"), F.col("usage.completion_tokens").alias("completion_tokens"),
+        F.col("usage.total_tokens").alias("total_tokens"), F.col("routing_metadata.cost_usd").alias("cost_usd")),
+        ("cost_usd",))
+
+
+@register("R9_preroute_vs_evaluator", _cascade_sql(False, body="""
+select strategy, count(*)::bigint as requests, round(count(*) filter (where strong) * 1e2 / count(*), 6) as strong_pct,
+       round(sum(cost), 9) as total_cost, round(avg(case when not strong then q end), 6) as avg_quality_weak_served,
+       round(count(*) filter (where agree) * 1e2 / count(*), 6) as agreement_pct
+from (select 'preroute' as strategy, pre as strong,
+             case when pre then (pt * 1e1 + sot * 3e1) / 1e6 else (pt * 5e-1 + wot * 15e-1) / 1e6 end as cost,
+             pre = casc as agree, score as q from xp
+      union all
+      select 'evaluator', casc, (wi * 5e-1 + wo * 15e-1 + si * 1e1 + so * 3e1) / 1e6, pre = casc, score from xp) u
+group by strategy"""))
+def r9(spark, sf):
+    inp = _cascade_input(spark, sf).withColumn("pre_rate", R.random_win_rate("request_id", 7))
+    d = R.cascade(inp, _containment_scorer, None, threshold=0.6,
+                  keep=("pre_rate", "weak_response", "strong_response"))
+    return rounded(R.preroute_vs_evaluator(d, "pre_rate", 0.5), ("total_cost",))
+
+
+@register("J1_pair_responses", with_views(["response_pairs"], """
+select p.pair_id, length(p.weak_response)::bigint as weak_chars, length(s.text)::bigint as strong_chars
+from response_pairs p join (select conv_id * 1000 + turn - 1 as pair_id, text from conversations where role = 'assistant') s
+  using (pair_id)"""))
+def j1(spark, sf):
+    weak = fx.response_pairs(spark, sf).select("pair_id", "weak_response")
+    conv = load(spark, sf, "conversations").where(F.col("role") == "assistant")
+    strong = conv.select((F.col("conv_id") * 1000 + F.col("turn") - 1).alias("pair_id"), F.col("text").alias("strong"))
+    pairs, _, _ = R.pair_responses(weak, strong)
+    return pairs.select("pair_id", F.length("weak_response").cast("bigint").alias("weak_chars"),
+                        F.length("strong").cast("bigint").alias("strong_chars"))
+
+
+@register("J1_missing_weak", with_views(["response_pairs"], """
+select s.pair_id from (select conv_id * 1000 + turn - 1 as pair_id from conversations where role = 'assistant') s
+anti join response_pairs p using (pair_id)"""))
+def j1_missing(spark, sf):
+    weak = fx.response_pairs(spark, sf).select("pair_id", "weak_response")
+    conv = load(spark, sf, "conversations").where(F.col("role") == "assistant")
+    strong = conv.select((F.col("conv_id") * 1000 + F.col("turn") - 1).alias("pair_id"))
+    _, _, missing_weak = R.pair_responses(weak, strong)
+    return missing_weak.select("pair_id")
+
+
+@register("J2_price_lookup", with_views(["routing_results", "prices"], """
+select model_used, round(sum((weak_input * w.input_per_m + weak_output * w.output_per_m
+                             + strong_input * s.input_per_m + strong_output * s.output_per_m) / 1e6), 9) as request_cost_usd
+from routing_results, (select * from prices where model = 'weak') w, (select * from prices where model = 'strong') s
+group by model_used"""))
+def j2(spark, sf):
+    j = M.request_cost_joined(fx.routing_results(spark, sf), fx.prices_df(spark))
+    return rounded(j.groupBy("model_used").agg(F.sum("request_cost_usd").alias("request_cost_usd")),
+                   ("request_cost_usd",))
+
+
