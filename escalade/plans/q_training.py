@@ -1 +1,171 @@
-"""Registered queries."""
+"""Registered queries: model application (U2-U4), scorer training and evaluation.
+
+Training outputs depend on the optimiser, so those queries are checked by rows only (and by unit tests:
+loss below the majority baseline, identical scores after reload). Model application with deterministic stand-in
+functions has DuckDB oracles.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from escalade.functions.quantiles import valid
+from escalade.operators import datasets as D
+from escalade.operators import scoring as U
+from escalade.operators import training as M
+from escalade.operators.routing import route
+from escalade.plans.catalog import register, rounded
+from escalade.plans.oracle_views import with_views
+from escalade.sources import fixtures as fx
+from escalade.sources.tables import load
+
+
+@register("L3_best_epoch", with_views(["train_history"], """
+select epoch::bigint as epoch, val_loss from train_history order by val_loss, epoch limit 1"""))
+def l3(spark, sf):
+    return rounded(M.best_epoch(fx.train_history(spark, sf)))
+
+
+# ---------------------------------------------------------------- stand-in models (deterministic)
+
+def _weak_model(prompt: str) -> str:
+    if len(prompt) % 13 == 0:
+        raise TimeoutError("simulated timeout")
+    return prompt[:40]
+
+
+def _strong_model(prompt: str) -> str:
+    return prompt + " " + prompt
+
+
+def _judge(prompt: str, response: str) -> float:
+    return float(len(response or "") % 5 + 1)
+
+
+def _user_prompts(spark, sf):
+    c = load(spark, sf, "conversations").where(F.col("role") == "user")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), F.col("text").alias("prompt"))
+
+
+@register("U2_collect_responses", """
+select conv_id * 1000 + turn as pair_id,
+       case when length(text) % 13 = 0 then '' else substr(text, 1, 40) end as weak_response,
+       text || ' ' || text as strong_response,
+       case when length(text) % 13 = 0 then 'TimeoutError: simulated timeout' end as error
+from conversations where role = 'user'""")
+def u2(spark, sf):
+    out = U.collect_responses(_user_prompts(spark, sf), _weak_model, _strong_model, concurrency=None)
+    return out.select("pair_id", "weak_response", "strong_response", "error")
+
+
+@register("U3_score_batch", with_views(["response_pairs"], r"""
+select pair_id,
+       round(case when len(W) = 0 then null else len(list_intersect(W, S)) / len(W) end, 6) as score
+from (select pair_id,
+             list_distinct(list_filter(regexp_split_to_array(lower(weak_response), '\s+'), lambda t: t <> '')) as W,
+             list_distinct(list_filter(regexp_split_to_array(lower(strong_response), '\s+'), lambda t: t <> '')) as S
+      from response_pairs) x"""))
+def u3(spark, sf):
+    rp = fx.response_pairs(spark, sf).select("pair_id", F.col("strong_response").alias("prompt"),
+                                             F.col("weak_response").alias("response"))
+    s = U.score_batch(rp, U.containment_batch, batch_size=32)
+    return rounded(s.select("pair_id", F.when(valid("score"), F.col("score")).alias("score")))
+
+
+@register("U4_judge_labels", with_views(["response_pairs"], """
+select pair_id, (length(weak_response) % 5 + 1)::double as judge_score,
+       case when length(weak_response) % 5 + 1 >= 4 then 1 else 0 end::bigint as label
+from response_pairs"""))
+def u4(spark, sf):
+    j = U.judge_labels(fx.response_pairs(spark, sf), _judge, cutoff=4.0)
+    return rounded(j.select("pair_id", "judge_score", "label"))
+
+
+@register("U1_pandas_scorer", with_views(["response_pairs"], r"""
+select pair_id,
+       round(case when len(W) = 0 then null else len(list_intersect(W, S)) / len(W) end, 6) as score
+from (select pair_id,
+             list_distinct(list_filter(regexp_split_to_array(lower(weak_response), '\s+'), lambda t: t <> '')) as W,
+             list_distinct(list_filter(regexp_split_to_array(lower(strong_response), '\s+'), lambda t: t <> '')) as S
+      from response_pairs) x"""))
+def u1(spark, sf):
+    scorer = U.pandas_scorer(U.containment_batch)
+    rp = fx.response_pairs(spark, sf)
+    s = rp.select("pair_id", scorer(F.col("strong_response"), F.col("weak_response")).alias("score"))
+    return rounded(s.select("pair_id", F.when(valid("score"), F.col("score")).alias("score")))
+
+
+# ---------------------------------------------------------------- training (rows-only checks)
+
+def _adequacy_samples(spark, sf):
+    rp = fx.response_pairs(spark, sf)
+    return D.to_adequacy_samples(D.adequacy_dataset(rp, keep=("pair_id",)), keep=("pair_id",))
+
+
+def _split(spark, sf):
+    return D.random_split_exact(_adequacy_samples(spark, sf), "pair_id", 0.8, seed=42)
+
+
+@register("M1_train_adequacy")
+def m1(spark, sf):
+    s = _split(spark, sf).cache()
+    model = M.train_adequacy(s.where("split = 'train'"), pos_weight=2.0, num_features=512)
+    scored = M.score_column(model, s, "pred")
+    return rounded(scored.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg("pred").alias("mean_pred"),
+                                               F.avg(((F.col("pred") > 0.5).cast("double") == F.col("label"))
+                                                     .cast("double")).alias("accuracy")))
+
+
+def _pairs(spark, sf):
+    rp = fx.response_pairs(spark, sf)
+    return D.orient_pairs(D.pairwise_dataset(rp, keep=("pair_id",)), keep=("pair_id",))
+
+
+def _pair_accuracy(scorer, pairs):
+    a = scorer.score(pairs.select("pair_id", "prompt", F.col("response_preferred").alias("response")), "sp")
+    b = scorer.score(pairs.select("pair_id", "prompt", F.col("response_non_preferred").alias("response")), "sn")
+    j = a.select("pair_id", "sp").join(b.select("pair_id", "sn"), "pair_id")
+    return rounded(j.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("sp") > F.col("sn")).cast("double"))
+                         .alias("pair_accuracy")))
+
+
+@register("M2_train_pairwise")
+def m2(spark, sf):
+    pairs = _pairs(spark, sf)
+    return _pair_accuracy(M.train_pairwise(pairs, margin=0.0, num_features=128), pairs)
+
+
+@register("M2_train_pairwise_margin")
+def m2_margin(spark, sf):
+    pairs = _pairs(spark, sf)
+    return _pair_accuracy(M.train_pairwise(pairs, margin=0.5, num_features=128, max_iter=25), pairs)
+
+
+@register("M3_train_combined")
+def m3(spark, sf):
+    pairs = _pairs(spark, sf)
+    scorer = M.train_combined(_adequacy_samples(spark, sf), pairs, wa=1.0, wp=1.0, num_features=128)
+    return _pair_accuracy(scorer, pairs)
+
+
+@register("M4_fit_with_history")
+def m4(spark, sf):
+    _, hist = M.fit_with_history(_adequacy_samples(spark, sf), "pair_id",
+                                 [{"max_iter": 5, "reg_param": 0.1}, {"max_iter": 25, "reg_param": 0.01},
+                                  {"max_iter": 50, "reg_param": 0.001}], num_features=256)
+    return rounded(hist)
+
+
+@register("M5_evaluate_scorer")
+def m5(spark, sf):
+    s = _split(spark, sf).cache()
+    model = M.train_adequacy(s.where("split = 'train'"), num_features=256)
+    return rounded(M.evaluate_scorer(model, s.where("split = 'val'")))
+
+
+@register("R5_classifier_win_rate")
+def r5(spark, sf):
+    model = M.train_adequacy(_adequacy_samples(spark, sf), num_features=256)
+    rp = fx.response_pairs(spark, sf).select(F.col("pair_id").alias("request_id"), "prompt", "weak_response")
+    w = M.classifier_win_rate(rp, model)
+    return rounded(w.select("request_id", "win_rate", route("win_rate", 0.5).alias("decision")))
