@@ -1 +1,72 @@
-"""Registered queries."""
+"""Registered queries: chunk assembly, windowed routing metrics and the cascade on a stream (ST1-ST3)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from escalade.plans.catalog import REGISTRY, register, rounded
+from escalade.plans.oracle_views import with_views
+from escalade.sources import fixtures as fx
+from escalade.streaming import chunks as C
+from escalade.streaming import monitor as W
+from escalade.streaming import runner as S
+
+_FMT = "yyyy-MM-dd HH:mm:ss"
+
+
+@register("ST1_assemble_chunks", with_views(["chunks"], """
+select id, string_agg(content, '' order by seq) as content, count(*)::bigint as n_chunks,
+       arg_min(role, seq) filter (where role is not null) as role
+from chunks group by id"""))
+def st1(spark, sf):
+    return C.assemble_chunks(fx.chunks(spark, sf), "id", None, finish=None).select("id", "content", "n_chunks", "role")
+
+
+@register("ST2_window_cost_by_model", with_views(["routing_results"], """
+select strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') as window_start, model_used, count(*)::bigint as n,
+       round(sum(cost_usd), 9) as cost_usd
+from routing_results group by all"""))
+def st2(spark, sf):
+    w = W.window_cost_by_model(fx.routing_results(spark, sf), "1 day")
+    return rounded(w.select(F.date_format("window_start", _FMT).alias("window_start"), "model_used", "n", "cost_usd"),
+                   ("cost_usd",))
+
+
+@register("ST2_window_metrics", with_views(["routing_results"], """
+select strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') as window_start, count(*)::bigint as n,
+       round(count(*) filter (where model_used in ('strong', 'weak_then_strong')) * 1e2 / count(*), 6) as strong_pct,
+       round(count(*) filter (where model_used = 'weak_then_strong') * 1e2 / count(*), 6) as trigger_rate,
+       round(avg(latency_ms), 6) as avg_latency_ms, round(quantile_cont(latency_ms, 95e-2), 6) as p95_latency_ms,
+       round(sum(cost_usd), 9) as cost_usd
+from routing_results group by all"""))
+def st2_metrics(spark, sf):
+    w = W.window_metrics(fx.routing_results(spark, sf), "1 day", exact=True)
+    return rounded(w.select(F.date_format("window_start", _FMT).alias("window_start"), "n", "strong_pct",
+                            "trigger_rate", "avg_latency_ms", "p95_latency_ms", "cost_usd"), ("cost_usd",))
+
+
+@register("ST2_window_cost_by_model_stream")
+def st2_stream(spark, sf):
+    """Append mode with a 1-hour watermark: only windows closed by the watermark are emitted (rows-only check)."""
+    events = S.file_stream(spark, sf, "events.parquet")
+    rr = fx.routing_results_from(events)
+    out = S.run_available_now(W.window_cost_by_model(rr, "1 day", watermark="1 hour"), "st2")
+    return rounded(out.select(F.date_format("window_start", _FMT).alias("window_start"), "model_used", "n",
+                              "cost_usd"), ("cost_usd",))
+
+
+def _st3(spark, sf):
+    conv = S.file_stream(spark, sf, "conversations.parquet")
+    req = conv.where(F.col("role") == "user").select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"))
+    from escalade.plans.q_routing import _cascade_input, _cascade_out, _containment_scorer
+    responses = _cascade_input(spark, sf)
+    d = S.cascade_stream(req, responses, "request_id", _containment_scorer, threshold=0.6)
+    return _cascade_out(S.run_available_now(d, "st3"))
+
+
+def _register_st3():
+    from escalade.plans import q_routing  # noqa: F401  (R8 oracle text)
+    register("ST3_cascade_stream", REGISTRY["R8_cascade"].oracle)(_st3)
+
+
+_register_st3()

@@ -78,7 +78,11 @@ def chat_requests(spark: SparkSession, sf_dir: str, with_messages: bool = False)
 
 
 def routing_results(spark: SparkSession, sf_dir: str, prices: Prices = Prices()) -> DataFrame:
-    ev = load(spark, sf_dir, "events")
+    return routing_results_from(load(spark, sf_dir, "events"), prices)
+
+
+def routing_results_from(ev: DataFrame, prices: Prices = Prices()) -> DataFrame:
+    """The routing-results view over an events DataFrame (a table or a stream)."""
     k = F.get_json_object("props", "$.k").cast("int")
     model_used = (F.when(F.col("event_type") == "purchase", "strong")
                   .when(F.col("event_type") == "error", "weak_then_strong").otherwise("weak"))
