@@ -1 +1,37 @@
-"""Registered queries."""
+"""Registered queries: readers and table profiling (S1, S7, S8). Writers (S3, S4, S9) are covered by tests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from escalade.plans.catalog import register, rounded
+from escalade.plans.oracle_views import with_views
+from escalade.sources import fixtures as fx
+from escalade.sources import io as IO
+from escalade.sources.tables import load
+
+EVENT_COLUMNS = ("event_id", "ts", "user_id", "event_type", "value", "props")
+
+
+@register("S1_read_table", "select doc_id, lang, source, n_chars from documents")
+def s1(spark, sf):
+    return IO.read_table(spark, f"{sf}/documents.parquet").select("doc_id", "lang", "source", "n_chars")
+
+
+@register("S7_normalize_routing_results", with_views(["routing_results"], """
+select request_id, weak_input::bigint as weak_input, weak_output::bigint as weak_output,
+       strong_input::bigint as strong_input, strong_output::bigint as strong_output,
+       round(cost_usd, 9) as cost_usd, round(weak_quality_score, 6) as weak_quality_score
+from routing_results"""))
+def s7(spark, sf):
+    n = IO.normalize_routing_results(fx.routing_results(spark, sf))
+    return rounded(n.select("request_id", *[F.col(f"tokens_used.{f}").alias(f) for f in IO.TOKEN_FIELDS],
+                            "cost_usd", "weak_quality_score"), ("cost_usd",))
+
+
+@register("S8_profile_table", " union all ".join(
+    f"select {i}::bigint as position, '{c}' as column, count(*)::bigint as n_rows, "
+    f"(count(*) - count({c}))::bigint as n_null from events" for i, c in enumerate(EVENT_COLUMNS)))
+def s8(spark, sf):
+    p = IO.profile_table(load(spark, sf, "events").select(*EVENT_COLUMNS))
+    return rounded(p.select("position", "column", "n_rows", "n_null"))
