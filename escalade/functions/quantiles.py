@@ -31,7 +31,7 @@ def valid(c: Column | str) -> Column:
 def builtin_percentile_safe(df: DataFrame, value: str, by: list[str] | tuple[str, ...] = (),
                             limit: int = MAX_EXACT_DISTINCT) -> bool:
     """True when every group has few enough distinct values for the built-in exact ``percentile``."""
-    d = df.where(valid(value)).groupBy(*by).agg(F.approx_count_distinct(value, 0.05).alias("d"))
+    d = df.groupBy(*by).agg(F.approx_count_distinct(F.when(valid(value), F.col(value)), 0.05).alias("d"))
     row = d.agg(F.max("d").alias("m")).first()
     return row is None or row["m"] is None or row["m"] <= limit
 

@@ -63,8 +63,8 @@ def cost_by_decision(results: DataFrame) -> DataFrame:
 
 def quality_summary(results: DataFrame, percentile_method: str = "auto") -> DataFrame:
     """Evaluated rows, mean and median quality score."""
-    ev = results.where(valid("weak_quality_score")).select("weak_quality_score")
-    a = ev.agg(F.count(F.lit(1)).alias("evaluated"), F.avg("weak_quality_score").alias("mean_score"))
+    ev = results.select(F.when(valid("weak_quality_score"), F.col("weak_quality_score")).alias("weak_quality_score"))
+    a = ev.agg(F.count("weak_quality_score").alias("evaluated"), F.avg("weak_quality_score").alias("mean_score"))
     med = percentiles(ev, "weak_quality_score", {"median_score": 0.5}, (), percentile_method)
     return attach_row(a, med)
 
@@ -77,14 +77,17 @@ def histogram(df: DataFrame, col: str, bins: int = 50, by: list[str] | tuple[str
     Output: by..., bin, bin_lo, bin_hi, count, n (group size), width.
     """
     by = list(by)
-    v = df.where(valid(col)).select(*by, F.col(col).cast("double").alias("_x"))
-    rng = v.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count(F.lit(1)).alias("n"))
+    # invalid values become NULL instead of being filtered: no predicate is pushed below the projection that
+    # computes the column (which would evaluate its expression twice); NULLs drop out of min/max/count and bins
+    v = df.select(*by, F.when(valid(col), F.col(col).cast("double")).alias("_x"))
+    rng = (v.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count("_x").alias("n"))
+           .where(F.col("n") > 0))
     rng = rng.withColumn("width", (F.col("_hi") - F.col("_lo")) / F.lit(float(bins)))
     side = broadcast_if_small(rng) if by else F.broadcast(rng)
     j = v.join(side, by, "inner") if by else attach_row(v, rng)
-    b = F.when(F.col("width") == 0, F.lit(0)).otherwise(
-        F.least(F.floor((F.col("_x") - F.col("_lo")) / F.col("width")), F.lit(bins - 1))).cast("int")
-    counts = j.groupBy(*by, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    b = (F.when(F.col("_x").isNull(), F.lit(None)).when(F.col("width") == 0, F.lit(0))
+         .otherwise(F.least(F.floor((F.col("_x") - F.col("_lo")) / F.col("width")), F.lit(bins - 1))).cast("int"))
+    counts = j.groupBy(*by, b.alias("bin")).agg(F.count(F.lit(1)).alias("count")).where(F.col("bin").isNotNull())
     if include_empty:
         grid = rng.select(*by, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
         counts = grid.join(counts, [*by, "bin"], "left").fillna(0, ["count"])
@@ -97,9 +100,8 @@ def histogram(df: DataFrame, col: str, bins: int = 50, by: list[str] | tuple[str
 
 def threshold_counts(df: DataFrame, col: str, threshold: float) -> DataFrame:
     """A9 companion: rows below / at-or-above the threshold line (escalation is strictly below)."""
-    x = F.col(col)
-    return df.where(valid(col)).agg(F.count_if(x < threshold).alias("below"),
-                                    F.count_if(x >= threshold).alias("at_or_above"))
+    x = F.when(valid(col), F.col(col))
+    return df.agg(F.count_if(x < threshold).alias("below"), F.count_if(x >= threshold).alias("at_or_above"))
 
 
 def box_stats(df: DataFrame, group: str, col: str, percentile_method: str = "auto") -> DataFrame:
@@ -210,22 +212,25 @@ def operating_point(sweep: DataFrame, current: float = 0.7) -> DataFrame:
 def score_cost_correlation(results: DataFrame) -> DataFrame:
     """Pearson correlation of routing score and cost, with the row count used."""
     ok = valid("routing_score") & valid("cost_usd")
-    v = results.where(ok)
-    return v.agg(F.corr("routing_score", "cost_usd").alias("corr"), F.count(F.lit(1)).alias("n"))
+    return results.agg(F.corr(F.when(ok, F.col("routing_score")), F.when(ok, F.col("cost_usd"))).alias("corr"),
+                       F.count_if(ok).alias("n"))
 
 
 def cost_by_score_bin(results: DataFrame, bins: int = 10) -> DataFrame:
     """Mean cost per routing-score bin (width 1/bins over [0, 1]) and decision."""
-    b = F.least(F.floor(F.col("routing_score") * bins), F.lit(bins - 1)).cast("int")
-    return (results.where(valid("routing_score")).groupBy(b.alias("score_bin"), "model_used")
-            .agg(F.count(F.lit(1)).alias("n"), F.avg("cost_usd").alias("mean_cost")))
+    b = F.when(valid("routing_score"), F.least(F.floor(F.col("routing_score") * bins), F.lit(bins - 1))).cast("int")
+    return (results.groupBy(b.alias("score_bin"), "model_used")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("cost_usd").alias("sum_cost"))
+            .where(F.col("score_bin").isNotNull())
+            # money sums are rounded to 9 places before dividing, so the mean does not depend on summation order
+            .select("score_bin", "model_used", "n", (F.round("sum_cost", 9) / F.col("n")).alias("mean_cost")))
 
 
 def decision_matrix(results: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Router side of the threshold (score >= t) against the final decision."""
-    side = F.col("routing_score") >= threshold
-    return (results.where(valid("routing_score")).groupBy(side.alias("above_threshold"), "model_used")
-            .agg(F.count(F.lit(1)).alias("n")))
+    side = F.when(valid("routing_score"), F.col("routing_score") >= threshold)
+    return (results.groupBy(side.alias("above_threshold"), "model_used").agg(F.count(F.lit(1)).alias("n"))
+            .where(F.col("above_threshold").isNotNull()))
 
 
 def kpi_summary(results: DataFrame) -> DataFrame:

@@ -175,7 +175,7 @@ def a15(spark, sf):
 
 @register("A15_cost_by_score_bin", with_views(RR, """
 select cast(least(floor(routing_score * 10), 9) as bigint) as score_bin, model_used, count(*)::bigint as n,
-       round(avg(cost_usd), 9) as mean_cost
+       round(round(sum(cost_usd), 9) / count(*), 9) as mean_cost
 from routing_results where routing_score is not null and not isnan(routing_score) group by all"""))
 def a15b(spark, sf):
     return rounded(R.cost_by_score_bin(fx.routing_results(spark, sf)), ("mean_cost",))
