@@ -11,9 +11,10 @@ BROADCAST_MAX_ROWS = 2_000_000
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast ``df`` when its row count is within ``max_rows``; otherwise leave the choice to AQE.
 
-    Use on already aggregated sides (one row per group/partition/threshold): the count is one cheap job and proves
-    the bound. Beyond the bound the join stays a shuffle join and AQE's skew-join split handles hot keys.
+    Use on already aggregated sides (one row per group/partition/threshold): the side is persisted and counted,
+    which proves the bound and is the same pass the join would run for it anyway. Beyond the bound the join stays a shuffle join and AQE's skew-join split handles hot keys.
     """
+    df = df.persist()  # the count materialises the small side once; the join reuses it instead of recomputing
     n = df.count()
     return F.broadcast(df) if n <= max_rows else df
 

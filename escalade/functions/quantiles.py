@@ -82,6 +82,19 @@ def percentiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str
 
 
 def choose_method(df: DataFrame, value: str, by: list[str] | tuple[str, ...] = (), method: str = "auto") -> str:
-    if method == "auto":
-        return "exact" if builtin_percentile_safe(df, value, by) else "rank"
-    return method
+    return choose_methods(df, [value], by, method)[value]
+
+
+def choose_methods(df: DataFrame, values: list[str], by: list[str] | tuple[str, ...] = (),
+                   method: str = "auto", limit: int = MAX_EXACT_DISTINCT) -> dict[str, str]:
+    """The percentile method per column; ``auto`` checks all columns' distinct counts in one pass."""
+    if method != "auto":
+        return {v: method for v in values}
+    d = df.groupBy(*by).agg(*[F.approx_count_distinct(F.when(valid(v), F.col(v)), 0.05).alias(f"d{i}")
+                              for i, v in enumerate(values)])
+    row = d.agg(*[F.max(f"d{i}").alias(f"m{i}") for i in range(len(values))]).first()
+    out = {}
+    for i, v in enumerate(values):
+        m = None if row is None else row[f"m{i}"]
+        out[v] = "exact" if m is None or m <= limit else "rank"
+    return out

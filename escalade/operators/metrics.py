@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from escalade.functions.quantiles import choose_method, percentile_columns, percentiles_by_rank, valid
+from escalade.functions.quantiles import (choose_method, choose_methods, percentile_columns,
+                                         percentiles_by_rank, valid)
 from escalade.schemas import BLENDED_STRONG_PER_M, Prices
 
 TOKEN_FIELDS = ("weak_input", "weak_output", "strong_input", "strong_output")
@@ -126,8 +127,9 @@ def quality_metrics(results: DataFrame, percentile_method: str = "auto") -> Data
         aggs += [F.avg("rl").alias("avg_response_length")]
         med["rl"] = "median_response_length"
     rank_parts = []
+    methods = choose_methods(src, list(med), (), percentile_method)
     for c, name in med.items():
-        if choose_method(src, c, (), percentile_method) == "rank":
+        if methods[c] == "rank":
             rank_parts.append(percentiles_by_rank(src, c, {name: 0.5}))
         else:
             aggs += percentile_columns(c, {name: 0.5}, "exact" if percentile_method != "approx" else "approx")

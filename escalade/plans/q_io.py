@@ -8,7 +8,7 @@ from escalade.plans.catalog import register, rounded
 from escalade.plans.oracle_views import with_views
 from escalade.sources import fixtures as fx
 from escalade.sources import io as IO
-from escalade.sources.tables import load
+from escalade.sources.tables import load  # noqa: F401
 
 EVENT_COLUMNS = ("event_id", "ts", "user_id", "event_type", "value", "props")
 
@@ -35,3 +35,59 @@ def s7(spark, sf):
 def s8(spark, sf):
     p = IO.profile_table(load(spark, sf, "events").select(*EVENT_COLUMNS))
     return rounded(p.select("position", "column", "n_rows", "n_null"))
+
+
+# ---------------------------------------------------------------- write -> read round trips (derived data only)
+
+def _rp_datasets(spark, sf):
+    from escalade.operators import datasets as D
+    rp = fx.response_pairs(spark, sf)
+    return D.adequacy_dataset(rp), D.pairwise_dataset(rp)
+
+
+_P5_NO_KEY = with_views(["response_pairs"], r"""
+select prompt, weak_response as response,
+       (case when length(coalesce(weak_response, '')) < 50 then 0
+             when len(W) = 0 then 0
+             when len(list_intersect(W, S)) / len(W) > 7e-1 then 1 else 0 end)::double as label
+from (select *, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(weak_response, '')), '\s+'), lambda t: t <> '')) as W,
+             list_distinct(list_filter(regexp_split_to_array(lower(coalesce(strong_response, '')), '\s+'), lambda t: t <> '')) as S
+      from response_pairs) ws""")
+
+
+@register("S3_S5_adequacy_csv_round_trip", _P5_NO_KEY)
+def s3_s5(spark, sf):
+    """S3 writes the adequacy set as CSV (quoted, multi-line texts), S5 reads it back typed as samples."""
+    from escalade.session import scratch_path
+    ad, _ = _rp_datasets(spark, sf)
+    path = scratch_path(spark, "adequacy") + ".csv"
+    IO.write_table(ad, path)
+    return IO.read_adequacy(spark, path)
+
+
+@register("S3_S6_pairwise_jsonl_round_trip", with_views(["response_pairs"], """
+select prompt, strong_response as response_preferred, weak_response as response_non_preferred from response_pairs"""))
+def s3_s6(spark, sf):
+    """S3 writes the pairwise set as JSON Lines, S6 reads it back oriented."""
+    from escalade.session import scratch_path
+    _, pw = _rp_datasets(spark, sf)
+    path = scratch_path(spark, "pairwise") + ".jsonl"
+    IO.write_table(pw, path)
+    return IO.read_pairwise(spark, path)
+
+
+@register("S4_write_datasets", with_views(["response_pairs"], """
+select kind, split, count(*)::bigint as rows
+from (select case when row_number() over (order by pair_id) - 1 < cast(trunc(count(*) over () * 9e-1) as bigint)
+                  then 'train' else 'val' end as split from response_pairs) s
+cross join (select 'adequacy' as kind union all select 'pairwise') k
+group by kind, split"""))
+def s4(spark, sf):
+    """Both datasets split (D1) and written partitioned by split; counted back from the files."""
+    from escalade.operators import datasets as D
+    from escalade.session import scratch_path
+    rp = fx.response_pairs(spark, sf)
+    out = IO.write_datasets(D.adequacy_dataset(rp, keep=("pair_id",)), D.pairwise_dataset(rp, keep=("pair_id",)),
+                            scratch_path(spark, "datasets"))
+    parts = [spark.read.parquet(p).select(F.lit(k).alias("kind"), "split") for k, p in out.items()]
+    return parts[0].unionByName(parts[1]).groupBy("kind", "split").agg(F.count(F.lit(1)).alias("rows"))

@@ -50,7 +50,9 @@ def write_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "o
         raise ValueError(f"Unsupported format: {fmt}")
     w = df.write.mode(mode)
     if fmt == "csv":
-        w.option("header", True).option("escape", '"').option("quote", '"').csv(path)
+        # Spark's CSV writer trims leading/trailing blanks by default; texts must round-trip unchanged
+        (w.option("header", True).option("escape", '"').option("quote", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     elif fmt in ("json", "jsonl"):
         w.json(path)
     else:

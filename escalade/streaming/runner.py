@@ -9,12 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from escalade.operators.routing import Scorer, cascade
 from escalade.schemas import CASCADE_THRESHOLD
-from escalade.session import ensure_checkpoint_dir
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the session's reliable checkpoint directory (shared on a cluster)."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from escalade.session import scratch_path
 
 
 def run_available_now(stream: DataFrame, name: str, output_mode: str = "append", fmt: str = "parquet",
