@@ -125,3 +125,10 @@ def encode_pair(prompt: Column | str, response: Column | str, max_length: int =
         toks = F.concat(toks, F.array_repeat(F.lit(PAD), pad))
         mask = F.concat(mask, F.array_repeat(F.lit(0), pad))
     return F.struct(toks.alias("tokens"), mask.alias("attention_mask"), ka.alias("n_prompt"), kb.alias("n_response"))
+
+
+def word_set_overlap(a: Column | str, b: Column | str) -> Column:
+    """Sizes of the two lower-cased word sets and of their intersection."""
+    wa, wb = word_set(a), word_set(b)
+    return F.struct(F.size(wa).cast("bigint").alias("n_a"), F.size(wb).cast("bigint").alias("n_b"),
+                    F.size(F.array_intersect(wa, wb)).cast("bigint").alias("n_common"))

@@ -27,6 +27,17 @@ def value_counts(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), F.col(key))
 
 
+def ranked_value_counts(df: DataFrame, key: str) -> DataFrame:
+    """L2 with the order made explicit: ``rank`` 1 = most frequent (ties by key); ranked on the aggregated table."""
+    c = df.groupBy(key).agg(F.count(F.lit(1)).alias("count"))
+    return c.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), F.col(key))))
+
+
+def evaluated_only(results: DataFrame, score: str = "weak_quality_score") -> DataFrame:
+    """P10: rows whose quality score is present (not NULL, not NaN)."""
+    return results.where(valid(score))
+
+
 def label_distribution(df: DataFrame, label: str = "label") -> DataFrame:
     """A4: rows per label."""
     return value_counts(df, label)

@@ -72,6 +72,30 @@ def mf_params_from_battles(battles: DataFrame, emb: str = "embedding", label: st
     return a.select(F.transform("s", lambda x: x["d"]).alias("a"), F.lit(0.0).alias("c"))
 
 
+def model_vectors_from_battles(battles: DataFrame, emb: str = "embedding", label: str = "strong_wins") -> DataFrame:
+    """One row with the two model vectors (mean embedding of the battles each model won): ``v_strong``, ``v_weak``."""
+    e = battles.select(F.col(label).alias("y"), F.posexplode(emb).alias("dim", "v"))
+    m = e.groupBy("dim").agg(F.avg(F.when(F.col("y") == 1, F.col("v").cast("double"))).alias("vs"),
+                             F.avg(F.when(F.col("y") == 0, F.col("v").cast("double"))).alias("vw"))
+    a = m.agg(F.sort_array(F.collect_list(F.struct("dim", "vs", "vw"))).alias("s"))
+    return a.select(F.transform("s", lambda x: x["vs"]).alias("v_strong"),
+                    F.transform("s", lambda x: x["vw"]).alias("v_weak"))
+
+
+def _cosine(a: Column, b: Column) -> Column:
+    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
+    na = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + v.cast("double") * v))
+    nb = F.sqrt(F.aggregate(b, F.lit(0.0), lambda s, v: s + v.cast("double") * v))
+    return F.try_divide(dot, na * nb)
+
+
+def query_model_similarity(queries: DataFrame, models: DataFrame, emb: str = "embedding") -> DataFrame:
+    """J4 with the tiny side: cosine of every query to each model vector (the one-row model table is broadcast)."""
+    j = attach_row(queries, models.select("v_strong", "v_weak"))
+    return (j.withColumn("cos_strong", _cosine(F.col(emb), F.col("v_strong")))
+            .withColumn("cos_weak", _cosine(F.col(emb), F.col("v_weak"))).drop("v_strong", "v_weak"))
+
+
 # ---------------------------------------------------------------- similarity-weighted router
 
 SW_BROADCAST_MAX_ROWS = 200_000   # battles x dim floats broadcast to every task when within this bound

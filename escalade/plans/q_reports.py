@@ -202,3 +202,37 @@ def a16(spark, sf):
     v = F.when(F.col("kpi").isin("avg_cost_per_request", "total_cost_usd"), F.round("value", 9)) \
         .otherwise(F.round("value", 6))
     return k.select("kpi", v.alias("value"))
+
+
+@register("P10_evaluated_only", with_views(RR, f"""
+select request_id, round(weak_quality_score, 6) as weak_quality_score from routing_results where {_VALID_Q}"""))
+def p10(spark, sf):
+    return rounded(R.evaluated_only(fx.routing_results(spark, sf)).select("request_id", "weak_quality_score"))
+
+
+@register("L2_value_counts_order", with_views(RR, """
+select model_used, count(*)::bigint as count, row_number() over (order by count(*) desc, model_used)::bigint as rank
+from routing_results group by model_used"""))
+def l2(spark, sf):
+    return rounded(R.ranked_value_counts(fx.routing_results(spark, sf), "model_used"))
+
+
+_J3_T = [i / 20 for i in range(1, 20)]
+
+
+@register("J3_threshold_grid", with_views(RR, """
+select threshold, count(*) filter (where strong)::bigint as strong_n,
+       round(count(*) filter (where strong) * 1e2 / count(*), 6) as strong_pct,
+       round(sum(case when strong then (tin * 1e1 + tout * 3e1) / 1e6 else (tin * 5e-1 + tout * 15e-1) / 1e6 end), 9) as est_cost_usd,
+       round(avg(case when not strong and ok then weak_quality_score end), 6) as avg_quality,
+       0e0 as trigger_rate
+from x group by threshold""", extra=[
+    ("t", "select i / 2e1 as threshold from range(1, 20) r(i)"),
+    ("rr", "select *, weak_input + strong_input as tin, weak_output + strong_output as tout, "
+           f"coalesce({_VALID_Q}, false) as ok from routing_results"),
+    ("x", "select t.threshold, rr.*, coalesce(routing_score is not null and not isnan(routing_score) "
+          "and routing_score >= threshold, false) as strong from t cross join rr"),
+]))
+def j3(spark, sf):
+    """Rows x a 19-point threshold grid, evaluated without materialising the product (see A13)."""
+    return rounded(R.threshold_sweep(fx.routing_results(spark, sf), _J3_T, on="routing_score"), ("est_cost_usd",))

@@ -285,3 +285,17 @@ def j2(spark, sf):
                    ("request_cost_usd",))
 
 
+
+
+@register("J4_query_model_similarity", with_views(["battles", "queries"], """
+select q.query_id,
+       round(list_cosine_similarity(q.embedding::double[], m.vs), 6) as cos_strong,
+       round(list_cosine_similarity(q.embedding::double[], m.vw), 6) as cos_weak
+from queries q,
+     (select list(vs order by dim) as vs, list(vw order by dim) as vw
+      from (select dim, avg(v) filter (where strong_wins = 1) as vs, avg(v) filter (where strong_wins = 0) as vw
+            from (select strong_wins, unnest(range(len(embedding))) as dim, unnest(embedding)::double as v
+                  from battles) b group by dim) a) m"""))
+def j4(spark, sf):
+    models = R.model_vectors_from_battles(fx.battles(spark, sf))
+    return rounded(R.query_model_similarity(fx.queries(spark, sf), models).select("query_id", "cos_strong", "cos_weak"))

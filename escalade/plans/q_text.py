@@ -128,3 +128,12 @@ def f16(spark, sf):
         F.col("conv_id").alias("request_id"), F.size("messages").cast("bigint").alias("n_messages"),
         F.array_join(F.transform("messages", lambda x: F.substring(x["role"], 1, 1)), "").alias("roles"),
         F.aggregate("messages", F.lit(0).cast("bigint"), lambda acc, x: acc + F.length(x["content"])).alias("total_chars"))
+
+
+@register("X2_word_set_intersection", with_views(RP, f"""
+select pair_id, len({_wset('weak_response')})::bigint as n_a, len({_wset('strong_response')})::bigint as n_b,
+       len(list_intersect({_wset('weak_response')}, {_wset('strong_response')}))::bigint as n_common
+from response_pairs"""))
+def x2(spark, sf):
+    rp = fx.response_pairs(spark, sf)
+    return rp.select("pair_id", X.word_set_overlap("weak_response", "strong_response").alias("o")).select("pair_id", "o.*")

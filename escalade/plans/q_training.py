@@ -169,3 +169,20 @@ def r5(spark, sf):
     rp = fx.response_pairs(spark, sf).select(F.col("pair_id").alias("request_id"), "prompt", "weak_response")
     w = M.classifier_win_rate(rp, model)
     return rounded(w.select("request_id", "win_rate", route("win_rate", 0.5).alias("decision")))
+
+
+@register("S9_save_load_scorer")
+def s9(spark, sf):
+    """Persist a trained scorer with its metadata in the shared checkpoint folder, reload it, score again."""
+    from escalade.session import scratch_path
+    s = _split(spark, sf).cache()
+    model = M.train_adequacy(s.where("split = 'train'"), num_features=256)
+    path = scratch_path(spark, "scorer")
+    M.save_scorer(model, path, {"epoch": 0, "num_features": 256})
+    loaded, meta = M.load_scorer(spark, path)
+    a = M.score_column(model, s, "pred_saved").select("pair_id", "pred_saved")
+    b = M.score_column(loaded, s, "pred_loaded").select("pair_id", "pred_loaded")
+    j = a.join(b, "pair_id")
+    return rounded(j.select("pair_id", "pred_saved", "pred_loaded",
+                            (F.col("pred_saved") == F.col("pred_loaded")).alias("identical"),
+                            F.lit(meta["num_features"]).cast("bigint").alias("num_features")))

@@ -292,3 +292,27 @@ def test_unknown_methods_raise(spark):
         from escalade.functions.scores import pool_hidden_states
         pool_hidden_states(df, "median")
 
+
+
+def test_manual_labels_with_annotations(spark):
+    pairs = spark.createDataFrame([(1, "p", "w", "s"), (2, "p", "w", "s")],
+                                  "pair_id long, prompt string, weak_response string, strong_response string")
+    ann = spark.createDataFrame([(1, 1)], "pair_id long, label int")
+    got = {r["pair_id"]: r["label"] for r in D.adequacy_dataset(pairs, "manual", ann, keep=("pair_id",)).collect()}
+    assert got == {1: 1, 2: 0}
+    assert {r["label"] for r in D.adequacy_dataset(pairs, "manual").collect()} == {0}
+
+
+def test_cascade_stream_equals_batch(spark, tmpdir_path):
+    from escalade.streaming import runner as S
+    rows = [(i, "a b c", "a b", "a b c d", None, False) for i in range(20)]
+    df = spark.createDataFrame(rows, "request_id long, prompt string, weak_response string, strong_response string, "
+                                     "force_model string, disable_evaluator boolean")
+    ids = f"{tmpdir_path}/ids"
+    df.select("request_id").write.parquet(ids)
+    stream = spark.readStream.schema("request_id long").parquet(ids)
+    scorer = lambda p, r: X.word_containment(r, F.col("strong_response"))
+    out = S.run_available_now(S.cascade_stream(stream, df, "request_id", scorer), "casc_t")
+    batch = RT.cascade(df, scorer)
+    key = lambda r: (r["request_id"], r["model_used"], r["cost_usd"])
+    assert sorted(map(key, out.collect())) == sorted(map(key, batch.collect()))
