@@ -74,8 +74,7 @@ def percentiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str
     """One row per group: ``by`` columns + one DOUBLE column per entry of ``probs`` (name -> probability)."""
     if method not in ("auto", "exact", "rank", "approx"):
         raise ValueError(f"unknown percentile method {method!r}")
-    if method == "auto":
-        method = "exact" if builtin_percentile_safe(df, value, by) else "rank"
+    method = choose_method(df, value, by, method)
     if method == "rank":
         return percentiles_by_rank(df, value, probs, by)
     return df.groupBy(*by).agg(*percentile_columns(value, probs, method))
@@ -85,11 +84,28 @@ def choose_method(df: DataFrame, value: str, by: list[str] | tuple[str, ...] = (
     return choose_methods(df, [value], by, method)[value]
 
 
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of a plan (from file sizes; no job is run)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # estimate unavailable (e.g. some streaming or Python sources)
+        return None
+
+
+# Below this estimated input size the input cannot hold more distinct values than the built-in percentile's
+# per-group map handles comfortably (8 bytes per value at the very least), so no check job is needed.
+SMALL_INPUT_BYTES = 8 * MAX_EXACT_DISTINCT
+
+
 def choose_methods(df: DataFrame, values: list[str], by: list[str] | tuple[str, ...] = (),
                    method: str = "auto", limit: int = MAX_EXACT_DISTINCT) -> dict[str, str]:
-    """The percentile method per column; ``auto`` checks all columns' distinct counts in one pass."""
+    """The percentile method per column. ``auto``: inputs whose estimated size proves fewer than ``limit`` values
+    use the built-in directly; otherwise all columns' distinct counts are checked in one pass."""
     if method != "auto":
         return {v: method for v in values}
+    size = estimated_bytes(df)
+    if size is not None and size <= SMALL_INPUT_BYTES:
+        return {v: "exact" for v in values}
     d = df.groupBy(*by).agg(*[F.approx_count_distinct(F.when(valid(v), F.col(v)), 0.05).alias(f"d{i}")
                               for i, v in enumerate(values)])
     row = d.agg(*[F.max(f"d{i}").alias(f"m{i}") for i in range(len(values))]).first()
