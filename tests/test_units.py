@@ -316,3 +316,33 @@ def test_cascade_stream_equals_batch(spark, tmpdir_path):
     batch = RT.cascade(df, scorer)
     key = lambda r: (r["request_id"], r["model_used"], r["cost_usd"])
     assert sorted(map(key, out.collect())) == sorted(map(key, batch.collect()))
+
+
+def test_mf_general_parameters_fold(spark):
+    import numpy as np
+    rng = np.random.default_rng(0)
+    d, k = 6, 4
+    W, b, w = rng.normal(size=(k, d)), rng.normal(size=k), rng.normal(size=k)
+    vs, vw = rng.normal(size=k), rng.normal(size=k)
+    qs = rng.normal(size=(5, d))
+    p = RT.mf_params(W, b, w, vs, vw)
+    params = spark.createDataFrame([(p["a"], p["c"])], "a array<double>, c double")
+    q = spark.createDataFrame([(i, qs[i].tolist()) for i in range(5)], "query_id int, embedding array<double>")
+    got = {r["query_id"]: r["win_rate"] for r in RT.mf_win_rate_from_params(q, params).collect()}
+    for i in range(5):
+        proj = W @ qs[i] + b
+        delta = w @ (vs * proj) - w @ (vw * proj)
+        assert math.isclose(got[i], 1 / (1 + math.exp(-delta)), rel_tol=1e-9)
+
+
+def test_pool_arrays_match_long_form(spark):
+    from escalade.functions.scores import pool_arrays, pool_hidden_states
+    rows = [(0, 0, 0, 1.0, 1), (0, 0, 1, 2.0, 1), (0, 1, 0, 3.0, 0), (0, 1, 1, -4.0, 0), (0, 2, 0, 5.0, 1),
+            (0, 2, 1, 6.0, 1)]
+    long = spark.createDataFrame(rows, "id int, pos int, dim int, v double, mask int")
+    arr = spark.createDataFrame([(0, [[1.0, 2.0], [3.0, -4.0], [5.0, 6.0]], [1, 0, 1])],
+                                "id int, hidden array<array<double>>, mask array<int>")
+    for strategy in ("cls", "mean", "max"):
+        a = {r["dim"]: r["pooled"] for r in pool_hidden_states(long, strategy).collect()}
+        b = arr.select(pool_arrays("hidden", "mask", strategy).alias("p")).first()["p"]
+        assert [a[0], a[1]] == b
