@@ -108,16 +108,19 @@ def a21_batched(spark, sf):
     return rounded(L.binary_metrics(b, batch="batch_id"))
 
 
+SEQ_LEN = 512  # encoder length: a pooled sequence never holds more positions than this
+
+
 def _sequences(spark, sf):
-    """hidden_states regrouped as one row per sequence: positions in order, each with its vector and mask
-    (a sequence is bounded by the encoder length; here 50 positions of 64 dims)."""
+    """Bounded sequences for the array form: the positions of one label cut into blocks of at most ``SEQ_LEN``
+    consecutive ids, each block one row (positions in order, each with its vector and mask)."""
     from escalade.sources.tables import load
     emb = load(spark, sf, "embeddings")
-    rows = emb.select(F.col("label").alias("id"), F.col("vec_id").alias("pos"),
-                      F.transform("embedding", lambda v: v.cast("double")).alias("vec"),
+    rows = emb.select(F.col("label").alias("id"), F.floor(F.col("vec_id") / SEQ_LEN).cast("bigint").alias("blk"),
+                      F.col("vec_id").alias("pos"), F.transform("embedding", lambda v: v.cast("double")).alias("vec"),
                       F.when(F.pmod(F.col("vec_id"), F.lit(5)) == 0, F.lit(0)).otherwise(F.lit(1)).alias("mask"))
-    g = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "vec", "mask"))).alias("s"))
-    return g.select("id", F.transform("s", lambda x: x["vec"]).alias("hidden"),
+    g = rows.groupBy("id", "blk").agg(F.sort_array(F.collect_list(F.struct("pos", "vec", "mask"))).alias("s"))
+    return g.select("id", "blk", F.transform("s", lambda x: x["vec"]).alias("hidden"),
                     F.transform("s", lambda x: x["mask"]).alias("mask"))
 
 
@@ -125,8 +128,9 @@ for _strategy, _agg in _POOL_SQL.items():
     def _make_arr(strategy):
         def build(spark, sf):
             seq = _sequences(spark, sf)
-            p = seq.select("id", F.posexplode(S.pool_arrays("hidden", "mask", strategy)).alias("dim", "pooled"))
-            return rounded(p.select("id", F.col("dim").cast("bigint").alias("dim"), "pooled"))
+            p = seq.select("id", "blk", F.posexplode(S.pool_arrays("hidden", "mask", strategy)).alias("dim", "pooled"))
+            return rounded(p.select("id", "blk", F.col("dim").cast("bigint").alias("dim"), "pooled"))
         return build
     register(f"F12_pool_{_strategy}_array", with_views(["hidden_states"], f"""
-select id, dim, round({_agg}, 6) as pooled from hidden_states group by id, dim"""))(_make_arr(_strategy))
+select id, pos // {SEQ_LEN} as blk, dim, round({_agg}, 6) as pooled from hidden_states group by id, pos // {SEQ_LEN}, dim"""))(
+        _make_arr(_strategy))

@@ -29,18 +29,32 @@ def window_cost_by_model(results: DataFrame, window: str = "1 day", watermark: s
 
 def window_metrics(results: DataFrame, window: str = "1 day", watermark: str | None = None, ts: str = "ts",
                    exact: bool = False) -> DataFrame:
-    """Per window: requests, strong %, evaluator trigger rate, mean and P95 latency, cost."""
+    """Per window: requests, strong %, evaluator trigger rate, mean and P95 latency, cost.
+
+    ``exact`` (batch only) computes the P95 with :func:`percentiles` per window (built-in when the distinct check
+    allows, otherwise the distributed rank method), so a busy window is never one task's value map."""
     df = _prep(results, ts, watermark)
     mu = F.col("model_used")
     lat = F.when(valid("latency_ms"), F.col("latency_ms"))
-    p95 = F.percentile(lat, F.lit(0.95)) if exact else F.percentile_approx(lat, 0.95, 10000)
     n = F.count(F.lit(1))
-    return (df.groupBy(F.window(ts, window).alias("w"))
-            .agg(n.alias("n"),
+    if exact:
+        from escalade.functions.quantiles import percentiles
+        base = _window_aggs(df.withColumn("w", F.window(ts, window)), mu, lat, n, None)
+        keyed = df.select(F.window(ts, window).start.alias("window_start"), "latency_ms")
+        p = percentiles(keyed, "latency_ms", {"p95_latency_ms": 0.95}, ["window_start"])
+        return base.join(p, "window_start").select("window_start", "window_end", "n", "strong_pct", "trigger_rate",
+                                                   "avg_latency_ms", "p95_latency_ms", "cost_usd")
+    return _window_aggs(df.withColumn("w", F.window(ts, window)), mu, lat, n, F.percentile_approx(lat, 0.95, 10000))
+
+
+def _window_aggs(df: DataFrame, mu, lat, n, p95) -> DataFrame:
+    extra = [p95.alias("p95_latency_ms")] if p95 is not None else []
+    out = (df.groupBy("w")
+           .agg(n.alias("n"),
                  F.try_divide(F.count_if(mu.isin("strong", "weak_then_strong")) * F.lit(100.0), n.cast("double"))
                  .alias("strong_pct"),
                  F.try_divide(F.count_if(mu == "weak_then_strong") * F.lit(100.0), n.cast("double"))
                  .alias("trigger_rate"),
-                 F.avg(lat).alias("avg_latency_ms"), p95.alias("p95_latency_ms"), F.sum("cost_usd").alias("cost_usd"))
-            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "strong_pct",
-                    "trigger_rate", "avg_latency_ms", "p95_latency_ms", "cost_usd"))
+                F.avg(lat).alias("avg_latency_ms"), *extra, F.sum("cost_usd").alias("cost_usd")))
+    return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "strong_pct",
+                      "trigger_rate", "avg_latency_ms", *(["p95_latency_ms"] if extra else []), "cost_usd")
