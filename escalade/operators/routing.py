@@ -240,17 +240,9 @@ def containment_scorer(prompt: Column, response: Column, reference: Column | Non
     return word_containment(response, reference if reference is not None else prompt)
 
 
-def cascade(requests: DataFrame, scorer: Scorer | None = None, win_rate: str | None = None,
-            threshold: float = CASCADE_THRESHOLD, router_threshold: float = ROUTER_THRESHOLD,
-            prices: Prices = Prices(), keep: tuple[str, ...] = ()) -> DataFrame:
-    """The weak-then-strong quality cascade on a table of requests.
-
-    Input columns: request_id, prompt, weak_response, strong_response, force_model, disable_evaluator, and the
-    optional router column ``win_rate``. ``scorer(prompt, weak_response)`` returns the quality column.
-
-    Order of decisions (per row): forced model -> router says strong -> evaluator score < threshold (strict)
-    escalates -> otherwise weak. A NULL/NaN score never escalates. Forcing bills only the forced model.
-    """
+def _decide(requests: DataFrame, scorer: Scorer | None, win_rate: str | None, threshold: float,
+            router_threshold: float) -> DataFrame:
+    """Adds ``weak_quality_score``, ``model_used`` and ``evaluator_triggered`` (needs ``weak_response``)."""
     fm = F.col("force_model")
     forced = F.coalesce(fm.isin("weak", "strong"), F.lit(False))
     routed_strong = (route(win_rate, router_threshold) == "strong") if win_rate else F.lit(False)
@@ -261,7 +253,11 @@ def cascade(requests: DataFrame, scorer: Scorer | None = None, win_rate: str | N
     model_used = (F.when(forced, fm).when(routed_strong, F.lit("strong"))
                   .when(escalate, F.lit("weak_then_strong")).otherwise(F.lit("weak")))
     d = requests.select("*", score.alias("weak_quality_score")).withColumn("model_used", model_used)
-    d = d.withColumn("evaluator_triggered", F.col("model_used") == "weak_then_strong")
+    return d.withColumn("evaluator_triggered", F.col("model_used") == "weak_then_strong")
+
+
+def _finish(d: DataFrame, win_rate: str | None, prices: Prices, keep: tuple[str, ...]) -> DataFrame:
+    """Chosen text, per-model token usage and cost of a decided table."""
     mu = F.col("model_used")
     chosen = F.when(mu.isin("strong", "weak_then_strong"), F.col("strong_response")).otherwise(F.col("weak_response"))
     pt, wt, st = token_count("prompt"), token_count("weak_response"), token_count("strong_response")
@@ -284,6 +280,72 @@ def cascade(requests: DataFrame, scorer: Scorer | None = None, win_rate: str | N
         "weak_input", "weak_output", "strong_input", "strong_output", cost.alias("cost_usd"), *keep)
 
 
+def cascade(requests: DataFrame, scorer: Scorer | None = None, win_rate: str | None = None,
+            threshold: float = CASCADE_THRESHOLD, router_threshold: float = ROUTER_THRESHOLD,
+            prices: Prices = Prices(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """The weak-then-strong quality cascade on a table of requests whose responses are already known.
+
+    Input columns: request_id, prompt, weak_response, strong_response, force_model, disable_evaluator, and the
+    optional router column ``win_rate``. ``scorer(prompt, weak_response)`` returns the quality column.
+
+    Order of decisions (per row): forced model -> router says strong -> evaluator score < threshold (strict)
+    escalates -> otherwise weak. A NULL/NaN score never escalates. Forcing bills only the forced model.
+    """
+    return _finish(_decide(requests, scorer, win_rate, threshold, router_threshold), win_rate, prices, keep)
+
+
+def _call_where(df: DataFrame, fn, flag: str, out: str) -> DataFrame:
+    """Call an injected text model on the rows whose ``flag`` is true, inside each partition (Arrow batches):
+    no filter/join round trip, and untaken rows cost nothing. Failures go to ``<out>_error``."""
+    fields = df.schema.fields
+
+    def run(it):
+        for pdf in it:
+            res, err = [], []
+            for need, p in zip(pdf[flag], pdf["prompt"]):
+                if not need:
+                    res.append(None)
+                    err.append(None)
+                    continue
+                try:
+                    res.append(fn(p if p is not None else ""))
+                    err.append(None)
+                except Exception as e:  # a failed call is a row-level error
+                    res.append(None)
+                    err.append(f"{type(e).__name__}: {e}")
+            yield pdf.assign(**{out: pd.Series(res, index=pdf.index, dtype="object"),
+                                f"{out}_error": pd.Series(err, index=pdf.index, dtype="object")})
+
+    schema = T.StructType([*fields, T.StructField(out, T.StringType()), T.StructField(f"{out}_error", T.StringType())])
+    return df.mapInPandas(run, schema)
+
+
+def cascade_with_models(requests: DataFrame, weak_fn, strong_fn, scorer: Scorer | None = None,
+                        win_rate: str | None = None, threshold: float = CASCADE_THRESHOLD,
+                        router_threshold: float = ROUTER_THRESHOLD, prices: Prices = Prices()) -> DataFrame:
+    """R8 with injected model functions: the weak model is called only where the weak path is taken, the scorer
+    decides, and the strong model is called only for rows routed or forced strong or escalated.
+
+    Input: request_id, prompt, force_model, disable_evaluator [, win_rate]. A failed weak call leaves the score
+    NULL (the weak answer is kept, empty); a failed strong call leaves an empty strong answer. Both errors are
+    returned, with ``strong_called`` showing which rows paid for the strong model.
+    """
+    fm = F.col("force_model")
+    routed = (route(win_rate, router_threshold) == "strong") if win_rate else F.lit(False)
+    need_weak = ~(F.coalesce(fm == "strong", F.lit(False)) | (~F.coalesce(fm.isin("weak", "strong"), F.lit(False))
+                                                              & routed))
+    step = _call_where(requests.withColumn("_need_weak", need_weak), weak_fn, "_need_weak", "weak_response")
+    step = step.withColumn("weak_response", F.coalesce(F.col("weak_response"), F.lit("")))
+    # a failed weak call has no answer to evaluate: its score is NULL, so it is never escalated (kept weak)
+    guarded = (lambda p, r: F.when(F.col("weak_response_error").isNull(), scorer(p, r))) if scorer else None
+    decided = _decide(step, guarded, win_rate, threshold, router_threshold)
+    decided = decided.withColumn("strong_called", F.col("model_used").isin("strong", "weak_then_strong"))
+    step2 = _call_where(decided, strong_fn, "strong_called", "strong_response")
+    step2 = step2.withColumn("strong_response", F.when(F.col("strong_called"),
+                                                       F.coalesce(F.col("strong_response"), F.lit(""))))
+    return _finish(step2, win_rate, prices, ("strong_called", "weak_response_error", "strong_response_error"))
+
+
 def preroute_vs_evaluator(decisions: DataFrame, win_rate: str = "win_rate",
                           router_threshold: float = ROUTER_THRESHOLD, prices: Prices = Prices()) -> DataFrame:
     """Pre-routing by score versus the evaluator cascade on the same requests.

@@ -299,3 +299,57 @@ from queries q,
 def j4(spark, sf):
     models = R.model_vectors_from_battles(fx.battles(spark, sf))
     return rounded(R.query_model_similarity(fx.queries(spark, sf), models).select("query_id", "cos_strong", "cos_weak"))
+
+
+def _model_requests(spark, sf):
+    conv = load(spark, sf, "conversations").where(F.col("role") == "user")
+    cr = fx.chat_requests(spark, sf).select(F.col("request_id").alias("conv_id"), "force_model", "disable_evaluator")
+    return conv.join(cr, "conv_id").select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"),
+                                           F.col("text").alias("prompt"), "force_model", "disable_evaluator")
+
+
+def _weak_stand_in(prompt: str) -> str:
+    if len(prompt) % 13 == 0:
+        raise TimeoutError("simulated timeout")
+    return prompt[:40]
+
+
+def _strong_stand_in(prompt: str) -> str:
+    return prompt + " " + prompt
+
+
+@register("R8_cascade_with_models", with_views(["chat_requests"], f"""
+select request_id, model_used, round(score, 6) as weak_quality_score, strong_called, werr as weak_failed,
+       pt::bigint as prompt_tokens, {_toks('resp')}::bigint as completion_tokens,
+       (case when model_used in ('weak', 'weak_then_strong') then pt else 0 end)::bigint as weak_input,
+       (case when model_used in ('weak', 'weak_then_strong') then {_toks('wr')} else 0 end)::bigint as weak_output,
+       (case when strong_called then pt else 0 end)::bigint as strong_input,
+       (case when strong_called then {_toks('sr')} else 0 end)::bigint as strong_output,
+       round(((case when model_used in ('weak', 'weak_then_strong') then pt else 0 end) * 5e-1
+              + (case when model_used in ('weak', 'weak_then_strong') then {_toks('wr')} else 0 end) * 15e-1
+              + (case when strong_called then pt else 0 end) * 1e1
+              + (case when strong_called then {_toks('sr')} else 0 end) * 3e1) / 1e6, 9) as cost_usd
+from (select *, case when strong_called then prompt || ' ' || prompt end as sr,
+             case when strong_called then prompt || ' ' || prompt else wr end as resp
+      from (select *, model_used in ('strong', 'weak_then_strong') as strong_called
+            from (select *, case when force_model in ('weak', 'strong') then force_model
+                                 when score < 6e-1 then 'weak_then_strong' else 'weak' end as model_used
+                  from (select *, case when force_model is null and not coalesce(disable_evaluator, false) and not werr
+                                       then case when len({_wset('prompt')}) = 0 then null
+                                                 else len(list_intersect({_wset('prompt')}, {_wset('wr')})) / len({_wset('prompt')}) end
+                                  end as score
+                        from (select *, {_toks('prompt')} as pt,
+                                     case when need_weak and length(prompt) % 13 <> 0 then substr(prompt, 1, 40) else '' end as wr,
+                                     coalesce(need_weak and length(prompt) % 13 = 0, false) as werr
+                              from (select *, not coalesce(force_model = 'strong', false) as need_weak from r) a) b) c) d) e) f""",
+                                                     extra=[("r", """
+select u.conv_id * 1000 + u.turn as request_id, u.text as prompt, c.force_model, c.disable_evaluator
+from conversations u join chat_requests c on c.request_id = u.conv_id where u.role = 'user'""")]))
+def r8_models(spark, sf):
+    """The cascade calling injected models: weak only where the weak path is taken, strong only where needed."""
+    d = R.cascade_with_models(_model_requests(spark, sf), _weak_stand_in, _strong_stand_in,
+                              lambda p, r: word_containment(p, r), None, threshold=0.6)
+    return rounded(d.select("request_id", "model_used", "weak_quality_score", "strong_called",
+                            F.col("weak_response_error").isNotNull().alias("weak_failed"), "prompt_tokens",
+                            "completion_tokens", "weak_input", "weak_output", "strong_input", "strong_output",
+                            "cost_usd"), ("cost_usd",))
