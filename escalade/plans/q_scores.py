@@ -51,7 +51,7 @@ for _strategy, _agg in _POOL_SQL.items():
             return rounded(S.pool_hidden_states(fx.hidden_states(spark, sf), strategy))
         return build
     register(f"F12_pool_{_strategy}", with_views(["hidden_states"], f"""
-select id, dim, round({_agg}, 6) as pooled from hidden_states group by id, dim"""))(_make(_strategy))
+select id::bigint as id, dim, round({_agg}, 6) as pooled from hidden_states group by id, dim"""))(_make(_strategy))
 
 
 _BCE = ("w * -(label * greatest(ln(pred), -1e2) + (1 - label) * greatest(ln(1e0 - pred), -1e2))")
@@ -132,5 +132,5 @@ for _strategy, _agg in _POOL_SQL.items():
             return rounded(p.select("id", "blk", F.col("dim").cast("bigint").alias("dim"), "pooled"))
         return build
     register(f"F12_pool_{_strategy}_array", with_views(["hidden_states"], f"""
-select id, pos // {SEQ_LEN} as blk, dim, round({_agg}, 6) as pooled from hidden_states group by id, pos // {SEQ_LEN}, dim"""))(
+select id::bigint as id, pos // {SEQ_LEN} as blk, dim, round({_agg}, 6) as pooled from hidden_states group by id, pos // {SEQ_LEN}, dim"""))(
         _make_arr(_strategy))
