@@ -103,3 +103,16 @@ def load_prompts(df: DataFrame, prompt_column: str = "question", num_samples: in
     key = F.col(order_by) if order_by else F.monotonically_increasing_id()
     out = df.select(key.cast("bigint").alias("ord"), F.col(prompt_column).alias("prompt"))
     return head_n(out, num_samples, ["ord"])
+
+
+def generate_prompts_n(spark, num_prompts: int = 100, seed: int = 0, domain: str = "python") -> DataFrame:
+    """P1 as a standalone generator: ``num_prompts`` prompts for ids 0..n-1 (``spark.range`` is split across
+    tasks, every prompt is computed where its id lives)."""
+    return generate_prompts(spark.range(int(num_prompts)), "id", seed, domain)
+
+
+def load_prompts_file(spark, path: str, prompt_column: str = "question", num_samples: int | None = None) -> DataFrame:
+    """S1 + S2: read a prompt dataset (csv / json / jsonl / parquet) and project its prompt column, in file order
+    (``ord`` from the scan position), keeping the first ``num_samples`` (0 / None = all)."""
+    from escalade.sources.io import read_table
+    return load_prompts(read_table(spark, path), prompt_column, num_samples)

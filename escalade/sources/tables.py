@@ -8,22 +8,17 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-# Row keys of the driver tables (used to spread small scans by hash: deterministic on retry, no local sort).
-KEYS = {"events": ["event_id"], "conversations": ["conv_id", "turn"], "documents": ["doc_id"],
-        "embeddings": ["vec_id"], "labels": ["doc_id"], "pages": ["page_id"], "benchmark": ["item_id"]}
-
-
 def load(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
     """Scan one driver table. With ``spread``, a scan that yields fewer splits than the cluster has cores (a small
-    single-row-group file) is hash-repartitioned on the table's row key so per-row work (JSON parsing,
-    tokenising) runs on every core; a large table already has enough splits and is returned untouched (no extra
-    shuffle). Hash (not round-robin) partitioning keeps a retried task's output identical without a local sort."""
+    single-row-group file) is round-robin repartitioned so per-row work (JSON parsing, tokenising) runs on every
+    core; a large table already has enough splits and is returned untouched (no extra shuffle). Round-robin
+    (sorted locally first by Spark, so a retried task gets the same rows) needs no key column, so column pruning
+    of the scan is unchanged."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if spread:
         target = spark.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() < target:
-            keys = [k for k in KEYS.get(name, []) if k in df.columns]
-            df = df.repartition(target, *keys) if keys else df.repartition(target)
+            df = df.repartition(target)
     return df

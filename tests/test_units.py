@@ -346,3 +346,16 @@ def test_pool_arrays_match_long_form(spark):
         a = {r["dim"]: r["pooled"] for r in pool_hidden_states(long, strategy).collect()}
         b = arr.select(pool_arrays("hidden", "mask", strategy).alias("p")).first()["p"]
         assert [a[0], a[1]] == b
+
+
+def test_load_prompts_file_and_generator(spark, tmpdir_path):
+    from escalade.operators.prompts import generate_prompts_n, load_prompts_file
+    p = f"{tmpdir_path}/q.jsonl"
+    IO.write_table(spark.createDataFrame([(f"q{i}", i) for i in range(10)], "question string, x int").coalesce(1), p)
+    got = load_prompts_file(spark, p, "question", 3).collect()
+    assert [r["prompt"] for r in got] == ["q0", "q1", "q2"]
+    assert load_prompts_file(spark, p, "question", 0).count() == 10
+    with pytest.raises(ValueError):
+        load_prompts_file(spark, p, "missing")
+    g = generate_prompts_n(spark, 50, seed=1)
+    assert g.count() == 50 and g.where("prompt is null").count() == 0
