@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from escalade.functions.quantiles import (choose_method, choose_methods, percentile_columns,
-                                         percentiles_by_rank, valid)
+from escalade.functions.joins import attach_row
+from escalade.functions.quantiles import choose_methods, percentile_columns, percentiles_by_rank, valid
 from escalade.schemas import BLENDED_STRONG_PER_M, Prices
 
 TOKEN_FIELDS = ("weak_input", "weak_output", "strong_input", "strong_output")
@@ -44,7 +44,7 @@ def request_cost_joined(df: DataFrame, prices_df: DataFrame) -> DataFrame:
     tiers = F.broadcast(p.groupBy().pivot("model", ["weak", "strong"])
                         .agg(F.first("input_per_m").alias("in"), F.first("output_per_m").alias("out")))
     j = df.withColumn("_one", F.lit(1)).join(tiers.withColumn("_one", F.lit(1)), "_one", "left")
-    cost =(token(df, "weak_input") * F.col("weak_in") + token(df, "weak_output") * F.col("weak_out")
+    cost = (token(df, "weak_input") * F.col("weak_in") + token(df, "weak_output") * F.col("weak_out")
             + token(df, "strong_input") * F.col("strong_in")
             + token(df, "strong_output") * F.col("strong_out")) / F.lit(1e6)
     return j.withColumn("request_cost_usd", cost).drop("weak_in", "weak_out", "strong_in", "strong_out", "_one")
@@ -70,28 +70,65 @@ def _pct(num: Column, den: Column) -> Column:
     return F.try_divide(num.cast("double") * F.lit(100.0), den.cast("double"))
 
 
-def routing_metrics(results: DataFrame, strong_cost: float = BLENDED_STRONG_PER_M, baseline: str = "blended",
-                    prices: Prices = Prices(), percentile_method: str = "auto") -> DataFrame:
-    """A1: twelve routing metrics in one row. Unknown ``model_used`` values count in the total only."""
-    mu = F.col("model_used")
-    method = choose_method(results, "latency_ms", (), percentile_method)
-    aggs = [
-        F.count(F.lit(1)).alias("total_requests"),
-        F.count_if(mu == "weak").alias("weak_only"),
-        F.count_if(mu == "strong").alias("strong_only"),
-        F.count_if(mu == "weak_then_strong").alias("weak_then_strong"),
-        F.sum("cost_usd").alias("total_cost_usd"),
-        F.sum(baseline_cost(results, baseline, strong_cost, prices)).alias("baseline_cost_usd"),
-        F.avg(F.when(valid("latency_ms"), F.col("latency_ms"))).alias("avg_latency_ms"),
-    ]
-    if method != "rank":
-        aggs += percentile_columns("latency_ms", {"p95_latency_ms": 0.95}, method)
-    a = results.agg(*aggs)
-    if method == "rank":
-        p = percentiles_by_rank(results, "latency_ms", {"p95_latency_ms": 0.95})
-        a = a.withColumn("_one", F.lit(1)).join(F.broadcast(p.withColumn("_one", F.lit(1))), "_one", "left").drop("_one")
+QUALITY_SCORE_METRICS = ("avg_weak_quality_score", "median_weak_quality_score", "min_weak_quality_score",
+                         "max_weak_quality_score")
+LENGTH_METRICS = ("avg_response_length", "median_response_length")
+
+
+def _metric_pass(results: DataFrame, routing: bool, quality: bool, strong_cost: float = BLENDED_STRONG_PER_M,
+                 baseline: str = "blended", prices: Prices = Prices(), percentile_method: str = "auto") -> DataFrame:
+    """One aggregation pass computing the routing metrics (A1) and/or the quality metrics (A2).
+
+    The inputs of every metric are projected once (``_lat``, ``_s``, ``_rl``, ``_base``), the percentile method is
+    chosen for all percentile columns together, and everything runs in a single ``agg``; only a percentile that
+    needs the distributed rank method adds its own job, joined back as a one-row result.
+    """
+    has_score = quality and "weak_quality_score" in results.columns
+    has_resp = quality and "response" in results.columns
+    cols = []
+    if routing:
+        cols += [F.col("model_used"), F.col("cost_usd"),
+                 baseline_cost(results, baseline, strong_cost, prices).alias("_base"),
+                 F.when(valid("latency_ms"), F.col("latency_ms")).alias("_lat")]
+    if has_score:
+        cols.append(F.when(valid("weak_quality_score"), F.col("weak_quality_score")).alias("_s"))
+    if has_resp:
+        cols.append(F.length("response").cast("double").alias("_rl"))
+    if not cols:
+        return results.sparkSession.range(1).select()
+    src = results.select(*cols)
+    aggs, pct = [], {}
+    if routing:
+        mu = F.col("model_used")
+        aggs += [F.count(F.lit(1)).alias("total_requests"), F.count_if(mu == "weak").alias("weak_only"),
+                 F.count_if(mu == "strong").alias("strong_only"),
+                 F.count_if(mu == "weak_then_strong").alias("weak_then_strong"),
+                 F.sum("cost_usd").alias("total_cost_usd"), F.sum("_base").alias("baseline_cost_usd"),
+                 F.avg("_lat").alias("avg_latency_ms")]
+        pct["_lat"] = ("p95_latency_ms", 0.95)
+    if has_score:
+        aggs += [F.avg("_s").alias("avg_weak_quality_score"), F.min("_s").alias("min_weak_quality_score"),
+                 F.max("_s").alias("max_weak_quality_score")]
+        pct["_s"] = ("median_weak_quality_score", 0.5)
+    if has_resp:
+        aggs.append(F.avg("_rl").alias("avg_response_length"))
+        pct["_rl"] = ("median_response_length", 0.5)
+    methods = choose_methods(src, list(pct), (), percentile_method)
+    rank_parts = []
+    for c, (name, p) in pct.items():
+        if methods[c] == "rank":
+            rank_parts.append(percentiles_by_rank(src, c, {name: p}))
+        else:
+            aggs += percentile_columns(c, {name: p}, methods[c])
+    out = src.agg(*aggs)
+    for part in rank_parts:
+        out = attach_row(out, part)
+    return out
+
+
+def _routing_columns() -> list[Column]:
     n = F.col("total_requests")
-    return a.select(
+    return [
         "total_requests", "weak_only", "strong_only", "weak_then_strong",
         _pct(F.col("strong_only") + F.col("weak_then_strong"), n).alias("strong_percentage"),
         "total_cost_usd",
@@ -101,51 +138,30 @@ def routing_metrics(results: DataFrame, strong_cost: float = BLENDED_STRONG_PER_
                      F.col("baseline_cost_usd")).alias("cost_savings_pct"),
         "avg_latency_ms", "p95_latency_ms",
         _pct(F.col("weak_then_strong"), n).alias("evaluator_trigger_rate"),
-    )
+    ]
 
 
-QUALITY_SCORE_METRICS = ("avg_weak_quality_score", "median_weak_quality_score", "min_weak_quality_score",
-                         "max_weak_quality_score")
-LENGTH_METRICS = ("avg_response_length", "median_response_length")
+def _quality_columns(df: DataFrame) -> list[str]:
+    return [m for m in (*QUALITY_SCORE_METRICS, *LENGTH_METRICS) if m in df.columns]
+
+
+def routing_metrics(results: DataFrame, strong_cost: float = BLENDED_STRONG_PER_M, baseline: str = "blended",
+                    prices: Prices = Prices(), percentile_method: str = "auto") -> DataFrame:
+    """A1: twelve routing metrics in one row, one pass. Unknown ``model_used`` values count in the total only."""
+    out = _metric_pass(results, True, False, strong_cost, baseline, prices, percentile_method)
+    return out.select(*_routing_columns())
 
 
 def quality_metrics(results: DataFrame, percentile_method: str = "auto") -> DataFrame:
     """A2: score statistics over evaluated rows and response-length statistics; absent columns are skipped."""
-    has_score = "weak_quality_score" in results.columns
-    has_resp = "response" in results.columns
-    if not (has_score or has_resp):
-        return results.sparkSession.range(1).select()
-    src = results.select(
-        *([F.when(valid("weak_quality_score"), F.col("weak_quality_score")).alias("s")] if has_score else []),
-        *([F.length("response").cast("double").alias("rl")] if has_resp else []))
-    aggs, med = [], {}
-    if has_score:
-        aggs += [F.avg("s").alias("avg_weak_quality_score"), F.min("s").alias("min_weak_quality_score"),
-                 F.max("s").alias("max_weak_quality_score")]
-        med["s"] = "median_weak_quality_score"
-    if has_resp:
-        aggs += [F.avg("rl").alias("avg_response_length")]
-        med["rl"] = "median_response_length"
-    rank_parts = []
-    methods = choose_methods(src, list(med), (), percentile_method)
-    for c, name in med.items():
-        if methods[c] == "rank":
-            rank_parts.append(percentiles_by_rank(src, c, {name: 0.5}))
-        else:
-            aggs += percentile_columns(c, {name: 0.5}, "exact" if percentile_method != "approx" else "approx")
-    out = src.agg(*aggs)
-    for p in rank_parts:
-        out = out.withColumn("_one", F.lit(1)).join(F.broadcast(p.withColumn("_one", F.lit(1))), "_one",
-                                                    "left").drop("_one")
-    order = [m for m in (*QUALITY_SCORE_METRICS, *LENGTH_METRICS) if m in out.columns]
-    return out.select(*order)
+    out = _metric_pass(results, False, True, percentile_method=percentile_method)
+    return out.select(*_quality_columns(out))
 
 
 def combined_metrics(results: DataFrame, **kw) -> DataFrame:
-    """A1 and A2 side by side in one wide row (the saved metrics file of the reference)."""
-    a = routing_metrics(results, **kw).withColumn("_one", F.lit(1))
-    q = quality_metrics(results).withColumn("_one", F.lit(1))
-    return a.join(F.broadcast(q), "_one").drop("_one")
+    """A1 and A2 side by side in one wide row (the saved metrics file of the reference), in one scan."""
+    out = _metric_pass(results, True, True, **kw)
+    return out.select(*_routing_columns(), *_quality_columns(out))
 
 
 # Fixed display formats of the text report.
