@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from escalade.functions.joins import attach_row, broadcast_if_small
-from escalade.functions.quantiles import percentiles, valid
+from escalade.functions.quantiles import (choose_method, percentile_columns, percentiles,
+                                         percentiles_by_rank, valid)
 from escalade.operators.metrics import baseline_cost, token
 from escalade.schemas import Prices
 
@@ -73,11 +74,14 @@ def cost_by_decision(results: DataFrame) -> DataFrame:
 
 
 def quality_summary(results: DataFrame, percentile_method: str = "auto") -> DataFrame:
-    """Evaluated rows, mean and median quality score."""
+    """Evaluated rows, mean and median quality score (one pass unless the rank method is needed)."""
     ev = results.select(F.when(valid("weak_quality_score"), F.col("weak_quality_score")).alias("weak_quality_score"))
-    a = ev.agg(F.count("weak_quality_score").alias("evaluated"), F.avg("weak_quality_score").alias("mean_score"))
-    med = percentiles(ev, "weak_quality_score", {"median_score": 0.5}, (), percentile_method)
-    return attach_row(a, med)
+    aggs = [F.count("weak_quality_score").alias("evaluated"), F.avg("weak_quality_score").alias("mean_score")]
+    method = choose_method(ev, "weak_quality_score", (), percentile_method)
+    if method == "rank":
+        med = percentiles_by_rank(ev, "weak_quality_score", {"median_score": 0.5})
+        return attach_row(ev.agg(*aggs), med)
+    return ev.agg(*aggs, *percentile_columns("weak_quality_score", {"median_score": 0.5}, method))
 
 
 def histogram(df: DataFrame, col: str, bins: int = 50, by: list[str] | tuple[str, ...] = (),
@@ -91,8 +95,9 @@ def histogram(df: DataFrame, col: str, bins: int = 50, by: list[str] | tuple[str
     # invalid values become NULL instead of being filtered: no predicate is pushed below the projection that
     # computes the column (which would evaluate its expression twice); NULLs drop out of min/max/count and bins
     v = df.select(*by, F.when(valid(col), F.col(col).cast("double")).alias("_x"))
+    # one row per group, used three times below: persisted so the input is scanned once for it (tiny)
     rng = (v.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count("_x").alias("n"))
-           .where(F.col("n") > 0))
+           .where(F.col("n") > 0)).persist()
     rng = rng.withColumn("width", (F.col("_hi") - F.col("_lo")) / F.lit(float(bins)))
     side = broadcast_if_small(rng) if by else F.broadcast(rng)
     j = v.join(side, by, "inner") if by else attach_row(v, rng)
@@ -121,7 +126,7 @@ def box_stats(df: DataFrame, group: str, col: str, percentile_method: str = "aut
     q = percentiles(v, "_x", {"q1": 0.25, "median": 0.5, "q3": 0.75}, [group], percentile_method)
     q = q.select(group, "q1", "median", "q3", (F.col("q3") - F.col("q1")).alias("iqr"))
     q = q.select("*", (F.col("q1") - 1.5 * F.col("iqr")).alias("lower_fence"),
-                 (F.col("q3") + 1.5 * F.col("iqr")).alias("upper_fence"))
+                 (F.col("q3") + 1.5 * F.col("iqr")).alias("upper_fence")).persist()  # one row per group, used twice
     j = v.join(broadcast_if_small(q), group)
     inside = (F.col("_x") >= F.col("lower_fence")) & (F.col("_x") <= F.col("upper_fence"))
     agg = j.groupBy(group).agg(
