@@ -33,6 +33,12 @@ def global_ordinals(df: DataFrame, order_by: list[Column | str], name: str = "or
 
     ``order_by`` must be a total order (end it with a unique key) for the result to be deterministic.
     """
+    return global_ordinals_with_count(df, order_by, name, num_partitions, checkpoint)[0]
+
+
+def global_ordinals_with_count(df: DataFrame, order_by: list[Column | str], name: str = "ord",
+                               num_partitions: int | None = None, checkpoint: bool = True) -> tuple[DataFrame, int]:
+    """:func:`global_ordinals` plus the total row count, taken from the per-partition counts (no extra pass)."""
     n = _num_partitions(df, num_partitions)
     cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
     laid = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
@@ -41,9 +47,12 @@ def global_ordinals(df: DataFrame, order_by: list[Column | str], name: str = "or
             .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(_POS_MASK))).drop("_mid"))
     if checkpoint:
         laid = laid.checkpoint(eager=True)
-    counts = laid.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    # one row per partition: persisted, so the count below and the join share one pass over the data
+    counts = laid.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt")).persist()
+    total = counts.agg(F.sum("_cnt").alias("n")).first()["n"] or 0
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).cast("bigint").alias("_off"))
-    return (laid.join(F.broadcast(offsets), "_pid")
-            .withColumn(name, (F.col("_off") + F.col("_pos")).cast("bigint"))
-            .drop("_pid", "_pos", "_off"))
+    out = (laid.join(F.broadcast(offsets), "_pid")
+           .withColumn(name, (F.col("_off") + F.col("_pos")).cast("bigint"))
+           .drop("_pid", "_pos", "_off"))
+    return out, int(total)

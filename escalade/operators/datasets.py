@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from escalade.functions.hashing import mix32
-from escalade.functions.ordinals import global_ordinals
+from escalade.functions.ordinals import global_ordinals, global_ordinals_with_count
 from escalade.functions.text import adequacy_label
 
 LABELING_METHODS = ("heuristic", "manual")
@@ -98,8 +98,7 @@ def prefix_split(df: DataFrame, order_by: list[Column | str], ratio: float = 0.9
     """
     if not 0.0 <= ratio <= 1.0:
         raise ValueError("ratio must be within [0, 1]")
-    ranked = global_ordinals(df, order_by, name=ord_name)
-    n = ranked.count()
+    ranked, n = global_ordinals_with_count(df, order_by, name=ord_name)
     cut = int(n * ratio)
     return ranked.withColumn(name, F.when(F.col(ord_name) < F.lit(cut), "train").otherwise("val"))
 
