@@ -12,12 +12,16 @@ from escalade.schemas import FORCE_VALUES, ROLES
 DEFAULTS = {"model": "smart-router", "temperature": 1.0, "top_p": 1.0, "stream": False, "disable_evaluator": False}
 
 # Checks in reporting order: (field, failing condition, message).
-def _checks() -> list[tuple[str, Column, str]]:
-    msgs = F.col("messages")
-    bad_role = F.exists(F.coalesce(msgs, F.array().cast("array<struct<role:string,content:string>>")),
-                        lambda m: ~F.coalesce(m["role"].isin(*ROLES), F.lit(False)))
+def _checks(n_messages: Column | None = None, bad_roles: Column | None = None) -> list[tuple[str, Column, str]]:
+    if n_messages is None:
+        msgs = F.col("messages")
+        n_messages = F.coalesce(F.size(msgs), F.lit(0))
+        bad_role = F.exists(F.coalesce(msgs, F.array().cast("array<struct<role:string,content:string>>")),
+                            lambda m: ~F.coalesce(m["role"].isin(*ROLES), F.lit(False)))
+    else:
+        bad_role = F.coalesce(bad_roles, F.lit(0)) > 0
     return [
-        ("messages", F.coalesce(F.size(msgs), F.lit(0)) < 1, "List should have at least 1 item"),
+        ("messages", F.coalesce(n_messages, F.lit(0)) < 1, "List should have at least 1 item"),
         ("messages.role", bad_role, "Input should be 'system', 'user' or 'assistant'"),
         ("temperature", ~F.col("temperature").between(0.0, 2.0), "Input should be between 0 and 2"),
         ("top_p", ~F.col("top_p").between(0.0, 1.0), "Input should be between 0 and 1"),
@@ -40,17 +44,33 @@ def with_defaults(requests: DataFrame) -> DataFrame:
     return out
 
 
-def validate_requests(requests: DataFrame) -> DataFrame:
-    """Defaults filled, then ``errors ARRAY<STRUCT<field, message, type>>`` and ``is_valid``."""
-    r = with_defaults(requests)
+def _with_errors(r: DataFrame, checks) -> DataFrame:
     errs = [F.when(F.coalesce(cond, F.lit(False)),
                    F.struct(F.lit(field).alias("field"), F.lit(msg).alias("message"),
                             F.lit("value_error").alias("type")))
-            for field, cond, msg in _checks()]
+            for field, cond, msg in checks]
     r = r.withColumn("errors", F.filter(F.array(*errs), lambda e: e.isNotNull()))
     return r.withColumn("is_valid", F.size("errors") == 0)
 
 
+def validate_requests(requests: DataFrame) -> DataFrame:
+    """Defaults filled, then ``errors ARRAY<STRUCT<field, message, type>>`` and ``is_valid``."""
+    return _with_errors(with_defaults(requests), _checks())
+
+
+def validate_requests_flat(requests: DataFrame, messages: DataFrame, key: str = "request_id",
+                           msg_key: str = "conv_id", role: str = "role") -> DataFrame:
+    """P8 for requests whose messages are stored one row per message: the message checks are a partial
+    aggregation per request (message count, invalid roles), so no message list is ever assembled and a very long
+    conversation is reduced on every partition before the shuffle."""
+    stats = messages.groupBy(F.col(msg_key).alias(key)).agg(
+        F.count(F.lit(1)).alias("_n_messages"),
+        F.count_if(~F.coalesce(F.col(role).isin(*ROLES), F.lit(False))).alias("_bad_roles"))
+    r = with_defaults(requests).join(stats, key, "left")
+    out = _with_errors(r, _checks(F.col("_n_messages"), F.col("_bad_roles")))
+    return out.drop("_n_messages", "_bad_roles")
+
+
 def split_valid(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid requests, quarantine with their errors)."""
     v = validate_requests(requests)

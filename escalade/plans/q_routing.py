@@ -44,10 +44,42 @@ from (select r.request_id,
                  from conversations group by conv_id) m on m.conv_id = r.request_id) v"""))
 def p8(spark, sf):
     v = Q.validate_requests(fx.chat_requests(spark, sf, with_messages=True))
+    return _p8_out(v)
+
+
+def _p8_out(v):
     return v.select("request_id", "is_valid", F.size("errors").cast("bigint").alias("n_errors"),
                     F.array_join(F.transform("errors", lambda e: e["field"]), ",").alias("error_fields"))
 
 
+_P8_SQL = with_views(["chat_requests"], """
+select request_id, n_errors = 0 as is_valid, n_errors::bigint as n_errors, error_fields
+from (select r.request_id,
+             (case when coalesce(m.n, 0) < 1 then 1 else 0 end + case when coalesce(m.bad, 0) > 0 then 1 else 0 end
+              + case when not (temperature between 0 and 2) then 1 else 0 end
+              + case when not (top_p between 0 and 1) then 1 else 0 end
+              + case when max_tokens < 1 then 1 else 0 end
+              + case when force_model is not null and force_model not in ('weak', 'strong') then 1 else 0 end) as n_errors,
+             concat_ws(',', case when coalesce(m.n, 0) < 1 then 'messages' end,
+                       case when coalesce(m.bad, 0) > 0 then 'messages.role' end,
+                       case when not (temperature between 0 and 2) then 'temperature' end,
+                       case when not (top_p between 0 and 1) then 'top_p' end,
+                       case when max_tokens < 1 then 'max_tokens' end,
+                       case when force_model is not null and force_model not in ('weak', 'strong') then 'force_model' end)
+               as error_fields
+      from chat_requests r
+      left join (select conv_id, count(*) as n,
+                        count(*) filter (where role is null or role not in ('system', 'user', 'assistant')) as bad
+                 from conversations group by conv_id) m on m.conv_id = r.request_id) v""")
+
+
+@register("P8_validate_requests_flat", _P8_SQL)
+def p8_flat(spark, sf):
+    """Same checks with the messages kept one row per message (aggregated per request, skew-safe)."""
+    v = Q.validate_requests_flat(fx.chat_requests(spark, sf), load(spark, sf, "conversations"))
+    return _p8_out(v)
+
+
 @register("P9_evaluable", with_views(["chat_requests"], """
 select request_id, not coalesce(disable_evaluator, false) and force_model is null as evaluable from chat_requests"""))
 def p9(spark, sf):

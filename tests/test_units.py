@@ -359,3 +359,12 @@ def test_load_prompts_file_and_generator(spark, tmpdir_path):
         load_prompts_file(spark, p, "missing")
     g = generate_prompts_n(spark, 50, seed=1)
     assert g.count() == 50 and g.where("prompt is null").count() == 0
+
+
+def test_validate_flat_equals_array(spark):
+    turns = spark.createDataFrame([(1, 0, "user"), (1, 1, "assistant"), (2, 0, "tool"), (3, 0, None)],
+                                  "conv_id long, turn long, role string")
+    req = spark.createDataFrame([(1, 1.0), (2, 3.0), (3, 1.0), (4, 1.0)], "request_id long, temperature double")
+    flat = {r["request_id"]: [e["field"] for e in r["errors"]]
+            for r in Q.validate_requests_flat(req, turns).collect()}
+    assert flat == {1: [], 2: ["messages.role", "temperature"], 3: ["messages.role"], 4: ["messages"]}
