@@ -80,3 +80,18 @@ def test_pairwise_scorer_ranks_preferred(spark):
     sn = scorer.score(pairs.select("pair_id", "prompt", F.col("response_non_preferred").alias("response")), "sn")
     acc = sp.join(sn.select("pair_id", "sn"), "pair_id").agg(F.avg((F.col("sp") > F.col("sn")).cast("double"))).first()[0]
     assert acc > 0.5
+
+
+def test_chunks_session_append(spark, tmpdir_path):
+    import datetime as dt
+    base = dt.datetime(2024, 1, 1)
+    rows = [(1, 0, s, f"w{s} ", "assistant" if s == 0 else None, None, base + dt.timedelta(seconds=s)) for s in range(3)]
+    rows += [(2, 0, 0, "x", "assistant", "stop", base + dt.timedelta(minutes=30))]
+    schema = "id long, index int, seq long, content string, role string, finish_reason string, created timestamp"
+    path = f"{tmpdir_path}/ch"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
+    stream = spark.readStream.schema(schema).parquet(path).withWatermark("created", "1 minute")
+    out = S.run_available_now(C.assemble_chunks(stream, session_gap="10 seconds"), "sess_t", "append", "memory")
+    got = {r["id"]: r["content"] for r in out.collect()}
+    # completion 1's session closed (watermark passed it); completion 2 is still open at the end of input
+    assert got == {1: "w0 w1 w2 "}
