@@ -45,16 +45,17 @@ def with_defaults(requests: DataFrame) -> DataFrame:
 
 
 def _with_errors(r: DataFrame, checks) -> DataFrame:
+    # error detail shape of the chat API (message, type, code) plus the offending field
     errs = [F.when(F.coalesce(cond, F.lit(False)),
-                   F.struct(F.lit(field).alias("field"), F.lit(msg).alias("message"),
-                            F.lit("value_error").alias("type")))
+                   F.struct(F.lit(msg).alias("message"), F.lit("invalid_request_error").alias("type"),
+                            F.lit(f"invalid_{field.replace('.', '_')}").alias("code"), F.lit(field).alias("field")))
             for field, cond, msg in checks]
     r = r.withColumn("errors", F.filter(F.array(*errs), lambda e: e.isNotNull()))
     return r.withColumn("is_valid", F.size("errors") == 0)
 
 
 def validate_requests(requests: DataFrame) -> DataFrame:
-    """Defaults filled, then ``errors ARRAY<STRUCT<field, message, type>>`` and ``is_valid``."""
+    """Defaults filled, then ``errors ARRAY<STRUCT<message, type, code, field>>`` and ``is_valid``."""
     return _with_errors(with_defaults(requests), _checks())
 
 
