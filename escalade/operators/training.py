@@ -4,10 +4,11 @@ The reference fine-tunes a transformer on one machine; here the same objectives
 (gradient aggregation over partitions):
 
 * adequacy (M1): P(adequate | prompt, response), weighted logistic regression (``pos_weight`` via ``weightCol``);
-* pairwise (M2): Bradley-Terry = logistic regression without intercept on feature *differences*
-  x(prompt, preferred) - x(prompt, non_preferred); each pair also enters mirrored so both classes exist. A margin
-  becomes a GLM offset. The fitted model applied to a single x gives the response score;
-* combined (M3): adequacy rows [x, 1] and pair rows [x_p - x_n, 0] in one no-intercept fit, weighted wa / wp.
+* pairwise (M2): Bradley-Terry = logistic regression without intercept on x(prompt, preferred) -
+  x(prompt, non_preferred), obtained with sparse features only: both responses sit in two slots of one vector and
+  every pair also enters mirrored, so the regularised optimum is antisymmetric across the slots (see
+  :func:`train_pairwise`). A margin becomes a GLM offset. Slot A's weights score a single response;
+* combined (M3): adequacy rows and pair rows in one no-intercept fit, weighted wa / wp.
 
 Features are hashed bags of words of prompt and response (HashingTF) plus length and overlap features, assembled
 into one vector; every stage is a persistable ML stage.
@@ -21,12 +22,11 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, SQLTransformer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from escalade.functions.joins import attach_row
 from escalade.operators.datasets import random_split_exact
 from escalade.operators.losses import binary_metrics
 
@@ -34,21 +34,24 @@ WS_SQL = r"(?U)\\s+"
 NUMERIC = ("f_log_chars", "f_log_tokens", "f_overlap")
 
 
-def featurizer_stages(num_features: int = 1024, prompt: str = "prompt", response: str = "response") -> list:
-    """Tokens, hashed term frequencies and numeric features -> ``features`` (all persistable stages)."""
+def featurizer_stages(num_features: int = 1024, prompt: str = "prompt", response: str = "response",
+                      out: str = "features", tag: str = "") -> list:
+    """Tokens, hashed term frequencies and numeric features -> ``out`` (all persistable stages; sparse)."""
     tok = lambda c: f"filter(split(lower(coalesce({c}, '')), '{WS_SQL}'), t -> t <> '')"
+    num = [f"{n}{tag}" for n in NUMERIC]
     sql = SQLTransformer(statement=f"""
-        SELECT *, {tok(prompt)} AS _ptok, {tok(response)} AS _rtok,
-               log1p(length(coalesce({response}, ''))) AS f_log_chars,
-               log1p(size({tok(response)})) AS f_log_tokens,
+        SELECT *, {tok(prompt)} AS _ptok{tag}, {tok(response)} AS _rtok{tag},
+               log1p(length(coalesce({response}, ''))) AS {num[0]},
+               log1p(size({tok(response)})) AS {num[1]},
                coalesce(try_divide(size(array_intersect(array_distinct({tok(response)}), array_distinct({tok(prompt)}))),
-                                   size(array_distinct({tok(response)}))), 0D) AS f_overlap
+                                   size(array_distinct({tok(response)}))), 0D) AS {num[2]}
         FROM __THIS__""")
+    drop = ", ".join([f"_ptok{tag}", f"_rtok{tag}", f"_rtf{tag}", f"_ptf{tag}"] + (num if tag else []))
     return [sql,
-            HashingTF(inputCol="_rtok", outputCol="_rtf", numFeatures=num_features),
-            HashingTF(inputCol="_ptok", outputCol="_ptf", numFeatures=num_features),
-            VectorAssembler(inputCols=["_rtf", "_ptf", *NUMERIC], outputCol="features"),
-            SQLTransformer(statement="SELECT * EXCEPT (_ptok, _rtok, _rtf, _ptf) FROM __THIS__")]
+            HashingTF(inputCol=f"_rtok{tag}", outputCol=f"_rtf{tag}", numFeatures=num_features),
+            HashingTF(inputCol=f"_ptok{tag}", outputCol=f"_ptf{tag}", numFeatures=num_features),
+            VectorAssembler(inputCols=[f"_rtf{tag}", f"_ptf{tag}", *num], outputCol=out),
+            SQLTransformer(statement=f"SELECT * EXCEPT ({drop}) FROM __THIS__")]
 
 
 def featurizer(num_features: int = 1024) -> PipelineModel:
@@ -76,73 +79,94 @@ def score_column(model: PipelineModel, df: DataFrame, out: str = "score") -> Dat
                                                                      "prediction", *NUMERIC)
 
 
-def _pair_vectors(pairs: DataFrame, num_features: int) -> DataFrame:
-    """Dense difference vectors x(prompt, preferred) - x(prompt, non_preferred), computed row by row in one pass
-    (two featurizer applications on the same rows, no self-join)."""
-    fz = featurizer(num_features)
-    a = fz.transform(pairs.select("prompt", F.col("response_preferred").alias("response"), "response_non_preferred"))
-    a = a.select("prompt", "response_non_preferred", vector_to_array("features").alias("xp"))
-    b = fz.transform(a.withColumnRenamed("response_non_preferred", "response"))
-    return b.select(F.zip_with("xp", vector_to_array("features"), lambda x, y: x - y).alias("d"))
-
-
-def _mirrored(diffs: DataFrame, weight: float = 0.5) -> DataFrame:
-    fwd = diffs.select(array_to_vector("d").alias("features"), F.lit(1.0).alias("label"), F.lit(-1.0).alias("sgn"))
-    rev = diffs.select(array_to_vector(F.transform("d", lambda x: -x)).alias("features"), F.lit(0.0).alias("label"),
-                       F.lit(1.0).alias("sgn"))
+def _pair_stages(num_features: int, indicator: bool) -> list:
+    """Two feature slots (the scored response in slot A, the other one in slot B) assembled into one sparse vector,
+    plus the adequacy indicator for the combined model."""
+    return [*featurizer_stages(num_features, "prompt", "response", "_xa", "_a"),
+            *featurizer_stages(num_features, "prompt_b", "response_b", "_xb", "_b"),
+            VectorAssembler(inputCols=["_xa", "_xb", *(["ind"] if indicator else [])], outputCol="features"),
+            SQLTransformer(statement="SELECT * EXCEPT (_xa, _xb) FROM __THIS__")]
+
+
+def _pair_rows(pairs: DataFrame, weight: float, indicator: bool) -> DataFrame:
+    """Each pair twice: (preferred | non-preferred, label 1) and mirrored (non-preferred | preferred, label 0)."""
+    ind = [F.lit(0.0).alias("ind")] if indicator else []
+    fwd = pairs.select("prompt", F.col("response_preferred").alias("response"), F.col("prompt").alias("prompt_b"),
+                       F.col("response_non_preferred").alias("response_b"), F.lit(1.0).alias("label"),
+                       F.lit(1.0).alias("_sgn"), *ind)
+    rev = pairs.select("prompt", F.col("response_non_preferred").alias("response"), F.col("prompt").alias("prompt_b"),
+                       F.col("response_preferred").alias("response_b"), F.lit(0.0).alias("label"),
+                       F.lit(-1.0).alias("_sgn"), *ind)
     return fwd.unionByName(rev).withColumn("w", F.lit(float(weight)))
 
 
 @dataclass
 class PairwiseScorer:
-    """A scorer trained on pairs: the featurizer plus a linear model; score = w . x + intercept."""
-    features: PipelineModel
-    coefficients: list[float]
-    intercept: float = 0.0
+    """A scorer trained on pairs: a fitted pipeline whose linear predictor, with the scored response in slot A and
+    an empty slot B, is the response score (``indicator`` = 1.0 adds the adequacy offset of the combined model)."""
+    model: PipelineModel
+    link_col: str = "rawPrediction"
 
-    def score(self, df: DataFrame, out: str = "score") -> DataFrame:
-        spark = df.sparkSession
-        w = spark.createDataFrame([(self.coefficients, float(self.intercept))], "_w array<double>, _b double")
-        t = attach_row(self.features.transform(df), w)  # one-row model, broadcast
-        dot = F.aggregate(F.zip_with(vector_to_array("features"), F.col("_w"), lambda a, b: a * b), F.col("_b"),
-                          lambda acc, v: acc + v)
-        return t.withColumn(out, dot).drop("features", "_w", "_b", *NUMERIC)
+    def score(self, df: DataFrame, out: str = "score", indicator: float = 0.0) -> DataFrame:
+        x = (df.withColumn("prompt_b", F.lit("")).withColumn("response_b", F.lit(""))
+             .withColumn("ind", F.lit(float(indicator))).withColumn("off", F.lit(0.0)))
+        t = self.model.transform(x)
+        val = vector_to_array(self.link_col)[1] if self.link_col == "rawPrediction" else F.col(self.link_col)
+        return t.withColumn(out, val).drop("prompt_b", "response_b", "ind", "off", "features", "rawPrediction",
+                                           "probability", "prediction", "eta")
 
 
-def train_pairwise(pairs: DataFrame, margin: float = 0.0, num_features: int = 256, max_iter: int = 50,
+def train_pairwise(pairs: DataFrame, margin: float = 0.0, num_features: int = 1024, max_iter: int = 50,
                    reg_param: float = 0.01) -> PairwiseScorer:
-    """M2: Bradley-Terry fit on (prompt, response_preferred, response_non_preferred)."""
-    data = _mirrored(_pair_vectors(pairs, num_features))
+    """M2: Bradley-Terry fit on (prompt, response_preferred, response_non_preferred).
+
+    Features stay sparse: slot A holds x(prompt, response), slot B the other response. With every pair mirrored,
+    the L2-regularised no-intercept logistic objective is invariant under swapping the slots and flipping the
+    label, so its unique optimum has w_B = -w_A: the fit *is* logistic regression on x_p - x_n, and w_A scores a
+    single response. A margin becomes a GLM offset (-margin forward, +margin mirrored; the IRLS solver limits this
+    path to 4096 features in total).
+    """
+    if reg_param <= 0:
+        raise ValueError("reg_param must be > 0 (it makes the symmetric optimum unique)")
+    data = _pair_rows(pairs, 0.5, indicator=False)
+    feats = Pipeline(stages=_pair_stages(num_features, indicator=False)).fit(data)
+    x = feats.transform(data)
     if margin == 0.0:
-        m = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", fitIntercept=False,
-                               maxIter=max_iter, regParam=reg_param).fit(data)
-        coef = m.coefficients.toArray().tolist()
-    else:
-        data = data.withColumn("off", F.col("sgn") * F.lit(float(margin)))
-        m = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="features", labelCol="label",
-                                        weightCol="w", offsetCol="off", fitIntercept=False, maxIter=max_iter,
-                                        regParam=reg_param).fit(data)
-        coef = m.coefficients.toArray().tolist()
-    return PairwiseScorer(featurizer(num_features), coef)
+        lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", fitIntercept=False,
+                                maxIter=max_iter, regParam=reg_param).fit(x)
+        return PairwiseScorer(PipelineModel(stages=[*feats.stages, lr]))
+    if 2 * (2 * num_features + len(NUMERIC)) > 4096:
+        raise ValueError("the margin (GLM offset) path supports at most 4096 features: use num_features <= 1022")
+    x = x.withColumn("off", -F.col("_sgn") * F.lit(float(margin)))
+    glr = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="features", labelCol="label",
+                                      weightCol="w", offsetCol="off", fitIntercept=False, maxIter=max_iter,
+                                      regParam=reg_param, linkPredictionCol="eta").fit(x)
+    return PairwiseScorer(PipelineModel(stages=[*feats.stages, glr]), link_col="eta")
 
 
 def train_combined(adequacy: DataFrame, pairs: DataFrame, wa: float = 1.0, wp: float = 1.0,
-                   num_features: int = 256, max_iter: int = 50, reg_param: float = 0.01) -> PairwiseScorer:
-    """M3: one no-intercept logistic fit over adequacy rows [x, 1] and mirrored pair rows [x_p - x_n, 0].
-
-    Row weights make the objective wa * mean(adequacy loss) + wp * mean(pair loss)."""
-    fz = featurizer(num_features)
-    a = fz.transform(adequacy).select(F.concat(vector_to_array("features"), F.array(F.lit(1.0))).alias("d"),
-                                      F.col("label").cast("double").alias("label"))
-    n_a, n_p = a.count(), pairs.count()
-    a = a.select(array_to_vector("d").alias("features"), "label",
-                 F.lit(float(wa) / max(n_a, 1)).alias("w"))
-    d = _pair_vectors(pairs, num_features).select(F.concat("d", F.array(F.lit(0.0))).alias("d"))
-    p = _mirrored(d, weight=0.5 * float(wp) / max(n_p, 1)).drop("sgn")
-    m = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", fitIntercept=False,
-                           maxIter=max_iter, regParam=reg_param).fit(a.unionByName(p))
-    coef = m.coefficients.toArray().tolist()
-    return PairwiseScorer(featurizer(num_features), coef[:-1], coef[-1])
+                   num_features: int = 1024, max_iter: int = 50, reg_param: float = 0.01) -> PairwiseScorer:
+    """M3: one no-intercept, L2-regularised logistic fit over adequacy and pair rows (sparse features).
+
+    Adequacy rows enter as (x | empty, indicator 1, label y) and mirrored (empty | x, indicator -1, label 1 - y);
+    pairs as in M2 with indicator 0. The objective is again symmetric under the slot swap, so w_B = -w_A and the
+    indicator weight is the adequacy offset. Row weights make it wa * mean(adequacy loss) + wp * mean(pair loss).
+    """
+    if reg_param <= 0:
+        raise ValueError("reg_param must be > 0 (it makes the symmetric optimum unique)")
+    n_a, n_p = adequacy.count(), pairs.count()
+    wa_row, wp_row = 0.5 * float(wa) / max(n_a, 1), 0.5 * float(wp) / max(n_p, 1)
+    y = F.col("label").cast("double")
+    a1 = adequacy.select("prompt", "response", F.lit("").alias("prompt_b"), F.lit("").alias("response_b"),
+                         y.alias("label"), F.lit(1.0).alias("ind"))
+    a2 = adequacy.select(F.lit("").alias("prompt"), F.lit("").alias("response"), F.col("prompt").alias("prompt_b"),
+                         F.col("response").alias("response_b"), (F.lit(1.0) - y).alias("label"), F.lit(-1.0).alias("ind"))
+    rows = (a1.unionByName(a2).withColumn("w", F.lit(wa_row))
+            .unionByName(_pair_rows(pairs, wp_row, indicator=True).drop("_sgn")))
+    feats = Pipeline(stages=_pair_stages(num_features, indicator=True)).fit(rows)
+    lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", fitIntercept=False,
+                            maxIter=max_iter, regParam=reg_param).fit(feats.transform(rows))
+    return PairwiseScorer(PipelineModel(stages=[*feats.stages, lr]))
 
 
 def best_epoch(history: DataFrame, loss: str = "val_loss", epoch: str = "epoch") -> DataFrame:

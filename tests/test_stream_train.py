@@ -95,3 +95,13 @@ def test_chunks_session_append(spark, tmpdir_path):
     got = {r["id"]: r["content"] for r in out.collect()}
     # completion 1's session closed (watermark passed it); completion 2 is still open at the end of input
     assert got == {1: "w0 w1 w2 "}
+
+
+def test_pairwise_weights_antisymmetric(spark):
+    rp = fx.response_pairs(spark, SF01)
+    pairs = D.orient_pairs(D.pairwise_dataset(rp, keep=("pair_id",)), keep=("pair_id",))
+    scorer = M.train_pairwise(pairs, num_features=64, max_iter=200, reg_param=0.05)
+    w = scorer.model.stages[-1].coefficients.toArray()
+    half = len(w) // 2
+    u, v = w[:half], w[half:]
+    assert abs(u + v).max() <= 1e-3 * max(abs(u).max(), 1e-12) + 1e-6  # optimum satisfies w_B = -w_A
