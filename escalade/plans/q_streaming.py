@@ -70,3 +70,21 @@ def _register_st3():
 
 
 _register_st3()
+
+
+@register("ST1_assemble_chunks_stream")
+def st1_stream(spark, sf):
+    """Chunk assembly on a stream in append mode: assistant turns of the conversations file arrive as word chunks
+    stamped one second apart (conversation c starts c minutes after a fixed origin); a completion is emitted once
+    its session (10 s gap) is closed by the 1-minute watermark (rows-only check: open sessions are not emitted)."""
+    conv = S.file_stream(spark, sf, "conversations.parquet").where(F.col("role") == "assistant")
+    words = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id",
+                        F.posexplode(F.filter(F.split("text", r"\s+"), lambda t: t != F.lit(""))).alias("seq", "w"))
+    created = (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(
+        mins=F.col("conv_id").cast("int"), secs=F.col("seq").cast("double")))
+    chunks = words.select("id", F.col("seq").cast("bigint").alias("seq"), F.concat("w", F.lit(" ")).alias("content"),
+                          F.when(F.col("seq") == 0, F.lit("assistant")).alias("role"), created.alias("created"))
+    out = C.assemble_chunks(chunks.withWatermark("created", "1 minute"), "id", None, finish=None,
+                            session_gap="10 seconds")
+    res = S.run_available_now(out.select("id", "content", "n_chunks", "role"), "st1")
+    return res
