@@ -10,7 +10,9 @@ from __future__ import annotations
 import re
 import sys
 
-EAGER = ("M1", "M2", "M3", "M4", "M5", "R5", "S3_", "S4_", "S9_", "ST2_window_cost_by_model_stream", "ST3", "ST1_assemble_chunks_stream")
+# queries that train models, write files or run a stream while they are built
+EAGER = ("M1", "M2", "M3", "M4", "M5", "R5", "S3_", "S4_", "S9_", "ST1_assemble_chunks_stream",
+         "ST2_window_cost_by_model_stream", "ST3")
 OPS = ("BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin", "BroadcastNestedLoopJoin", "CartesianProduct",
        "Window", "MapInPandas", "FlatMapGroupsInPandas", "ArrowEvalPython", "BatchEvalPython", "Generate",
        "ObjectHashAggregate", "HashAggregate", "SortAggregate", "TakeOrderedAndProject")
