@@ -8,7 +8,7 @@ from escalade.plans.catalog import register, rounded
 from escalade.plans.oracle_views import with_views
 from escalade.sources import fixtures as fx
 from escalade.sources import io as IO
-from escalade.sources.tables import load  # noqa: F401
+from escalade.sources.tables import load
 
 EVENT_COLUMNS = ("event_id", "ts", "user_id", "event_type", "value", "props")
 
@@ -91,3 +91,8 @@ def s4(spark, sf):
                             scratch_path(spark, "datasets"))
     parts = [spark.read.parquet(p).select(F.lit(k).alias("kind"), "split") for k, p in out.items()]
     return parts[0].unionByName(parts[1]).groupBy("kind", "split").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("S8_sample_rows", "select event_id, event_type, value from events order by event_id limit 5")
+def s8_sample(spark, sf):
+    return IO.sample_rows(load(spark, sf, "events").select("event_id", "event_type", "value"), 5, ["event_id"])

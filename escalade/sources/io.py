@@ -128,3 +128,9 @@ def profile_table(df: DataFrame) -> DataFrame:
                      for i, f in enumerate(fields)])
     return one.select(F.col("__n").alias("n_rows"), F.inline(rows)).select("position", "column", "type", "n_rows",
                                                                            "n_null")
+
+
+def sample_rows(df: DataFrame, n: int = 5, order_by: list[str] | None = None) -> DataFrame:
+    """S8 companion: a preview of ``n`` rows (the notebook's ``head()``); with ``order_by`` it is the first n rows
+    of that order (a distributed top-n: each partition keeps n rows, one small merge)."""
+    return df.orderBy(*order_by).limit(n) if order_by else df.limit(n)
