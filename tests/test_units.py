@@ -368,3 +368,22 @@ def test_validate_flat_equals_array(spark):
     flat = {r["request_id"]: [e["field"] for e in r["errors"]]
             for r in Q.validate_requests_flat(req, turns).collect()}
     assert flat == {1: [], 2: ["messages.role", "temperature"], 3: ["messages.role"], 4: ["messages"]}
+
+
+def test_split_valid_and_envelope_latency(spark):
+    import datetime as dt
+    msg = "array<struct<role:string,content:string>>"
+    df = spark.createDataFrame([(1, [("user", "x")], 1.0), (2, [("user", "x")], 9.0)],
+                               f"request_id long, messages {msg}, temperature double")
+    ok, bad = Q.split_valid(df)
+    assert [r["request_id"] for r in ok.collect()] == [1] and [r["request_id"] for r in bad.collect()] == [2]
+    t0 = dt.datetime(2024, 1, 1)
+    d = spark.createDataFrame([(7, "weak", 0.0, None, False, "hi there", 2, 2, 4, 1e-6, t0,
+                                t0 + dt.timedelta(milliseconds=250))],
+                              "request_id long, model_used string, routing_score double, weak_quality_score double, "
+                              "evaluator_triggered boolean, response string, prompt_tokens long, "
+                              "completion_tokens long, total_tokens long, cost_usd double, t_start timestamp, "
+                              "t_end timestamp")
+    e = Q.response_envelope(d, "t_start", "t_end").first()
+    assert e["id"] == "chatcmpl-7" and e["routing_metadata"]["latency_ms"] == 250.0
+    assert e["choices"][0]["message"]["content"] == "hi there" and e["usage"]["total_tokens"] == 4
