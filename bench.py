@@ -34,7 +34,8 @@ def main() -> None:
     from escalade.plans.catalog import all_queries
     from escalade.session import get_spark
 
-    spark = get_spark("escalade-bench", cpus, {"spark.sql.shuffle.partitions": str(max(8, int(cpus) * 2))})
+    parts = os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(max(8, int(cpus) * 2)))
+    spark = get_spark("escalade-bench", cpus, {"spark.sql.shuffle.partitions": parts})
     qs = all_queries()
     names = [n for n in HEADLINE if n in qs]
     # warm-up (JIT, first-scan metadata): not timed

@@ -169,6 +169,8 @@ def threshold_sweep(results: DataFrame, thresholds=DEFAULT_THRESHOLDS, on: str =
     """
     ts = sorted(float(t) for t in thresholds)
     m = len(ts)
+    if m == 0:
+        raise ValueError("at least one threshold is required")
     arr = F.array(*[F.lit(t) for t in ts])
     s = F.col(on)
     ok = valid(on)
