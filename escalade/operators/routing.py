@@ -99,7 +99,8 @@ def query_model_similarity(queries: DataFrame, models: DataFrame, emb: str = "em
 # ---------------------------------------------------------------- similarity-weighted router
 
 SW_BROADCAST_MAX_ROWS = 200_000   # battles x dim floats broadcast to every task when within this bound
-SW_BLOCK_ROWS = 4096
+SW_BLOCK_ROWS = 2048
+SW_CELLS_PER_PRODUCT = 1 << 22   # at most 4M cosines (32 MB) in memory per matrix product
 
 
 def _unit_rows(m: np.ndarray) -> np.ndarray:
@@ -133,19 +134,21 @@ def _sw_broadcast(queries, battles, gamma, q_id, emb, win):
     bw = rows[win].to_numpy(dtype=np.float64)
     bc = spark.sparkContext.broadcast((bm, bw))
     lg = float(np.log(gamma))
+    # queries per matrix product, so one (queries x battles) block stays within SW_CELLS_PER_PRODUCT doubles
+    step = max(1, SW_CELLS_PER_PRODUCT // max(1, bm.shape[0]))
 
     def per_partition(it):
         mat, wins = bc.value
         for pdf in it:
-            if len(pdf) == 0:
-                continue
-            q = _unit_rows(np.vstack(pdf[emb].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy()))
-            cos = q @ mat.T
-            mx = cos.max(axis=1, keepdims=True) if mat.shape[0] else np.full((len(q), 1), np.nan)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                w = np.exp(lg * (1.0 + cos / mx))
-                rate = (w @ wins) / w.sum(axis=1)
-            yield pd.DataFrame({q_id: pdf[q_id].to_numpy(), "win_rate": rate, "max_cos": mx[:, 0]})
+            for lo in range(0, len(pdf), step):
+                part = pdf.iloc[lo:lo + step]
+                q = _unit_rows(np.vstack(part[emb].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy()))
+                cos = q @ mat.T
+                mx = cos.max(axis=1, keepdims=True) if mat.shape[0] else np.full((len(q), 1), np.nan)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    w = np.exp(lg * (1.0 + cos / mx))
+                    rate = (w @ wins) / w.sum(axis=1)
+                yield pd.DataFrame({q_id: part[q_id].to_numpy(), "win_rate": rate, "max_cos": mx[:, 0]})
 
     schema = T.StructType([T.StructField(q_id, queries.schema[q_id].dataType), T.StructField("win_rate", T.DoubleType()),
                            T.StructField("max_cos", T.DoubleType())])

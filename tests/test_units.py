@@ -387,3 +387,14 @@ def test_split_valid_and_envelope_latency(spark):
     e = Q.response_envelope(d, "t_start", "t_end").first()
     assert e["id"] == "chatcmpl-7" and e["routing_metadata"]["latency_ms"] == 250.0
     assert e["choices"][0]["message"]["content"] == "hi there" and e["usage"]["total_tokens"] == 4
+
+
+def test_similarity_router_chunked_product(spark, monkeypatch):
+    from escalade.sources import fixtures as fx
+    from tests.conftest import SF001
+    q, b = fx.queries(spark, SF001), fx.battles(spark, SF001)
+    full = {r["query_id"]: r["win_rate"] for r in RT.sw_win_rate(q, b).collect()}
+    monkeypatch.setattr(RT, "SW_CELLS_PER_PRODUCT", 100)  # one or two queries per matrix product
+    chunked = {r["query_id"]: r["win_rate"] for r in RT.sw_win_rate(q, b).collect()}
+    assert full.keys() == chunked.keys()
+    assert all(math.isclose(full[k], chunked[k], rel_tol=1e-12) for k in full)
