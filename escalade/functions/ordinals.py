@@ -21,10 +21,21 @@ _POS_BITS = 33
 _POS_MASK = (1 << _POS_BITS) - 1
 
 
+TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+
+
 def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
+    """Range partitions for the ordinal layout: one per ~128 MB of input (Catalyst's size estimate), at least 1
+    and at most the session's shuffle parallelism (or 4 per core, whichever is larger)."""
     if num_partitions:
         return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    cap = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    from escalade.functions.quantiles import estimated_bytes
+    est = estimated_bytes(df)
+    if est is None:
+        return cap
+    return max(1, min(cap, -(-est // TARGET_PARTITION_BYTES)))
 
 
 def global_ordinals(df: DataFrame, order_by: list[Column | str], name: str = "ord",
