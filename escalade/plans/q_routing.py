@@ -385,3 +385,27 @@ def r8_models(spark, sf):
                             F.col("weak_response_error").isNotNull().alias("weak_failed"), "prompt_tokens",
                             "completion_tokens", "weak_input", "weak_output", "strong_input", "strong_output",
                             "cost_usd"), ("cost_usd",))
+
+
+_Q_CHECKS = (
+    ("messages", "coalesce(n, 0) < 1"),
+    ("messages.role", "coalesce(bad, 0) > 0"),
+    ("temperature", "not (temperature between 0 and 2)"),
+    ("top_p", "not (top_p between 0 and 1)"),
+    ("max_tokens", "max_tokens < 1"),
+    ("force_model", "force_model is not null and force_model not in ('weak', 'strong')"),
+)
+
+
+@register("P8_quarantine_reasons", with_views(["chat_requests"], " union all ".join(
+    f"select '{f}' as field, count(*)::bigint as requests from r where {c} having count(*) > 0" for f, c in _Q_CHECKS),
+    extra=[("r", """
+select c.*, m.n, m.bad from chat_requests c
+left join (select conv_id, count(*) as n,
+                  count(*) filter (where role is null or role not in ('system', 'user', 'assistant')) as bad
+           from conversations group by conv_id) m on m.conv_id = c.request_id""")]))
+def p8_quarantine(spark, sf):
+    """The quarantine side of P8: requests per failed check (one request can fail several)."""
+    _, bad = Q.split_valid(fx.chat_requests(spark, sf, with_messages=True))
+    return (bad.select(F.explode("errors").alias("e")).groupBy(F.col("e.field").alias("field"))
+            .agg(F.count(F.lit(1)).alias("requests")))
