@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -37,19 +38,42 @@ def get_spark(app: str = "escalade", cores: int | str = "*", conf: dict | None =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint directory, honouring ``spark.checkpoint.dir`` when it is set."""
+    """Return the reliable checkpoint directory, honouring ``spark.checkpoint.dir`` when it is set.
+
+    Without that setting a scratch folder is made for a ``local`` master only, where driver and executor are one
+    process; on any other master the executors would each write to their own disk, so this raises.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        # Only reached when the session names no shared folder (local tests/benches).
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="escalade-ckpt-", dir=os.environ.get("ESCALADE_SCRATCH", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable on the executors, wherever the driver was started: zip its sources and hand
+    them to Spark's file distribution, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_escalade_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="escalade-src-"), "escalade_src.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    sc.addPyFile(out)
+    sc._escalade_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the session's reliable checkpoint directory (shared on a cluster)."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
