@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from escalade.llm import block_ann, html_blocks, url_reputation
+from escalade.llm import block_ann, html_blocks, ordinal_quality, url_reputation
 from escalade.llm.common import table
 
 QUERIES: dict = {}
@@ -88,6 +88,21 @@ from ruled join v using (host)"""
 ORACLES["op1_url_reputation"] = _op1_sql()
 
 
+# ---------------------------------------------------------------------------------------------------------------- 6
+
+def document_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graded ratings of the labelled documents: 2 good and not toxic, 1 one of the two, 0 neither."""
+    return table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") + 1 - F.col("toxic")).alias("grade"))
+
+
+@query
+def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade, tail probability of the top grade and decision for every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = ordinal_quality.train(docs, document_grades(spark, sf_dir), grades=3)
+    return ordinal_quality.score(docs, model, keep_grade=2)
+
+
 # ---------------------------------------------------------------------------------------------------------------- 7
 
 @query
