@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from escalade.llm import block_ann, html_blocks, ordinal_quality, url_reputation
+from escalade.llm import block_ann, budget_mix, html_blocks, ordinal_quality, url_reputation
 from escalade.llm.common import table
 
 QUERIES: dict = {}
@@ -88,6 +88,14 @@ from ruled join v using (host)"""
 ORACLES["op1_url_reputation"] = _op1_sql()
 
 
+# ---------------------------------------------------------------------------------------------------------------- 2
+
+@query
+def op2_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return budget_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 # ---------------------------------------------------------------------------------------------------------------- 6
 
 def document_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
