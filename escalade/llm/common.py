@@ -35,3 +35,9 @@ def words_of(col: Column) -> Column:
 def bytes_words(text) -> list[bytes]:
     """The same words in Python, with A-Z lower-cased: bytes.lower() and bytes.split() know ASCII only."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+def checked_broadcast(df: DataFrame, row_bytes: int, max_bytes: int = 32 << 20) -> DataFrame:
+    """``df`` (checkpointed or written, so that counting is cheap) with a broadcast hint if its rows, of at most
+    ``row_bytes`` each, are counted to fit ``max_bytes``; else as it is, and the join shuffles. Both give the same rows."""
+    return F.broadcast(df) if df.count() * row_bytes <= max_bytes else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from escalade.llm import block_ann, budget_mix, html_blocks, ordinal_quality, url_reputation
+from escalade.llm import block_ann, budget_mix, html_blocks, line_dedup, ordinal_quality, url_reputation
 from escalade.llm.common import table
 
 QUERIES: dict = {}
@@ -96,6 +96,36 @@ def op2_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+# ---------------------------------------------------------------------------------------------------------------- 3
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that an earlier line equals, or nearly equals."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
+ORACLES["op3_line_dedup"] = r"""
+with lines as (select doc_id, unnest(string_split(text, chr(10))) as line,
+    unnest(range(len(string_split(text, chr(10))))) as line_no from documents where text is not null),
+words as (select doc_id, line_no, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w != '') as w
+  from lines),
+firsts as (select w, len(w) as n, min((doc_id, line_no)) as pos from words where len(w) >= 5 group by w),
+cut as (select pos, n, p, w, list_concat(list_slice(w, 1, p - 1), list_slice(w, p + 1, n)) as v
+  from (select *, unnest(range(1, n + 1)) as p from firsts where n >= 10)),
+near as (
+  select a.pos as pos from cut a join cut b on a.v = b.v and a.p = b.p and a.n = b.n and b.pos < a.pos
+  union select a.pos from cut a join firsts b on a.v = b.w and b.n >= 10 and b.pos < a.pos
+  union select b.pos from cut a join firsts b on a.v = b.w and b.n >= 10 and a.pos < b.pos),
+judged as (select l.doc_id, l.line_no, l.line,
+    f.pos is not null and ((l.doc_id, l.line_no) != f.pos or f.pos in (select pos from near)) as gone
+  from words l left join firsts f on l.w = f.w)
+select d.doc_id, coalesce(count(line_no), 0)::bigint as n_lines, coalesce(sum(gone::int), 0)::bigint as n_removed,
+  case when any_value(d.text) is null then null else
+    coalesce(string_agg(line, chr(10) order by line_no) filter (not gone), '') end as text
+from documents d left join judged j on j.doc_id = d.doc_id group by d.doc_id"""
+
+
 # ---------------------------------------------------------------------------------------------------------------- 6
 
 def document_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
