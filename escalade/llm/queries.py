@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from escalade.llm import block_ann, budget_mix, html_blocks, line_dedup, ordinal_quality, url_reputation
+from escalade.llm import block_ann, budget_mix, decontaminate, html_blocks, line_dedup, ordinal_quality, url_reputation
 from escalade.llm.common import table
 
 QUERIES: dict = {}
@@ -126,6 +126,39 @@ select d.doc_id, coalesce(count(line_no), 0)::bigint as n_lines, coalesce(sum(go
 from documents d left join judged j on j.doc_id = d.doc_id group by d.doc_id"""
 
 
+# ---------------------------------------------------------------------------------------------------------------- 4
+
+@query
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, test item) with a substitution-tolerant overlap."""
+    out = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", *[F.col(c).cast("bigint").alias(c) for c in ("item_tokens", "matched", "best_window", "start")])
+
+
+# By another way than the query: 13 tokens with two replaced hold four equal ones in a row, so places with equal
+# four-token runs are the candidates, and each diagonal is judged by the definition.
+ORACLES["op4_decontaminate"] = r"""
+with docs as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w != '') as d
+  from documents where text is not null),
+items as (select item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w != '') as t
+  from benchmark where text is not null),
+dgrams as (select doc_id, d, i, d[i] || ' ' || d[i + 1] || ' ' || d[i + 2] || ' ' || d[i + 3] as g
+  from (select *, unnest(range(1, len(d) - 2)) as i from docs where len(d) >= 5)),
+igrams as (select item_id, t, j, t[j] || ' ' || t[j + 1] || ' ' || t[j + 2] || ' ' || t[j + 3] as g
+  from (select *, unnest(range(1, len(t) - 2)) as j from items where len(t) >= 5)),
+diagonals as (select distinct doc_id, d, item_id, t, i - j as start from dgrams join igrams using (g)),
+cells as (select doc_id, item_id, start, len(t) as n, unnest(range(1, len(t) + 1)) as k,
+    list_transform(range(1, len(t) + 1), lambda x: case when x + start >= 1 and d[x + start] = t[x] then 1 else 0 end) as eq
+  from diagonals),
+sums as (select doc_id, item_id, start, n, list_sum(eq) as matched,
+    max(list_sum(list_slice(eq, k, k + least(n, 13) - 1))) as best_window
+  from cells where k + least(n, 13) - 1 <= n group by all),
+good as (select *, row_number() over (partition by doc_id, item_id order by matched desc, best_window desc, start, n desc) as r
+  from sums where best_window >= case when n < 13 then n else 11 end)
+select doc_id, item_id, n::bigint as item_tokens, matched::bigint as matched, best_window::bigint as best_window,
+  start::bigint as start from good where r = 1"""
+
+
 # ---------------------------------------------------------------------------------------------------------------- 6
 
 def document_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
