@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from escalade.llm import block_ann, budget_mix, decontaminate, html_blocks, line_dedup, ordinal_quality, url_reputation
+from escalade.llm import block_ann, budget_mix, decontaminate, html_blocks, license_scan, line_dedup, ordinal_quality, url_reputation
 from escalade.llm.common import table
 
 QUERIES: dict = {}
@@ -200,3 +200,11 @@ select query_id, rank::int as rank, vec_id, score from ranked where rank <= 20""
 def op8_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
+# ---------------------------------------------------------------------------------------------------------------- 9
+
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license notice in every document."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
