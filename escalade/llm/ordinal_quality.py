@@ -9,7 +9,7 @@ off), their first four and five bytes (inflected forms share them), and the oute
 it); beside them a few plain ratios (capitals, marks, digits, repeated words, word length, size). Texts are read whole.
 
 The fit takes a bounded sample of the labelled rows: the ``fit_rows`` ones (default 12,000) that come first by a hash of
-their id; the sample's features are all that reaches the driver. Thresholds and weights are found by full-batch L-BFGS on
+their id; their features meet in one task, and only the weights reach the driver. Thresholds and weights are found by full-batch L-BFGS on
 the penalised likelihood. Scoring runs over all rows in Arrow batches with the broadcast weights (fixed size).
 
 Defined cases: null and blank texts have no features but the intercepts and are scored like any other row; labelled ids
@@ -20,6 +20,7 @@ scored alike; repeated labels count each time; further columns are ignored; an e
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -199,17 +200,18 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, fit_rows: int = 12_0
             yield pd.DataFrame({"grade": pdf["grade"], "hashed": [h for h, _ in both],
                                 "dense": [d for _, d in both]})
 
-    picked = sample.groupBy("id", "grade").agg(F.count(F.lit(1)).alias("times"))
-    rows = (texts.join(picked, "id").withColumn("grade", F.col("grade"))
-            .mapInPandas(hashed, "grade int, hashed array<int>, dense array<double>").toPandas())
-    if rows.empty:
-        return fit([], np.empty((0, N_DENSE)), np.empty(0, int), grades)
-    # a fixed order, so that the sums of the fit don't depend on how tasks finish
-    order = sorted(range(len(rows)), key=lambda i: (rows["grade"][i], len(rows["hashed"][i]), tuple(rows["dense"][i]),
-                                                    tuple(rows["hashed"][i][:16])))
-    rows = rows.iloc[order]
-    return fit([np.asarray(h, np.int32) for h in rows["hashed"]], np.vstack(rows["dense"].to_list()),
-               rows["grade"].to_numpy(), grades, l2)
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [(g, h, d) for pdf in batches for g, h, d in zip(pdf["grade"], pdf["hashed"], pdf["dense"])]
+        # a fixed order, so that the sums of the fit don't depend on how tasks finish
+        parts.sort(key=lambda p: (p[0], len(p[1]), tuple(p[2]), tuple(p[1][:16])))
+        model = fit([np.asarray(h, np.int32) for _, h, _ in parts], np.array([d for _, _, d in parts]).reshape(-1, N_DENSE),
+                    np.array([g for g, _, _ in parts], dtype=int), grades, l2)
+        yield pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    picked = F.broadcast(sample.groupBy("id", "grade").agg(F.count(F.lit(1)).alias("times")))  # at most fit_rows small rows
+    rows = texts.join(picked, "id").mapInPandas(hashed, "grade int, hashed array<int>, dense array<double>")
+    # the sample's features meet in one task, bounded by fit_rows; only the weights come to the driver
+    return pickle.loads(rows.repartition(1).mapInPandas(fitted, "model binary").first()[0])
 
 
 def score(docs: DataFrame, model: OrdinalModel, keep_grade: int, min_tail: float = 0.7, id_col: str = "doc_id",
