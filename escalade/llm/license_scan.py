@@ -26,10 +26,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,7 +75,7 @@ class _WordHashes(dict):
         if len(self) >= 500_000:
             self.clear()
         bare = word.strip(_OUTER)
-        value = self[word] = (crc32(bare) | crc32(bare, 77) << 32) or 1 if bare else 0
+        value = self[word] = xxhash.xxh3_64_intdigest(bare) or 1 if bare else 0
         return value
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from escalade.llm import block_ann, budget_mix, decontaminate, html_blocks, license_scan, line_dedup, ordinal_quality, url_reputation
+from escalade.llm import block_ann, budget_mix, decontaminate, html_blocks, license_scan, line_dedup, ordinal_quality, ppm, url_reputation
 from escalade.llm.common import table
 
 QUERIES: dict = {}
@@ -208,3 +208,11 @@ def op8_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every license notice in every document."""
     return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+# --------------------------------------------------------------------------------------------------------------- 10
+
+@query
+def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by the byte model and by unigrams, learned from four of five folds."""
+    return ppm.score(table(spark, sf_dir, "documents"))
