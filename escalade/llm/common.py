@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +43,20 @@ def checked_broadcast(df: DataFrame, row_bytes: int, max_bytes: int = 32 << 20)
     """``df`` (checkpointed or written, so that counting is cheap) with a broadcast hint if its rows, of at most
     ``row_bytes`` each, are counted to fit ``max_bytes``; else as it is, and the join shuffles. Both give the same rows."""
     return F.broadcast(df) if df.count() * row_bytes <= max_bytes else df
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser (Stafford's variant 13)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class HashedWords(dict):
+    """word -> 64-bit hash, remembered up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 300_000:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from escalade.llm.common import bytes_words, ready
+from escalade.llm.common import bytes_words, mix64, ready
 
 K = 5
 _SEGMENT = 1 << 15
@@ -87,26 +87,19 @@ def word_hashes(text: str | None) -> np.ndarray:
     return h[h != 0]
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingles(h: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each five words in a row."""
     if len(h) < K:
         return np.empty(0, np.uint64)
     acc = np.zeros(len(h) - K + 1, dtype=np.uint64)
     for i in range(K):
-        acc = _mix(acc + h[i:len(h) - K + 1 + i] + np.uint64(i + 1))
+        acc = mix64(acc + h[i:len(h) - K + 1 + i] + np.uint64(i + 1))
     return acc
 
 
 def _family(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Fixed odd factors and offsets of the MinHash functions."""
-    seed = _mix(np.arange(1, 2 * size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    seed = mix64(np.arange(1, 2 * size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return seed[:size] | np.uint64(1), seed[size:]
 
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from escalade.llm.common import ready
+from escalade.llm.common import HashedWords, ready
 
 MARK = 0xFF
 _WORD, _GRAM = 0, 1
@@ -152,16 +152,6 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, texts[first:]
 
 
-class _Words(dict):
-    """word -> 64-bit hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def _statistics(order: int):
     """(kind, key, n): word counts of training texts, gram counts of training texts, and 0 for grams of others."""
     def rows(kind: int, key, n) -> pd.DataFrame:
@@ -286,7 +276,7 @@ def _scores(order: int, held_tables, emit_rest: bool):
     def tables():
         if not state:
             state["words"], state["grams"] = (Lookup(*pair) for pair in held_tables.value)
-            state["hash"] = _Words()
+            state["hash"] = HashedWords()
         return state["words"], state["grams"], state["hash"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from escalade.llm import block_ann, budget_mix, decontaminate, html_blocks, license_scan, line_dedup, ordinal_quality, ppm, url_reputation
+from escalade.llm import block_ann, budget_mix, decontaminate, html_blocks, jaccard_join, license_scan, line_dedup, ordinal_quality, ppm, url_reputation
 from escalade.llm.common import table
 
 QUERIES: dict = {}
@@ -159,6 +159,29 @@ select doc_id, item_id, n::bigint as item_tokens, matched::bigint as matched, be
   start::bigint as start from good where r = 1"""
 
 
+# ---------------------------------------------------------------------------------------------------------------- 5
+
+@query
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles have a Jaccard similarity of 0.9 or more."""
+    return jaccard_join.join_sets(table(spark, sf_dir, "documents"))
+
+
+# By another way than the query: every pair with a common shingle is counted.
+ORACLES["op5_jaccard_join"] = r"""
+with recursive words as (select doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w != '') as w from documents),
+shingles as (select distinct doc_id, s from (
+  select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s from words)),
+sizes as (select w.doc_id, count(s) as n from words w left join shingles s on s.doc_id = w.doc_id group by w.doc_id),
+links as (select a.doc_id as a, b.doc_id as b from shingles a join shingles b on a.s = b.s and a.doc_id != b.doc_id
+  join sizes x on x.doc_id = a.doc_id join sizes y on y.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+reach(id, root) as (select doc_id, doc_id from documents union select l.b, r.root from reach r join links l on l.a = r.id and r.root < l.b)
+select s.doc_id, s.n::bigint as n_shingles, min(root)::bigint as component_id from sizes s join reach r on r.id = s.doc_id group by s.doc_id, s.n"""
+
+
 # ---------------------------------------------------------------------------------------------------------------- 6
 
 def document_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
