@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from escalade.functions.ordinals import global_ordinals
-from escalade.llm.common import ready, words_of
+from escalade.llm.common import checked_broadcast, ready, words_of
 
 Histogram = Sequence[tuple[int, int]]
 
@@ -128,14 +128,14 @@ def _plan(window: int, slack: int):
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, max_repeats: int = 3, seed: int = 17,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", window: int = 1 << 16,
-        slack: int = 64, bucket_rows: int = 4096) -> DataFrame:
-    """doc_id, size, source_size, target, copies and taken (size x copies) of every row of ``docs``.
+        slack: int = 64, bucket_rows: int = 4096, row: Column | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, copies and taken (size x copies) of every row of ``docs``, and ``row`` if given.
 
     Sources in code point order (null last) weigh ``weights``, repeating, and share ``share`` of all words."""
     ready(docs.sparkSession)
     # one pass over the texts; the checkpointed rows are three numbers and the source's name
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-                       word_count(F.col(text_col)).alias("size")).checkpoint()
+                       word_count(F.col(text_col)).alias("size"), (F.lit(0) if row is None else row).alias("row")).checkpoint()
     hist = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("docs")).checkpoint()
     sizes = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"))
     numbered = global_ordinals(sizes, [F.col("source").asc_nulls_last()], "source_no")
@@ -155,7 +155,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     h = F.xxhash64(F.lit(seed), "doc_id")
     ranges = F.ceil(F.col("docs") / F.lit(bucket_rows))
     placed = (rows.join(plan, rows["source"].eqNullSafe(plan["name"]) & (F.col("size") == F.col("plan_size")))
-              .select("doc_id", "source_no", "size", "docs", "whole", "extra", "source_size", "target", h.alias("h"),
+              .select("row", "doc_id", "source_no", "size", "docs", "whole", "extra", "source_size", "target", h.alias("h"),
                       F.floor(F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53)) * ranges).alias("part")))
     group = ["source_no", "size", "part"]
     counts = placed.filter("extra > 0 and extra < docs").groupBy(*group).agg(F.count(F.lit(1)).alias("rows"))
@@ -166,5 +166,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     ranked = placed.withColumn("inside", inside).join(offsets, group, "left")
     extra = F.when(F.coalesce("before", F.lit(0)) + F.col("inside") <= F.col("extra"), 1).otherwise(0)
     copies = F.col("whole") + F.when(F.col("extra") >= F.col("docs"), 1).when(F.col("extra") == 0, 0).otherwise(extra)
-    return ranked.select("doc_id", "size", "source_size", "target", copies.cast("bigint").alias("copies"),
+    out = ranked.select("row", "doc_id", "size", "source_size", "target", copies.cast("bigint").alias("copies"),
                          (F.col("size") * copies).cast("bigint").alias("taken"))
+    return out.drop("row") if row is None else out
+
+
+def take(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with ``copies``: how often. Other options as for :func:`mix`.
+
+    ``docs`` has to be read from files, so that its rows keep their numbers when they are read again."""
+    number = F.monotonically_increasing_id()
+    taken = mix(docs, row=number, **options).filter("copies > 0").select(F.col("row").alias("_row"), F.col("copies").alias("_copies"))
+    rows = docs.drop("copies").withColumn("_row", number)
+    return rows.join(checked_broadcast(taken.checkpoint(), 24), "_row").drop("_row").withColumnRenamed("_copies", "copies")

@@ -136,8 +136,8 @@ def repeated_lines(docs: DataFrame, min_words: int = 5, near_words: int = 10) ->
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 5, near_words: int = 10, id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated lines taken out of the text, and ``n_lines`` (before) and ``n_removed``."""
+                text_col: str = "text", count_names: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` with repeated lines taken out of the text, and its numbers of lines (before) and of removed ones."""
     ready(docs.sparkSession)
     doc = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST))
     removed = repeated_lines(docs.select(doc.alias("doc"), F.col(text_col).alias("text")), min_words, near_words)
@@ -146,12 +146,12 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, near_words: int = 10, id_co
     numbers = by_doc.agg(F.count(F.lit(1)), F.sum(F.size("_gone"))).first()
     if 48 * numbers[0] + 4 * (numbers[1] or 0) <= 32 << 20:
         by_doc = F.broadcast(by_doc)
-    plain = docs.drop("n_lines", "n_removed")
+    plain = docs.drop(*count_names)
     joined = plain.join(by_doc, (doc == F.col("_doc")) & (F.xxhash64(F.col(text_col)) == F.col("_key")), "left")
     pieces = F.split(F.col(text_col), "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(
         F.array_join(F.transform(stay, lambda i: F.element_at(pieces, i + 1)), "\n"))
     cols = [text.alias(c) if c == text_col else F.col(c) for c in plain.columns]
-    return joined.select(*cols, F.coalesce(F.size(pieces), F.lit(0)).cast("bigint").alias("n_lines"),
-                         F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_removed"))
+    return joined.select(*cols, F.coalesce(F.size(pieces), F.lit(0)).cast("bigint").alias(count_names[0]),
+                         F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias(count_names[1]))

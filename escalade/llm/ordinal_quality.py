@@ -215,10 +215,10 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, fit_rows: int = 12_0
 
 
 def score(docs: DataFrame, model: OrdinalModel, keep_grade: int, min_tail: float = 0.7, id_col: str = "doc_id",
-          text_col: str = "text", carry: bool = False) -> DataFrame:
+          text_col: str = "text", carry: bool = False, names: tuple[str, str, str] = ("expected_grade", "tail", "keep")) -> DataFrame:
     """id, expected_grade, tail = P(grade >= keep_grade), keep; with ``carry`` beside all columns of ``docs``.
 
-    Columns of ``docs`` with the added names are replaced."""
+    ``names`` are those of the added columns; columns of ``docs`` with these names are replaced."""
     spark = ready(docs.sparkSession)
     held = spark.sparkContext.broadcast(model)
 
@@ -228,11 +228,10 @@ def score(docs: DataFrame, model: OrdinalModel, keep_grade: int, min_tail: float
             line = np.array([m.line(*features(t)) for t in pdf[text_col]])
             tails = m.tails(line)
             tail = tails[:, keep_grade - 1]
-            yield pdf.assign(expected_grade=tails.sum(1), tail=tail, keep=tail >= min_tail)
+            yield pdf.assign(**dict(zip(names, (tails.sum(1), tail, tail >= min_tail))))
 
-    added = ("expected_grade", "tail", "keep")
-    rows = docs.drop(*added) if carry else docs.select(id_col, text_col)
-    schema = T.StructType([*rows.schema.fields, T.StructField("expected_grade", T.DoubleType()),
-                           T.StructField("tail", T.DoubleType()), T.StructField("keep", T.BooleanType())])
+    rows = docs.drop(*names) if carry else docs.select(id_col, text_col)
+    schema = T.StructType([*rows.schema.fields, T.StructField(names[0], T.DoubleType()),
+                           T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.BooleanType())])
     out = rows.mapInPandas(judged, schema)
     return out if carry else out.drop(text_col)
