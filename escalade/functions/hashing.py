@@ -1,9 +1,8 @@
-"""Portable integer hash, identical in Spark and DuckDB.
+"""Portable seeded hash, identical in Spark and DuckDB.
 
-``mix32(x, seed) = ((x + 1) * 2654435761 + seed * 40503) mod 2^32`` for x >= 0, evaluated in 16-bit halves so
-that no intermediate exceeds 2^50: BIGINT never overflows (Spark ANSI mode would raise) and both engines give
-bit-identical results. Used for reproducible "random" choices (prompt generation, random router, exact splits,
-epoch shuffles) where Spark's ``rand`` would depend on partitioning.
+``hash32(x, seed)`` is the first 32 bits of ``md5("seed:x")``: seeds are independent of each other, every bit mixes, and
+both engines write it in plain SQL. Used for reproducible "random" choices (prompt generation, random router, exact
+splits, epoch shuffles) where Spark's ``rand`` would depend on partitioning.
 """
 
 from __future__ import annotations
@@ -11,31 +10,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_MULT = 2654435761
-_SEED_MULT = 40503
 _MOD = 4294967296
 
 
-def mix32(x: Column | str, seed: int = 0) -> Column:
+def hash32(x: Column | str, seed: int = 0) -> Column:
     x = F.col(x) if isinstance(x, str) else x
-    xp = F.pmod(x.cast("bigint") + F.lit(1), F.lit(_MOD))
-    hi = F.floor(xp / 65536).cast("bigint")
-    lo = F.pmod(xp, F.lit(65536))
-    return F.pmod(F.pmod(hi * F.lit(_MULT), F.lit(_MOD)) * F.lit(65536) + lo * F.lit(_MULT)
-                  + F.lit(int(seed) * _SEED_MULT), F.lit(_MOD))
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(int(seed))), x.cast("string"))), 1, 8), 16, 10).cast("bigint")
 
 
-def mix32_sql(x: str, seed: int = 0) -> str:
-    """DuckDB text of :func:`mix32` (x must be a non-negative integer expression)."""
-    xp = f"((({x}) + 1) % {_MOD})"
-    return (f"((((({xp} // 65536) * {_MULT}) % {_MOD}) * 65536 + ({xp} % 65536) * {_MULT}"
-            f" + {int(seed) * _SEED_MULT}) % {_MOD})")
+def hash32_sql(x: str, seed: int = 0) -> str:
+    """DuckDB text of :func:`hash32`."""
+    return f"(('0x' || substr(md5('{int(seed)}:' || cast({x} as varchar)), 1, 8))::bigint)"
 
 
 def unit_uniform(x: Column | str, seed: int = 0) -> Column:
-    """Uniform value in [0, 1) derived from :func:`mix32`."""
-    return mix32(x, seed) / F.lit(float(_MOD))
+    """Uniform value in [0, 1) derived from :func:`hash32`."""
+    return hash32(x, seed) / F.lit(float(_MOD))
 
 
 def unit_uniform_sql(x: str, seed: int = 0) -> str:
-    return f"({mix32_sql(x, seed)} / 4294967296e0)"
+    return f"({hash32_sql(x, seed)} / 4294967296e0)"

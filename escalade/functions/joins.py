@@ -1,29 +1,10 @@
-"""Join helpers: broadcast only behind a size check, one-row attachments."""
+"""Join helper: one-row attachments. Other small sides are left to adaptive execution, which knows their real size."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 2_000_000
-BROADCAST_MAX_BYTES = 64 * 1024 * 1024
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` when its row count is within ``max_rows``; otherwise leave the choice to AQE.
-
-    Use on already aggregated sides (one row per group/partition/threshold). When Catalyst's size estimate (an
-    upper bound for aggregates and projections of scans) is already small, no job runs; otherwise the side is
-    persisted and counted, which proves the bound and is the same pass the join would run for it anyway. Beyond the bound the join stays a shuffle join and AQE's skew-join split handles hot keys.
-    """
-    from escalade.functions.quantiles import estimated_bytes
-    est = estimated_bytes(df)  # Catalyst's estimate: an upper bound for projections/aggregates of file scans
-    if est is not None and est <= BROADCAST_MAX_BYTES:
-        return F.broadcast(df)
-    df = df.persist()  # the count materialises the small side once; the join reuses it instead of recomputing
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a one-row aggregate to every row of ``df`` (broadcast, no shuffle of ``df``)."""

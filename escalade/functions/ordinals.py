@@ -21,23 +21,6 @@ _POS_BITS = 33
 _POS_MASK = (1 << _POS_BITS) - 1
 
 
-TARGET_PARTITION_BYTES = 128 * 1024 * 1024
-
-
-def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
-    """Range partitions for the ordinal layout: one per ~128 MB of input (Catalyst's size estimate), at least 1
-    and at most the session's shuffle parallelism (or 4 per core, whichever is larger)."""
-    if num_partitions:
-        return int(num_partitions)
-    spark = df.sparkSession
-    cap = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    from escalade.functions.quantiles import estimated_bytes
-    est = estimated_bytes(df)
-    if est is None:
-        return cap
-    return max(1, min(cap, -(-est // TARGET_PARTITION_BYTES)))
-
-
 def global_ordinals(df: DataFrame, order_by: list[Column | str], name: str = "ord",
                     num_partitions: int | None = None, checkpoint: bool = True) -> DataFrame:
     """Add a 0-based BIGINT column ``name``: the row's position in the total order ``order_by``.
@@ -50,9 +33,10 @@ def global_ordinals(df: DataFrame, order_by: list[Column | str], name: str = "or
 def global_ordinals_with_count(df: DataFrame, order_by: list[Column | str], name: str = "ord",
                                num_partitions: int | None = None, checkpoint: bool = True) -> tuple[DataFrame, int]:
     """:func:`global_ordinals` plus the total row count, taken from the per-partition counts (no extra pass)."""
-    n = _num_partitions(df, num_partitions)
     cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
-    laid = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    # ranges follow the session's shuffle partitions, which adaptive execution merges where they are small
+    ranged = df.repartitionByRange(num_partitions, *cols) if num_partitions else df.repartitionByRange(*cols)
+    laid = (ranged.sortWithinPartitions(*cols)
             .withColumn("_mid", F.monotonically_increasing_id()))
     laid = (laid.withColumn("_pid", F.shiftright(F.col("_mid"), _POS_BITS))
             .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(_POS_MASK))).drop("_mid"))

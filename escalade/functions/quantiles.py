@@ -1,26 +1,24 @@
 """Exact linear-interpolated percentiles (= pandas ``quantile``, DuckDB ``quantile_cont``) that scale.
 
-Spark's built-in ``percentile`` is exact but keeps a value->count map per group; the final merge of a group runs
-in one task, so its memory grows with the number of *distinct* values in the largest group. ``method='auto'``
-checks that bound first (``approx_count_distinct``, one cheap scan) and only then uses the built-in; beyond it,
-the rank method below is used, which never holds a group in one task:
+One way at every size, from value counts:
 
-* rank every non-null value globally by (group, value) with :func:`global_ordinals` (range partitioned);
-* per group: first ordinal and size (partial aggregation, one row per group);
-* target ranks ``floor/ceil(p * (n - 1))`` per group and probability (groups x probs rows);
-* equi-join the targets to the ranked rows on the ordinal (unique key: no skew), interpolate, pivot.
+* count each (group, value): hot values are combined before the shuffle;
+* lay the distinct values out by range of (group, value), so that no value and no group fills a task alone, and pin the
+  layout with a reliable checkpoint (range bounds come from a sample);
+* running counts inside each range plus the counts of the ranges before it give every value its span of ranks;
+* per group, the values whose span holds the ranks ``floor/ceil(p * (n - 1))`` are picked by a partial aggregate and
+  interpolated.
 
-``method='approx'`` gives ``percentile_approx`` (bounded memory, for dashboards and streams).
+``method='approx'`` gives ``percentile_approx`` (bounded memory, for dashboards and streams), ``method='builtin'`` Spark's
+exact ``percentile``, which merges a map of all distinct values of a group in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from escalade.functions.ordinals import global_ordinals
-
-MAX_EXACT_DISTINCT = 1_000_000
+METHODS = ("counts", "builtin", "approx")
 
 
 def valid(c: Column | str) -> Column:
@@ -28,15 +26,7 @@ def valid(c: Column | str) -> Column:
     return c.isNotNull() & ~F.isnan(c)
 
 
-def builtin_percentile_safe(df: DataFrame, value: str, by: list[str] | tuple[str, ...] = (),
-                            limit: int = MAX_EXACT_DISTINCT) -> bool:
-    """True when every group has few enough distinct values for the built-in exact ``percentile``."""
-    d = df.groupBy(*by).agg(F.approx_count_distinct(F.when(valid(value), F.col(value)), 0.05).alias("d"))
-    row = d.agg(F.max("d").alias("m")).first()
-    return row is None or row["m"] is None or row["m"] <= limit
-
-
-def percentile_columns(value: str, probs: dict[str, float], method: str = "exact") -> list[Column]:
+def percentile_columns(value: str, probs: dict[str, float], method: str = "builtin") -> list[Column]:
     """Aggregate expressions for use inside a larger ``agg`` (one pass)."""
     v = F.when(valid(value), F.col(value))
     if method == "approx":
@@ -44,73 +34,46 @@ def percentile_columns(value: str, probs: dict[str, float], method: str = "exact
     return [F.percentile(v, F.lit(p)).alias(n) for n, p in probs.items()]
 
 
-def percentiles_by_rank(df: DataFrame, value: str, probs: dict[str, float],
-                        by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+def value_spans(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by..., _v, _start, _end): the global ranks of each distinct (group, value), end exclusive."""
+    counted = (df.where(valid(value)).select(*by, F.col(value).cast("double").alias("_v"))
+               .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    laid = counted.repartitionByRange(*by, "_v").withColumn("_pid", F.spark_partition_id()).checkpoint()
+    inside = F.sum("_c").over(Window.partitionBy("_pid").orderBy(*by, "_v").rowsBetween(Window.unboundedPreceding, 0))
+    before = F.sum("_c").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))  # one row per range
+    offsets = laid.groupBy("_pid").agg(F.sum("_c").alias("_c")).select("_pid", F.coalesce(before, F.lit(0)).alias("_off"))
+    spans = laid.withColumn("_in", inside).join(F.broadcast(offsets), "_pid")
+    return spans.select(*by, "_v", (F.col("_off") + F.col("_in") - F.col("_c")).alias("_start"),
+                        (F.col("_off") + F.col("_in")).alias("_end"))
+
+
+def percentiles_by_counts(df: DataFrame, value: str, probs: dict[str, float],
+                          by: list[str] | tuple[str, ...] = ()) -> DataFrame:
     by = list(by)
-    base = df.where(valid(value)).select(*by, F.col(value).cast("double").alias("_v"))
-    ranked = global_ordinals(base, [*by, "_v"], name="_ord")
-    stats = ranked.groupBy(*by).agg(F.min("_ord").alias("_g0"), F.count(F.lit(1)).alias("_n"))
-    prob_arr = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, p in probs.items()])
-    t = stats.select(*by, "_g0", "_n", F.explode(prob_arr).alias("_q"))
-    pos = F.col("_q.p") * (F.col("_n") - 1)
-    t = t.select(*by, F.col("_q.name").alias("_name"), (pos - F.floor(pos)).alias("_frac"),
-                 (F.col("_g0") + F.floor(pos)).cast("bigint").alias("_lo"),
-                 (F.col("_g0") + F.ceil(pos)).cast("bigint").alias("_hi"))
-    ends = t.select(*by, "_name", "_frac", F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("_lo").alias("o")),
-        F.struct(F.lit(1).alias("side"), F.col("_hi").alias("o")))).alias("_e"))
-    ends = ends.select(*by, "_name", "_frac", F.col("_e.side").alias("_side"), F.col("_e.o").alias("_ord"))
-    vals = ends.join(ranked.select("_ord", "_v"), "_ord")
-    per = (vals.groupBy(*by, "_name", "_frac")
-           .agg(F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("_vlo"),
-                F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("_vhi")))
-    per = per.withColumn("_val", F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac"))
-    out = per.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == n, F.col("_val"))).alias(n) for n in probs])
-    return out
+    spans = value_spans(df, value, by)
+    groups = spans.groupBy(*by).agg(F.min("_start").alias("_g0"), (F.max("_end") - F.min("_start")).alias("_n"))
+    groups = groups.select(*[F.col(b).alias(f"_by_{b}") for b in by], "_g0", "_n")
+    same = F.lit(True)
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
+    joined = spans.join(groups if by else F.broadcast(groups), same)  # without groups: one row
+    aggs, picks = [], []
+    for name, p in probs.items():
+        at = F.lit(float(p)) * (F.col("_n") - 1)
+        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            here = F.col("_g0") + rank
+            aggs.append(F.max(F.when((F.col("_start") <= here) & (here < F.col("_end")), F.col("_v"))).alias(f"_{side}_{name}"))
+        at = F.lit(float(p)) * (F.col("_m") - 1)
+        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        picks.append((low + (high - low) * (at - F.floor(at))).alias(name))
+    return joined.groupBy(*by).agg(F.max("_n").alias("_m"), *aggs).select(*by, *picks)
 
 
 def percentiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str] | tuple[str, ...] = (),
-                method: str = "auto") -> DataFrame:
+                method: str = "counts") -> DataFrame:
     """One row per group: ``by`` columns + one DOUBLE column per entry of ``probs`` (name -> probability)."""
-    if method not in ("auto", "exact", "rank", "approx"):
+    if method not in METHODS:
         raise ValueError(f"unknown percentile method {method!r}")
-    method = choose_method(df, value, by, method)
-    if method == "rank":
-        return percentiles_by_rank(df, value, probs, by)
+    if method == "counts":
+        return percentiles_by_counts(df, value, probs, by)
     return df.groupBy(*by).agg(*percentile_columns(value, probs, method))
-
-
-def choose_method(df: DataFrame, value: str, by: list[str] | tuple[str, ...] = (), method: str = "auto") -> str:
-    return choose_methods(df, [value], by, method)[value]
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of a plan (from file sizes; no job is run)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # estimate unavailable (e.g. some streaming or Python sources)
-        return None
-
-
-# Below this estimated input size the input cannot hold more distinct values than the built-in percentile's
-# per-group map handles comfortably (8 bytes per value at the very least), so no check job is needed.
-SMALL_INPUT_BYTES = 8 * MAX_EXACT_DISTINCT
-
-
-def choose_methods(df: DataFrame, values: list[str], by: list[str] | tuple[str, ...] = (),
-                   method: str = "auto", limit: int = MAX_EXACT_DISTINCT) -> dict[str, str]:
-    """The percentile method per column. ``auto``: inputs whose estimated size proves fewer than ``limit`` values
-    use the built-in directly; otherwise all columns' distinct counts are checked in one pass."""
-    if method != "auto":
-        return {v: method for v in values}
-    size = estimated_bytes(df)
-    if size is not None and size <= SMALL_INPUT_BYTES:
-        return {v: "exact" for v in values}
-    d = df.groupBy(*by).agg(*[F.approx_count_distinct(F.when(valid(v), F.col(v)), 0.05).alias(f"d{i}")
-                              for i, v in enumerate(values)])
-    row = d.agg(*[F.max(f"d{i}").alias(f"m{i}") for i in range(len(values))]).first()
-    out = {}
-    for i, v in enumerate(values):
-        m = None if row is None else row[f"m{i}"]
-        out[v] = "exact" if m is None or m <= limit else "rank"
-    return out

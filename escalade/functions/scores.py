@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from escalade.functions.quantiles import valid
+
 POOLING = ("cls", "mean", "max")
 MASK_FLOOR = 1e-9      # denominator clamp of the masked mean
 MASKED_VALUE = -1e9    # value given to masked positions before the max
@@ -16,9 +18,9 @@ def _c(x: Column | str) -> Column:
 
 
 def compare_responses(score_a: Column | str, score_b: Column | str) -> Column:
-    """'a' only when a > b (ties prefer 'b'); confidence = |a - b|."""
+    """'a' only when a > b (ties, and scores that are NaN, prefer 'b'); confidence = |a - b|."""
     a, b = _c(score_a), _c(score_b)
-    return F.struct(F.when(a > b, F.lit("a")).otherwise(F.lit("b")).alias("preferred"),
+    return F.struct(F.when(valid(a) & valid(b) & (a > b), F.lit("a")).otherwise(F.lit("b")).alias("preferred"),
                     F.abs(a - b).alias("confidence"))
 
 
@@ -28,8 +30,8 @@ def preference_probability(score_a: Column | str, score_b: Column | str) -> Colu
 
 
 def binary_prediction(score: Column | str, threshold: float = 0.5) -> Column:
-    """1.0 when the score is strictly above the threshold, else 0.0."""
-    return F.when(_c(score) > F.lit(threshold), F.lit(1.0)).otherwise(F.lit(0.0))
+    """1.0 when the score is strictly above the threshold, else 0.0 (also for NaN)."""
+    return F.when(valid(_c(score)) & (_c(score) > F.lit(threshold)), F.lit(1.0)).otherwise(F.lit(0.0))
 
 
 def pool_hidden_states(hidden: DataFrame, strategy: str = "mean", key: str = "id", pos: str = "pos", dim: str = "dim",

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from escalade.functions.hashing import mix32
+from escalade.functions.hashing import hash32
 from escalade.functions.ordinals import global_ordinals, global_ordinals_with_count
 from escalade.functions.text import adequacy_label
 
@@ -105,12 +105,12 @@ def prefix_split(df: DataFrame, order_by: list[Column | str], ratio: float = 0.9
 
 def random_split_exact(df: DataFrame, key: str, ratio: float = 0.9, seed: int = 42, name: str = "split") -> DataFrame:
     """A seeded random split with exact sizes: order by the portable hash of the key, then D1."""
-    return prefix_split(df, [mix32(F.col(key), seed), F.col(key)], ratio, name, "_rord").drop("_rord")
+    return prefix_split(df, [hash32(F.col(key), seed), F.col(key)], ratio, name, "_rord").drop("_rord")
 
 
 def shuffle(df: DataFrame, key: str, seed: int = 42, epoch: int = 0) -> DataFrame:
     """D3: a reproducible epoch order (distributed sort on the seeded hash; a new order per epoch)."""
-    return df.orderBy(mix32(F.col(key), seed * 1009 + epoch), F.col(key))
+    return df.orderBy(hash32(F.col(key), seed * 1009 + epoch), F.col(key))
 
 
 def assign_batches(df: DataFrame, order_by: list[Column | str], batch_size: int = 16, name: str = "batch_id") -> DataFrame:

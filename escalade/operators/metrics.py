@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from escalade.functions.joins import attach_row
-from escalade.functions.quantiles import choose_methods, percentile_columns, percentiles_by_rank, valid
+from escalade.functions.quantiles import percentile_columns, percentiles_by_counts, valid
 from escalade.schemas import BLENDED_STRONG_PER_M, Prices
 
 TOKEN_FIELDS = ("weak_input", "weak_output", "strong_input", "strong_output")
@@ -76,7 +76,7 @@ LENGTH_METRICS = ("avg_response_length", "median_response_length")
 
 
 def _metric_pass(results: DataFrame, routing: bool, quality: bool, strong_cost: float = BLENDED_STRONG_PER_M,
-                 baseline: str = "blended", prices: Prices = Prices(), percentile_method: str = "auto") -> DataFrame:
+                 baseline: str = "blended", prices: Prices = Prices(), percentile_method: str = "counts") -> DataFrame:
     """One aggregation pass computing the routing metrics (A1) and/or the quality metrics (A2).
 
     The inputs of every metric are projected once (``_lat``, ``_s``, ``_rl``, ``_base``), the percentile method is
@@ -113,15 +113,14 @@ def _metric_pass(results: DataFrame, routing: bool, quality: bool, strong_cost:
     if has_resp:
         aggs.append(F.avg("_rl").alias("avg_response_length"))
         pct["_rl"] = ("median_response_length", 0.5)
-    methods = choose_methods(src, list(pct), (), percentile_method)
-    rank_parts = []
+    parts = []
     for c, (name, p) in pct.items():
-        if methods[c] == "rank":
-            rank_parts.append(percentiles_by_rank(src, c, {name: p}))
+        if percentile_method == "counts":
+            parts.append(percentiles_by_counts(src, c, {name: p}))
         else:
-            aggs += percentile_columns(c, {name: p}, methods[c])
+            aggs += percentile_columns(c, {name: p}, percentile_method)
     out = src.agg(*aggs)
-    for part in rank_parts:
+    for part in parts:
         out = attach_row(out, part)
     return out
 
@@ -146,13 +145,13 @@ def _quality_columns(df: DataFrame) -> list[str]:
 
 
 def routing_metrics(results: DataFrame, strong_cost: float = BLENDED_STRONG_PER_M, baseline: str = "blended",
-                    prices: Prices = Prices(), percentile_method: str = "auto") -> DataFrame:
+                    prices: Prices = Prices(), percentile_method: str = "counts") -> DataFrame:
     """A1: twelve routing metrics in one row, one pass. Unknown ``model_used`` values count in the total only."""
     out = _metric_pass(results, True, False, strong_cost, baseline, prices, percentile_method)
     return out.select(*_routing_columns())
 
 
-def quality_metrics(results: DataFrame, percentile_method: str = "auto") -> DataFrame:
+def quality_metrics(results: DataFrame, percentile_method: str = "counts") -> DataFrame:
     """A2: score statistics over evaluated rows and response-length statistics; absent columns are skipped."""
     out = _metric_pass(results, False, True, percentile_method=percentile_method)
     return out.select(*_quality_columns(out))
@@ -174,11 +173,13 @@ _FORMATS = {
 
 
 def format_value(metric: Column, value: Column) -> Column:
-    """count with thousands separator, % with one decimal, $ with 2 or 4, ms with 0, quality with 3."""
-    expr = F.format_string("%.3f", value)
-    for kind, fmt in (("count", None), ("pct1", "%.1f%%"), ("usd2", "$%.2f"), ("usd4", "$%.4f"), ("ms0", "%.0fms")):
+    """count with thousands separator, % with one decimal, $ with 2 or 4, ms with 0, quality with 3; ties go to the
+    even digit (Java's formatter alone would round them up)."""
+    expr = F.format_string("%.3f", F.bround(value, 3))
+    for kind, fmt, digits in (("count", None, 0), ("pct1", "%.1f%%", 1), ("usd2", "$%.2f", 2), ("usd4", "$%.4f", 4),
+                              ("ms0", "%.0fms", 0)):
         names = [m for m, k in _FORMATS.items() if k == kind]
-        shown = F.format_number(value, 0) if fmt is None else F.format_string(fmt, value)
+        shown = F.format_number(value, 0) if fmt is None else F.format_string(fmt, F.bround(value, digits))
         expr = F.when(metric.isin(*names), shown).otherwise(expr)
     return F.when(value.isNull(), F.lit(None)).otherwise(expr)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from escalade.functions.hashing import mix32
+from escalade.functions.hashing import hash32
 from escalade.functions.ordinals import global_ordinals
 
 # Fixed values that must equal the reference's prompt generator: categories with their templates (in order),
@@ -42,7 +42,6 @@ TASKS = ("read a CSV file", "make an HTTP request", "parse JSON", "create a virt
 ERROR_TEXT = "ImportError: No module named 'foo'"
 
 DOMAINS = ("python",)
-TOP_K_MAX = 100_000  # up to here head_n uses a distributed top-k; beyond, exact ordinals + filter
 
 
 def _flat_templates():
@@ -69,10 +68,10 @@ def generate_prompts(ids: DataFrame, id_col: str = "id", seed: int = 0, domain:
         raise ValueError(f"unsupported domain {domain!r}")
     flat, offsets, lengths = _flat_templates()
     i = F.col(id_col)
-    cat = F.pmod(mix32(i, seed), F.lit(len(CATEGORIES))).cast("int")
-    within = F.pmod(mix32(i, seed + 1), F.element_at(_lits(lengths), cat + 1)).cast("int")
+    cat = F.pmod(hash32(i, seed), F.lit(len(CATEGORIES))).cast("int")
+    within = F.pmod(hash32(i, seed + 1), F.element_at(_lits(lengths), cat + 1)).cast("int")
     tpl = F.element_at(_lits(flat), F.element_at(_lits(offsets), cat + 1) + within + 1)
-    h2, h3 = mix32(i, seed + 2), mix32(i, seed + 3)
+    h2, h3 = hash32(i, seed + 2), hash32(i, seed + 3)
     a_idx = F.pmod(h2, F.lit(len(CONCEPTS))).cast("int")
     b_idx = F.pmod(a_idx + 1 + F.pmod(h3, F.lit(len(CONCEPTS) - 1)), F.lit(len(CONCEPTS))).cast("int")
     concept = F.element_at(_lits(CONCEPTS), a_idx + 1)
@@ -90,9 +89,7 @@ def head_n(df: DataFrame, n: int | None, order_by: list[Column | str]) -> DataFr
     """L1: the first ``n`` rows in ``order_by`` order; ``None`` or 0 means all rows."""
     if not n:
         return df
-    if n <= TOP_K_MAX:
-        return df.orderBy(*order_by).limit(int(n))  # TakeOrderedAndProject: per-partition top-n, tiny merge
-    return global_ordinals(df, order_by, name="_hn").where(F.col("_hn") < F.lit(int(n))).drop("_hn")
+    return global_ordinals(df, order_by, name="_hn").where(F.col("_hn") < F.lit(int(n))).drop("_hn").orderBy(*order_by)
 
 
 def load_prompts(df: DataFrame, prompt_column: str = "question", num_samples: int | None = None,

@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from escalade.functions.joins import attach_row, broadcast_if_small
-from escalade.functions.quantiles import (choose_method, percentile_columns, percentiles,
-                                         percentiles_by_rank, valid)
+from escalade.functions.joins import attach_row
+from escalade.functions.quantiles import percentile_columns, percentiles, percentiles_by_counts, valid
 from escalade.operators.metrics import baseline_cost, token
 from escalade.schemas import Prices
 
@@ -73,15 +72,13 @@ def cost_by_decision(results: DataFrame) -> DataFrame:
     return g.withColumn("total_contribution", _share("sum_cost", F.sum("sum_cost").over(Window.partitionBy())))
 
 
-def quality_summary(results: DataFrame, percentile_method: str = "auto") -> DataFrame:
-    """Evaluated rows, mean and median quality score (one pass unless the rank method is needed)."""
+def quality_summary(results: DataFrame, percentile_method: str = "counts") -> DataFrame:
+    """Evaluated rows, mean and median quality score."""
     ev = results.select(F.when(valid("weak_quality_score"), F.col("weak_quality_score")).alias("weak_quality_score"))
     aggs = [F.count("weak_quality_score").alias("evaluated"), F.avg("weak_quality_score").alias("mean_score")]
-    method = choose_method(ev, "weak_quality_score", (), percentile_method)
-    if method == "rank":
-        med = percentiles_by_rank(ev, "weak_quality_score", {"median_score": 0.5})
-        return attach_row(ev.agg(*aggs), med)
-    return ev.agg(*aggs, *percentile_columns("weak_quality_score", {"median_score": 0.5}, method))
+    if percentile_method == "counts":
+        return attach_row(ev.agg(*aggs), percentiles_by_counts(ev, "weak_quality_score", {"median_score": 0.5}))
+    return ev.agg(*aggs, *percentile_columns("weak_quality_score", {"median_score": 0.5}, percentile_method))
 
 
 def histogram(df: DataFrame, col: str, bins: int = 50, by: list[str] | tuple[str, ...] = (),
@@ -95,12 +92,10 @@ def histogram(df: DataFrame, col: str, bins: int = 50, by: list[str] | tuple[str
     # invalid values become NULL instead of being filtered: no predicate is pushed below the projection that
     # computes the column (which would evaluate its expression twice); NULLs drop out of min/max/count and bins
     v = df.select(*by, F.when(valid(col), F.col(col).cast("double")).alias("_x"))
-    # one row per group, used three times below: persisted so the input is scanned once for it (tiny)
     rng = (v.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count("_x").alias("n"))
-           .where(F.col("n") > 0)).persist()
+           .where(F.col("n") > 0))
     rng = rng.withColumn("width", (F.col("_hi") - F.col("_lo")) / F.lit(float(bins)))
-    side = broadcast_if_small(rng) if by else F.broadcast(rng)
-    j = v.join(side, by, "inner") if by else attach_row(v, rng)
+    j = v.join(rng, by, "inner") if by else attach_row(v, rng)
     b = (F.when(F.col("_x").isNull(), F.lit(None)).when(F.col("width") == 0, F.lit(0))
          .otherwise(F.least(F.floor((F.col("_x") - F.col("_lo")) / F.col("width")), F.lit(bins - 1))).cast("int"))
     counts = j.groupBy(*by, b.alias("bin")).agg(F.count(F.lit(1)).alias("count")).where(F.col("bin").isNotNull())
@@ -120,14 +115,14 @@ def threshold_counts(df: DataFrame, col: str, threshold: float) -> DataFrame:
     return df.agg(F.count_if(x < threshold).alias("below"), F.count_if(x >= threshold).alias("at_or_above"))
 
 
-def box_stats(df: DataFrame, group: str, col: str, percentile_method: str = "auto") -> DataFrame:
+def box_stats(df: DataFrame, group: str, col: str, percentile_method: str = "counts") -> DataFrame:
     """A10: five-number summary, IQR, 1.5*IQR fences, whiskers and outlier count per group."""
     v = df.where(valid(col)).select(group, F.col(col).cast("double").alias("_x"))
     q = percentiles(v, "_x", {"q1": 0.25, "median": 0.5, "q3": 0.75}, [group], percentile_method)
     q = q.select(group, "q1", "median", "q3", (F.col("q3") - F.col("q1")).alias("iqr"))
     q = q.select("*", (F.col("q1") - 1.5 * F.col("iqr")).alias("lower_fence"),
-                 (F.col("q3") + 1.5 * F.col("iqr")).alias("upper_fence")).persist()  # one row per group, used twice
-    j = v.join(broadcast_if_small(q), group)
+                 (F.col("q3") + 1.5 * F.col("iqr")).alias("upper_fence"))
+    j = v.join(q, group)
     inside = (F.col("_x") >= F.col("lower_fence")) & (F.col("_x") <= F.col("upper_fence"))
     agg = j.groupBy(group).agg(
         F.min("_x").alias("min"), F.max("_x").alias("max"), F.count(F.lit(1)).alias("n"),
@@ -138,7 +133,7 @@ def box_stats(df: DataFrame, group: str, col: str, percentile_method: str = "aut
                                      "upper_fence", "whisker_low", "whisker_high", "outliers")
 
 
-def latency_stats(results: DataFrame, percentile_method: str = "auto") -> DataFrame:
+def latency_stats(results: DataFrame, percentile_method: str = "counts") -> DataFrame:
     """Mean, median, P95, P99 latency per decision, rounded half-to-even to whole ms (pandas ``round``)."""
     m = results.where(valid("latency_ms")).groupBy("model_used").agg(F.avg("latency_ms").alias("mean"))
     p = percentiles(results, "latency_ms", {"median": 0.5, "p95": 0.95, "p99": 0.99}, ["model_used"],

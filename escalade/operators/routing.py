@@ -25,9 +25,10 @@ Scorer = Callable[[Column, Column], Column]  # (prompt, response) -> quality sco
 
 
 def route(win_rate: Column | str, threshold: float = ROUTER_THRESHOLD) -> Column:
-    """R1: 'strong' when the strong win rate is >= threshold (inclusive), else 'weak' (also when unknown)."""
+    """R1: 'strong' when the strong win rate is >= threshold (inclusive), else 'weak' (also when unknown or NaN, which
+    Spark would order above every number)."""
     w = F.col(win_rate) if isinstance(win_rate, str) else win_rate
-    return F.when(F.coalesce(w >= F.lit(threshold), F.lit(False)), F.lit("strong")).otherwise(F.lit("weak"))
+    return F.when(valid(w) & (w >= F.lit(threshold)), F.lit("strong")).otherwise(F.lit("weak"))
 
 
 def random_win_rate(key: Column | str, seed: int = 0) -> Column:
@@ -357,7 +358,7 @@ def preroute_vs_evaluator(decisions: DataFrame, win_rate: str = "win_rate",
     ``strong_response``. Per strategy: requests, strong %, total cost, mean evaluator score of the rows it serves
     weak, and agreement with the other strategy (% of rows with the same weak/strong outcome).
     """
-    pre_strong = F.coalesce(F.col(win_rate) >= F.lit(router_threshold), F.lit(False))
+    pre_strong = valid(win_rate) & (F.col(win_rate) >= F.lit(router_threshold))
     casc_strong = F.col("model_used").isin("strong", "weak_then_strong")
     pt = F.col("prompt_tokens")
     wc = (pt * prices.weak_input + token_count("weak_response") * prices.weak_output) / F.lit(1e6)

@@ -15,7 +15,7 @@ select pair_id, prompt,
        case when pair_id % 17 = 0 then '' else weak end as weak_response,
        case when pair_id % 17 = 0 then '' else strong end as strong_response,
        case when pair_id % 17 = 0 then 'timeout' end as error
-from (select conv_id * 1000 + turn as pair_id, text as prompt, ntext as strong,
+from (select conv_id * 4294967296 + turn as pair_id, text as prompt, ntext as strong,
              case (conv_id + turn) % 3
                when 0 then substr(ntext, 1, cast(floor(length(ntext) * 8e-1) as int))
                when 1 then substr(ntext, 1, 40)
@@ -74,7 +74,7 @@ select vec_id as query_id, embedding from embeddings where vec_id % 10 = 0"""),
     "chunks": ((), f"""
 select id, cast(seq as bigint) as seq, concat(word, ' ') as content, case when seq = 0 then 'assistant' end as role
 from (select id, unnest(range(len(tokens))) as seq, unnest(tokens) as word
-      from (select conv_id * 1000 + turn as id, {TOKENS} as tokens from conversations where role = 'assistant') a) b"""),
+      from (select conv_id * 4294967296 + turn as id, {TOKENS} as tokens from conversations where role = 'assistant') a) b"""),
 }
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from escalade.functions.hashing import mix32, mix32_sql
+from escalade.functions.hashing import hash32, hash32_sql
 from escalade.functions.ordinals import global_ordinals
 from escalade.operators import datasets as D
 from escalade.operators import prompts as P
@@ -23,13 +23,13 @@ def _list(values) -> str:
 
 def _p1_sql(seed: int = 0) -> str:
     flat, offsets, lengths = P._flat_templates()
-    cat = f"({mix32_sql('doc_id', seed)} % 4)"
-    within = f"({mix32_sql('doc_id', seed + 1)} % {_list_int(lengths)}[{cat} + 1])"
+    cat = f"({hash32_sql('doc_id', seed)} % 4)"
+    within = f"({hash32_sql('doc_id', seed + 1)} % {_list_int(lengths)}[{cat} + 1])"
     tpl = f"{_list(flat)}[{_list_int(offsets)}[{cat} + 1] + {within} + 1]"
-    a_idx = f"({mix32_sql('doc_id', seed + 2)} % 8)"
-    b_idx = f"(({a_idx} + 1 + {mix32_sql('doc_id', seed + 3)} % 7) % 8)"
+    a_idx = f"({hash32_sql('doc_id', seed + 2)} % 8)"
+    b_idx = f"(({a_idx} + 1 + {hash32_sql('doc_id', seed + 3)} % 7) % 8)"
     concept = f"{_list(P.CONCEPTS)}[{a_idx} + 1]"
-    task = f"{_list(P.TASKS)}[({mix32_sql('doc_id', seed + 2)} % 6) + 1]"
+    task = f"{_list(P.TASKS)}[({hash32_sql('doc_id', seed + 2)} % 6) + 1]"
     item_b = f"{_list(P.CONCEPTS)}[{b_idx} + 1]"
     err = "'" + P.ERROR_TEXT.replace("'", "''") + "'"
     prompt = tpl
@@ -146,7 +146,7 @@ def d1(spark, sf):
 
 @register("D2_random_split_exact", with_views(RP, f"""
 select pair_id,
-       case when row_number() over (order by {mix32_sql('pair_id', 42)}, pair_id) - 1
+       case when row_number() over (order by {hash32_sql('pair_id', 42)}, pair_id) - 1
                  < cast(trunc(count(*) over () * 9e-1) as bigint) then 'train' else 'val' end as split
 from response_pairs"""))
 def d2(spark, sf):
@@ -155,16 +155,16 @@ def d2(spark, sf):
 
 
 @register("D3_shuffle_epochs", with_views(RP, f"""
-select pair_id, 0::bigint as epoch, (row_number() over (order by {mix32_sql('pair_id', 42 * 1009)}, pair_id) - 1)::bigint as pos
+select pair_id, 0::bigint as epoch, (row_number() over (order by {hash32_sql('pair_id', 42 * 1009)}, pair_id) - 1)::bigint as pos
 from response_pairs
 union all
-select pair_id, 1, (row_number() over (order by {mix32_sql('pair_id', 42 * 1009 + 1)}, pair_id) - 1)::bigint
+select pair_id, 1, (row_number() over (order by {hash32_sql('pair_id', 42 * 1009 + 1)}, pair_id) - 1)::bigint
 from response_pairs"""))
 def d3(spark, sf):
     rp = fx.response_pairs(spark, sf).select("pair_id")
     parts = []
     for epoch in (0, 1):
-        o = global_ordinals(rp, [mix32(F.col("pair_id"), 42 * 1009 + epoch), F.col("pair_id")], name="pos")
+        o = global_ordinals(rp, [hash32(F.col("pair_id"), 42 * 1009 + epoch), F.col("pair_id")], name="pos")
         parts.append(o.select("pair_id", F.lit(epoch).cast("bigint").alias("epoch"), "pos"))
     return parts[0].unionByName(parts[1])
 

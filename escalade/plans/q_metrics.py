@@ -43,7 +43,7 @@ def a1_split(spark, sf):
 @register("A1_routing_metrics_rank_percentile", _A1_SQL)
 def a1_rank(spark, sf):
     """Same metrics through the distributed rank-based exact percentile (the path used for huge groups)."""
-    return rounded(M.routing_metrics(fx.routing_results(spark, sf), percentile_method="rank"), MONEY)
+    return rounded(M.routing_metrics(fx.routing_results(spark, sf), percentile_method="counts"), MONEY)
 
 
 _A2_SQL = with_views(["routing_results"], """

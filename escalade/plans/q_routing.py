@@ -170,7 +170,7 @@ def r7(spark, sf):
 def _cascade_input(spark, sf):
     rp = fx.response_pairs(spark, sf)
     cr = fx.chat_requests(spark, sf).select(F.col("request_id").alias("conv_id"), "force_model", "disable_evaluator")
-    return (rp.withColumn("conv_id", F.floor(F.col("pair_id") / 1000).cast("bigint")).join(cr, "conv_id")
+    return (rp.withColumn("conv_id", F.shiftright("pair_id", 32)).join(cr, "conv_id")
             .select(F.col("pair_id").alias("request_id"), "prompt", "weak_response", "strong_response",
                     "force_model", "disable_evaluator"))
 
@@ -192,7 +192,7 @@ from x"""
     ctes = [
         ("cin", """
 select p.pair_id as request_id, p.prompt, p.weak_response, p.strong_response, c.force_model, c.disable_evaluator
-from response_pairs p join chat_requests c on c.request_id = p.pair_id // 1000"""),
+from response_pairs p join chat_requests c on c.request_id = p.pair_id // 4294967296"""),
         ("c1", f"""
 select *, {routed_strong} as routed, {wr} as win_rate, {_toks('prompt')} as pt,
        {_toks('weak_response')} as wot, {_toks('strong_response')} as sot,
@@ -284,24 +284,24 @@ def r9(spark, sf):
 
 @register("J1_pair_responses", with_views(["response_pairs"], """
 select p.pair_id, length(p.weak_response)::bigint as weak_chars, length(s.text)::bigint as strong_chars
-from response_pairs p join (select conv_id * 1000 + turn - 1 as pair_id, text from conversations where role = 'assistant') s
+from response_pairs p join (select conv_id * 4294967296 + turn - 1 as pair_id, text from conversations where role = 'assistant') s
   using (pair_id)"""))
 def j1(spark, sf):
     weak = fx.response_pairs(spark, sf).select("pair_id", "weak_response")
     conv = load(spark, sf, "conversations").where(F.col("role") == "assistant")
-    strong = conv.select((F.col("conv_id") * 1000 + F.col("turn") - 1).alias("pair_id"), F.col("text").alias("strong"))
+    strong = conv.select((F.col("conv_id") * 4294967296 + F.col("turn") - 1).alias("pair_id"), F.col("text").alias("strong"))
     pairs, _, _ = R.pair_responses(weak, strong)
     return pairs.select("pair_id", F.length("weak_response").cast("bigint").alias("weak_chars"),
                         F.length("strong").cast("bigint").alias("strong_chars"))
 
 
 @register("J1_missing_weak", with_views(["response_pairs"], """
-select s.pair_id from (select conv_id * 1000 + turn - 1 as pair_id from conversations where role = 'assistant') s
+select s.pair_id from (select conv_id * 4294967296 + turn - 1 as pair_id from conversations where role = 'assistant') s
 anti join response_pairs p using (pair_id)"""))
 def j1_missing(spark, sf):
     weak = fx.response_pairs(spark, sf).select("pair_id", "weak_response")
     conv = load(spark, sf, "conversations").where(F.col("role") == "assistant")
-    strong = conv.select((F.col("conv_id") * 1000 + F.col("turn") - 1).alias("pair_id"))
+    strong = conv.select((F.col("conv_id") * 4294967296 + F.col("turn") - 1).alias("pair_id"))
     _, _, missing_weak = R.pair_responses(weak, strong)
     return missing_weak.select("pair_id")
 
@@ -336,7 +336,7 @@ def j4(spark, sf):
 def _model_requests(spark, sf):
     conv = load(spark, sf, "conversations").where(F.col("role") == "user")
     cr = fx.chat_requests(spark, sf).select(F.col("request_id").alias("conv_id"), "force_model", "disable_evaluator")
-    return conv.join(cr, "conv_id").select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"),
+    return conv.join(cr, "conv_id").select((F.col("conv_id") * 4294967296 + F.col("turn")).alias("request_id"),
                                            F.col("text").alias("prompt"), "force_model", "disable_evaluator")
 
 
@@ -375,7 +375,7 @@ from (select *, case when strong_called then prompt || ' ' || prompt end as sr,
                                      coalesce(need_weak and length(prompt) % 13 = 0, false) as werr
                               from (select *, not coalesce(force_model = 'strong', false) as need_weak from r) a) b) c) d) e) f""",
                                                      extra=[("r", """
-select u.conv_id * 1000 + u.turn as request_id, u.text as prompt, c.force_model, c.disable_evaluator
+select u.conv_id * 4294967296 + u.turn as request_id, u.text as prompt, c.force_model, c.disable_evaluator
 from conversations u join chat_requests c on c.request_id = u.conv_id where u.role = 'user'""")]))
 def r8_models(spark, sf):
     """The cascade calling injected models: weak only where the weak path is taken, strong only where needed."""

@@ -45,19 +45,22 @@ def st2_metrics(spark, sf):
                             "trigger_rate", "avg_latency_ms", "p95_latency_ms", "cost_usd"), ("cost_usd",))
 
 
-@register("ST2_window_cost_by_model_stream")
+@register("ST2_window_cost_by_model_stream", with_views(["routing_results"], """
+select strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') as window_start, model_used, count(*)::bigint as n,
+       round(sum(cost_usd), 9) as cost_usd
+from routing_results group by all"""))
 def st2_stream(spark, sf):
-    """Append mode with a 1-hour watermark: only windows closed by the watermark are emitted (rows-only check)."""
+    """Complete mode over the file stream: every window is in the result, closed by a watermark or not."""
     events = S.file_stream(spark, sf, "events.parquet")
     rr = fx.routing_results_from(events)
-    out = S.run_available_now(W.window_cost_by_model(rr, "1 day", watermark="1 hour"), "st2")
+    out = S.run_available_now(W.window_cost_by_model(rr, "1 day"), "st2", "complete")
     return rounded(out.select(F.date_format("window_start", _FMT).alias("window_start"), "model_used", "n",
                               "cost_usd"), ("cost_usd",))
 
 
 def _st3(spark, sf):
     conv = S.file_stream(spark, sf, "conversations.parquet")
-    req = conv.where(F.col("role") == "user").select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"))
+    req = conv.where(F.col("role") == "user").select((F.col("conv_id") * 4294967296 + F.col("turn")).alias("request_id"))
     from escalade.plans.q_routing import _cascade_input, _cascade_out, _containment_scorer
     responses = _cascade_input(spark, sf)
     d = S.cascade_stream(req, responses, "request_id", _containment_scorer, threshold=0.6)
@@ -72,19 +75,17 @@ def _register_st3():
 _register_st3()
 
 
-@register("ST1_assemble_chunks_stream")
+@register("ST1_assemble_chunks_stream", """
+with w as (select conv_id * 4294967296 + turn as id, list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t != '') as t
+  from conversations where role = 'assistant')
+select id, array_to_string(t, ' ') || ' ' as content, len(t)::bigint as n_chunks, 'assistant' as role from w where len(t) > 0""")
 def st1_stream(spark, sf):
-    """Chunk assembly on a stream in append mode: assistant turns of the conversations file arrive as word chunks
-    stamped one second apart (conversation c starts c minutes after a fixed origin); a completion is emitted once
-    its session (10 s gap) is closed by the 1-minute watermark (rows-only check: open sessions are not emitted)."""
+    """Chunk assembly on a stream in complete mode: assistant turns of the conversations file arrive as word chunks;
+    every completion is in the result."""
     conv = S.file_stream(spark, sf, "conversations.parquet").where(F.col("role") == "assistant")
-    words = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id",
-                        F.posexplode(F.filter(F.split("text", r"\s+"), lambda t: t != F.lit(""))).alias("seq", "w"))
-    created = (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(
-        mins=F.col("conv_id").cast("int"), secs=F.col("seq").cast("double")))
+    words = conv.select((F.col("conv_id") * 4294967296 + F.col("turn")).alias("id"),
+                        F.posexplode(F.array_remove(F.split("text", r"\s+"), "")).alias("seq", "w"))
     chunks = words.select("id", F.col("seq").cast("bigint").alias("seq"), F.concat("w", F.lit(" ")).alias("content"),
-                          F.when(F.col("seq") == 0, F.lit("assistant")).alias("role"), created.alias("created"))
-    out = C.assemble_chunks(chunks.withWatermark("created", "1 minute"), "id", None, finish=None,
-                            session_gap="10 seconds")
-    res = S.run_available_now(out.select("id", "content", "n_chunks", "role"), "st1")
-    return res
+                          F.when(F.col("seq") == 0, F.lit("assistant")).alias("role"))
+    out = C.assemble_chunks(chunks, "id", None, finish=None)
+    return S.run_available_now(out.select("id", "content", "n_chunks", "role"), "st1", "complete")

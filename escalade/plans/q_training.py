@@ -44,11 +44,11 @@ def _judge(prompt: str, response: str) -> float:
 
 def _user_prompts(spark, sf):
     c = load(spark, sf, "conversations").where(F.col("role") == "user")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), F.col("text").alias("prompt"))
+    return c.select((F.col("conv_id") * 4294967296 + F.col("turn")).alias("pair_id"), F.col("text").alias("prompt"))
 
 
 @register("U2_collect_responses", """
-select conv_id * 1000 + turn as pair_id,
+select conv_id * 4294967296 + turn as pair_id,
        case when length(text) % 13 = 0 then '' else substr(text, 1, 40) end as weak_response,
        text || ' ' || text as strong_response,
        case when length(text) % 13 = 0 then 'TimeoutError: simulated timeout' end as error

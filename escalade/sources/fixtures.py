@@ -40,9 +40,9 @@ def collected(spark: SparkSession, sf_dir: str) -> DataFrame:
     weak = (F.when(sel == 0, F.col("ntext").substr(F.lit(1), cut))
             .when(sel == 1, F.col("ntext").substr(F.lit(1), F.lit(40)))
             .otherwise(F.col("prompt")))
-    failed = F.pmod(F.col("conv_id") * 1000 + F.col("turn"), F.lit(17)) == 0  # simulated call failures
+    failed = F.pmod(F.col("conv_id") * 4294967296 + F.col("turn"), F.lit(17)) == 0  # simulated call failures
     return p.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"),
+        (F.col("conv_id") * 4294967296 + F.col("turn")).alias("pair_id"),
         "prompt",
         F.when(failed, F.lit("")).otherwise(weak).alias("weak_response"),
         F.when(failed, F.lit("")).otherwise(F.col("ntext")).alias("strong_response"),
@@ -158,7 +158,7 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = load(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
-    a = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), _tokens(F.col("text")).alias("tokens"))
+    a = conv.select((F.col("conv_id") * 4294967296 + F.col("turn")).alias("id"), _tokens(F.col("text")).alias("tokens"))
     b = a.select("id", F.posexplode("tokens").alias("seq", "word"))
     return b.select("id", F.col("seq").cast("bigint").alias("seq"), F.concat(F.col("word"), F.lit(" ")).alias("content"),
                     F.when(F.col("seq") == 0, F.lit("assistant")).alias("role"))

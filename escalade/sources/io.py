@@ -17,6 +17,9 @@ from escalade.schemas import ADEQUACY_SCHEMA, PAIRWISE_SCHEMA, TOKENS_USED
 
 READ_FORMATS = (".csv", ".json", ".jsonl", ".parquet")
 WRITE_FORMATS = ("csv", "json", "jsonl", "parquet")
+# Texts hold quotes and line breaks; Spark's CSV writer would also trim blanks by default. Blanks stay on reading too.
+CSV_READ = {"header": True, "multiLine": True, "escape": '"', "quote": '"'}
+CSV_WRITE = {"header": True, "escape": '"', "quote": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def _suffix(path: str) -> str:
@@ -34,10 +37,11 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     if schema is not None:
         r = r.schema(schema)
     if suf == ".csv":
-        return (r.option("header", True).option("multiLine", True).option("escape", '"').option("quote", '"')
-                .csv(path))
+        return r.options(**CSV_READ).csv(path)
     if suf == ".json":
-        return r.option("multiLine", True).json(path)
+        # JSON Lines (what write_table makes) stay splittable; only an array of records is read as whole files
+        first = spark.read.text(path).where(F.trim("value") != "").first()
+        return r.option("multiLine", first is not None and first["value"].lstrip().startswith("[")).json(path)
     if suf == ".jsonl":
         return r.json(path)
     return r.parquet(path)
@@ -50,9 +54,7 @@ def write_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "o
         raise ValueError(f"Unsupported format: {fmt}")
     w = df.write.mode(mode)
     if fmt == "csv":
-        # Spark's CSV writer trims leading/trailing blanks by default; texts must round-trip unchanged
-        (w.option("header", True).option("escape", '"').option("quote", '"')
-         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+        w.options(**CSV_WRITE).csv(path)
     elif fmt in ("json", "jsonl"):
         w.json(path)
     else:
@@ -62,15 +64,21 @@ def write_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "o
 def write_datasets(pairs_adequacy: DataFrame | None, pairs_pairwise: DataFrame | None, out_dir: str,
                    order_by: str = "pair_id", ratio: float = 0.9, fmt: str = "parquet") -> dict[str, str]:
     """Split each dataset (D1 prefix split) and write ``<kind>`` directories partitioned by ``split``
-    (train / val) — the four outputs of the reference as two partitioned tables."""
+    (train / val) — the four outputs of the reference as two partitioned tables. Folders carry the format as their
+    suffix, so S5 and S6 read them (``split`` comes from the folder names)."""
+    if fmt not in WRITE_FORMATS:
+        raise ValueError(f"Unsupported format: {fmt}")
     out = {}
     for kind, df in (("adequacy", pairs_adequacy), ("pairwise", pairs_pairwise)):
         if df is None:
             continue
         s = prefix_split(df, [order_by], ratio).drop("ord")
-        path = f"{out_dir.rstrip('/')}/{kind}"
+        path = f"{out_dir.rstrip('/')}/{kind}.{fmt}"
         w = s.write.mode("overwrite").partitionBy("split")
-        (w.option("header", True).csv(path) if fmt == "csv" else w.format(fmt).save(path))
+        if fmt == "csv":
+            w.options(**CSV_WRITE).csv(path)
+        else:
+            w.format("json" if fmt == "jsonl" else fmt).save(path)
         out[kind] = path
     return out
 

@@ -8,17 +8,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def load(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """Scan one driver table. With ``spread``, a scan that yields fewer splits than the cluster has cores (a small
-    single-row-group file) is round-robin repartitioned so per-row work (JSON parsing, tokenising) runs on every
-    core; a large table already has enough splits and is returned untouched (no extra shuffle). Round-robin
-    (sorted locally first by Spark, so a retried task gets the same rows) needs no key column, so column pruning
-    of the scan is unchanged."""
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Scan one driver table."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if spread:
-        target = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < target:
-            df = df.repartition(target)
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -31,8 +31,8 @@ def window_metrics(results: DataFrame, window: str = "1 day", watermark: str | N
                    exact: bool = False) -> DataFrame:
     """Per window: requests, strong %, evaluator trigger rate, mean and P95 latency, cost.
 
-    ``exact`` (batch only) computes the P95 with :func:`percentiles` per window (built-in when the distinct check
-    allows, otherwise the distributed rank method), so a busy window is never one task's value map."""
+    ``exact`` (batch only) computes the P95 with :func:`percentiles` per window (from value counts), so a busy window is
+    never one task's value map."""
     df = _prep(results, ts, watermark)
     mu = F.col("model_used")
     lat = F.when(valid("latency_ms"), F.col("latency_ms"))

@@ -6,31 +6,45 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from escalade.operators.routing import Scorer, cascade
 from escalade.schemas import CASCADE_THRESHOLD
 from escalade.session import scratch_path
 
 
-def run_available_now(stream: DataFrame, name: str, output_mode: str = "append", fmt: str = "parquet",
-                      timeout_s: int = 600) -> DataFrame:
-    """Process everything available, write it with the exactly-once file sink (append) or keep it in memory
-    (update/complete, tests), and return the result as a batch DataFrame."""
+def run_available_now(stream: DataFrame, name: str, output_mode: str = "append", fmt: str = "parquet") -> DataFrame:
+    """Process everything available to the end, write it with the exactly-once file sink (append), as one table that
+    each micro-batch replaces (complete), or keep it in memory (``memory``: tests), and return the result as a batch
+    DataFrame. A query that fails raises; there is no time limit after which a partial result would be returned."""
     spark = stream.sparkSession
     ck = scratch_path(spark, f"{name}-checkpoint")
     if fmt == "memory":
         table = f"{name}_{uuid.uuid4().hex[:8]}"
         q = (stream.writeStream.format("memory").queryName(table).outputMode(output_mode)
              .option("checkpointLocation", ck).trigger(availableNow=True).start())
-        q.awaitTermination(timeout_s)
+        _finish(q)
         return spark.table(table)
     out = scratch_path(spark, f"{name}-out")
+    if output_mode == "complete":
+        # every micro-batch holds the whole result table: the last one written is the answer
+        q = (stream.writeStream.outputMode("complete").option("checkpointLocation", ck).trigger(availableNow=True)
+             .foreachBatch(lambda batch, _: batch.write.mode("overwrite").format(fmt).save(out)).start())
+        _finish(q)
+        return spark.read.format(fmt).load(out)
     q = (stream.writeStream.format(fmt).outputMode(output_mode).option("path", out)
          .option("checkpointLocation", ck).trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
+    _finish(q)
     return spark.read.format(fmt).load(out)
 
 
+def _finish(query: StreamingQuery) -> None:
+    """Wait for the end of all available data; a failed query raises its error."""
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+
+
 def cascade_stream(requests: DataFrame, responses: DataFrame, key: str, scorer: Scorer | None = None,
                    threshold: float = CASCADE_THRESHOLD, **kw) -> DataFrame:
     """ST3: the R8 cascade on a request stream: stream-static join to the responses, then the same stateless

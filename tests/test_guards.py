@@ -1,4 +1,4 @@
-"""The size guards behind broadcasts, percentile methods and the checkpoint-directory contract."""
+"""Percentiles with hot values, and the checkpoint-directory contract."""
 
 import math
 import os
@@ -8,29 +8,19 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from escalade.functions import joins as J
 from escalade.functions import quantiles as QN
 
 
-def test_broadcast_if_small_paths(spark, monkeypatch):
-    small = spark.range(10).withColumn("k", F.col("id") % 3).groupBy("k").count()
-    plan = spark.range(100).withColumn("k", F.col("id") % 3).join(J.broadcast_if_small(small), "k")
-    assert "BroadcastHashJoin" in plan._jdf.queryExecution().executedPlan().toString()
-    monkeypatch.setattr(J, "BROADCAST_MAX_BYTES", 0)      # estimate no longer proves the bound -> count it
-    monkeypatch.setattr(J, "BROADCAST_MAX_ROWS", 2)       # 3 groups > 2 rows -> no forced broadcast
-    side = J.broadcast_if_small(small)
-    assert side.count() == 3
-
-
-def test_percentile_auto_switches_to_rank(spark, monkeypatch):
-    rows = [(g, float(i)) for g in "ab" for i in range(200)]
-    df = spark.createDataFrame(rows, "g string, x double")
-    exact = {r["g"]: r["p"] for r in QN.percentiles(df, "x", {"p": 0.9}, ["g"], "exact").collect()}
-    monkeypatch.setattr(QN, "SMALL_INPUT_BYTES", 0)       # skip the estimate shortcut
-    assert QN.choose_methods(df, ["x"], ["g"], "auto", limit=10) == {"x": "rank"}   # 200 distinct > 10
-    assert QN.choose_methods(df, ["x"], ["g"], "auto") == {"x": "exact"}              # within the bound
-    rank = {r["g"]: r["p"] for r in QN.percentiles(df, "x", {"p": 0.9}, ["g"], "rank").collect()}
-    assert all(math.isclose(exact[g], rank[g]) for g in "ab")
+def test_percentiles_without_a_hot_task(spark):
+    """90 % equal values: the value is one row before the layout, so no range holds most rows."""
+    df = spark.range(20000).select((F.col("id") % 2).alias("g"), F.when(F.col("id") % 10 > 0, 7.0).otherwise(F.col("id") * 1.0).alias("x"))
+    probs = {"a": 0.05, "b": 0.5, "c": 0.95, "d": 1.0, "e": 0.0}
+    for by in (["g"], []):
+        got = sorted(map(tuple, QN.percentiles(df, "x", probs, by).collect()))
+        want = sorted(map(tuple, QN.percentiles(df, "x", probs, by, "builtin").collect()))
+        assert len(got) == len(want) and all(math.isclose(p, q) for r, s in zip(got, want) for p, q in zip(r, s))
+    spans = QN.value_spans(df, "x", ["g"])
+    assert spans.count() == df.select("g", "x").distinct().count()
 
 
 def test_checkpoint_dir_is_read_from_the_session():

@@ -48,7 +48,7 @@ decisions = st.sampled_from(["weak", "strong", "weak_then_strong", "other"])
 def test_routing_metrics_brute_force(spark, rows):
     df = spark.createDataFrame(rows, "model_used string, cost_usd double, latency_ms double, weak_input long, "
                                      "weak_output long, strong_input long, strong_output long")
-    r = M.routing_metrics(df, percentile_method="exact").first()
+    r = M.routing_metrics(df, percentile_method="builtin").first()
     n = len(rows)
     assert r["total_requests"] == n
     assert r["weak_only"] + r["strong_only"] + r["weak_then_strong"] <= n
@@ -60,7 +60,7 @@ def test_routing_metrics_brute_force(spark, rows):
     lo, hi = math.floor(pos), math.ceil(pos)
     p95 = lat[lo] + (lat[hi] - lat[lo]) * (pos - lo)
     assert math.isclose(r["p95_latency_ms"], p95, rel_tol=1e-9, abs_tol=1e-9)
-    r2 = M.routing_metrics(df, percentile_method="rank").first()
+    r2 = M.routing_metrics(df, percentile_method="counts").first()
     assert math.isclose(r2["p95_latency_ms"], p95, rel_tol=1e-9, abs_tol=1e-9)
 
 

@@ -92,8 +92,8 @@ def test_rank_percentiles_equal_builtin(spark):
     rows = [(random.choice("abc"), random.random() * 100) for _ in range(3000)] + [("a", None), ("b", float("nan"))]
     df = spark.createDataFrame(rows, "g string, x double")
     probs = {"p25": 0.25, "p50": 0.5, "p95": 0.95, "p99": 0.99}
-    a = {r["g"]: r for r in percentiles(df, "x", probs, ["g"], "exact").collect()}
-    b = {r["g"]: r for r in percentiles(df, "x", probs, ["g"], "rank").collect()}
+    a = {r["g"]: r for r in percentiles(df, "x", probs, ["g"], "builtin").collect()}
+    b = {r["g"]: r for r in percentiles(df, "x", probs, ["g"], "counts").collect()}
     for g in "abc":
         for k in probs:
             assert math.isclose(a[g][k], b[g][k], rel_tol=1e-12)
@@ -107,7 +107,7 @@ RESULT_SCHEMA = ("model_used string, cost_usd double, latency_ms double, weak_qu
 
 def test_metrics_empty_table(spark):
     df = spark.createDataFrame([], RESULT_SCHEMA)
-    r = M.routing_metrics(df, percentile_method="exact").first()
+    r = M.routing_metrics(df, percentile_method="builtin").first()
     assert r["total_requests"] == 0 and r["strong_percentage"] is None and r["avg_cost_per_request"] is None
 
 
@@ -115,7 +115,7 @@ def test_metrics_unknown_model_and_nan(spark):
     rows = [("weak", 1e-6, 10.0, 0.5, 1, 1, 0, 0), ("other", 2e-6, 20.0, float("nan"), 1, 1, 1, 1),
             ("strong", 3e-6, 30.0, None, 0, 0, 1, 1)]
     df = spark.createDataFrame(rows, RESULT_SCHEMA)
-    r = M.routing_metrics(df, percentile_method="exact").first()
+    r = M.routing_metrics(df, percentile_method="builtin").first()
     assert (r["total_requests"], r["weak_only"], r["strong_only"], r["weak_then_strong"]) == (3, 1, 1, 0)
     q = M.quality_metrics(df).first()
     assert q["avg_weak_quality_score"] == 0.5 and "avg_response_length" not in q.asDict()
