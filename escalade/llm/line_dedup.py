@@ -35,6 +35,7 @@ from escalade.llm.common import checked_broadcast, ready, words_of
 _P = (1 << 61) - 1
 _BLOCK = 32
 _LAST = (1 << 63) - 1
+_LINES = 1 << 32  # lines of a document, at most (a text has fewer characters)
 
 
 def _sum(xs: Column) -> Column:
@@ -56,6 +57,11 @@ def near_words_apart(a: Column, b: Column) -> Column:
     return (longer - shorter <= 1) & (both >= longer - 1)
 
 
+def place_of(doc: Column, line_no: Column) -> Column:
+    """A line's place in the order of documents and lines, as one number (aggregates of numbers stay in hash tables)."""
+    return doc.cast("decimal(20,0)") * F.lit(_LINES).cast("decimal(10,0)") + line_no
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc, text_key, line_no, words) of every line of (doc, text)."""
     lines = docs.select("doc", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n", -1))
@@ -63,20 +69,20 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return lines.select("doc", "text_key", "line_no", words_of(F.col("line")).alias("words"))
 
 
-def _half_keys(words: Column, n: Column) -> Column:
+def _half_keys(words: Column, n: Column) -> list[Column]:
     """Hashes of the first and last m words, for m = half of n and half of n - 1."""
     def key(side: int, m: Column) -> Column:
         part = F.slice(words, F.lit(1), m) if side == 0 else F.slice(words, n - m + 1, m)
         return F.xxhash64(F.lit(side), m, part)
     big, small = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    return F.array_distinct(F.array(key(0, big), key(1, big), key(0, small), key(1, small)))
+    return [key(0, big), key(1, big), key(0, small), key(1, small)]
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """(key, place, at) of the deletion neighbourhoods of (at, words); place 0 is the whole line."""
+    """(key, place, at, k1) of the deletion neighbourhoods of (at, k1, words); place 0 is the whole line."""
     salted = lambda shift: F.transform("words", lambda w, i: F.pmod(F.xxhash64(w, i - shift), F.lit(_P)))
-    rows = lines.select("at", F.size("words").alias("n"), salted(0).alias("g"), salted(1).alias("h"))
-    rows = rows.select("at", "n", "g", "h", _sum(F.col("g")).alias("whole"), _sum(F.col("h")).alias("shifted"),
+    rows = lines.select("at", "k1", F.size("words").alias("n"), salted(0).alias("g"), salted(1).alias("h"))
+    rows = rows.select("at", "k1", "n", "g", "h", _sum(F.col("g")).alias("whole"), _sum(F.col("h")).alias("shifted"),
                        _blocks(F.col("g"), F.col("n")).alias("gb"), _blocks(F.col("h"), F.col("n")).alias("hb"))
     rows = rows.withColumn("gs", F.transform("gb", _sum)).withColumn("hs", F.transform("hb", _sum))
     before = lambda sums: F.transform(F.sequence(F.lit(1), F.size(sums)), lambda i: _sum(F.slice(sums, 1, i - 1)))
@@ -90,12 +96,12 @@ def variants(lines: DataFrame) -> DataFrame:
 
     keys = F.concat(F.array(F.struct(F.col("whole").alias("key"), F.lit(0).alias("place"))),
                     F.transform(F.sequence(F.lit(1), F.col("n")), lambda p: F.struct(without(p).alias("key"), p.alias("place"))))
-    return rows.select("at", F.explode(keys).alias("v")).select("v.key", "v.place", "at")
+    return rows.select("at", "k1", F.explode(keys).alias("v")).select("v.key", "v.place", "at", "k1")
 
 
 def earliest_near(lines: DataFrame) -> DataFrame:
-    """(at, first): for (at, words) of distinct lines, the earliest near line where one is earlier, before
-    verification."""
+    """(at, k1, first): for (at, k1, words) of distinct lines, the place of the earliest near line where one is earlier,
+    before verification."""
     v = variants(lines).repartition("key")
     by_place = v.groupBy("key", "place").agg(F.min("at").alias("m"), F.count(F.lit(1)).alias("c"))
     by_key = by_place.groupBy("key").agg(F.min(F.when(F.col("place") == 0, F.col("m"))).alias("whole"),
@@ -103,36 +109,40 @@ def earliest_near(lines: DataFrame) -> DataFrame:
                                          F.sum("c").alias("c")).filter("c > 1").drop("c")
     met = v.join(by_key, "key").join(by_place.drop("c"), ["key", "place"])
     found = F.when(F.col("place") == 0, F.col("cut")).otherwise(F.least("m", "whole"))
-    return (met.select("at", found.alias("first")).filter(F.col("first") < F.col("at"))
-            .groupBy("at").agg(F.min("first").alias("first")))
+    return (met.select("at", "k1", found.alias("first")).filter(F.col("first") < F.col("at"))
+            .groupBy("at", "k1").agg(F.min("first").alias("first")))
 
 
 def repeated_lines(docs: DataFrame, min_words: int = 5, near_words: int = 10) -> DataFrame:
     """(doc, text_key, line_no) of the lines of (doc, text) to remove, and where the line that stays for each begins:
     (kept_doc, kept_line). A line may point to one that goes itself for an earlier one."""
     words, n = F.col("words"), F.size("words")
+    at = place_of(F.col("doc"), F.col("line_no"))
+    keys = [F.when(n >= near_words, key).alias(f"half{i}") for i, key in enumerate(_half_keys(words, n))]
     lines = (lines_of(docs).filter(n >= min_words)
-             .select("doc", "text_key", "line_no", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"),
-                     F.when(n >= near_words, _half_keys(words, n)).alias("halves")))
-    groups = lines.groupBy("k1", "k2").agg(
-        F.min(F.struct("doc", "line_no", "text_key")).alias("at"), F.count(F.lit(1)).alias("c"),
-        F.max("halves").alias("halves")).checkpoint()
-    halves = groups.filter("halves is not null").select("at", F.explode("halves").alias("half")).repartition("half")
-    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("half")
-    places = halves.join(shared, "half").select("at").distinct().checkpoint()
-    wanted = checked_broadcast(places.select("at.doc", "at.line_no", "at.text_key"), 32)
-    texts = lines_of(docs).join(wanted, ["doc", "line_no", "text_key"]).select(
-        F.struct("doc", "line_no", "text_key").alias("at"), "words").dropDuplicates(["at"]).checkpoint()
+             .select("doc", "text_key", "line_no", at.alias("at"), F.xxhash64("words").alias("k1"),
+                     F.xxhash64(F.lit(1), "words").alias("k2"), *keys))
+    halves = [f"half{i}" for i in range(4)]
+    groups = lines.groupBy("k1", "k2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("c"),
+                                           *[F.max(h).alias(h) for h in halves]).checkpoint()
+    each = (groups.filter("half0 is not null").select("at", "k1", F.explode(F.array_distinct(F.array(*halves))).alias("half"))
+            .repartition("half"))
+    shared = each.groupBy("half").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("half")
+    places = each.join(shared, "half").select("at", "k1").distinct().checkpoint()
+    texts = (lines_of(docs).filter(n >= near_words).select(at.alias("at"), F.xxhash64("words").alias("k1"), "words")
+             .join(checked_broadcast(places, 40), ["at", "k1"]).dropDuplicates(["at", "k1"]).checkpoint())
     pairs = earliest_near(texts)
     ours, theirs = texts.withColumnRenamed("words", "a"), texts.select(F.col("at").alias("first"), F.col("words").alias("b"))
-    near = (pairs.join(ours, "at").join(theirs, "first").filter(near_words_apart(F.col("a"), F.col("b")))
-            .select("at", F.col("first").alias("near")))
-    gone = groups.select("k1", "k2", "at", "c").join(near, "at", "left").filter("c > 1 or near is not null")
-    here = F.struct("doc", "line_no", "text_key")
-    kept = F.coalesce("near", "at")
-    return (lines.join(gone.select("k1", "k2", "at", "near"), ["k1", "k2"])
-            .filter((here != F.col("at")) | F.col("near").isNotNull())
-            .select("doc", "text_key", "line_no", kept["doc"].alias("kept_doc"), kept["line_no"].alias("kept_line")))
+    near = (pairs.join(ours, ["at", "k1"]).join(theirs, "first").filter(near_words_apart(F.col("a"), F.col("b")))
+            .select("at", "k1", F.col("first").alias("near")).distinct())
+    gone = groups.select("k1", "k2", "at", "c").join(near, ["at", "k1"], "left").filter("c > 1 or near is not null")
+    gone = gone.select("k1", "k2", F.col("at").alias("first_at"), "near")
+    kept = F.coalesce("near", "first_at")
+    kept_line = (kept % F.lit(_LINES)).cast("bigint")
+    return (lines.select("doc", "text_key", "line_no", "at", "k1", "k2").join(gone, ["k1", "k2"])
+            .filter((F.col("at") != F.col("first_at")) | F.col("near").isNotNull())
+            .select("doc", "text_key", "line_no", ((kept - kept_line) / F.lit(_LINES)).cast("bigint").alias("kept_doc"),
+                    kept_line.alias("kept_line")))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 5, near_words: int = 10, id_col: str = "doc_id",
