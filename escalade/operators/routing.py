@@ -99,108 +99,58 @@ def query_model_similarity(queries: DataFrame, models: DataFrame, emb: str = "em
 
 # ---------------------------------------------------------------- similarity-weighted router
 
-SW_BROADCAST_MAX_ROWS = 200_000   # battles x dim floats broadcast to every task when within this bound
-SW_BLOCK_ROWS = 2048
-SW_CELLS_PER_PRODUCT = 1 << 22   # at most 4M cosines (32 MB) in memory per matrix product
-
-
-def _unit_rows(m: np.ndarray) -> np.ndarray:
+def _unit_rows(vectors) -> np.ndarray:
+    m = np.vstack([np.asarray(v, dtype=np.float64) for v in vectors])
     n = np.linalg.norm(m, axis=1, keepdims=True)
     n[n == 0] = 1.0
     return m / n
 
 
 def sw_win_rate(queries: DataFrame, battles: DataFrame, gamma: float = 10.0, q_id: str = "query_id",
-                emb: str = "embedding", win: str = "strong_wins", max_broadcast_rows: int = SW_BROADCAST_MAX_ROWS,
-                block_rows: int = SW_BLOCK_ROWS) -> DataFrame:
+                emb: str = "embedding", win: str = "strong_wins", battle_id: str = "battle_id",
+                query_rows: int = 2048, battle_rows: int = 8192) -> DataFrame:
     """Per query, weight every past battle by gamma^(1 + cos / max cos) and take the weighted strong win rate.
 
-    Every (query, battle) cosine is needed, so the work is a dense product; it is never materialised as pair
-    rows. Battles within ``max_broadcast_rows`` (checked with one count) are broadcast once and each query
-    partition does one matrix product (``mapInPandas``, Arrow batches). Larger battle tables are cut into blocks
-    of ``block_rows``; query blocks meet battle blocks through an equi-join on the block id and two passes
-    (max cosine, then weighted sums) are reduced per query with partial aggregation.
+    Every (query, battle) cosine is needed, so the work is a dense product; it is never materialised as pair rows. Queries
+    and battles are dealt by a hash of their ids into groups of bounded size, and each cell of the grid is one matrix
+    product. Two passes (the maximum cosine, then the weighted sums with it) are reduced per query by partial
+    aggregation. Equal embeddings have different ids, so they don't meet in one group.
+
+    Without battles the rate and the maximum are NULL. If no battle has a positive cosine, dividing by the maximum would turn
+    the order round (or be undefined): then all battles weigh the same. Rows without an embedding get NULL.
     """
-    n_battles = battles.count()
-    if n_battles <= max_broadcast_rows:
-        return _sw_broadcast(queries, battles, gamma, q_id, emb, win)
-    return _sw_blocked(queries, battles, gamma, q_id, emb, win, n_battles, block_rows)
-
-
-def _sw_broadcast(queries, battles, gamma, q_id, emb, win):
-    spark = queries.sparkSession
-    rows = battles.select(emb, win).toPandas()  # bounded by the check above
-    bm = _unit_rows(np.vstack(rows[emb].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
-                    if len(rows) else np.zeros((0, 1)))
-    bw = rows[win].to_numpy(dtype=np.float64)
-    bc = spark.sparkContext.broadcast((bm, bw))
-    lg = float(np.log(gamma))
-    # queries per matrix product, so one (queries x battles) block stays within SW_CELLS_PER_PRODUCT doubles
-    step = max(1, SW_CELLS_PER_PRODUCT // max(1, bm.shape[0]))
-
-    def per_partition(it):
-        mat, wins = bc.value
-        for pdf in it:
-            for lo in range(0, len(pdf), step):
-                part = pdf.iloc[lo:lo + step]
-                q = _unit_rows(np.vstack(part[emb].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy()))
-                cos = q @ mat.T
-                mx = cos.max(axis=1, keepdims=True) if mat.shape[0] else np.full((len(q), 1), np.nan)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    w = np.exp(lg * (1.0 + cos / mx))
-                    rate = (w @ wins) / w.sum(axis=1)
-                yield pd.DataFrame({q_id: part[q_id].to_numpy(), "win_rate": rate, "max_cos": mx[:, 0]})
-
-    schema = T.StructType([T.StructField(q_id, queries.schema[q_id].dataType), T.StructField("win_rate", T.DoubleType()),
-                           T.StructField("max_cos", T.DoubleType())])
-    return queries.select(q_id, emb).mapInPandas(per_partition, schema)
-
-
-def _vecs(rows, emb: str) -> np.ndarray:
-    return _unit_rows(np.vstack([np.asarray(r[emb], dtype=np.float64) for r in rows]))
-
-
-def _sw_blocked(queries, battles, gamma, q_id, emb, win, n_battles, block_rows):
-    """Blocked product: (query block, battle block) pairs meet through an equi-join on the battle-block id; each
-    pair is one ``applyInPandas`` call on two bounded blocks. Pass 1 reduces max cosine per query, pass 2 the
-    weighted sums with that max."""
-    n_bb = max(1, -(-n_battles // block_rows))
-    n_qb = max(1, -(-queries.count() // block_rows))
-    bblocks = (battles.select(F.pmod(F.xxhash64(F.col(emb).cast("string"), F.col(win)), F.lit(n_bb)).alias("bb"),
-                              emb, win)
-               .groupBy("bb").agg(F.collect_list(F.struct(emb, win)).alias("brows")))
-    qb = queries.select(F.pmod(F.xxhash64(F.col(q_id)), F.lit(n_qb)).alias("qb"), q_id, emb)
-    qt = queries.schema[q_id].dataType
-    lg = float(np.log(gamma))
-
-    def pairs(qcols):
-        qblocks = qb.groupBy("qb").agg(F.collect_list(F.struct(*qcols)).alias("qrows"))
-        rep = qblocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_bb - 1))).alias("bb"))
-        return rep.join(bblocks, "bb")
-
-    def pass1(pdf: pd.DataFrame) -> pd.DataFrame:
-        qrows, brows = pdf["qrows"].iloc[0], pdf["brows"].iloc[0]
-        cos = _vecs(qrows, emb) @ _vecs(brows, emb).T
-        return pd.DataFrame({q_id: [r[q_id] for r in qrows], "m": cos.max(axis=1)})
-
-    s1 = T.StructType([T.StructField(q_id, qt), T.StructField("m", T.DoubleType())])
-    mx = (pairs([q_id, emb]).groupBy("qb", "bb").applyInPandas(pass1, s1)
-          .groupBy(q_id).agg(F.max("m").alias("max_cos")))
-    qb = qb.join(mx, q_id)
-
-    def pass2(pdf: pd.DataFrame) -> pd.DataFrame:
-        qrows, brows = pdf["qrows"].iloc[0], pdf["brows"].iloc[0]
-        cos = _vecs(qrows, emb) @ _vecs(brows, emb).T
-        m = np.asarray([r["max_cos"] for r in qrows], dtype=np.float64)[:, None]
-        bw = np.asarray([r[win] for r in brows], dtype=np.float64)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            w = np.exp(lg * (1.0 + cos / m))
-        return pd.DataFrame({q_id: [r[q_id] for r in qrows], "sw": w @ bw, "s": w.sum(axis=1)})
-
-    s2 = T.StructType([T.StructField(q_id, qt), T.StructField("sw", T.DoubleType()), T.StructField("s", T.DoubleType())])
-    sums = (pairs([q_id, emb, "max_cos"]).groupBy("qb", "bb").applyInPandas(pass2, s2)
-            .groupBy(q_id).agg(F.sum("sw").alias("sw"), F.sum("s").alias("s")))
-    return sums.join(mx, q_id).select(q_id, F.try_divide(F.col("sw"), F.col("s")).alias("win_rate"), "max_cos")
+    q = queries.select(F.col(q_id).alias("q"), F.col(emb).alias("e")).where("e is not null")
+    b = battles.select(F.col(battle_id).alias("b"), F.col(emb).alias("e"), F.col(win).cast("double").alias("w")).where(
+        "e is not null and w is not null")
+    grid_q, grid_b = max(1, -(-q.count() // query_rows)), max(1, -(-b.count() // battle_rows))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cells = b.select("e", "w", deal("b", grid_b).alias("cb"), every(grid_q).alias("cq"))
+    lg, qt = float(np.log(gamma)), queries.schema[q_id].dataType
+
+    def meet(rows: DataFrame, fn, *out: str) -> DataFrame:
+        left = rows.withColumns({"cq": deal("q", grid_q), "cb": every(grid_b)})
+        schema = T.StructType([T.StructField("q", qt), *[T.StructField(o, T.DoubleType()) for o in out]])
+        return left.groupBy("cq", "cb").cogroup(cells.groupBy("cq", "cb")).applyInPandas(fn, schema)
+
+    def most(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame({"q": x["q"][:0], "m": np.empty(0)})
+        return pd.DataFrame({"q": x["q"], "m": (_unit_rows(x["e"]) @ _unit_rows(y["e"]).T).max(axis=1)})
+
+    def weigh(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame({"q": x["q"][:0], "sw": np.empty(0), "s": np.empty(0)})
+        top = x["m"].to_numpy()[:, None]
+        share = np.where(top > 0, (_unit_rows(x["e"]) @ _unit_rows(y["e"]).T) / np.where(top > 0, top, 1.0), 0.0)
+        w = np.exp(lg * (1.0 + share))
+        return pd.DataFrame({"q": x["q"], "sw": w @ y["w"].to_numpy(), "s": w.sum(axis=1)})
+
+    top = meet(q, most, "m").groupBy("q").agg(F.max("m").alias("m"))
+    sums = meet(q.join(top, "q"), weigh, "sw", "s").groupBy("q").agg(F.sum("sw").alias("sw"), F.sum("s").alias("s"))
+    rates = sums.join(top, "q").select(F.col("q").alias(q_id), F.try_divide(F.col("sw"), F.col("s")).alias("win_rate"),
+                                       F.col("m").alias("max_cos"))
+    return queries.select(q_id).join(rates, q_id, "left")
 
 
 # ---------------------------------------------------------------- causal-LM score router

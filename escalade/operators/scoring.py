@@ -8,6 +8,7 @@ that were not escalated) are filtered out *before* the call.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from typing import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -31,33 +32,33 @@ def pandas_scorer(fn: BatchScorer) -> Callable[[Column, Column], Column]:
     return lambda prompt, response: _score(prompt, response)
 
 
-def _call_rows(fn: TextModel, prompts: Iterable[str]) -> tuple[list, list]:
-    out, err = [], []
-    for p in prompts:
+def _call_rows(fn: TextModel, prompts: Iterable[str], concurrency: int | None) -> tuple[list, list]:
+    def call(p):
         try:
-            out.append(fn(p))
-            err.append(None)
+            return fn(p), None
         except Exception as e:  # a failed call becomes a row-level error
-            out.append("")
-            err.append(f"{type(e).__name__}: {e}")
-    return out, err
+            return "", f"{type(e).__name__}: {e}"
+    if concurrency and concurrency > 1:
+        with ThreadPoolExecutor(concurrency) as pool:
+            done = list(pool.map(call, prompts))
+    else:
+        done = [call(p) for p in prompts]
+    return [x for x, _ in done], [e for _, e in done]
 
 
 def collect_responses(prompts: DataFrame, weak_fn: TextModel, strong_fn: TextModel, key: str = "pair_id",
                       concurrency: int | None = COLLECT_CONCURRENCY) -> DataFrame:
     """Call both models for every prompt; failures of either call go to ``error`` (first one wins).
 
-    ``concurrency`` bounds the number of simultaneous calls (tasks) as the reference's semaphore does; ``None``
-    keeps the input partitioning (one caller per partition).
+    ``concurrency`` bounds the simultaneous calls inside each task (threads that wait for the models); the input keeps its
+    partitioning, so the calls of the whole job are bounded by that times the running tasks. ``None`` calls one by one.
     """
     src = prompts.select(key, "prompt")
-    if concurrency:
-        src = src.repartition(int(concurrency), key)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            w, we = _call_rows(weak_fn, pdf["prompt"].fillna(""))
-            s, se = _call_rows(strong_fn, pdf["prompt"].fillna(""))
+            w, we = _call_rows(weak_fn, pdf["prompt"].fillna(""), concurrency)
+            s, se = _call_rows(strong_fn, pdf["prompt"].fillna(""), concurrency)
             err = [a if a is not None else b for a, b in zip(we, se)]
             yield pd.DataFrame({key: pdf[key], "prompt": pdf["prompt"], "weak_response": w, "strong_response": s,
                                 "error": err})

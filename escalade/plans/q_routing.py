@@ -131,9 +131,8 @@ def r4(spark, sf):
 
 @register("R4_sw_win_rate_blocked", _R4_SQL)
 def r4_blocked(spark, sf):
-    """The same router through the blocked path used when battles exceed the broadcast bound."""
-    return rounded(R.sw_win_rate(fx.queries(spark, sf), fx.battles(spark, sf), gamma=10.0, max_broadcast_rows=0,
-                                 block_rows=64))
+    """The same router over a grid of many small cells."""
+    return rounded(R.sw_win_rate(fx.queries(spark, sf), fx.battles(spark, sf), gamma=10.0, query_rows=100, battle_rows=64))
 
 
 _LOGITS_SQL = "list_transform(embedding[1:5], lambda x: x::double)"

@@ -54,7 +54,7 @@ select conv_id * 4294967296 + turn as pair_id,
        case when length(text) % 13 = 0 then 'TimeoutError: simulated timeout' end as error
 from conversations where role = 'user'""")
 def u2(spark, sf):
-    out = U.collect_responses(_user_prompts(spark, sf), _weak_model, _strong_model, concurrency=None)
+    out = U.collect_responses(_user_prompts(spark, sf), _weak_model, _strong_model)
     return out.select("pair_id", "weak_response", "strong_response", "error")
 
 

@@ -34,10 +34,15 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     if suf not in READ_FORMATS:
         raise ValueError(f"Unsupported format: {suf or path}")
     r = spark.read
+    if suf == ".csv":
+        df = r.options(**CSV_READ).csv(path)
+        if schema is None:
+            return df
+        # by the names of the header: a schema given to the CSV reader would go by position
+        return df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) if f.name in df.columns
+                           else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
     if schema is not None:
         r = r.schema(schema)
-    if suf == ".csv":
-        return r.options(**CSV_READ).csv(path)
     if suf == ".json":
         # JSON Lines (what write_table makes) stay splittable; only an array of records is read as whole files
         first = spark.read.text(path).where(F.trim("value") != "").first()

@@ -37,4 +37,4 @@ def test_filters_reach_parquet(spark):
 
 def test_similarity_router_has_no_pair_rows(spark):
     plan = _plan(QUERIES["R4_sw_win_rate"].build(spark, SF01))
-    assert "MapInPandas" in plan and "Join" not in plan
+    assert "FlatMapCoGroupsInPandas" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
