@@ -17,7 +17,7 @@ hand. A document's score is the sum of its grams' costs.
 The base score is a smoothed unigram model over words and an end token, learned from the same documents.
 
 Tables of costs and word counts are split: the most frequent ``max_table`` keys (a fixed bound, by default a million words and
-four million grams) are sent to the tasks; what a document holds beyond those is emitted as (row, key, count), joined with
+four million grams) are sent to the tasks; what a document holds beyond those is listed as (key, count), joined with
 the rest of the table by key, and added to the document. Both ways give the same sums.
 
 Defined cases: null and empty texts have the end symbol and the end token only; a null id counts as the empty text for the
@@ -269,49 +269,56 @@ def _split_table(table: DataFrame, weight: str, max_rows: int) -> tuple[pd.DataF
     return pd.DataFrame({"key": got["key"].to_numpy().view(np.uint64), "value": got["value"].to_numpy()}), rest
 
 
-def _scores(order: int, held_tables, emit_rest: bool):
-    """Scores of a text by the tables, or what it holds beyond them."""
-    state: dict = {}
+def _tokens(texts: list[bytes], hashed: HashedWords, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, each text's followed by the end token, and the number of tokens by text."""
+    flat, sizes = [], []
+    for t in texts:
+        words = t.split()
+        flat.extend(map(hashed.__getitem__, words))
+        flat.append(end)
+        sizes.append(len(words) + 1)
+    return np.array(flat, dtype=np.uint64), np.array(sizes)
+
+
+def _counted(n: int, owner: np.ndarray, key: np.ndarray) -> tuple[list, list]:
+    """By owner: its distinct keys, and how often each occurs."""
+    order = np.lexsort((key, owner))
+    owner, key = owner[order], key[order]
+    first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])]) if len(key) else np.empty(0, np.int64)
+    cuts = np.searchsorted(owner[first], np.arange(1, n))
+    return np.split(key[first].view(np.int64), cuts), np.split(np.diff(np.r_[first, len(key)]), cuts)
 
-    def tables():
-        if not state:
-            state["words"], state["grams"] = (Lookup(*pair) for pair in held_tables.value)
-            state["hash"] = HashedWords()
-        return state["words"], state["grams"], state["hash"]
+
+def _scores(order: int, held_tables):
+    """Sums by the tables for each text, and beside them the keys that the tables don't hold, with their counts."""
+    state: dict = {}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, gram_table, hashed = tables()
+        if not state:
+            words, grams_ = held_tables.value
+            state["words"], state["grams"], state["hash"] = Lookup(*words), Lookup(*grams_), HashedWords()
+        end, unknown = xxhash.xxh3_64_intdigest(_END), np.log10(0.5)
         for pdf in batches:
-            texts = [lowered(t) for t in pdf["text"]]
-            known, base, ppm, n_tokens, rest = [], [], [], [], []
-            for t in texts:
-                h = np.array([hashed[w] for w in t.split()] + [xxhash.xxh3_64_intdigest(_END)], dtype=np.uint64)
-                value = words.get(h)
-                hit = ~np.isnan(value)
-                n_tokens.append(len(h))
-                known.append(int(hit.sum()))
-                base.append(float(value[hit].sum() + (len(h) - hit.sum()) * np.log10(0.5)))
-                rest.append(h[~hit] if emit_rest else None)
-            rows = pdf["row"].to_numpy()
-            if emit_rest:
-                for i, h in enumerate(rest):
-                    key, tf = np.unique(h, return_counts=True)
-                    if len(key):
-                        yield pd.DataFrame({"row": np.full(len(key), rows[i]), "kind": np.full(len(key), _WORD, np.int32),
-                                            "key": key.view(np.int64), "tf": tf})
-            for first, piece in _pieces(texts):
-                code, sizes = _gram_run(piece, order)
-                value = gram_table.get(code)
-                owner = np.repeat(np.arange(len(piece)), sizes)
+            out: dict[str, list] = {c: [] for c in ("n_tokens", "n_known", "base", "score", "words", "word_tf", "grams", "gram_tf")}
+            for _, texts in _pieces([lowered(t) for t in pdf["text"]]):
+                n = len(texts)
+                key, sizes = _tokens(texts, state["hash"], end)
+                value, owner = state["words"].get(key), np.repeat(np.arange(n), sizes)
                 gone = np.isnan(value)
-                if emit_rest and gone.any():
-                    both = pd.DataFrame({"row": rows[first + owner[gone]], "key": code[gone].view(np.int64)})
-                    both = both.value_counts().reset_index(name="tf")
-                    yield both.assign(kind=np.int32(_GRAM))[["row", "kind", "key", "tf"]]
-                ppm.extend(np.bincount(owner, weights=np.where(gone, 0.0, value), minlength=len(piece)).tolist())
-            if not emit_rest:
-                yield pd.DataFrame({"row": rows, "doc_id": pdf["doc_id"], "held_out": pdf["held"], "n_tokens": n_tokens,
-                                    "n_known": known, "base": base, "score": ppm})
+                out["n_tokens"].append(sizes)
+                out["n_known"].append(np.bincount(owner[~gone], minlength=n))
+                out["base"].append(np.bincount(owner, weights=np.where(gone, unknown, value), minlength=n))
+                code, sizes = _gram_run(texts, order)
+                cost, own = state["grams"].get(code), np.repeat(np.arange(n), sizes)
+                lost = np.isnan(cost)
+                out["score"].append(np.bincount(own, weights=np.where(lost, 0.0, cost), minlength=n))
+                for name, (keys, times) in (("word", _counted(n, owner[gone], key[gone])), ("gram", _counted(n, own[lost], code[lost]))):
+                    out[f"{name}s"].extend(keys)
+                    out[f"{name}_tf"].extend(times)
+            if len(pdf):
+                sums = {k: np.concatenate(v) for k, v in out.items() if k in ("n_tokens", "n_known", "base", "score")}
+                lists = {k: pd.Series(v, dtype=object) for k, v in out.items() if k not in sums}
+                yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"], "held_out": pdf["held"]} | sums | lists)
     return run
 
 
@@ -345,19 +352,24 @@ def score(docs: DataFrame, order: int = 4, folds: int = 5, held_fold: int = 1, m
     hot_grams, rest_grams = _split_table(costs, "weight", max_grams)
     tables = spark.sparkContext.broadcast([(t["key"].to_numpy(), t["value"].to_numpy()) for t in (hot_words, hot_grams)])
     whole = float(np.log10(train_tokens + 0.5 * (distinct + 1)))
-    out = rows.mapInPandas(_scores(order, tables, False), "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, "
-                                                          "n_known bigint, base double, score double")
+    out = rows.mapInPandas(_scores(order, tables), "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, "
+                                                   "base double, score double, words array<bigint>, word_tf array<bigint>, "
+                                                   "grams array<bigint>, gram_tf array<bigint>")
     if rest_words is not None or rest_grams is not None:
+        out = out.checkpoint()  # one pass over the texts for the sums and for what the tables don't hold
         empty = spark.createDataFrame([], "key bigint, value double")
         rest = ((rest_words or empty).select(F.lit(_WORD).alias("kind"), "key", (F.col("value") - F.log10(F.lit(0.5))).alias("value"))
                 .unionByName((rest_grams or empty).select(F.lit(_GRAM).alias("kind"), "key", "value")))
-        beyond = rows.mapInPandas(_scores(order, tables, True), "row bigint, kind int, key bigint, tf bigint").join(rest, ["kind", "key"])
+        each = lambda kind, name: out.select("row", F.lit(kind).alias("kind"), F.inline(F.arrays_zip(
+            F.col(f"{name}s").alias("key"), F.col(f"{name}_tf").alias("tf"))).alias("key", "tf"))
+        beyond = each(_WORD, "word").unionByName(each(_GRAM, "gram")).join(rest, ["kind", "key"])
         on_word = F.col("kind") == _WORD
         more = beyond.groupBy("row").agg(
             F.sum(F.when(on_word, F.col("tf")).otherwise(0)).alias("more_known"),
             F.sum(F.when(on_word, F.col("tf") * F.col("value")).otherwise(0.0)).alias("more_base"),
             F.sum(F.when(on_word, 0.0).otherwise(F.col("tf") * F.col("value"))).alias("more_score"))
-        out = out.join(more, "row", "left").fillna(0, ["more_known", "more_base", "more_score"]).withColumns({
+        out = out.drop("words", "word_tf", "grams", "gram_tf").join(more, "row", "left")
+        out = out.fillna(0, ["more_known", "more_base", "more_score"]).withColumns({
             "n_known": F.col("n_known") + F.col("more_known"), "base": F.col("base") + F.col("more_base"),
             "score": F.col("score") + F.col("more_score")})
     if mode == "adaptive":
