@@ -1,8 +1,8 @@
 """Dashboard data behind every chart of the analysis notebook.
 
 Shares of a total are computed on the *aggregated* table (one row per group), never with a window over raw
-rows. Group statistics are joined back to rows through a broadcast of the per-group table after its size is
-checked, so a hot group (one decision holding a third of all requests) never becomes one task.
+rows. Group statistics are joined back to rows by plain joins (AQE broadcasts small sides and splits skewed keys),
+so a hot group (one decision holding a third of all requests) never becomes one task.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from escalade.functions.joins import attach_row
+from escalade.functions.ordinals import global_ordinals
 from escalade.functions.quantiles import percentile_columns, percentiles, percentiles_by_counts, valid
 from escalade.operators.metrics import baseline_cost, token
 from escalade.schemas import Prices
@@ -28,9 +29,9 @@ def value_counts(df: DataFrame, key: str) -> DataFrame:
 
 
 def ranked_value_counts(df: DataFrame, key: str) -> DataFrame:
-    """L2 with the order made explicit: ``rank`` 1 = most frequent (ties by key); ranked on the aggregated table."""
+    """L2 with the order made explicit: ``rank`` 1 = most frequent (ties by key); ranked by range on the aggregated table."""
     c = df.groupBy(key).agg(F.count(F.lit(1)).alias("count"))
-    return c.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), F.col(key))))
+    return global_ordinals(c, [F.desc("count"), F.col(key)], "_at").select(key, "count", (F.col("_at") + 1).alias("rank"))
 
 
 def evaluated_only(results: DataFrame, score: str = "weak_quality_score") -> DataFrame:
