@@ -60,3 +60,10 @@ class HashedWords(dict):
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
+
+
+def packed(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df`` checkpointed, read back in as few partitions as its counted rows need: narrow tables between the steps of an
+    iterative job would otherwise leave a file for every pair of partitions."""
+    df = df.checkpoint()
+    return df.coalesce(max(1, -(-df.count() // rows)))
