@@ -56,7 +56,7 @@ class HashedWords(dict):
     """word -> 64-bit hash, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

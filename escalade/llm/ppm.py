@@ -28,7 +28,7 @@ rows train and are scored each; an empty table gives no rows; further columns ar
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,7 +41,7 @@ from escalade.llm.common import HashedWords, ready
 MARK = 0xFF
 _WORD, _GRAM = 0, 1
 _END = b"\n"  # no word holds a line end
-_PIECE = 1 << 21
+_PIECE = 1 << 20
 
 
 def lowered(text: str | None) -> bytes:
@@ -88,7 +88,7 @@ class Lookup:
     """key (64 bits) -> value, in an open hash table of numpy arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(len(keys) * 3).bit_length())
+        bits = max(4, int(len(keys) * 1.5).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.values = np.zeros(1 << bits, np.uint64), np.full(1 << bits, np.nan)
         left = np.arange(len(keys))
@@ -140,16 +140,17 @@ def _gram_run(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return code[keep], sizes
 
 
-def _pieces(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of texts of about ``_PIECE`` bytes."""
-    first, held = 0, 0
-    for i, t in enumerate(texts):
+def _pieces(texts: Iterable[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of about ``_PIECE`` bytes, each with the number of its first text."""
+    first, run, held = 0, [], 0
+    for t in texts:
+        run.append(t)
         held += len(t)
         if held >= _PIECE:
-            yield first, texts[first:i + 1]
-            first, held = i + 1, 0
-    if first < len(texts):
-        yield first, texts[first:]
+            yield first, run
+            first, run, held = first + len(run), [], 0
+    if run:
+        yield first, run
 
 
 def _statistics(order: int):
@@ -168,7 +169,7 @@ def _statistics(order: int):
         for pdf in batches:
             held = pdf["held"].to_numpy()
             for train in (True, False):
-                for _, texts in _pieces([lowered(t) for t, h in zip(pdf["text"], held) if h != train]):
+                for _, texts in _pieces(lowered(t) for t, h in zip(pdf["text"], held) if h != train):
                     key, n = np.unique(_gram_run(texts, order)[0], return_counts=True)
                     parts.append((key, n if train else np.zeros(len(key), np.int64)))
                     if sum(len(p[0]) for p in parts) > 3_000_000:
@@ -299,26 +300,23 @@ def _scores(order: int, held_tables):
             state["words"], state["grams"], state["hash"] = Lookup(*words), Lookup(*grams_), HashedWords()
         end, unknown = xxhash.xxh3_64_intdigest(_END), np.log10(0.5)
         for pdf in batches:
-            out: dict[str, list] = {c: [] for c in ("n_tokens", "n_known", "base", "score", "words", "word_tf", "grams", "gram_tf")}
-            for _, texts in _pieces([lowered(t) for t in pdf["text"]]):
-                n = len(texts)
+            for first, texts in _pieces(lowered(t) for t in pdf["text"]):  # small pieces in, small pieces out
+                n, own = len(texts), pdf.iloc[first:first + len(texts)]
                 key, sizes = _tokens(texts, state["hash"], end)
                 value, owner = state["words"].get(key), np.repeat(np.arange(n), sizes)
                 gone = np.isnan(value)
-                out["n_tokens"].append(sizes)
-                out["n_known"].append(np.bincount(owner[~gone], minlength=n))
-                out["base"].append(np.bincount(owner, weights=np.where(gone, unknown, value), minlength=n))
+                out = {"row": own["row"].to_numpy(), "doc_id": own["doc_id"].array, "held_out": own["held"].to_numpy(), "n_tokens": sizes,
+                       "n_known": np.bincount(owner[~gone], minlength=n),
+                       "base": np.bincount(owner, weights=np.where(gone, unknown, value), minlength=n)}
+                words = _counted(n, owner[gone], key[gone])
                 code, sizes = _gram_run(texts, order)
-                cost, own = state["grams"].get(code), np.repeat(np.arange(n), sizes)
+                cost, owner = state["grams"].get(code), np.repeat(np.arange(n, dtype=np.int32), sizes)
                 lost = np.isnan(cost)
-                out["score"].append(np.bincount(own, weights=np.where(lost, 0.0, cost), minlength=n))
-                for name, (keys, times) in (("word", _counted(n, owner[gone], key[gone])), ("gram", _counted(n, own[lost], code[lost]))):
-                    out[f"{name}s"].extend(keys)
-                    out[f"{name}_tf"].extend(times)
-            if len(pdf):
-                sums = {k: np.concatenate(v) for k, v in out.items() if k in ("n_tokens", "n_known", "base", "score")}
-                lists = {k: pd.Series(v, dtype=object) for k, v in out.items() if k not in sums}
-                yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"], "held_out": pdf["held"]} | sums | lists)
+                lists = (*words, *_counted(n, owner[lost], code[lost]))
+                cost[lost] = 0.0
+                out["score"] = np.bincount(owner, weights=cost, minlength=n)
+                named = zip(("words", "word_tf", "grams", "gram_tf"), lists)
+                yield pd.DataFrame(out | {name: pd.Series(x, dtype=object) for name, x in named})
     return run
 
 
