@@ -6,7 +6,8 @@ Parquet and read again as the next one's ``docs``. All but the last return the c
 * quality: trained on the labelled documents, drops those whose chance of the top grade is under 0.7.
 * lines: takes out lines of five words or more that an earlier line equals or nearly equals, and documents that have no
   such line left (they held nothing of their own); ``n_chars`` follows the text.
-* near_duplicates: of documents that link (directly or through others), the one with the smallest id stays.
+* near_duplicates: of documents that link (directly or through others), the one with the smallest id stays; they link if
+  their sets of five-word shingles have a Jaccard similarity of 0.8 or more (op5_jaccard_join has its own: three, 0.9).
 * decontaminate: drops documents that overlap a benchmark item.
 * mix: takes documents (some repeatedly, ``copies`` says how often) until each source has its target share of words.
 
@@ -26,6 +27,7 @@ from escalade.llm.queries import document_grades
 from escalade.session import scratch_path
 
 MIN_WORDS = 5
+SHINGLE_WORDS, PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.one_of_each(docs).select(*docs.columns)
+    return jaccard_join.one_of_each(docs, k=SHINGLE_WORDS, percent=PERCENT).select(*docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
