@@ -4,8 +4,9 @@
 Parquet and read again as the next one's ``docs``. All but the last return the columns of ``docs``; extra columns are carried.
 
 * quality: trained on the labelled documents, drops those whose chance of the top grade is under 0.7.
-* lines: takes out lines of five words or more that an earlier line equals or nearly equals, and documents that have no
-  such line left (they held nothing of their own); ``n_chars`` follows the text.
+* lines: takes out every non-blank line that an earlier line equals (word for word: a line without spaces is compared
+  whole), or, from five words on, nearly equals (one word is a fifth of it at most; of shorter lines it would be all or much
+  of what they say); then documents that have no line of five words left; ``n_chars`` follows the text.
 * near_duplicates: of documents that link (directly or through others), the one with the smallest id stays; they link if
   their sets of five-word shingles have a Jaccard similarity of 0.8 or more (op5_jaccard_join has its own: three, 0.9).
 * decontaminate: drops documents that overlap a benchmark item.
@@ -38,7 +39,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     n_lines, n_removed = (f"_{c}" for c in ("n_lines", "n_removed"))
-    out = line_dedup.dedup_lines(docs, min_words=MIN_WORDS, count_names=(n_lines, n_removed))
+    out = line_dedup.dedup_lines(docs, min_words=1, near_words=MIN_WORDS, count_names=(n_lines, n_removed))
     own = F.exists(F.split("text", "\n", -1), lambda line: F.size(words_of(line)) >= MIN_WORDS)
     out = out.filter((F.col(n_removed) == 0) | own)
     n_chars = F.when(F.col(n_removed) > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))

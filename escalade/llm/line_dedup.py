@@ -19,7 +19,8 @@ Only keys are shuffled by line. Texts meet candidate and removed line numbers by
 broadcast if their counted size allows, else joined by document id.
 
 Defined cases: lines are cut at ``\\n``; lines with fewer than ``min_words`` words (5) always stay, near lines are looked for
-from ``near_words`` words (10) on, as one word is much of a shorter line; null texts stay null, texts without removed
+from ``near_words`` words (10) on, as one word is much of a shorter line (the defaults are what the SQL of op3_line_dedup says;
+the pipeline's stage compares all non-blank lines, and near ones from five words); null texts stay null, texts without removed
 lines stay as they are to the byte; a text may become empty or keep only short lines. Rows with one id and text are alike:
 they keep or lose the same lines. Rows with one id but different texts are told apart by text. A null id counts as the
 last. An empty table gives no rows. Columns of the input stay, but for ``n_lines``, ``n_removed`` and the text.

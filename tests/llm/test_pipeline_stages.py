@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline as p
+from tests.llm.test_line_dedup import brute
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -48,3 +49,16 @@ def test_near_duplicates_by_five_words_and_four_fifths(spark):
     assert any(similar(a, b, 5, 80) and not similar(a, b, 3, 90) for i, a in texts for j, b in texts if i < j)
     got = p.near_duplicates(spark, documents(spark, texts), "").collect()
     assert {r.doc_id for r in got} == want
+
+
+def test_lines_of_any_length_are_compared(spark):
+    rng = random.Random(21)
+    own = lambda: " ".join(f"o{rng.randrange(10**9)}" for _ in range(12))
+    short = ["Les.", "All rights reserved.", "\u6625\u7720\u4e0d\u899a\u6681\u8655\u8655\u805e\u557c\u9ce5" * 20, "}", "a b c d e", "a b c d f", "a b c d",
+             "one two three four five six seven", "one two three four six seven", "one two three four five six seven eight nine"]
+    texts = [(i, "\n".join([own(), *rng.sample(short, 4), "", own(), " "])) for i in range(40)] + [(50, None), (51, "")]
+    want = brute(texts, 1, 5)
+    assert sum(want[(i, t)] != brute(texts)[(i, t)] for i, t in texts) > 30
+    got = {r.doc_id: r for r in p.lines(spark, documents(spark, texts), "").collect()}
+    assert {i: r.text for i, r in got.items()} == {i: want[(i, t)] for i, t in texts}
+    assert all(r.n_chars == len(r.text) for r in got.values() if r.text is not None)
