@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline as p
+from tests.conftest import SF001
+from tests.llm.test_decontaminate import brute as leaks
 from tests.llm.test_line_dedup import brute
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -24,12 +26,12 @@ def similar(a, b, k, percent):
 
 def firsts(texts):
     """The smallest id of each component of documents that link at five words and 0.8."""
+    sets = [(i, shingles(t)) for i, t in texts]
+    links = [(i, j) for x, (i, a) in enumerate(sets) for j, b in sets[x + 1:] if a and b and 100 * len(a & b) >= 80 * len(a | b)]
     root = {i: i for i, _ in texts}
-    for _ in texts:
-        for i, a in texts:
-            for j, b in texts:
-                if similar(a, b, 5, 80):
-                    root[i] = root[j] = min(root[i], root[j])
+    for _ in links:
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
     return set(root.values())
 
 
@@ -62,3 +64,31 @@ def test_lines_of_any_length_are_compared(spark):
     got = {r.doc_id: r for r in p.lines(spark, documents(spark, texts), "").collect()}
     assert {i: r.text for i, r in got.items()} == {i: want[(i, t)] for i, t in texts}
     assert all(r.n_chars == len(r.text) for r in got.values() if r.text is not None)
+
+
+def test_documents_with_a_line_of_their_own_stay(spark):
+    boiler = "this page was printed from the archive"
+    texts = [(0, boiler), (1, f"{boiler}\nroses are red\nviolets\n"), (2, f"{boiler}\n \n"), (3, f"{boiler}\n春眠不覚暁"),
+             (4, f"violets\n{boiler}\nroses are red"), (5, ""), (6, None), (7, "short text"), (8, "short text")]
+    got = {r.doc_id: r.text for r in p.lines(spark, documents(spark, texts), "").collect()}
+    assert got == {0: boiler, 1: "roses are red\nviolets\n", 3: "春眠不覚暁", 5: "", 6: None, 7: "short text"}
+
+
+def test_whole_table_by_these_rules(spark, tmpdir_path):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF001}/benchmark.parquet").collect()]
+    for name, stage in p.STAGES:
+        texts = [(r.doc_id, r.text) for r in docs.collect()]
+        stage(spark, docs, SF001).write.parquet(f"{tmpdir_path}/{name}")
+        docs = spark.read.parquet(f"{tmpdir_path}/{name}")
+        after = {r.doc_id: r for r in docs.collect()}
+        if name == "lines":
+            want = brute(texts, 1, 5)
+            assert {i: r.text for i, r in after.items()} == {i: want[(i, t)] for i, t in texts if want[(i, t)] == t or want[(i, t)].strip()}
+        elif name == "near_duplicates":
+            assert set(after) == firsts(texts)
+        elif name == "decontaminate":
+            assert set(after) == {i for i, _ in texts} - {i for i, _ in leaks(texts, items)}
+        elif name == "mix":
+            size = {i: len(t.split()) for i, t in texts}
+            assert abs(sum(size[i] * r.copies for i, r in after.items()) - sum(size.values())) <= 64 * 20
