@@ -6,9 +6,10 @@
 3. Plan: a source is taken whole ``floor(target / size)`` times. For the rest of its budget every size gives the same
    share of its documents (rounded down), then single documents of the largest sizes that fit are added while the
    gap is over ``window`` words, and the gap that is left is closed by a bounded-knapsack dynamic programme over the
-   counts still free: a bit set of reachable sums up to the gap (and ``slack`` words beyond), counts split into powers
-   of two, the first item that reached each sum kept for the way back; the nearest reachable sum wins (ties: the
-   smaller). The programme sees a source's histogram (one row per size), never its documents.
+   counts still free: a bit set of reachable sums up to the gap (and ``slack`` words beyond; if none comes that near, as
+   far beyond as the nearest one falls short), counts split into powers of two, the first item that reached each sum kept
+   for the way back; the nearest reachable sum wins (ties: the smaller). A budget of at most ``window`` words that is missed
+   so is fitted anew from all counts, without the equal shares. The programme sees a source's histogram (one row per size), never its documents.
 4. Selection: of the c documents of a (source, size) the plan takes the x that come first by a seeded hash of their id.
 
 The (source, size) groups may be hot (a third of all rows can be copies of one text), so they aren't ranked in one
@@ -78,8 +79,19 @@ def subset_sum(items: Histogram, target: int, slack: int = 0) -> dict[int, int]:
     return taken
 
 
+def _nearest(items: Histogram, target: int, slack: int) -> dict[int, int]:
+    """As :func:`subset_sum`, with as many sums above ``target`` as could be nearer than the nearest found."""
+    smallest = min((s for s, _ in items), default=0)
+    if smallest > target > 0:  # any sum but 0 is above
+        return {smallest: 1} if smallest - target < target else {}
+    taken = subset_sum(items, target, slack)
+    off = abs(target - sum(s * x for s, x in taken.items()))
+    return subset_sum(items, target, off) if off > slack else taken
+
+
 def fit_counts(items: Histogram, budget: int, window: int = 1 << 16, slack: int = 64) -> dict[int, int]:
-    """size -> documents to take once, so that their words come nearest to ``budget`` (less than the items' sum)."""
+    """size -> documents to take once, so that their words come nearest to ``budget`` (less than the items' sum; beyond
+    ``window`` words, nearest with the equal shares taken)."""
     items = [(s, c) for s, c in items if s > 0]
     whole = sum(s * c for s, c in items)
     if budget <= 0 or whole == 0:
@@ -93,8 +105,13 @@ def fit_counts(items: Histogram, budget: int, window: int = 1 << 16, slack: int
         take[s] += more
         gap -= s * more
     free = [(s, c - take[s]) for s, c in items if c > take[s]]
-    for s, x in subset_sum(free, gap, slack).items():
+    for s, x in _nearest(free, gap, slack).items():
         take[s] += x
+    off = abs(budget - sum(s * x for s, x in take.items()))
+    if off and budget <= window:  # the equal shares may stand in the way: without them
+        anew = _nearest(items, budget, slack)
+        if abs(budget - sum(s * x for s, x in anew.items())) < off:
+            return anew
     return take
 
 
