@@ -10,7 +10,8 @@ space, and the kept blocks are joined in page order by an empty line. Scripts, s
 elements whose content isn't shown are skipped. Nothing else is dropped or capped.
 
 Defined cases: a null or empty page, and a page with no kept block, gives an empty text; unclosed and stray tags are
-tolerated, a tag cut off by the end of the page is dropped; repeated rows each give a row; further columns are
+tolerated (a head ends at the first text or element that can't stand in it; of another unclosed hidden element only the tag
+is skipped, but script, style and textarea take the rest of the page), a tag cut off by the end of the page is dropped; repeated rows each give a row; further columns are
 ignored; an empty table gives no rows.
 """
 
@@ -27,10 +28,14 @@ from pyspark.sql import functions as F
 from escalade.llm.common import ready
 
 # Elements whose content is never shown as text.
-_HIDDEN = "script style noscript template svg math iframe object textarea select option button canvas audio video head"
+_HIDDEN = "script style noscript template svg math iframe object textarea select option button canvas audio video head title"
 # Elements that don't break a line of text.
 _INLINE = ("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
            "small span strike strong sub sup time tt u var wbr input")
+# Elements that can stand in a head; any other, or text, ends one that isn't closed.
+_IN_HEAD = "base basefont bgsound link meta noframes noscript script style template title head html"
+# Elements whose content is no markup, so that an unclosed one takes the rest of the page.
+_RAW = "script style textarea"
 _VOID = "area base br col embed hr img input link meta param source track wbr"
 # Elements and class or id words that mark regions.
 _BOILER_TAGS = "nav header footer aside form menu dialog fieldset"
@@ -46,6 +51,7 @@ _CONTENT_WORDS = "article content post entry story body maincontent mainbody art
 HIDDEN, INLINE, VOID = (frozenset(x.split()) for x in (_HIDDEN, _INLINE, _VOID))
 BOILER_TAGS, CONTENT_TAGS = frozenset(_BOILER_TAGS.split()), frozenset(_CONTENT_TAGS.split())
 BOILER_WORDS, CONTENT_WORDS = frozenset(_BOILER_WORDS.split()), frozenset(_CONTENT_WORDS.split())
+IN_HEAD, RAW = frozenset(_IN_HEAD.split()), frozenset(_RAW.split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after",
@@ -112,12 +118,43 @@ def _region(name: str, attrs: str) -> int:
     return 0
 
 
+def _closed(page: str, name: str, at: int) -> int:
+    """Where a hidden element that began before ``at`` ends (an option also where the next one or its list's end begins);
+    -1 if it isn't closed."""
+    next_one = r"|(?=<option\b|</?optgroup\b|</(?:select|datalist)\b)" if name == "option" else ""
+    shut = re.compile(rf"</{re.escape(name)}\s*(?:>|\Z){next_one}", re.I).search(page, at)
+    return shut.end() if shut else len(page) if name in RAW else -1
+
+
+def _head_end(page: str, at: int) -> int:
+    """Where the head that began before ``at`` ends: behind its end tag, or at the first text or element that can't stand in
+    it."""
+    while m := _TAG.search(page, at):
+        if page[at:m.start()].strip():
+            return at
+        name = (m.group(3) or "").lower()
+        if m.group(2):
+            if name in ("head", "body", "html"):
+                return m.end() if name == "head" else m.start()
+        elif name and name not in IN_HEAD:
+            return m.start()
+        at = m.end()
+        if name in HIDDEN and name != "head" and not m.group(2):
+            shut = _closed(page, name, at)
+            if shut < 0 and name == "title":
+                shut = page.find("<", at)
+                shut = shut if shut >= 0 else len(page)
+            at = max(at, shut)
+    return at if page[at:].strip() else len(page)
+
+
 def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
     """(text, words, link density, heading, region) of each flat block of a page that has words."""
     out: list[tuple[str, int, float, int, int]] = []
     open_: list[tuple[str, int]] = []  # open elements that mark a region or could be closed by name
     state = {"parts": [], "linked": 0, "heading": 0}
     in_link = 0
+    unclosed: set[str] = set()  # hidden elements that no end tag follows any more
 
     def flush() -> None:
         words = "".join(state["parts"]).split()
@@ -153,8 +190,10 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
         closing, attrs = bool(m.group(2)), m.group(4) or ""
         if not closing and name in HIDDEN:
             if not attrs.rstrip().endswith("/") or name in ("script", "style"):
-                shut = re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)" if name != "head" else r"</head\s*>|<body\b", re.I).search(page, at)
-                at = (shut.start() if name == "head" and page[shut.start() + 1] != "/" else shut.end()) if shut else end
+                shut = _head_end(page, at) if name == "head" else -1 if name in unclosed else _closed(page, name, at)
+                if shut < 0:
+                    unclosed.add(name)  # only its tag is skipped
+                at = max(at, shut)
             if name not in ("button", "select", "option", "svg", "math"):
                 flush()
             continue
