@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from escalade.llm import block_ann, budget_mix, decontaminate, html_blocks, jaccard_join, license_scan, line_dedup, ordinal_quality, ppm, url_reputation
-from escalade.llm.common import table
+from escalade.llm import block_ann, budget_mix, decontaminate, html_blocks, jaccard_join, license_scan, line_dedup, ordinal_quality, periodic_runs, ppm, url_reputation
+from escalade.llm.common import table, words_of
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -239,3 +239,30 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document by the byte model and by unigrams, learned from four of five folds."""
     return ppm.score(table(spark, sf_dir, "documents"))
+
+
+# --------------------------------------------------------------------------------------------------------------- 13
+
+def planted_text(doc_id, text):
+    """The contract's text of a document: in one of ten, the words from some place on repeat the first of them."""
+    h = F.crc32(doc_id.cast("string"))
+    g, words = F.floor(h / 10), words_of(text)
+    n = F.size(words)
+    a = (g % F.nullif(n, F.lit(0))).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    planted = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, a + (i - a) % p)))
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(planted, " ")).otherwise(text)
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of four periods or more in every document, and digests of all runs and of the text without their repeats."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted_text(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic_runs.find_periodic_runs(docs)
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p"))))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), best["s"].alias("start"), (-best["l"]).alias("length"),
+        best["p"].alias("period"), F.floor(-1000 * best["l"] / best["p"]).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
