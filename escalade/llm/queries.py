@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from escalade.llm import block_ann, budget_mix, decontaminate, html_blocks, jaccard_join, license_scan, line_dedup, ordinal_quality, periodic_runs, ppm, url_reputation
+from escalade.llm import block_ann, budget_mix, decontaminate, html_blocks, jaccard_join, license_scan, line_dedup, ordinal_quality, periodic_runs, ppm, prefix_trie, url_reputation
 from escalade.llm.common import table, words_of
 
 QUERIES: dict = {}
@@ -241,6 +241,58 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"))
 
 
+# --------------------------------------------------------------------------------------------------------------- 12
+
+def rebuilt_turns(turns, members):
+    """The contract's conversations, from numbered turns and (conv, n) of every conversation: the first h turns of the first
+    conversation of the hundred, then the own ones behind the first h."""
+    h, base = (F.crc32(F.col("conv").cast("string")) % 6), F.col("conv") - F.col("conv") % 100
+    heads = members.select(F.col("conv").alias("to"), h.alias("h"), base.alias("conv")).filter("h > 0")
+    shared = turns.filter("pos <= 5").join(heads, "conv").filter("pos <= h").select(F.col("to").alias("conv"), "pos", "k1", "k2", "chars")
+    # where the first of the hundred has fewer than h turns, the own ones move up
+    short = (members.select("conv", h.alias("h"), base.alias("base"))
+             .join(members.filter("n < 5").select(F.col("conv").alias("base"), "n"), "base", "left")
+             .join(members.select(F.col("conv").alias("base"), F.lit(1).alias("is_there")), "base", "left")
+             .select("conv", (F.col("h") - F.when(F.col("is_there").isNull(), 0).otherwise(F.least("h", F.coalesce("n", "h")))).alias("less"))
+             .filter("less > 0"))
+    own = turns.filter(F.col("pos") > h).join(short, "conv", "left").select(
+        "conv", (F.col("pos") - F.coalesce("less", F.lit(0))).alias("pos"), "k1", "k2", "chars")
+    return shared.unionByName(own)
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations, with the totals of its subtree."""
+    turns = prefix_trie.numbered_turns(table(spark, sf_dir, "conversations")).checkpoint()
+    members = turns.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    return prefix_trie.prefix_trie(rebuilt_turns(turns, members), members)
+
+
+# By another way than the query: nodes are lists of turns, totals sum the distinct nodes on the paths of a node's members.
+ORACLES["op12_prefix_trie"] = r"""
+with base as (select conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')}
+    order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as l from conversations where conv_id is not null group by conv_id),
+coded as (select *, xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(conv_id::varchar, ''),
+    lambda c: [unicode(c)::bigint, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, x: xor(xor(a, x) >> 1, case when xor(a, x) & 1 = 1 then 3988292384::bigint else 0 end)), 4294967295::bigint) % 6 as h from base),
+rebuilt as (select a.conv_id, list_concat(coalesce(list_slice(b.l, 1, a.h), []), list_slice(a.l, a.h + 1, len(a.l))) as l
+  from coded a left join base b on b.conv_id = a.conv_id - a.conv_id % 100),
+paths as (select conv_id, d, case when d = 0 then [] else list_slice(l, 1, d) end as p, len(l) as n
+  from (select *, unnest(range(len(l) + 1)) as d from rebuilt)),
+nodes as (select d, p, min(conv_id) as v, count(*) as n, (count(*) - 1) * coalesce(length(p[d].t), 0) as saved,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (n = d), '')) as ends
+  from paths group by d, p),
+up as (select a.*, b.v as pv from nodes a left join nodes b on b.d = a.d - 1 and b.p = list_slice(a.p, 1, a.d - 1)),
+kids as (select pv as v, d - 1 as d, count(*) as c from up where d > 0 group by all),
+named as (select q.conv_id, q.d, u.v, u.saved, coalesce(k.c, 0) as c from paths q join up u on u.d = q.d and u.p = q.p
+  left join kids k on k.v = u.v and k.d = u.d),
+below as (select distinct a.v, a.d, b.v as bv, b.d as bd, b.saved, b.c from named a join named b on a.conv_id = b.conv_id and a.d <= b.d),
+total as (select v, d, count(*) filter (c = 0) as n_leaves, sum(saved) as saved from below group by v, d)
+select u.v as conv_id, u.d::bigint as depth, u.pv as parent_conv_id, u.n::bigint as n_convs, coalesce(k.c, 0)::bigint as n_children,
+  t.n_leaves::bigint as n_leaves, t.saved::bigint as saved_tokens, u.ends as ends_sha256
+from up u join total t on t.v = u.v and t.d = u.d left join kids k on k.v = u.v and k.d = u.d"""
+
+
 # --------------------------------------------------------------------------------------------------------------- 13
 
 def planted_text(doc_id, text):
