@@ -15,7 +15,7 @@ def test_query_matches_oracle(spark, name):
 
 def test_registered_names():
     import __spark_entry__ as e
-    assert {int(n[2:].split("_")[0]) for n in e.queries() if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in e.queries() if n.startswith("op")} == set(range(1, 14))
     assert "pipeline" in e.queries()
 
 
