@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from escalade.llm import block_ann, budget_mix, decontaminate, html_blocks, jaccard_join, license_scan, line_dedup, ordinal_quality, periodic_runs, ppm, prefix_trie, url_reputation
+from escalade.llm import block_ann, budget_mix, decontaminate, html_blocks, jaccard_join, license_scan, line_dedup, norm_topk, ordinal_quality, periodic_runs, ppm, prefix_trie, url_reputation
 from escalade.llm.common import table, words_of
 
 QUERIES: dict = {}
@@ -241,6 +241,26 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"))
 
 
+# --------------------------------------------------------------------------------------------------------------- 11
+
+@query
+def op11_norm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every vector whose id is divisible by 20, on components floor(64 x)."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", norm_topk.whole_numbers(F.col("embedding"), 64).alias("vec"))
+    return norm_topk.top_products(rows, F.col("vec_id") % 20 == 0, k=20)
+
+
+ORACLES["op11_norm_topk"] = """
+with good as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
+  where embedding is not null and len(embedding) > 0 and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+scored as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+  from good q join good c on q.vec_id % 20 = 0 and q.vec_id != c.vec_id and len(q.v) = len(c.v)),
+ranked as (select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score
+  from scored)
+select query_id, rank::int as rank, vec_id, score from ranked where rank <= 20"""
+
+
 # --------------------------------------------------------------------------------------------------------------- 12
 
 def rebuilt_turns(turns, members):
@@ -302,7 +322,9 @@ def planted_text(doc_id, text):
     n = F.size(words)
     a = (g % F.nullif(n, F.lit(0))).cast("int")
     p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
-    planted = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, a + (i - a) % p)))
+    # all slices of one array: a lambda that looks words up would split the text anew for each word
+    again = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    planted = F.concat(F.slice(words, F.lit(1), a), F.slice(again, F.lit(1), n - a))
     return F.when((h % 10 == 0) & (n > 0), F.array_join(planted, " ")).otherwise(text)
 
 
