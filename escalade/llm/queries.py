@@ -110,13 +110,14 @@ with lines as (select doc_id, unnest(string_split(text, chr(10))) as line,
     unnest(range(len(string_split(text, chr(10))))) as line_no from documents where text is not null),
 words as (select doc_id, line_no, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w != '') as w
   from lines),
-firsts as (select w, len(w) as n, min((doc_id, line_no)) as pos from words where len(w) >= 5 group by w),
+firsts as (select w, len(w) as n, min((doc_id, line_no)) as pos from words
+  where regexp_matches(line, '(?:[^\p{L}\p{N}]*[\p{L}\p{N}]){10}') group by w),
 cut as (select pos, n, p, w, list_concat(list_slice(w, 1, p - 1), list_slice(w, p + 1, n)) as v
-  from (select *, unnest(range(1, n + 1)) as p from firsts where n >= 10)),
+  from (select *, unnest(range(1, n + 1)) as p from firsts where n >= 5) where not regexp_matches(w[p], '\p{N}')),
 near as (
   select a.pos as pos from cut a join cut b on a.v = b.v and a.p = b.p and a.n = b.n and b.pos < a.pos
-  union select a.pos from cut a join firsts b on a.v = b.w and b.n >= 10 and b.pos < a.pos
-  union select b.pos from cut a join firsts b on a.v = b.w and b.n >= 10 and a.pos < b.pos),
+  union select a.pos from cut a join firsts b on a.v = b.w and b.n >= 5 and b.pos < a.pos
+  union select b.pos from cut a join firsts b on a.v = b.w and b.n >= 5 and a.pos < b.pos),
 judged as (select l.doc_id, l.line_no, l.line,
     f.pos is not null and ((l.doc_id, l.line_no) != f.pos or f.pos in (select pos from near)) as gone
   from words l left join firsts f on l.w = f.w)

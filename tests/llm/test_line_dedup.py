@@ -1,33 +1,58 @@
 import random
 
+import regex as re
 from pyspark.sql import functions as F
 
 from escalade.llm import line_dedup as d
 
 
 def one_apart(a, b):
+    """One word inserted, deleted or replaced at most, which holds no number."""
     if abs(len(a) - len(b)) > 1:
         return False
     p = 0
     while p < min(len(a), len(b)) and a[p] == b[p]:
         p += 1
-    return a[p + 1:] == b[p + 1:] or a[p:] == b[p + 1:] or a[p + 1:] == b[p:]
+    plain = lambda w: not re.search(r"\p{N}", w)
+    if len(a) == len(b):
+        return a == b or a[p + 1:] == b[p + 1:] and plain(a[p]) and plain(b[p])
+    longer, shorter = (a, b) if len(a) > len(b) else (b, a)
+    return longer[p + 1:] == shorter[p:] and plain(longer[p])
 
 
-def brute(rows, min_words=5, near_words=10):
+def letters(line):
+    return len(re.findall(r"[\p{L}\p{N}]", line))
+
+
+def judged(rows, min_letters=d.MIN_LETTERS, near_words=d.NEAR_WORDS):
     places = []
     for i, text in rows:
         if text is not None:
-            places += [((i is None, i or 0, k), line.split()) for k, line in enumerate(text.split("\n"))]
-    gone = set()
-    for place, words in places:
-        for other, theirs in places:
-            if other < place and len(words) >= min_words:
+            places += [((i is None, i or 0, k), line.split(), letters(line) >= min_letters) for k, line in enumerate(text.split("\n"))]
+    gone, repeats = set(), set()
+    for place, words, long in places:
+        for other, theirs, counts in places:
+            if other < place and words:
+                if words == theirs:
+                    repeats.add(place)
                 near = len(words) >= near_words and len(theirs) >= near_words and one_apart(words, theirs)
-                if words == theirs or near:
+                if long and counts and (words == theirs or near):
                     gone.add(place)
-    return {(i, text): None if text is None else
-            "\n".join(x for k, x in enumerate(text.split("\n")) if (i is None, i or 0, k) not in gone) for i, text in rows}
+    whole = {(i, text): None if text is None else
+             "\n".join(x for k, x in enumerate(text.split("\n")) if (i is None, i or 0, k) not in gone) for i, text in rows}
+    own = {(i is None, i or 0) for (i, text) in rows if text is not None and any(
+        x.split() and (i is None, i or 0, k) not in gone | repeats for k, x in enumerate(text.split("\n")))}
+    return whole, {(i, text) for i, text in rows if (i is None, i or 0) in own}
+
+
+def texts_after(rows):
+    """What the pipeline's stage keeps: documents without a line of their own go if they lost one."""
+    whole, own = judged(rows)
+    return {i: whole[(i, t)] for i, t in rows if whole[(i, t)] == t or (i, t) in own}
+
+
+def brute(rows, *floors):
+    return judged(rows, *floors)[0]
 
 
 def edited(rng, words):
@@ -86,3 +111,21 @@ def test_word_distance_expression(spark):
     pairs = [([rng.choice("ab") for _ in range(rng.randint(1, 6))], [rng.choice("ab") for _ in range(rng.randint(1, 6))]) for _ in range(300)]
     df = spark.createDataFrame(pairs, "a array<string>, b array<string>").withColumn("near", d.near_words_apart(F.col("a"), F.col("b")))
     assert all(r.near == one_apart(r.a, r.b) for r in df.collect())
+
+
+def test_floor_and_numbers(spark):
+    """Marks, brackets and short lines stay, whole lines without spaces go, and a number makes a line another one."""
+    han = "\u6625\u7720\u4e0d\u899a\u6681\u8655\u8655\u805e\u557c\u9ce5" * 9
+    same = ["{", "}", "* * * * * * * * * * * *", "All rights reserved.", han, "Les.", "see the notes on page 7 below"]
+    rows = [(1, "\n".join([*same, "chapter 1 of the book", "the red house on the hill", "it has 7 old oak doors"])),
+            (2, "\n".join([*same, "chapter 2 of the book", "the green house on the hill", "it has 7 new oak doors"]))]
+    got = {r.doc_id: r.text for r in d.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "\n".join(["{", "}", same[2], "Les.", "chapter 2 of the book"])} == {i: t for (i, _), t in brute(rows).items()}
+
+
+def test_ids_that_no_bigint_place_holds(spark):
+    text = "one two three four five six\nseven eight nine ten eleven"
+    rows = [(2**62, text), (-2**62, text + "\nmore words of its own"), (None, text), (3, "one two three four five seven")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert d.Places.of(docs.selectExpr("coalesce(doc_id, 9223372036854775807) as doc", "text")).wide
+    assert {(r.doc_id, r.text) for r in d.dedup_lines(docs).collect()} == {(i, t) for (i, _), t in brute(rows).items()}

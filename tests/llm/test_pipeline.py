@@ -3,8 +3,8 @@
 import corpus_pipeline as p
 from tests.conftest import SF001
 from tests.llm.test_decontaminate import brute as leaks
-from tests.llm.test_jaccard_join import brute as components
-from tests.llm.test_line_dedup import brute as lines
+from tests.llm.test_line_dedup import texts_after
+from tests.llm.test_pipeline_stages import firsts
 
 
 def test_stages_on_whole_table(spark, tmpdir_path):
@@ -26,13 +26,10 @@ def test_stages_on_whole_table(spark, tmpdir_path):
             junk = [i for i, _ in texts if i in labels and labels[i].quality == 0]
             assert sum(i in after for i in clean) >= 0.97 * len(clean) and sum(i in after for i in junk) <= 0.1 * len(junk)
         elif name == "lines":
-            want = lines(texts)
-            has = lambda t: any(len(x.split()) >= p.MIN_WORDS for x in t.split("\n"))
-            kept = {i: want[(i, t)] for i, t in texts if want[(i, t)] == t or has(want[(i, t)])}
-            assert {i: r.text for i, r in after.items()} == kept
+            assert {i: r.text for i, r in after.items()} == texts_after(texts)
             assert all(r.n_chars == len(r.text) for r in after.values())
         elif name == "near_duplicates":
-            assert set(after) == {c for _, _, c in components(texts)}
+            assert set(after) == firsts(texts)
         elif name == "decontaminate":
             assert set(after) == {i for i, _ in texts} - {i for i, _ in leaks(texts, items)}
         else:
