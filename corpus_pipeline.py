@@ -4,10 +4,10 @@
 Parquet and read again as the next one's ``docs``. All but the last return the columns of ``docs``; extra columns are carried.
 
 * quality: trained on the labelled documents, drops those whose chance of the top grade is under 0.7.
-* lines: takes out every non-blank line that an earlier line equals (word for word: a line without spaces is compared
-  whole), or, from five words on, nearly equals (one word is a fifth of it at most; of shorter lines it would be all or much
-  of what they say); then documents that lost lines and have nothing but blank
-  ones left; ``n_chars`` follows the text.
+* lines: takes out every line of ten letters and digits or more that an earlier line equals (word for word: a line without
+  spaces is compared whole) or, from five words on, nearly equals (one word without a number is a fifth of it at most); the
+  same floors as op3_line_dedup. Then it drops documents that lost lines and have no line of their own left: what stays is
+  blank, or equals an earlier line and is only kept for being short. ``n_chars`` follows the text.
 * near_duplicates: of documents that link (directly or through others), the one with the smallest id stays; they link if
   their sets of five-word shingles have a Jaccard similarity of 0.8 or more (op5_jaccard_join has its own: three, 0.9).
 * decontaminate: drops documents that overlap a benchmark item.
@@ -24,11 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from escalade.llm import budget_mix, decontaminate, jaccard_join, line_dedup, ordinal_quality
-from escalade.llm.common import table, words_of
+from escalade.llm.common import table
 from escalade.llm.queries import document_grades
 from escalade.session import scratch_path
 
-MIN_WORDS, NEAR_WORDS = 1, 5
 SHINGLE_WORDS, PERCENT = 5, 80
 
 
@@ -39,11 +38,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    n_lines, n_removed = (f"_{c}" for c in ("n_lines", "n_removed"))
-    out = line_dedup.dedup_lines(docs, min_words=MIN_WORDS, near_words=NEAR_WORDS, count_names=(n_lines, n_removed))
-    own = F.exists(F.split("text", "\n", -1), lambda line: F.size(words_of(line)) >= MIN_WORDS)
-    out = out.filter((F.col(n_removed) == 0) | own)
-    n_chars = F.when(F.col(n_removed) > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    names = ("_n_lines", "_n_removed", "_n_own")
+    out = line_dedup.dedup_lines(docs, count_names=names)
+    out = out.filter("_n_removed = 0 or _n_own > 0")
+    n_chars = F.when(F.col("_n_removed") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
