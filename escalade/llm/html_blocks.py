@@ -21,7 +21,7 @@ import html
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -277,12 +277,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     ready(pages.sparkSession)
     tree = train_tree() if tree is None else tree
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [main_text(x, tree) for x in pdf["html"]]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts,
-                                "n_chars": [len(x) for x in texts]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # ids as they are
+            texts = [main_text(x, tree) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()),
+                                              pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kind = rows.schema["page_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"page_id {kind}, url string, text string, n_chars bigint")
+    return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")

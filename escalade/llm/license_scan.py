@@ -28,7 +28,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -248,13 +248,16 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, min_
     ready(docs.sparkSession)
     prepared = prepare(templates, min_containment)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids = pdf["id"].tolist()
+    kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64())
+    names = ("doc_id", "license", "template", "start_word", "n_words", "containment")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # ids as Python numbers, which null ones beside them don't round
+            ids = batch.column(0).to_pylist()
             rows = [(ids[i], prepared.names[k], k, start, n, share)
-                    for i, k, start, n, share in scan_texts(pdf["text"].tolist(), prepared, min_containment)]
-            yield pd.DataFrame(rows, columns=["doc_id", "license", "template", "start_word", "n_words", "containment"])
+                    for i, k, start, n, share in scan_texts(batch.column(1).to_pylist(), prepared, min_containment)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=list(names))
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id bigint, license string, template int, start_word bigint, n_words bigint, "
+    return rows.mapInArrow(run, "doc_id bigint, license string, template int, start_word bigint, n_words bigint, "
                                  "containment double")

@@ -27,6 +27,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -222,16 +223,18 @@ def score(docs: DataFrame, model: OrdinalModel, keep_grade: int, min_tail: float
     spark = ready(docs.sparkSession)
     held = spark.sparkContext.broadcast(model)
 
-    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = docs.drop(*names) if carry else docs.select(id_col, text_col)
+    at = rows.columns.index(text_col)
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for pdf in batches:
-            line = np.array([m.line(*features(t)) for t in pdf[text_col]])
-            tails = m.tails(line)
+        for batch in batches:  # the other columns go through untouched
+            tails = m.tails(np.array([m.line(*features(t)) for t in batch.column(at).to_pylist()]))
             tail = tails[:, keep_grade - 1]
-            yield pdf.assign(**dict(zip(names, (tails.sum(1), tail, tail >= min_tail))))
+            more = [pa.array(tails.sum(1), pa.float64()), pa.array(tail, pa.float64()), pa.array(tail >= min_tail, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *names])
 
-    rows = docs.drop(*names) if carry else docs.select(id_col, text_col)
     schema = T.StructType([*rows.schema.fields, T.StructField(names[0], T.DoubleType()),
                            T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.BooleanType())])
-    out = rows.mapInPandas(judged, schema)
+    out = rows.mapInArrow(judged, schema)
     return out if carry else out.drop(text_col)

@@ -327,7 +327,8 @@ def score(docs: DataFrame, order: int = 4, folds: int = 5, held_fold: int = 1, m
     Rows whose crc32(id as text) mod ``folds`` is ``held_fold`` are scored but not learned from."""
     spark = ready(docs.sparkSession)
     text_id = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("doc_id"),
+    rows = docs.select(F.monotonically_increasing_id().alias("row"),
+                       F.col(id_col).cast("bigint").cast("string").alias("doc_id"),  # pandas would round bigints beside nulls
                        F.col(text_col).alias("text"), (F.crc32(text_id) % folds == held_fold).alias("held"))
     counted = (rows.select("text", "held").mapInPandas(_statistics(order), "kind int, key bigint, n bigint")
                .groupBy("kind", "key").agg(F.sum("n").alias("n")).checkpoint())
@@ -350,7 +351,7 @@ def score(docs: DataFrame, order: int = 4, folds: int = 5, held_fold: int = 1, m
     hot_grams, rest_grams = _split_table(costs, "weight", max_grams)
     tables = spark.sparkContext.broadcast([(t["key"].to_numpy(), t["value"].to_numpy()) for t in (hot_words, hot_grams)])
     whole = float(np.log10(train_tokens + 0.5 * (distinct + 1)))
-    out = rows.mapInPandas(_scores(order, tables), "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, "
+    out = rows.mapInPandas(_scores(order, tables), "row bigint, doc_id string, held_out boolean, n_tokens bigint, n_known bigint, "
                                                    "base double, score double, words array<bigint>, word_tf array<bigint>, "
                                                    "grams array<bigint>, gram_tf array<bigint>")
     if rest_words is not None or rest_grams is not None:
@@ -376,5 +377,5 @@ def score(docs: DataFrame, order: int = 4, folds: int = 5, held_fold: int = 1, m
                 yield pd.DataFrame({"row": pdf["row"], "alone": [Trie(order).walk(lowered(t), True) for t in pdf["text"]]})
         out = (out.drop("score").join(rows.mapInPandas(alone, "row bigint, alone double"), "row")
                .withColumnRenamed("alone", "score"))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(train_tokens)).cast("bigint").alias("train_tokens"),
+    return out.select(F.col("doc_id").cast("bigint").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(int(train_tokens)).cast("bigint").alias("train_tokens"),
                       (F.col("base") - F.col("n_tokens") * F.lit(whole)).alias("base_score"), "score")
