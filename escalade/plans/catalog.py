@@ -52,7 +52,7 @@ def rounded(df: DataFrame, money: tuple[str, ...] = (), digits: int = 6, money_d
 def _load_all():
     # Importing the modules fills REGISTRY.
     from escalade.plans import (q_metrics, q_reports, q_text, q_datasets, q_routing, q_scores,  # noqa: F401
-                                q_training, q_streaming, q_io)
+                                q_training, q_streaming, q_io, q_chain)
 
 
 def all_queries() -> dict[str, Query]:

@@ -6,6 +6,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from escalade.operators.routing import Scorer, cascade
@@ -38,6 +39,41 @@ def run_available_now(stream: DataFrame, name: str, output_mode: str = "append",
     return spark.read.format(fmt).load(out)
 
 
+def awaited_responses(requests: DataFrame, responses: DataFrame, wait: str, delay: str, ts: str = "ts",
+                      responded_at: str = "responded_at", key: str = "request_id") -> DataFrame:
+    """Every request of a stream with its responses from another one, left outer: ``answered`` is null for requests whose
+    responses didn't come within ``wait``; they leave when the watermarks (``delay`` behind both streams) have passed that time, and so
+    does their state. A request has one row of responses; rows without a key are dropped."""
+    left = requests.withWatermark(ts, delay).alias("q")
+    right = responses.withColumnRenamed(key, "_key").withColumn("answered", F.col("_key").isNotNull()).withWatermark(responded_at, delay)
+    within = (F.col(f"q.{key}") == F.col("_key")) & (F.col(responded_at) >= F.col(f"q.{ts}")) & (
+        F.col(responded_at) <= F.col(f"q.{ts}") + F.expr(f"interval {wait}"))
+    return left.filter(F.col(key).isNotNull()).join(right, within, "leftOuter").drop("_key")
+
+
+def run_to_close(build, name: str, sources: list[tuple[str, str]], key: str = "request_id", beat: str = "9000-01-01 00:00:00") -> DataFrame:
+    """Run an append stream over its sources to the end and close every window: after all available data, each source
+    (folder, time column) gets one heartbeat row, which moves the watermarks past everything that waits.
+
+    A heartbeat has nulls but for its time and a negative key of its own (a null key would be filtered before the watermark sees the
+    row); it waits for a later time that doesn't come, so it isn't emitted. ``build`` makes the stream; both runs continue one
+    checkpoint, so nothing is read or emitted twice."""
+    ck = out = None
+    for closing in (False, True):
+        if closing:
+            for number, (folder, time_col) in enumerate(sources, 1):
+                rows = SparkSession.getActiveSession().read.parquet(folder)
+                fixed = {time_col: beat, key: str(-number)}
+                row = [F.lit(fixed.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
+                rows.sparkSession.range(0, 1, 1, 1).select(*row).write.mode("append").parquet(folder)
+        stream = build()
+        ck = ck or scratch_path(stream.sparkSession, f"{name}-checkpoint")
+        out = out or scratch_path(stream.sparkSession, f"{name}-out")
+        _finish(stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", ck)
+                .trigger(availableNow=True).start())
+    return stream.sparkSession.read.parquet(out)
+
+
 def _finish(query: StreamingQuery) -> None:
     """Wait for the end of all available data; a failed query raises its error."""
     query.awaitTermination()
