@@ -1,7 +1,8 @@
 """ST2: routing metrics per event-time window, for batch tables and streams alike.
 
-Exact percentiles are not incremental, so streams use ``percentile_approx`` (bounded state); batch callers may
-ask for the exact ``percentile``. Rows later than the watermark are dropped by Spark in streaming mode.
+Exact percentiles are not incremental, so streams keep a KLL sketch per window (mergeable, bounded state: ``window_sketches``, read by
+``sketch_metrics``, and merged into longer windows by ``merge_windows``); batch callers may ask for the exact percentile.
+Rows later than the watermark are dropped by Spark in streaming mode, and counted (``runner.run_counting_late``).
 """
 
 from __future__ import annotations
@@ -58,3 +59,38 @@ def _window_aggs(df: DataFrame, mu, lat, n, p95) -> DataFrame:
                 F.avg(lat).alias("avg_latency_ms"), *extra, F.sum("cost_usd").alias("cost_usd")))
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "strong_pct",
                       "trigger_rate", "avg_latency_ms", *(["p95_latency_ms"] if extra else []), "cost_usd")
+
+
+#: Size of the latency sketch. A rank read from it is off by at most about 2.3 / k ** 0.9 of all rows (99 % confidence): 0.13 %.
+SKETCH_K = 4096
+
+
+def window_sketches(results: DataFrame, window: str = "1 day", watermark: str | None = None, ts: str = "ts", k: int = SKETCH_K) -> DataFrame:
+    """Per window what all its metrics are made of, in a form that merges: counts, sums and a quantile sketch of the latencies. On a
+    stream with a watermark a window leaves, with its state, when the watermark passes its end (append mode)."""
+    df = _prep(results, ts, watermark)
+    mu, lat = F.col("model_used"), F.when(valid("latency_ms"), F.col("latency_ms").cast("double"))
+    return (df.groupBy(F.window(ts, window).alias("w"))
+            .agg(F.count(F.lit(1)).alias("n"), F.count_if(mu.isin("strong", "weak_then_strong")).alias("n_strong"),
+                 F.count_if(mu == "weak_then_strong").alias("n_triggered"), F.sum(lat).alias("sum_latency"), F.count(lat).alias("n_latency"),
+                 F.kll_sketch_agg_double(lat, F.lit(k)).alias("latencies"), F.sum("cost_usd").alias("cost_usd"))
+            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "n_strong", "n_triggered", "sum_latency",
+                    "n_latency", "latencies", "cost_usd"))
+
+
+def merge_windows(sketches: DataFrame, window: str, k: int = SKETCH_K) -> DataFrame:
+    """Windows of ``window_sketches`` merged into longer ones, without the rows."""
+    sums = [F.sum(c).alias(c) for c in ("n", "n_strong", "n_triggered", "sum_latency", "n_latency", "cost_usd")]
+    return (sketches.groupBy(F.window("window_start", window).alias("w"))
+            .agg(*sums, F.kll_merge_agg_double("latencies", F.lit(k)).alias("latencies"))
+            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "n_strong", "n_triggered", "sum_latency",
+                    "n_latency", "latencies", "cost_usd"))
+
+
+def sketch_metrics(sketches: DataFrame, p: float = 0.95) -> DataFrame:
+    """Requests, strong %, trigger rate, mean and P95 latency (from the sketch) and cost per window."""
+    share = lambda c: F.try_divide(F.col(c) * F.lit(100.0), F.col("n").cast("double"))
+    p95 = F.when(F.col("n_latency") > 0, F.kll_sketch_get_quantile_double("latencies", F.lit(p)))
+    return sketches.select("window_start", "window_end", "n", share("n_strong").alias("strong_pct"), share("n_triggered").alias("trigger_rate"),
+                           F.try_divide("sum_latency", F.col("n_latency").cast("double")).alias("avg_latency_ms"),
+                           p95.alias("p95_latency_ms"), "cost_usd")

@@ -39,6 +39,18 @@ def run_available_now(stream: DataFrame, name: str, output_mode: str = "append",
     return spark.read.format(fmt).load(out)
 
 
+def run_counting_late(stream: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """Run an append stream to the end; its rows, and how many groups of late rows its stateful operators dropped (rows behind
+    the watermark are counted after they were combined by window in their task)."""
+    spark = stream.sparkSession
+    out, ck = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-checkpoint")
+    query = (stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", ck)
+             .trigger(availableNow=True).start())
+    _finish(query)
+    late = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+    return spark.read.schema(stream.schema).parquet(out), late
+
+
 def awaited_responses(requests: DataFrame, responses: DataFrame, wait: str, delay: str, ts: str = "ts",
                       responded_at: str = "responded_at", key: str = "request_id") -> DataFrame:
     """Every request of a stream with its responses from another one, left outer: ``answered`` is null for requests whose
@@ -51,7 +63,7 @@ def awaited_responses(requests: DataFrame, responses: DataFrame, wait: str, dela
     return left.filter(F.col(key).isNotNull()).join(right, within, "leftOuter").drop("_key")
 
 
-def run_to_close(build, name: str, sources: list[tuple[str, str]], key: str = "request_id", beat: str = "9000-01-01 00:00:00") -> DataFrame:
+def run_to_close(build, name: str, sources: list[tuple[str, str]], key: str = "request_id", beat: str = "2200-01-01 00:00:00") -> DataFrame:
     """Run an append stream over its sources to the end and close every window: after all available data, each source
     (folder, time column) gets one heartbeat row, which moves the watermarks past everything that waits.
 

@@ -105,3 +105,24 @@ def test_pairwise_weights_antisymmetric(spark):
     half = len(w) // 2
     u, v = w[:half], w[half:]
     assert abs(u + v).max() <= 1e-3 * max(abs(u).max(), 1e-12) + 1e-6  # optimum satisfies w_B = -w_A
+
+
+def test_window_sketches_stream_merge_and_late_rows(spark, tmpdir_path):
+    import datetime as dt
+    import time
+    base, path = dt.datetime(2024, 1, 1), f"{tmpdir_path}/sk"
+    schema = "request_id long, ts timestamp, model_used string, latency_ms double, cost_usd double"
+    rows = [(i, base + dt.timedelta(minutes=i), ("weak", "strong", "weak_then_strong")[i % 3], float(i * 7919 % 1000), 0.5) for i in range(2880)]
+    rows[5] = (*rows[5][:3], None, 0.5)
+    for part in (rows, [(9000, base + dt.timedelta(days=9), "weak", 1.0, 0.5)], [(9001, base, "strong", 5.0, 0.5)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.02)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out, late = S.run_counting_late(W.window_sketches(stream, "1 hour", "10 minutes"), "sk")
+    assert late == 1
+    days = W.sketch_metrics(W.merge_windows(out, "1 day")).orderBy("window_start").collect()
+    assert [(r.n, round(r.strong_pct, 3), round(r.trigger_rate, 3), r.cost_usd) for r in days] == [(1440, 66.667, 33.333, 720.0)] * 2
+    for n, r in enumerate(days):
+        own = sorted(x[3] for x in rows[n * 1440:(n + 1) * 1440] if x[3] is not None)
+        assert abs(sum(x <= r.p95_latency_ms for x in own) / len(own) - 0.95) < 0.005
+        assert abs(r.avg_latency_ms - sum(own) / len(own)) < 1e-9
