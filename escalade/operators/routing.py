@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from escalade.functions.arrow import append_columns
 from escalade.functions.hashing import unit_uniform
 from escalade.functions.joins import attach_row
 from escalade.functions.quantiles import valid
 from escalade.functions.text import token_count, word_containment
 from escalade.operators.requests import evaluable
+from escalade.operators.scoring import _call
 from escalade.schemas import CASCADE_THRESHOLD, ROUTER_THRESHOLD, Prices
 
 Scorer = Callable[[Column, Column], Column]  # (prompt, response) -> quality score column
@@ -251,27 +253,11 @@ def cascade(requests: DataFrame, scorer: Scorer | None = None, win_rate: str | N
 def _call_where(df: DataFrame, fn, flag: str, out: str) -> DataFrame:
     """Call an injected text model on the rows whose ``flag`` is true, inside each partition (Arrow batches):
     no filter/join round trip, and untaken rows cost nothing. Failures go to ``<out>_error``."""
-    fields = df.schema.fields
-
-    def run(it):
-        for pdf in it:
-            res, err = [], []
-            for need, p in zip(pdf[flag], pdf["prompt"]):
-                if not need:
-                    res.append(None)
-                    err.append(None)
-                    continue
-                try:
-                    res.append(fn(p if p is not None else ""))
-                    err.append(None)
-                except Exception as e:  # a failed call is a row-level error
-                    res.append(None)
-                    err.append(f"{type(e).__name__}: {e}")
-            yield pdf.assign(**{out: pd.Series(res, index=pdf.index, dtype="object"),
-                                f"{out}_error": pd.Series(err, index=pdf.index, dtype="object")})
-
-    schema = T.StructType([*fields, T.StructField(out, T.StringType()), T.StructField(f"{out}_error", T.StringType())])
-    return df.mapInPandas(run, schema)
+    def run(needed: list, prompts: list) -> tuple[list, list]:
+        done = [_call(fn, p if p is not None else "") if need else (None, None, 0) for need, p in zip(needed, prompts)]
+        return [x for x, _, _ in done], [e for _, e, _ in done]
+
+    return append_columns(df, [flag, "prompt"], run, [T.StructField(out, T.StringType()), T.StructField(f"{out}_error", T.StringType())])
 
 
 def cascade_with_models(requests: DataFrame, weak_fn, strong_fn, scorer: Scorer | None = None,

@@ -59,6 +59,23 @@ def u2(spark, sf):
     return out.select("pair_id", "weak_response", "strong_response", "error")
 
 
+@register("U2_collect_with_ledger", """
+select conv_id * 4294967296 + turn as pair_id,
+       case when length(text) % 13 = 0 then '' else substr(text, 1, 40) end as weak_response,
+       text || ' ' || text as strong_response,
+       case when length(text) % 13 = 0 then 'TimeoutError: simulated timeout' end as error,
+       case when length(text) % 13 = 0 then 3 else 2 end::bigint as attempts
+from conversations where role = 'user'""")
+def u2_ledger(spark, sf):
+    """The same through a ledger, in two runs: the first one has half of the prompts, the second one all and calls the others only."""
+    from escalade.session import scratch_path
+    asked, ledger = _user_prompts(spark, sf), scratch_path(spark, "ledger")
+    half = asked.where(F.col("pair_id") % 2 == 0)
+    for part in (half, asked):
+        out = U.collect_with_ledger(part, _weak_model, _strong_model, ledger, wave_rows=1000, retries=1, backoff_s=0.0)
+    return rounded(out.select("pair_id", "weak_response", "strong_response", "error", "attempts"))
+
+
 @register("U3_score_batch", with_views(["response_pairs"], r"""
 select pair_id,
        round(case when len(W) = 0 then null else len(list_intersect(W, S)) / len(W) end, 6) as score
