@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from escalade.llm.common import bytes_words, ready
+from escalade.llm.common import bytes_words, ready, slices
 
 BITS = 20
 N_DENSE = 6
@@ -228,7 +228,7 @@ def score(docs: DataFrame, model: OrdinalModel, keep_grade: int, min_tail: float
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for batch in batches:  # the other columns go through untouched
+        for batch in slices(batches):  # the other columns go through untouched
             tails = m.tails(np.array([m.line(*features(t)) for t in batch.column(at).to_pylist()]))
             tail = tails[:, keep_grade - 1]
             more = [pa.array(tails.sum(1), pa.float64()), pa.array(tail, pa.float64()), pa.array(tail >= min_tail, pa.bool_())]
