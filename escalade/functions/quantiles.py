@@ -77,3 +77,17 @@ def percentiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str
     if method == "counts":
         return percentiles_by_counts(df, value, probs, by)
     return df.groupBy(*by).agg(*percentile_columns(value, probs, method))
+
+
+def stacked_percentiles(df: DataFrame, wanted: dict[str, dict[str, float]], by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """Exact percentiles of several columns from one layout: rows are stacked as (column, value), counted and laid out once, and all
+    ranks are picked from that. One row per group: ``by`` and every name in ``wanted`` ({column: {name: probability}})."""
+    by = list(by)
+    values = F.array(*[F.struct(F.lit(n).alias("_stat"), F.when(valid(c), F.col(c).cast("double")).alias("_x")) for n, c in enumerate(wanted)])
+    stacked = df.select(*by, F.explode(values).alias("_s")).select(*by, "_s._stat", "_s._x")
+    every = {f"p{n}": p for n, p in enumerate(sorted({p for names in wanted.values() for p in names.values()}))}
+    found = percentiles_by_counts(stacked, "_x", every, [*by, "_stat"])
+    of = {p: name for name, p in every.items()}
+    picks = [F.max(F.when(F.col("_stat") == n, F.col(of[p]))).alias(name)
+             for n, names in enumerate(wanted.values()) for name, p in names.items()]
+    return found.groupBy(*by).agg(*picks)

@@ -1,7 +1,7 @@
 """Routing cost/quality metrics (A1-A3) and cost functions.
 
-Every metric group is one aggregation pass over the results table (partial aggregation on each partition, a
-single tiny final merge), instead of one pass per metric.
+Every metric group is two passes over the results table, whatever the number of metrics: one aggregation (partial on each partition, a
+single tiny final merge), and one for all exact percentiles together (one stacked layout of value counts).
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from escalade.functions.joins import attach_row
-from escalade.functions.quantiles import percentile_columns, percentiles_by_counts, valid
+from escalade.functions.quantiles import percentile_columns, stacked_percentiles, valid
 from escalade.schemas import BLENDED_STRONG_PER_M, Prices
 
 TOKEN_FIELDS = ("weak_input", "weak_output", "strong_input", "strong_output")
@@ -77,11 +77,10 @@ LENGTH_METRICS = ("avg_response_length", "median_response_length")
 
 def _metric_pass(results: DataFrame, routing: bool, quality: bool, strong_cost: float = BLENDED_STRONG_PER_M,
                  baseline: str = "blended", prices: Prices = Prices(), percentile_method: str = "counts") -> DataFrame:
-    """One aggregation pass computing the routing metrics (A1) and/or the quality metrics (A2).
+    """The routing metrics (A1) and/or the quality metrics (A2) in one ``agg``.
 
-    The inputs of every metric are projected once (``_lat``, ``_s``, ``_rl``, ``_base``), the percentile method is
-    chosen for all percentile columns together, and everything runs in a single ``agg``; only a percentile that
-    needs the distributed rank method adds its own job, joined back as a one-row result.
+    The inputs of every metric are projected once (``_lat``, ``_s``, ``_rl``, ``_base``). Exact percentiles of all columns come from one
+    second pass, stacked as (column, value) and laid out once, and are attached as one row.
     """
     has_score = quality and "weak_quality_score" in results.columns
     has_resp = quality and "response" in results.columns
@@ -113,15 +112,12 @@ def _metric_pass(results: DataFrame, routing: bool, quality: bool, strong_cost:
     if has_resp:
         aggs.append(F.avg("_rl").alias("avg_response_length"))
         pct["_rl"] = ("median_response_length", 0.5)
-    parts = []
-    for c, (name, p) in pct.items():
-        if percentile_method == "counts":
-            parts.append(percentiles_by_counts(src, c, {name: p}))
-        else:
+    if percentile_method != "counts":
+        for c, (name, p) in pct.items():
             aggs += percentile_columns(c, {name: p}, percentile_method)
     out = src.agg(*aggs)
-    for part in parts:
-        out = attach_row(out, part)
+    if pct and percentile_method == "counts":
+        out = attach_row(out, stacked_percentiles(src, {c: {name: p} for c, (name, p) in pct.items()}))
     return out
 
 
@@ -146,7 +142,7 @@ def _quality_columns(df: DataFrame) -> list[str]:
 
 def routing_metrics(results: DataFrame, strong_cost: float = BLENDED_STRONG_PER_M, baseline: str = "blended",
                     prices: Prices = Prices(), percentile_method: str = "counts") -> DataFrame:
-    """A1: twelve routing metrics in one row, one pass. Unknown ``model_used`` values count in the total only."""
+    """A1: twelve routing metrics in one row. Unknown ``model_used`` values count in the total only."""
     out = _metric_pass(results, True, False, strong_cost, baseline, prices, percentile_method)
     return out.select(*_routing_columns())
 
@@ -158,7 +154,7 @@ def quality_metrics(results: DataFrame, percentile_method: str = "counts") -> Da
 
 
 def combined_metrics(results: DataFrame, **kw) -> DataFrame:
-    """A1 and A2 side by side in one wide row (the saved metrics file of the reference), in one scan."""
+    """A1 and A2 side by side in one wide row (the saved metrics file), from the same two passes."""
     out = _metric_pass(results, True, True, **kw)
     return out.select(*_routing_columns(), *_quality_columns(out))
 
