@@ -17,6 +17,10 @@ WS = r"(?U)\s+"
 CLS, SEP, PAD = "[CLS]", "[SEP]", "[PAD]"
 
 
+# More messages than any context window holds.
+MAX_MESSAGES = 100_000
+
+
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -83,15 +87,17 @@ def last_user_message_flat(turns: DataFrame, key: str = "conv_id", order: str =
 
 
 def assemble_messages(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role",
-                      text: str = "text") -> DataFrame:
+                      text: str = "text", max_messages: int = MAX_MESSAGES) -> DataFrame:
     """F16: ordered ``ARRAY<STRUCT<role, content>>`` per request.
 
-    A request's message list is bounded by the model's context window, so one array per request is the
-    reference's own data model; everything that only needs a field of it (F1, token counts) uses the flat form.
+    A request's message list is bounded by the model's context window, so one array per request is the request's own data
+    model; a longer one than ``max_messages`` raises. Everything that only needs a field of it (F1, P8, token counts) has a flat form.
     """
     g = turns.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(role).alias("r"),
                                                                      F.col(text).alias("c")))).alias("_m"))
-    return g.select(key, F.transform("_m", lambda m: F.struct(m["r"].alias("role"), m["c"].alias("content")))
+    kept = F.when(F.size("_m") <= max_messages, F.col("_m")).otherwise(
+        F.raise_error(F.concat(F.lit(f"more than {max_messages} messages in request "), F.col(key).cast("string"))))
+    return g.select(key, F.transform(kept, lambda m: F.struct(m["r"].alias("role"), m["c"].alias("content")))
                     .alias("messages"))
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from escalade.functions.hashing import hash32
-from escalade.functions.ordinals import global_ordinals
 
 # Fixed values that must equal the reference's prompt generator: categories with their templates (in order),
 # the domain concepts, the tasks and the one error text.
@@ -86,10 +85,9 @@ def generate_prompts(ids: DataFrame, id_col: str = "id", seed: int = 0, domain:
 
 
 def head_n(df: DataFrame, n: int | None, order_by: list[Column | str]) -> DataFrame:
-    """L1: the first ``n`` rows in ``order_by`` order; ``None`` or 0 means all rows."""
-    if not n:
-        return df
-    return global_ordinals(df, order_by, name="_hn").where(F.col("_hn") < F.lit(int(n))).drop("_hn").orderBy(*order_by)
+    """L1: the first ``n`` rows in ``order_by`` order; ``None`` or 0 means all rows. Every task keeps its own first ``n``; nothing
+    else is moved."""
+    return df.orderBy(*order_by).limit(int(n)) if n else df
 
 
 def load_prompts(df: DataFrame, prompt_column: str = "question", num_samples: int | None = None,

@@ -20,6 +20,7 @@ from escalade.functions.joins import attach_row
 from escalade.functions.quantiles import valid
 from escalade.functions.text import token_count, word_containment
 from escalade.operators.requests import evaluable
+from escalade.operators.rounds import Bilinear
 from escalade.operators.scoring import _call
 from escalade.schemas import CASCADE_THRESHOLD, ROUTER_THRESHOLD, Prices
 
@@ -62,6 +63,13 @@ def mf_win_rate_from_params(queries: DataFrame, params: DataFrame, emb: str = "e
     return j.withColumn("win_rate", F.lit(1.0) / (F.lit(1.0) + F.exp(-(dot + F.col("c"))))).drop("a", "c")
 
 
+def mf_win_rate(queries: DataFrame, model: Bilinear, emb: str = "embedding") -> DataFrame:
+    """R3 with a learned model (general W, b, w and model vectors): folded into one linear score, which is exact."""
+    folded = mf_params(model.W, model.b, model.w, model.v_strong, model.v_weak)
+    params = queries.sparkSession.createDataFrame([(folded["a"], folded["c"])], "a array<double>, c double")
+    return mf_win_rate_from_params(queries, params, emb)
+
+
 def mf_params_from_battles(battles: DataFrame, emb: str = "embedding", label: str = "strong_wins") -> DataFrame:
     """Model vectors learnt from past battles with identity projection (W = I, b = 0, w = 1): v_strong / v_weak
     are the mean embeddings of the battles each model won. Returns the folded one-row (a, c).

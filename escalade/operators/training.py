@@ -7,7 +7,7 @@ The reference fine-tunes a transformer on one machine; here the same objectives
 * pairwise (M2): Bradley-Terry = logistic regression without intercept on x(prompt, preferred) -
   x(prompt, non_preferred), obtained with sparse features only: both responses sit in two slots of one vector and
   every pair also enters mirrored, so the regularised optimum is antisymmetric across the slots (see
-  :func:`train_pairwise`). A margin becomes a GLM offset. Slot A's weights score a single response;
+  :func:`train_pairwise`). A margin is a feature whose coefficient is held by bounds. Slot A's weights score a single response;
 * combined (M3): adequacy rows and pair rows in one no-intercept fit, weighted wa / wp.
 
 Features are hashed bags of words of prompt and response (HashingTF) plus length and overlap features, assembled
@@ -19,16 +19,21 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.ml.linalg import Matrices
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from escalade.functions.hashing import hash32
+from escalade.operators import rounds as rounds_of
 from escalade.operators.datasets import random_split_exact
 from escalade.operators.losses import binary_metrics
+from escalade.schemas import TRAIN_BATCH_SIZE
 
 WS_SQL = r"(?U)\\s+"
 NUMERIC = ("f_log_chars", "f_log_tokens", "f_overlap")
@@ -79,12 +84,12 @@ def score_column(model: PipelineModel, df: DataFrame, out: str = "score") -> Dat
                                                                      "prediction", *NUMERIC)
 
 
-def _pair_stages(num_features: int, indicator: bool) -> list:
+def _pair_stages(num_features: int, indicator: bool, sign: bool = False) -> list:
     """Two feature slots (the scored response in slot A, the other one in slot B) assembled into one sparse vector,
-    plus the adequacy indicator for the combined model."""
+    plus the adequacy indicator for the combined model, or the pair's direction for a margin."""
     return [*featurizer_stages(num_features, "prompt", "response", "_xa", "_a"),
             *featurizer_stages(num_features, "prompt_b", "response_b", "_xb", "_b"),
-            VectorAssembler(inputCols=["_xa", "_xb", *(["ind"] if indicator else [])], outputCol="features"),
+            VectorAssembler(inputCols=["_xa", "_xb", *(["ind"] if indicator else []), *(["_sgn"] if sign else [])], outputCol="features"),
             SQLTransformer(statement="SELECT * EXCEPT (_xa, _xb) FROM __THIS__")]
 
 
@@ -105,15 +110,13 @@ class PairwiseScorer:
     """A scorer trained on pairs: a fitted pipeline whose linear predictor, with the scored response in slot A and
     an empty slot B, is the response score (``indicator`` = 1.0 adds the adequacy offset of the combined model)."""
     model: PipelineModel
-    link_col: str = "rawPrediction"
 
     def score(self, df: DataFrame, out: str = "score", indicator: float = 0.0) -> DataFrame:
         x = (df.withColumn("prompt_b", F.lit("")).withColumn("response_b", F.lit(""))
-             .withColumn("ind", F.lit(float(indicator))).withColumn("off", F.lit(0.0)))
+             .withColumn("ind", F.lit(float(indicator))).withColumn("_sgn", F.lit(0.0)))
         t = self.model.transform(x)
-        val = vector_to_array(self.link_col)[1] if self.link_col == "rawPrediction" else F.col(self.link_col)
-        return t.withColumn(out, val).drop("prompt_b", "response_b", "ind", "off", "features", "rawPrediction",
-                                           "probability", "prediction", "eta")
+        return t.withColumn(out, vector_to_array("rawPrediction")[1]).drop("prompt_b", "response_b", "ind", "_sgn", "features",
+                                                                           "rawPrediction", "probability", "prediction")
 
 
 def train_pairwise(pairs: DataFrame, margin: float = 0.0, num_features: int = 1024, max_iter: int = 50,
@@ -123,25 +126,23 @@ def train_pairwise(pairs: DataFrame, margin: float = 0.0, num_features: int = 10
     Features stay sparse: slot A holds x(prompt, response), slot B the other response. With every pair mirrored,
     the L2-regularised no-intercept logistic objective is invariant under swapping the slots and flipping the
     label, so its unique optimum has w_B = -w_A: the fit *is* logistic regression on x_p - x_n, and w_A scores a
-    single response. A margin becomes a GLM offset (-margin forward, +margin mirrored; the IRLS solver limits this
-    path to 4096 features in total).
+    single response.
+
+    A margin m asks for s_p - s_n >= m: the predictor of a forward pair is lowered by m, that of a mirrored one raised. The
+    direction (+1 / -1) is one more feature whose coefficient is held at -m by bounds, so the fit stays sparse at any number of
+    features (bounded L-BFGS keeps two dense vectors of coefficients, no matrix).
     """
     if reg_param <= 0:
         raise ValueError("reg_param must be > 0 (it makes the symmetric optimum unique)")
     data = _pair_rows(pairs, 0.5, indicator=False)
-    feats = Pipeline(stages=_pair_stages(num_features, indicator=False)).fit(data)
-    x = feats.transform(data)
-    if margin == 0.0:
-        lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", fitIntercept=False,
-                                maxIter=max_iter, regParam=reg_param).fit(x)
-        return PairwiseScorer(PipelineModel(stages=[*feats.stages, lr]))
-    if 2 * (2 * num_features + len(NUMERIC)) > 4096:
-        raise ValueError("the margin (GLM offset) path supports at most 4096 features: use num_features <= 1022")
-    x = x.withColumn("off", -F.col("_sgn") * F.lit(float(margin)))
-    glr = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="features", labelCol="label",
-                                      weightCol="w", offsetCol="off", fitIntercept=False, maxIter=max_iter,
-                                      regParam=reg_param, linkPredictionCol="eta").fit(x)
-    return PairwiseScorer(PipelineModel(stages=[*feats.stages, glr]), link_col="eta")
+    feats = Pipeline(stages=_pair_stages(num_features, indicator=False, sign=margin != 0.0)).fit(data)
+    lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", fitIntercept=False, maxIter=max_iter, regParam=reg_param)
+    if margin != 0.0:
+        size = 2 * (2 * num_features + len(NUMERIC)) + 1  # the direction comes last
+        # the others are as good as free (bounds are scaled by deviations, which may be 0: infinite ones would become NaN)
+        bound = lambda free: Matrices.dense(1, size, [free] * (size - 1) + [-float(margin)])
+        lr = lr.setLowerBoundsOnCoefficients(bound(-1e30)).setUpperBoundsOnCoefficients(bound(1e30))
+    return PairwiseScorer(PipelineModel(stages=[*feats.stages, lr.fit(feats.transform(data))]))
 
 
 def train_combined(adequacy: DataFrame, pairs: DataFrame, wa: float = 1.0, wp: float = 1.0,
@@ -183,27 +184,28 @@ def evaluate_scorer(model: PipelineModel, samples: DataFrame, pos_weight: float
     return binary_metrics(s, "pred", "label", pos_weight=pos_weight)
 
 
-def fit_with_history(samples: DataFrame, key: str, grid: list[dict], ratio: float = 0.9, seed: int = 42,
-                     pos_weight: float = 1.0, num_features: int = 1024):
-    """M4: fixed exact split (D2), one fit per grid point, train/val metrics per round, best by val loss (L3).
-
-    Returns (best model, history DataFrame with one row per round). The loop runs over a small parameter grid;
-    each fit and each evaluation is a distributed job.
-    """
-    split = random_split_exact(samples, key, ratio, seed).cache()
-    train, val = split.where(F.col("split") == "train"), split.where(F.col("split") == "val")
-    rows, models = [], []
-    for i, params in enumerate(grid):
-        m = train_adequacy(train, pos_weight, num_features, params.get("max_iter", 50), params.get("reg_param", 0.01))
-        tr = evaluate_scorer(m, train, pos_weight).first()
-        va = evaluate_scorer(m, val, pos_weight).first()
-        rows.append((i, tr["loss"], tr["accuracy"], va["loss"], va["accuracy"]))
-        models.append(m)
-    hist = samples.sparkSession.createDataFrame(
-        rows, "epoch int, train_loss double, train_accuracy double, val_loss double, val_accuracy double")
-    best = best_epoch(hist).first()
-    split.unpersist()
-    return models[best["epoch"]], hist
+def fit_with_history(samples: DataFrame, key: str, rounds: int = 8, ratio: float = 0.9, seed: int = 42, pos_weight: float = 1.0,
+                     num_features: int = 1024, step: float = 0.5, l2: float = 1e-3, batch_size: int = TRAIN_BATCH_SIZE):
+    """M4: rounds of one fit over a fixed exact split (D2). In each round every task goes over its training rows in the round's own
+    order (D3), batch by batch, from the state of the round before; the tasks' states are averaged by their rows. After each
+    round loss and accuracy on both sides are recorded, and the state with the lowest validation loss is kept (L3).
+
+    Returns (scorer, history with one row per round). Per round two passes over the rows; the driver holds one number per feature."""
+    split = random_split_exact(samples, key, ratio, seed)
+    feats = featurizer(num_features).transform(split.withColumn("label", F.col("label").cast("double")))
+    rows = feats.select(F.col(key).alias("key"), "split", "label", "features").checkpoint()
+    train = rows.where("split = 'train'")
+    state, best, history = np.zeros(2 * num_features + len(NUMERIC) + 1), None, []
+    for epoch in range(rounds):
+        ordered = train.sortWithinPartitions(hash32(F.col("key"), seed * 1009 + epoch), "key")
+        state = rounds_of.averaged(ordered, state, step / (1 + epoch), l2, pos_weight, batch_size)
+        m = rounds_of.measured(rows, state, pos_weight)
+        history.append((epoch, *map(float, (*m["train"], *m["val"]))))
+        if best is None or m["val"][0] < best[0]:
+            best = (m["val"][0], state)
+    spark = samples.sparkSession
+    hist = spark.createDataFrame(history, "epoch int, train_loss double, train_accuracy double, val_loss double, val_accuracy double")
+    return rounds_of.LinearScorer(best[1], num_features), hist
 
 
 def save_scorer(model: PipelineModel, path: str, metadata: dict) -> None:
@@ -221,6 +223,41 @@ def load_scorer(spark, path: str) -> tuple[PipelineModel, dict]:
     return model, meta
 
 
+@dataclass
+class DifficultyRouter:
+    """A classifier of prompts (will the weak model's answer do?), calibrated. It reads nothing but the prompt, so it decides
+    before anything is generated."""
+    model: PipelineModel
+    calibration: object  # IsotonicRegressionModel
+
+    def raw(self, df: DataFrame, out: str = "_raw") -> DataFrame:
+        x = df.select("*", F.lit("").alias("response")) if "response" not in df.columns else df.withColumnRenamed("response", "_own_response").withColumn("response", F.lit(""))
+        t = score_column(self.model, x, out).drop("response")
+        return t.withColumnRenamed("_own_response", "response") if "_own_response" in t.columns else t
+
+    def win_rate(self, requests: DataFrame, out: str = "win_rate") -> DataFrame:
+        """``requests`` with the calibrated probability that the strong model is needed."""
+        return self.calibration.transform(self.raw(requests)).withColumnRenamed("prediction", out).drop("_raw")
+
+
+def train_difficulty(samples: DataFrame, calibration: DataFrame, num_features: int = 1024, max_iter: int = 50,
+                     reg_param: float = 0.01) -> DifficultyRouter:
+    """Fit on (prompt, label) rows, label 1 if the weak answer was adequate; calibrate on others by isotonic regression, which keeps
+    the order and makes the mean rate of every plateau the share of inadequate answers there."""
+    prompts = samples.select("prompt", F.lit("").alias("response"), (F.lit(1.0) - F.col("label").cast("double")).alias("label"))
+    router = DifficultyRouter(train_adequacy(prompts, num_features=num_features, max_iter=max_iter, reg_param=reg_param), None)
+    raw = router.raw(calibration.select("prompt", (F.lit(1.0) - F.col("label").cast("double")).alias("label")))
+    router.calibration = IsotonicRegression(featuresCol="_raw", labelCol="label").fit(raw)
+    return router
+
+
+def calibration_error(rows: DataFrame, rate: str = "win_rate", label: str = "label", bins: int = 10) -> DataFrame:
+    """One row: the expected calibration error of ``rate`` against (1 - ``label``), by equal bins."""
+    b = F.least(F.floor(F.col(rate) * bins), F.lit(bins - 1))
+    g = rows.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.abs(F.avg(rate) - F.avg(F.lit(1.0) - F.col(label))).alias("gap"))
+    return g.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("calibration_error"))
+
+
 def classifier_win_rate(requests: DataFrame, model: PipelineModel, response: str = "weak_response") -> DataFrame:
     """Difficulty from an adequacy classifier: strong win rate = 1 - P(weak response adequate)."""
     s = score_column(model, requests.withColumn("response", F.col(response)), "_p_adequate")

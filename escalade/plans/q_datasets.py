@@ -132,7 +132,7 @@ def a4(spark, sf):
 
 
 _D1 = with_views(RP, """
-select pair_id, (row_number() over (order by pair_id) - 1)::bigint as ord,
+select pair_id, prompt, weak_response, strong_response, (row_number() over (order by pair_id) - 1)::bigint as ord,
        case when row_number() over (order by pair_id) - 1 < cast(trunc(count(*) over () * 9e-1) as bigint)
             then 'train' else 'val' end as split
 from response_pairs""")
@@ -140,54 +140,53 @@ from response_pairs""")
 
 @register("D1_prefix_split", _D1)
 def d1(spark, sf):
-    rp = fx.response_pairs(spark, sf).select("pair_id")
-    return D.prefix_split(rp, ["pair_id"], 0.9)
+    return D.prefix_split(fx.response_pairs(spark, sf), ["pair_id"], 0.9)
 
 
 @register("D2_random_split_exact", with_views(RP, f"""
-select pair_id,
+select pair_id, prompt, weak_response, strong_response,
        case when row_number() over (order by {hash32_sql('pair_id', 42)}, pair_id) - 1
                  < cast(trunc(count(*) over () * 9e-1) as bigint) then 'train' else 'val' end as split
 from response_pairs"""))
 def d2(spark, sf):
-    rp = fx.response_pairs(spark, sf).select("pair_id")
-    return D.random_split_exact(rp, "pair_id", 0.9, seed=42)
+    return D.random_split_exact(fx.response_pairs(spark, sf), "pair_id", 0.9, seed=42)
 
 
 @register("D3_shuffle_epochs", with_views(RP, f"""
-select pair_id, 0::bigint as epoch, (row_number() over (order by {hash32_sql('pair_id', 42 * 1009)}, pair_id) - 1)::bigint as pos
+select pair_id, prompt, weak_response, strong_response, 0::bigint as epoch, (row_number() over (order by {hash32_sql('pair_id', 42 * 1009)}, pair_id) - 1)::bigint as pos
 from response_pairs
 union all
-select pair_id, 1, (row_number() over (order by {hash32_sql('pair_id', 42 * 1009 + 1)}, pair_id) - 1)::bigint
+select pair_id, prompt, weak_response, strong_response, 1, (row_number() over (order by {hash32_sql('pair_id', 42 * 1009 + 1)}, pair_id) - 1)::bigint
 from response_pairs"""))
 def d3(spark, sf):
-    rp = fx.response_pairs(spark, sf).select("pair_id")
+    rp = fx.response_pairs(spark, sf)
     parts = []
     for epoch in (0, 1):
         o = global_ordinals(rp, [hash32(F.col("pair_id"), 42 * 1009 + epoch), F.col("pair_id")], name="pos")
-        parts.append(o.select("pair_id", F.lit(epoch).cast("bigint").alias("epoch"), "pos"))
+        parts.append(o.select(*rp.columns, F.lit(epoch).cast("bigint").alias("epoch"), "pos"))
     return parts[0].unionByName(parts[1])
 
 
 @register("D4_assign_batches", with_views(RP, """
-select pair_id, (row_number() over (order by pair_id) - 1)::bigint as ord,
+select pair_id, prompt, weak_response, strong_response, (row_number() over (order by pair_id) - 1)::bigint as ord,
        ((row_number() over (order by pair_id) - 1) // 16)::bigint as batch_id
 from response_pairs"""))
 def d4(spark, sf):
-    return D.assign_batches(fx.response_pairs(spark, sf).select("pair_id"), ["pair_id"], 16)
+    return D.assign_batches(fx.response_pairs(spark, sf), ["pair_id"], 16)
 
 
 @register("D5_collate", with_views(RP, """
-select batch_id, count(*)::bigint as batch_rows, min(pair_id) as first_pair_id, max(pair_id) as last_pair_id,
-       sum(length(prompt))::bigint as prompt_chars
-from (select pair_id, prompt, (row_number() over (order by pair_id) - 1) // 32 as batch_id from response_pairs) b
+select batch_id, count(*)::bigint as batch_rows, string_agg(pair_id::varchar, ',' order by pair_id) as pair_ids,
+       string_agg(prompt, chr(30) order by pair_id) as prompts, string_agg(weak_response, chr(30) order by pair_id) as responses
+from (select *, (row_number() over (order by pair_id) - 1) // 32 as batch_id from response_pairs) b
 group by batch_id"""))
 def d5(spark, sf):
-    b = D.assign_batches(fx.response_pairs(spark, sf).select("pair_id", "prompt"), ["pair_id"], 32)
-    c = D.collate(b, ["pair_id", "prompt"])
+    """Whole batches: their ids and texts in row order."""
+    rows = fx.response_pairs(spark, sf).select("pair_id", "prompt", "weak_response")
+    c = D.collate(D.assign_batches(rows, ["pair_id"], 32), ["pair_id", "prompt", "weak_response"])
     return c.select("batch_id", F.col("batch_rows").cast("bigint").alias("batch_rows"),
-                    F.element_at("pair_id", 1).alias("first_pair_id"), F.element_at("pair_id", -1).alias("last_pair_id"),
-                    F.aggregate("prompt", F.lit(0).cast("bigint"), lambda a, p: a + F.length(p)).alias("prompt_chars"))
+                    F.array_join(F.transform("pair_id", lambda x: x.cast("string")), ",").alias("pair_ids"),
+                    F.array_join("prompt", chr(30)).alias("prompts"), F.array_join("weak_response", chr(30)).alias("responses"))
 
 
 @register("A22_dataset_sizes", with_views(RP, """
@@ -200,13 +199,16 @@ def a22(spark, sf):
     rp = fx.response_pairs(spark, sf)
     ad = D.adequacy_dataset(rp, keep=("pair_id",)).withColumn("kind", F.lit("adequacy"))
     pw = D.pairwise_dataset(rp, keep=("pair_id",)).withColumn("kind", F.lit("pairwise"))
-    both = (D.prefix_split(ad.select("pair_id", "kind"), ["pair_id"], 0.9)
-            .unionByName(D.prefix_split(pw.select("pair_id", "kind"), ["pair_id"], 0.9)))
+    # the sets as they are written: split with all their columns, then counted
+    both = D.prefix_split(ad, ["pair_id"], 0.9).unionByName(D.prefix_split(pw, ["pair_id"], 0.9), allowMissingColumns=True)
     return D.dataset_sizes(both)
 
 
-
-
-@register("P6_manual_labels", with_views(RP, "select pair_id, 0::bigint as label from response_pairs"))
+@register("P6_manual_labels", with_views(RP, """
+select pair_id, prompt, weak_response, strong_response, case when pair_id % 3 = 0 then (length(prompt) % 2) else 0 end::bigint as label
+from response_pairs"""))
 def p6(spark, sf):
-    return rounded(D.manual_labels(fx.response_pairs(spark, sf)).select("pair_id", "label"))
+    """Human labels where there are any (here every third pair has one), zero elsewhere."""
+    pairs = fx.response_pairs(spark, sf)
+    said = pairs.where(F.col("pair_id") % 3 == 0).select("pair_id", (F.length("prompt") % 2).alias("label"))
+    return rounded(D.manual_labels(pairs, said))

@@ -13,9 +13,9 @@ from escalade.sources.tables import load
 EVENT_COLUMNS = ("event_id", "ts", "user_id", "event_type", "value", "props")
 
 
-@register("S1_read_table", "select doc_id, lang, source, n_chars from documents")
+@register("S1_read_table", "select doc_id, text, lang, source, n_chars from documents")
 def s1(spark, sf):
-    return IO.read_table(spark, f"{sf}/documents.parquet").select("doc_id", "lang", "source", "n_chars")
+    return IO.read_table(spark, f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
 
 
 @register("S7_normalize_routing_results", with_views(["routing_results"], """
@@ -45,14 +45,13 @@ def _rp_datasets(spark, sf):
     return D.adequacy_dataset(rp), D.pairwise_dataset(rp)
 
 
-_P5_NO_KEY = with_views(["response_pairs"], r"""
-select prompt, weak_response as response,
-       (case when length(coalesce(weak_response, '')) < 50 then 0
-             when len(W) = 0 then 0
-             when len(list_intersect(W, S)) / len(W) > 7e-1 then 1 else 0 end)::double as label
-from (select *, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(weak_response, '')), '\s+'), lambda t: t <> '')) as W,
-             list_distinct(list_filter(regexp_split_to_array(lower(coalesce(strong_response, '')), '\s+'), lambda t: t <> '')) as S
-      from response_pairs) ws""")
+_LABEL = """case when length(coalesce(weak_response, '')) < 50 then 0 when len(W) = 0 then 0
+             when len(list_intersect(W, S)) / len(W) > 7e-1 then 1 else 0 end"""
+_WS = r"""
+select *, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(weak_response, '')), '\s+'), lambda t: t <> '')) as W,
+       list_distinct(list_filter(regexp_split_to_array(lower(coalesce(strong_response, '')), '\s+'), lambda t: t <> '')) as S
+from response_pairs"""
+_P5_NO_KEY = with_views(["response_pairs"], f"select prompt, weak_response as response, ({_LABEL})::double as label from ws", extra=[("ws", _WS)])
 
 
 @register("S3_S5_adequacy_csv_round_trip", _P5_NO_KEY)
@@ -76,21 +75,25 @@ def s3_s6(spark, sf):
     return IO.read_pairwise(spark, path)
 
 
-@register("S4_write_datasets", with_views(["response_pairs"], """
-select kind, split, count(*)::bigint as rows
-from (select case when row_number() over (order by pair_id) - 1 < cast(trunc(count(*) over () * 9e-1) as bigint)
-                  then 'train' else 'val' end as split from response_pairs) s
-cross join (select 'adequacy' as kind union all select 'pairwise') k
-group by kind, split"""))
+@register("S4_write_datasets", with_views(["response_pairs"], rf"""
+select s.pair_id, kind, split, prompt, weak_response as response, case when kind = 'pairwise' then strong_response end as other,
+       case when kind = 'adequacy' then label end::bigint as label
+from (select w.*, case when row_number() over (order by pair_id) - 1 < cast(trunc(count(*) over () * 9e-1) as bigint)
+                       then 'train' else 'val' end as split, {_LABEL} as label from ws w) s
+cross join (select 'adequacy' as kind union all select 'pairwise') k""", extra=[("ws", _WS)]))
 def s4(spark, sf):
-    """Both datasets split (D1) and written partitioned by split; counted back from the files."""
+    """Both datasets split (D1) and written partitioned by split; every row read back from the files."""
     from escalade.operators import datasets as D
     from escalade.session import scratch_path
     rp = fx.response_pairs(spark, sf)
     out = IO.write_datasets(D.adequacy_dataset(rp, keep=("pair_id",)), D.pairwise_dataset(rp, keep=("pair_id",)),
                             scratch_path(spark, "datasets"))
-    parts = [spark.read.parquet(p).select(F.lit(k).alias("kind"), "split") for k, p in out.items()]
-    return parts[0].unionByName(parts[1]).groupBy("kind", "split").agg(F.count(F.lit(1)).alias("rows"))
+    ad, pw = spark.read.parquet(out["adequacy"]), spark.read.parquet(out["pairwise"])
+    ad = ad.select("pair_id", F.lit("adequacy").alias("kind"), "split", "prompt", F.col("weak_response").alias("response"),
+                   F.lit(None).cast("string").alias("other"), F.col("label").cast("bigint").alias("label"))
+    pw = pw.select("pair_id", F.lit("pairwise").alias("kind"), "split", "prompt", F.col("response_a").alias("response"),
+                   F.col("response_b").alias("other"), F.lit(None).cast("bigint").alias("label"))
+    return ad.unionByName(pw)
 
 
 @register("S8_sample_rows", "select event_id, event_type, value from events order by event_id limit 5")

@@ -9,6 +9,7 @@ from escalade.functions.text import word_containment
 from escalade.operators import metrics as M
 from escalade.operators import requests as Q
 from escalade.operators import routing as R
+from escalade.operators.rounds import fit_bilinear
 from escalade.plans.catalog import register, rounded
 from escalade.plans.oracle_views import with_views
 from escalade.sources import fixtures as fx
@@ -114,6 +115,32 @@ def r3(spark, sf):
     return rounded(R.mf_win_rate_from_params(fx.queries(spark, sf), params).select("query_id", "win_rate"))
 
 
+@register("R3_mf_learned", """
+select vec_id as query_id, true as folding_is_exact, true as beats_mean_vectors, true as beats_guessing from embeddings where vec_id % 10 = 0""")
+def r3_learned(spark, sf):
+    """The router learned from past battles (bilinear, W of rank 16): the folded score equals the written-out one, and on the queries
+    (which it hasn't seen) its loss is below that of the mean-vector version and of guessing."""
+    known = fx.directed_battles(spark, sf)
+    past = known.where(F.col("battle_id") % 10 != 0)
+    model = fit_bilinear(past)
+    held = known.where(F.col("battle_id") % 10 == 0).select(F.col("battle_id").alias("query_id"), "embedding", F.col("strong_wins").cast("double").alias("y"))
+    learned = R.mf_win_rate(held, model)
+    seen = F.transform(F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in model.W]), lambda row: F.aggregate(
+        F.zip_with("embedding", row, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x))
+    delta = lambda v: F.aggregate(F.zip_with(
+        F.zip_with(seen, F.array(*[F.lit(float(x)) for x in model.b]), lambda x, y: x + y),
+        F.array(*[F.lit(float(x)) for x in v * model.w]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    whole = 1.0 / (1.0 + F.exp(delta(model.v_weak) - delta(model.v_strong)))
+    means = R.mf_win_rate_from_params(held, R.mf_params_from_battles(past)).select("query_id", F.col("win_rate").alias("mean_rate"))
+    p = lambda c: F.greatest(F.least(F.col(c), F.lit(1 - 1e-9)), F.lit(1e-9))
+    loss = lambda c: F.avg(-(F.col("y") * F.log(p(c)) + (1 - F.col("y")) * F.log(1 - p(c))))
+    rows = learned.withColumn("whole", whole).join(means, "query_id")
+    told = rows.agg(loss("win_rate").alias("l"), loss("mean_rate").alias("m"))
+    return rows.crossJoin(F.broadcast(told)).select("query_id", (F.abs(F.col("win_rate") - F.col("whole")) < 1e-9).alias("folding_is_exact"),
+                                                    (F.col("l") < F.col("m")).alias("beats_mean_vectors"),
+                                                    (F.col("l") < F.log(F.lit(2.0))).alias("beats_guessing"))
+
+
 _R4_SQL = with_views(["battles", "queries"], """
 select query_id, round(sum(w * strong_wins) / sum(w), 6) as win_rate, round(any_value(mx), 6) as max_cos
 from (select query_id, strong_wins, mx, pow(1e1, 1e0 + cs / mx) as w
@@ -183,7 +210,7 @@ def _cascade_sql(routed: bool, body: str | None = None) -> str:
     routed_strong = f"({wr} >= 5e-1)" if routed else "false"
     base = """
 select request_id, model_used, round(win_rate, 6) as routing_score, round(score, 6) as weak_quality_score,
-       model_used = 'weak_then_strong' as evaluator_triggered, length(response)::bigint as response_chars,
+       model_used = 'weak_then_strong' as evaluator_triggered, response,
        pt::bigint as prompt_tokens, ct::bigint as completion_tokens, (pt + ct)::bigint as total_tokens,
        wi::bigint as weak_input, wo::bigint as weak_output, si::bigint as strong_input, so::bigint as strong_output,
        round((wi * 5e-1 + wo * 15e-1 + si * 1e1 + so * 3e1) / 1e6, 9) as cost_usd
@@ -223,7 +250,7 @@ from (select *, case when model_used in ('strong', 'weak_then_strong') then stro
 
 def _cascade_out(d):
     return rounded(d.select("request_id", "model_used", "routing_score", "weak_quality_score", "evaluator_triggered",
-                            F.length("response").cast("bigint").alias("response_chars"), "prompt_tokens",
+                            "response", "prompt_tokens",
                             "completion_tokens", "total_tokens", "weak_input", "weak_output", "strong_input",
                             "strong_output", "cost_usd"), ("cost_usd",))
 
@@ -243,13 +270,17 @@ def r8_routed(spark, sf):
 select 'chatcmpl-' || request_id as id, 'chat.completion' as object, model_used as model,
        0::bigint as choice_index, 'assistant' as choice_role, 'stop' as finish_reason, model_used,
        round(win_rate, 6) as routing_score, round(score, 6) as weak_quality_score,
-       model_used = 'weak_then_strong' as evaluator_triggered, length(response)::bigint as content_chars,
+       model_used = 'weak_then_strong' as evaluator_triggered, response as content,
+       (1704067200 + (request_id // 4294967296) * 60 + (2000 + length(response)) // 1000)::bigint as created, 2000e0 + length(response) as latency_ms,
        pt::bigint as prompt_tokens, ct::bigint as completion_tokens, (pt + ct)::bigint as total_tokens,
        round((wi * 5e-1 + wo * 15e-1 + si * 1e1 + so * 3e1) / 1e6, 9) as cost_usd
 from x"""))
 def f10(spark, sf):
     d = R.cascade(_cascade_input(spark, sf), _containment_scorer, None, threshold=0.6)
-    env = Q.response_envelope(d)
+    # stand-in times: a request each minute, answered two seconds and a millisecond for each character later
+    asked = F.timestamp_seconds(F.lit(1704067200) + F.shiftright("request_id", 32) * 60)
+    told = d.withColumns({"asked_at": asked, "told_at": F.timestamp_millis(F.unix_millis(asked) + 2000 + F.length("response"))})
+    env = Q.response_envelope(told, "asked_at", "told_at")
     c0 = F.element_at("choices", 1)
     return rounded(env.select(
         "id", "object", "model", c0["index"].cast("bigint").alias("choice_index"),
@@ -258,7 +289,7 @@ def f10(spark, sf):
         F.col("routing_metadata.routing_score").alias("routing_score"),
         F.col("routing_metadata.weak_quality_score").alias("weak_quality_score"),
         F.col("routing_metadata.evaluator_triggered").alias("evaluator_triggered"),
-        F.length(c0["message"]["content"]).cast("bigint").alias("content_chars"),
+        c0["message"]["content"].alias("content"), F.col("created"), F.col("routing_metadata.latency_ms").alias("latency_ms"),
         F.col("usage.prompt_tokens").alias("prompt_tokens"), F.col("usage.completion_tokens").alias("completion_tokens"),
         F.col("usage.total_tokens").alias("total_tokens"), F.col("routing_metadata.cost_usd").alias("cost_usd")),
         ("cost_usd",))
@@ -282,16 +313,14 @@ def r9(spark, sf):
 
 
 @register("J1_pair_responses", with_views(["response_pairs"], """
-select p.pair_id, length(p.weak_response)::bigint as weak_chars, length(s.text)::bigint as strong_chars
+select p.pair_id, p.prompt, p.weak_response, s.text as strong_response
 from response_pairs p join (select conv_id * 4294967296 + turn - 1 as pair_id, text from conversations where role = 'assistant') s
   using (pair_id)"""))
 def j1(spark, sf):
-    weak = fx.response_pairs(spark, sf).select("pair_id", "weak_response")
+    weak = fx.response_pairs(spark, sf).select("pair_id", "prompt", "weak_response")
     conv = load(spark, sf, "conversations").where(F.col("role") == "assistant")
-    strong = conv.select((F.col("conv_id") * 4294967296 + F.col("turn") - 1).alias("pair_id"), F.col("text").alias("strong"))
-    pairs, _, _ = R.pair_responses(weak, strong)
-    return pairs.select("pair_id", F.length("weak_response").cast("bigint").alias("weak_chars"),
-                        F.length("strong").cast("bigint").alias("strong_chars"))
+    strong = conv.select((F.col("conv_id") * 4294967296 + F.col("turn") - 1).alias("pair_id"), F.col("text").alias("strong_response"))
+    return R.pair_responses(weak, strong)[0]
 
 
 @register("J1_missing_weak", with_views(["response_pairs"], """

@@ -108,29 +108,27 @@ def a21_batched(spark, sf):
     return rounded(L.binary_metrics(b, batch="batch_id"))
 
 
-SEQ_LEN = 512  # encoder length: a pooled sequence never holds more positions than this
+def _sequences(spark, sf):
+    """Token sequences as the encoder takes them (F11: 512 places, mask 0 on padding), each token with a vector of three numbers."""
+    from escalade.functions.text import encode_pair
+    e = fx.response_pairs(spark, sf).select("pair_id", encode_pair("prompt", "strong_response", 512).alias("e"))
+    vectors = F.transform("e.tokens", lambda t, i: F.array(F.length(t).cast("double"), F.ascii(t).cast("double"), ((i * 7) % 11).cast("double")))
+    return e.select("pair_id", vectors.alias("hidden"), F.col("e.attention_mask").alias("mask"))
 
 
-def _sequences(spark, sf):
-    """Bounded sequences for the array form: the positions of one label cut into blocks of at most ``SEQ_LEN``
-    consecutive ids, each block one row (positions in order, each with its vector and mask)."""
-    from escalade.sources.tables import load
-    emb = load(spark, sf, "embeddings")
-    rows = emb.select(F.col("label").alias("id"), F.floor(F.col("vec_id") / SEQ_LEN).cast("bigint").alias("blk"),
-                      F.col("vec_id").alias("pos"), F.transform("embedding", lambda v: v.cast("double")).alias("vec"),
-                      F.when(F.pmod(F.col("vec_id"), F.lit(5)) == 0, F.lit(0)).otherwise(F.lit(1)).alias("mask"))
-    g = rows.groupBy("id", "blk").agg(F.sort_array(F.collect_list(F.struct("pos", "vec", "mask"))).alias("s"))
-    return g.select("id", "blk", F.transform("s", lambda x: x["vec"]).alias("hidden"),
-                    F.transform("s", lambda x: x["mask"]).alias("mask"))
+def _pooled_sql(agg: str) -> str:
+    from escalade.plans.q_text import _encode_sql
+    return f"""
+with coded as ({_encode_sql(512)}),
+places as (select pair_id, unnest(range(512)) as pos, unnest(string_split(tokens, ' ')) as t, unnest(string_split(attention_mask, ''))::int as mask from coded),
+hidden as (select pair_id, pos, mask, unnest([0, 1, 2]) as dim, unnest([length(t), ascii(t), (pos * 7) % 11])::double as v from places)
+select pair_id, dim::bigint as dim, round({agg}, 6) as pooled from hidden group by pair_id, dim"""
 
 
 for _strategy, _agg in _POOL_SQL.items():
     def _make_arr(strategy):
         def build(spark, sf):
-            seq = _sequences(spark, sf)
-            p = seq.select("id", "blk", F.posexplode(S.pool_arrays("hidden", "mask", strategy)).alias("dim", "pooled"))
-            return rounded(p.select("id", "blk", F.col("dim").cast("bigint").alias("dim"), "pooled"))
+            p = _sequences(spark, sf).select("pair_id", F.posexplode(S.pool_arrays("hidden", "mask", strategy)).alias("dim", "pooled"))
+            return rounded(p.select("pair_id", F.col("dim").cast("bigint").alias("dim"), "pooled"))
         return build
-    register(f"F12_pool_{_strategy}_array", with_views(["hidden_states"], f"""
-select id::bigint as id, pos // {SEQ_LEN} as blk, dim, round({_agg}, 6) as pooled from hidden_states group by id, pos // {SEQ_LEN}, dim"""))(
-        _make_arr(_strategy))
+    register(f"F12_pool_{_strategy}_array", _pooled_sql(_agg))(_make_arr(_strategy))

@@ -89,22 +89,24 @@ def _encode_sql(max_length: int) -> str:
     b = max_length - 3
     hi, lo = (b + 1) // 2, b // 2
     return with_views(RP, f"""
-select pair_id, ka::bigint as n_prompt, kb::bigint as n_response, {max_length}::bigint as n_tokens,
-       (ka + kb + 3)::bigint as n_attended
-from (select pair_id,
-             case when la + lb <= {b} then la when la <= {hi} then la when lb <= {lo} then {b} - lb else {hi} end as ka,
-             case when la + lb <= {b} then lb when la <= {hi} then {b} - la when lb <= {lo} then lb else {lo} end as kb
-      from (select pair_id, len({_toks('prompt')}) as la, len({_toks('strong_response')}) as lb
-            from response_pairs) a) b""")
+select pair_id, ka::bigint as n_prompt, kb::bigint as n_response,
+       array_to_string(list_concat(['[CLS]'], list_slice(p, 1, ka), ['[SEP]'], list_slice(r, 1, kb), ['[SEP]'],
+                                   list_transform(range({b} - ka - kb), lambda x: '[PAD]')), ' ') as tokens,
+       repeat('1', ka + kb + 3) || repeat('0', {b} - ka - kb) as attention_mask
+from (select *,
+             (case when la + lb <= {b} then la when la <= {hi} then la when lb <= {lo} then {b} - lb else {hi} end)::int as ka,
+             (case when la + lb <= {b} then lb when la <= {hi} then {b} - la when lb <= {lo} then lb else {lo} end)::int as kb
+      from (select *, len(p) as la, len(r) as lb
+            from (select pair_id, {_toks('prompt')} as p, {_toks('strong_response')} as r from response_pairs) t) a) b""")
 
 
 def _encode(spark, sf, max_length):
+    """Every token and the whole mask."""
     rp = fx.response_pairs(spark, sf)
     e = rp.select("pair_id", X.encode_pair("prompt", "strong_response", max_length).alias("e"))
     return rounded(e.select("pair_id", F.col("e.n_prompt").alias("n_prompt"), F.col("e.n_response").alias("n_response"),
-                            F.size("e.tokens").cast("bigint").alias("n_tokens"),
-                            F.aggregate("e.attention_mask", F.lit(0), lambda acc, m: acc + m).cast("bigint")
-                            .alias("n_attended")))
+                            F.array_join("e.tokens", " ").alias("tokens"),
+                            F.array_join(F.transform("e.attention_mask", lambda m: m.cast("string")), "").alias("attention_mask")))
 
 
 @register("F11_encode_pair", _encode_sql(512))
@@ -119,15 +121,13 @@ def f11_short(spark, sf):
 
 @register("F16_assemble_messages", """
 select conv_id as request_id, count(*)::bigint as n_messages,
-       string_agg(substr(role, 1, 1), '' order by turn) as roles,
-       sum(length(text))::bigint as total_chars
+       string_agg(role || chr(31) || text, chr(30) order by turn) as messages
 from conversations group by conv_id""")
 def f16(spark, sf):
+    """All messages in order, with roles and contents."""
     m = X.assemble_messages(load(spark, sf, "conversations"), "conv_id", "turn")
-    return m.select(
-        F.col("conv_id").alias("request_id"), F.size("messages").cast("bigint").alias("n_messages"),
-        F.array_join(F.transform("messages", lambda x: F.substring(x["role"], 1, 1)), "").alias("roles"),
-        F.aggregate("messages", F.lit(0).cast("bigint"), lambda acc, x: acc + F.length(x["content"])).alias("total_chars"))
+    return m.select(F.col("conv_id").alias("request_id"), F.size("messages").cast("bigint").alias("n_messages"),
+                    F.array_join(F.transform("messages", lambda x: F.concat(x["role"], F.lit(chr(31)), x["content"])), chr(30)).alias("messages"))
 
 
 @register("X2_word_set_intersection", with_views(RP, f"""

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from escalade.functions.hashing import hash32_sql
+from escalade.functions.hashing import hash32, hash32_sql
 from escalade.functions.quantiles import valid
 from escalade.operators import datasets as D
 from escalade.operators import scoring as U
@@ -113,6 +113,11 @@ def u1(spark, sf):
     return rounded(s.select("pair_id", F.when(valid("score"), F.col("score")).alias("score")))
 
 
+_LABEL_SQL = r"""case when length(weak_response) < 50 then 0 when len(W(weak_response)) = 0 then 0
+    when len(list_intersect(W(weak_response), W(strong_response))) / len(W(weak_response)) > 7e-1 then 1 else 0 end"""
+for _side in ("weak_response", "strong_response"):
+    _LABEL_SQL = _LABEL_SQL.replace(f"W({_side})", rf"list_distinct(list_filter(regexp_split_to_array(lower({_side}), '\s+'), lambda t: t <> ''))")
+
 # ---------------------------------------------------------------- training
 # Fits run with the operators' defaults and are judged on rows they haven't seen. The oracle states the checkable facts:
 # how many rows each split has, and that the fit beats what a constant guess would do.
@@ -173,8 +178,7 @@ def m2(spark, sf):
 @register("M2_train_pairwise_margin", _PAIR_SQL)
 def m2_margin(spark, sf):
     pairs = _pairs(spark, sf)
-    # the offset solver inverts a dense matrix over all features, so this variant runs with a small number of them
-    scorer = M.train_pairwise(pairs.where("split = 'train'"), margin=0.5, num_features=128, max_iter=25)
+    scorer = M.train_pairwise(pairs.where("split = 'train'"), margin=0.5)
     return _pair_accuracy(scorer, pairs.where("split = 'val'"))
 
 
@@ -185,18 +189,29 @@ def m3(spark, sf):
     return _pair_accuracy(scorer, pairs.where("split = 'val'"))
 
 
-@register("M4_fit_with_history", """
-select unnest([0, 1, 2])::bigint as epoch, true as learned, true as best_is_lowest""")
+@register("M4_fit_with_history", with_views(["response_pairs"], """
+select 8::bigint as rounds, 0::bigint as first_epoch, 7::bigint as last_epoch, count(*) filter (where split = 'val')::bigint as val_rows,
+       true as loss_fell, true as learned, true as kept_state_has_lowest_loss
+from split""", extra=[("split", f"""select pair_id, case when row_number() over (order by {hash32_sql('pair_id', 42)}, pair_id) - 1
+    < cast(floor((select count(*) from response_pairs) * 9e-1) as bigint) then 'train' else 'val' end as split from response_pairs""")]))
 def m4(spark, sf):
-    """One row per round: the training loss is below that of knowing nothing (ln 2), and the best round has the lowest
-    validation loss of all."""
-    _, hist = M.fit_with_history(_adequacy_samples(spark, sf), "pair_id",
-                                 [{"max_iter": 5, "reg_param": 0.1}, {"max_iter": 25, "reg_param": 0.01},
-                                  {"max_iter": 50, "reg_param": 0.001}])
-    best = M.best_epoch(hist).select(F.col("val_loss").alias("best"))
-    j = hist.crossJoin(F.broadcast(best))  # one row
-    return j.select(F.col("epoch").cast("bigint").alias("epoch"), (F.col("train_loss") < F.log(F.lit(2.0))).alias("learned"),
-                    (F.col("best") <= F.col("val_loss")).alias("best_is_lowest"))
+    """Eight rounds of one fit. The training loss at the end is below that of the first round and of knowing nothing (ln 2), and the kept
+    state, scored anew on the validation rows, has the lowest validation loss of the written history (the first such round)."""
+    from escalade.session import scratch_path
+    samples = _adequacy_samples(spark, sf)
+    scorer, hist = M.fit_with_history(samples, "pair_id")
+    path = scratch_path(spark, "history")
+    hist.write.parquet(path)
+    hist = spark.read.parquet(path)
+    val = D.random_split_exact(samples, "pair_id", 0.9, 42).where("split = 'val'")
+    kept = M.binary_metrics(scorer.score(val, "pred"), "pred", "label").select(F.col("loss").alias("kept_loss"), F.col("n").alias("val_rows"))
+    best = M.best_epoch(hist).select(F.col("val_loss").alias("best_loss"))
+    told = hist.agg(F.count(F.lit(1)).alias("rounds"), F.min("epoch").cast("bigint").alias("first_epoch"), F.max("epoch").cast("bigint").alias("last_epoch"),
+                    F.max_by("train_loss", "epoch").alias("end"), F.min_by("train_loss", "epoch").alias("start"), F.min("val_loss").alias("lowest"))
+    j = told.crossJoin(F.broadcast(kept)).crossJoin(F.broadcast(best))  # one row each
+    return j.select("rounds", "first_epoch", "last_epoch", F.col("val_rows").cast("bigint").alias("val_rows"), (F.col("end") < F.col("start")).alias("loss_fell"),
+                    (F.col("end") < F.log(F.lit(2.0))).alias("learned"),
+                    ((F.abs(F.col("kept_loss") - F.col("best_loss")) < 1e-9) & (F.col("best_loss") == F.col("lowest"))).alias("kept_state_has_lowest_loss"))
 
 
 @register("M5_evaluate_scorer", with_views(["response_pairs"], """
@@ -211,17 +226,35 @@ def m5(spark, sf):
                                               (F.col("accuracy") > 0.5).alias("better_than_half"))
 
 
+_THIRDS = f"""select pair_id, label, case when o < cast(floor(n * 6e-1) as bigint) then 'train'
+    when o < cast(floor(n * 8e-1) as bigint) then 'calibrate' else 'val' end as part
+from (select pair_id, {_LABEL_SQL} as label, count(*) over () as n, row_number() over (order by {hash32_sql('pair_id', 42)}, pair_id) - 1 as o
+      from response_pairs) x"""
+
+
 @register("R5_classifier_win_rate", with_views(["response_pairs"], """
-select pair_id as request_id, true as is_probability, true as decision_fits from split where split = 'val'""",
-                                               extra=[("split", _SPLIT_SQL)]))
+select t.pair_id as request_id, round(1 - c.rate, 6) as inadequate_among_calibration, true as mean_rate_is_that_share,
+       true as order_is_kept, true as decided_by_rate
+from t, (select avg(label) as rate from t where part = 'calibrate') c where part = 'val'""", extra=[("t", _THIRDS)]))
 def r5(spark, sf):
-    """Requests of the held-out split, routed by a classifier trained on the rest."""
-    s = _split(spark, sf)
-    model = M.train_adequacy(s.where("split = 'train'"))
-    rp = s.where("split = 'val'").select(F.col("pair_id").alias("request_id"), "prompt", F.col("response").alias("weak_response"))
-    w = M.classifier_win_rate(rp, model)
-    return w.select("request_id", F.col("win_rate").between(0.0, 1.0).alias("is_probability"),
-                    ((route("win_rate", 0.5) == "strong") == (F.col("win_rate") >= 0.5)).alias("decision_fits"))
+    """Requests of held-out rows, routed before anything is generated: the classifier is fitted on prompts, its rates are calibrated on
+    other rows (there their mean is the share of inadequate answers), and a higher raw score never gets a lower rate."""
+    s = _adequacy_samples(spark, sf)
+    ranked = D.prefix_split(s, [hash32(F.col("pair_id"), 42), "pair_id"], 0.8, "split", "o").checkpoint()
+    n = ranked.count()
+    train, calibrate = ranked.where(F.col("o") < int(n * 0.6)), ranked.where((F.col("o") >= int(n * 0.6)) & (F.col("split") == "train"))
+    router = M.train_difficulty(train, calibrate)
+    seen = router.win_rate(calibrate.select("prompt", "label")).agg(F.avg("win_rate").alias("mean"), F.avg(1.0 - F.col("label")).alias("share"))
+    asked = ranked.where("split = 'val'").select(F.col("pair_id").alias("request_id"), "prompt")
+    rated = router.calibration.transform(router.raw(asked)).withColumnRenamed("prediction", "win_rate")
+    # by rate: the raw scores of a higher rate all lie above those of a lower one (a plateau per rate, as many as calibration made)
+    plateau = rated.groupBy("win_rate").agg(F.min("_raw").alias("low"), F.max("_raw").alias("high"))
+    pairs = plateau.alias("a").join(plateau.alias("b"), F.expr("a.win_rate < b.win_rate and a.high >= b.low"))
+    kept = pairs.agg((F.count(F.lit(1)) == 0).alias("order_is_kept"))
+    out = rated.withColumn("decision", route("win_rate", 0.5)).crossJoin(F.broadcast(seen)).crossJoin(F.broadcast(kept))  # one row each
+    return rounded(out.select("request_id", F.col("share").alias("inadequate_among_calibration"),
+                              (F.abs(F.col("mean") - F.col("share")) < 1e-9).alias("mean_rate_is_that_share"), "order_is_kept",
+                              ((F.col("decision") == "strong") == (F.col("win_rate") >= 0.5)).alias("decided_by_rate")))
 
 
 @register("S9_save_load_scorer", with_views(["response_pairs"], """

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from escalade.functions.hashing import unit_uniform
 from escalade.schemas import Prices
 from escalade.sources.tables import load
 
@@ -151,6 +152,14 @@ def battles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("label") < 5, F.lit(1)).otherwise(F.lit(0)).alias("strong_wins"))
 
 
+def directed_battles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Battles whose outcome depends on the query, with some noise (the labels of ``embeddings`` don't depend on the vectors)."""
+    emb = load(spark, sf_dir, "embeddings")
+    e = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    lean = e(0) + 0.7 * e(1) - 0.4 * e(2) + 0.1 * (unit_uniform("vec_id", 5) - 0.5)
+    return emb.select(F.col("vec_id").alias("battle_id"), "embedding", F.when(lean > 0, 1).otherwise(0).alias("strong_wins"))
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = load(spark, sf_dir, "embeddings")
     return emb.where(F.pmod(F.col("vec_id"), F.lit(10)) == 0).select(F.col("vec_id").alias("query_id"), "embedding")
