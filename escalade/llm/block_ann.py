@@ -14,7 +14,7 @@ in order, and pushed on the query's heap of k. So the result is exact: quantisat
 
 Defined cases: vectors that are null, empty, all zero, or hold a null, NaN or infinite component take no part, neither
 as query nor as candidate; vectors of different lengths aren't compared; a query has all candidates if there are fewer
-than k; ties go to the smaller id; an id names one vector: repeated rows of an id count once (the smallest vector, if
+than k; a product that overflows is infinite, one of which both signs overflow counts as the lowest; ties go to the smaller id; an id names one vector: repeated rows of an id count once (the smallest vector, if
 they differ), and none of them is a candidate of the query with that id; rows with a null id take no part; an empty
 table gives no rows. Further columns are ignored.
 """
@@ -71,14 +71,16 @@ def _int_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+@np.errstate(over="ignore", invalid="ignore")
 def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Row-wise inner products, added in component order (the same for equal vectors, wherever they stand)."""
     acc = np.zeros(len(q))
     for j in range(q.shape[1]):
         acc += q[:, j] * c[:, j]
-    return acc
+    return np.where(np.isnan(acc), -np.inf, acc)
 
 
+@np.errstate(over="ignore", invalid="ignore")
 def nearest_in_cell(qids, q, cids, c, k: int, tile: int = 1024, chunk: int = 1 << 16):
     """(query id, id, score) of the k nearest of each query among the cell's candidates."""
     qi, qs, qhat, qerr, _ = _quantise(q)
@@ -91,11 +93,13 @@ def nearest_in_cell(qids, q, cids, c, k: int, tile: int = 1024, chunk: int = 1 <
         slack = qhat[:, None] * cerr[None, :] + qerr[:, None] * cnorm[None, :]
         slack += 1e-9 * (qhat + qerr)[:, None] * cnorm[None, :]  # rounding of the double products
         own = qids[:, None] == ids[None, :]
-        lower = np.where(own, -np.inf, approx - slack)
+        with np.errstate(over="ignore", invalid="ignore"):
+            lower, upper = approx - slack, approx + slack
+        lower = np.where(own | np.isnan(lower), -np.inf, lower)  # of bounds that overflow nothing is known
         bar = worst
         if len(ids) > k:
             bar = np.maximum(bar, np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k])
-        rows, cols = np.nonzero((approx + slack >= bar[:, None]) & ~own)
+        rows, cols = np.nonzero(~(upper < bar[:, None]) & ~own)
         for lo in range(0, len(rows), chunk):
             r, s = rows[lo:lo + chunk], cols[lo:lo + chunk]
             for i, score, j in zip(r.tolist(), _exact(q[r], x[s]).tolist(), ids[s].tolist()):

@@ -179,7 +179,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     before = F.sum("rows").over(Window.partitionBy("source_no", "size").orderBy("part")
                                 .rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.withColumn("before", F.coalesce(before, F.lit(0))).drop("rows")
-    inside = F.row_number().over(Window.partitionBy(*group).orderBy("h", "doc_id"))
+    inside = F.row_number().over(Window.partitionBy(*group).orderBy("h", "doc_id", "row"))
     ranked = placed.withColumn("inside", inside).join(offsets, group, "left")
     extra = F.when(F.coalesce("before", F.lit(0)) + F.col("inside") <= F.col("extra"), 1).otherwise(0)
     copies = F.col("whole") + F.when(F.col("extra") >= F.col("docs"), 1).when(F.col("extra") == 0, 0).otherwise(extra)

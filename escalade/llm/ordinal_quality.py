@@ -210,7 +210,8 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, fit_rows: int = 12_0
         yield pd.DataFrame({"model": [pickle.dumps(model)]})
 
     picked = F.broadcast(sample.groupBy("id", "grade").agg(F.count(F.lit(1)).alias("times")))  # at most fit_rows small rows
-    rows = texts.join(picked, "id").mapInPandas(hashed, "grade int, hashed array<int>, dense array<double>")
+    # a label that is there several times counts each time
+    rows = texts.join(picked, "id").withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).mapInPandas(hashed, "grade int, hashed array<int>, dense array<double>")
     # the sample's features meet in one task, bounded by fit_rows; only the weights come to the driver
     return pickle.loads(rows.repartition(1).mapInPandas(fitted, "model binary").first()[0])
 

@@ -70,12 +70,13 @@ hosts as (select host, n, k,
     else array_to_string(l[-2:], '.') end as domain from two),
 domains as (select suffix, domain, sum(n) n, sum(k) k from hosts group by all),
 suffixes as (select suffix, sum(n) n, sum(k) k from domains group by all),
-lev as (select case when sum(n) > 0 then sum(k) / sum(n) else 0.1 end rate,
+lev as (select sum(n) nn, sum(k) kk,
   {strength('(select *, 1 as one from suffixes)', 'one')} ms, {strength('domains', 'suffix')} md, {strength('hosts', 'domain')} mh
   from suffixes),
-s as (select suffix, (ms * rate + k) / (ms + n) r, md, mh from suffixes, lev),
-d as (select d.suffix, d.domain, (md * r + k) / (md + n) r, mh from domains d join s using (suffix)),
-h as (select host, n, k, mh * r + k as a, mh * (1 - r) + n - k as bb from hosts join d using (suffix, domain)),
+above as (select h.host, h.n, h.k, mh, md, d.n as dn, d.k as dk,
+  (ms * case when nn > h.n then (kk - h.k) / (nn - h.n) else 0.1 end + s.k - h.k) / (ms + s.n - h.n) as sr
+  from hosts h join domains d using (suffix, domain) join suffixes s using (suffix), lev),
+h as (select host, n, k, mh * r + k as a, mh * (1 - r) + n - k as bb from (select *, (md * sr + dk - k) / (md + dn - n) as r from above)),
 v as (select host, n, a / (a + bb) as bad_rate,
   a / (a + bb) - 1.645 * sqrt(a / (a + bb) * (1 - a / (a + bb)) / (a + bb + 1)) as bad_bound from h),
 ruled as (select *, case {rule} end as rule from parts)

@@ -9,8 +9,8 @@ Labelled page outcomes (bad or not) are counted by host. Three nested levels of
 The strength of each level's prior comes from the data by the method of moments: with n_i outcomes and k_i bad ones in
 child i of a parent with N, K and rate p,  S = sum(k_i^2/n_i) - K^2/N  has the expectation
 p(1-p) [(1-rho)(m-1) + rho (N - sum(n_i^2)/N)], summed over all parents of the level; the prior's strength is
-1/rho - 1, and rho is held between 0.0001 and 0.5. A host's posterior is Beta(a, b) with
-a = strength * domain rate + bad, b = strength * (1 - domain rate) + good; its bound is mean - z * standard deviation.
+1/rho - 1, and rho is held between 0.0001 and 0.5. The rates above a host leave its own outcomes out, so that they count
+once. A host's posterior is Beta(a, b) with a = strength * domain rate + bad, b = strength * (1 - domain rate) + good; its bound is mean - z * standard deviation.
 A host is blocked if even this lower bound of its bad share is above ``max_bad``. A host without labels is judged by
 its domain's prior alone.
 
@@ -106,22 +106,25 @@ def host_reputation(hosts: DataFrame, max_bad: float = 0.5, z: float = 1.645, no
     ``hosts`` has one row per host: n labelled outcomes, k bad ones (0 where there are none)."""
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    whole = suffixes.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).select(
-        F.lit(1).alias("one"), F.when(F.col("n") > 0, F.col("k") / F.col("n")).otherwise(no_data_rate).alias("rate"))
+    whole = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all_n"), F.coalesce(F.sum("k"), F.lit(0)).alias("all_k")).withColumn("one", F.lit(1))
     one_row = (whole.join(_strength(suffixes.withColumn("all", F.lit(1)), "all").withColumnRenamed("strength", "m_suffix"), "one")
                .join(_strength(domains, "suffix").withColumnRenamed("strength", "m_domain"), "one")
                .join(_strength(hosts, "domain").withColumnRenamed("strength", "m_host"), "one"))
     levels = F.broadcast(one_row)  # one row, by construction
-
-    def shrunk(prior: str, strength: str) -> Column:
-        return (F.col(strength) * F.col(prior) + F.col("k")) / (F.col(strength) + F.col("n"))
-
-    s = (suffixes.withColumn("one", F.lit(1)).join(levels, "one")
-         .select("suffix", shrunk("rate", "m_suffix").alias("suffix_rate"), "m_domain", "m_host"))
-    d = (domains.join(s, "suffix")
-         .select("suffix", "domain", shrunk("suffix_rate", "m_domain").alias("domain_rate"), "m_host"))
-    h = hosts.join(d, ["suffix", "domain"])
-    a, b = F.col("m_host") * F.col("domain_rate") + F.col("k"), F.col("m_host") * (1 - F.col("domain_rate")) + F.col("n") - F.col("k")
+    named = lambda rows, level: rows.withColumnsRenamed({"n": f"{level}_n", "k": f"{level}_k"})
+    h = hosts.join(named(domains, "domain"), ["suffix", "domain"]).join(named(suffixes, "suffix"), "suffix")
+    h = h.withColumn("one", F.lit(1)).join(levels, "one")
+
+    # a prior is what the others say: the host's own outcomes are left out of every rate above it, they come in once, at the end
+    def others(level: str) -> tuple[Column, Column]:
+        return F.col(f"{level}_n") - F.col("n"), F.col(f"{level}_k") - F.col("k")
+
+    n, k = others("all")
+    rate = F.when(n > 0, k / n).otherwise(no_data_rate)
+    for level in ("suffix", "domain"):
+        n, k = others(level)
+        rate = (F.col(f"m_{level}") * rate + k) / (F.col(f"m_{level}") + n)
+    a, b = F.col("m_host") * rate + F.col("k"), F.col("m_host") * (1 - rate) + F.col("n") - F.col("k")
     mean = a / (a + b)
     bound = mean - F.lit(z) * F.sqrt(mean * (1 - mean) / (a + b + 1))
     return h.select("host", "domain", "suffix", "n", "k", mean.alias("bad_rate"), bound.alias("bad_bound"),

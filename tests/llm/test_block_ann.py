@@ -51,3 +51,11 @@ def test_pruning_keeps_the_nearest():
 def test_fewer_than_k_and_empty(spark):
     assert [x[:3] for x in run(spark, [(0, [1.0]), (1, [2.0]), (2, [3.0])])] == [(0, 1, 2), (0, 2, 1)]
     assert run(spark, []) == []
+
+
+def test_products_that_overflow(spark):
+    rows = [(0, [1e200, 1.0]), (1, [1e200, 5.0]), (2, [1.0, 1.0]), (3, [-1e200, 2.0]), (20, [1e308, 1e308]), (4, [1e308, -1e308])]
+    base = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted(tuple(r) for r in a.nearest(base, F.col("vec_id") % 20 == 0, k=20).collect())
+    assert [x[:3] for x in got if x[0] == 0] == [(0, 1, 1), (0, 2, 4), (0, 3, 20), (0, 4, 2), (0, 5, 3)]
+    assert len([x for x in got if x[0] == 20]) == 5 and [x[3] for x in got if x[:2] == (20, 5)] == [float("-inf")]

@@ -60,3 +60,13 @@ def test_no_or_one_grade(spark, grades, want):
     model = o.train(docs, spark.createDataFrame(grades, "doc_id bigint, grade int"), 3)
     assert {r.expected_grade for r in o.score(docs, model, 2).collect()} == {want}
     assert o.score(docs.filter("false"), model, 2).count() == 0
+
+
+def test_repeated_labels_count_each_time(spark):
+    rows, grades = corpus(200, 12)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    train = lambda told: o.train(docs, spark.createDataFrame(told, "doc_id bigint, grade int"), grades=3)
+    once, often = train(grades), train(grades + [g for g in grades if g[1] == 0] * 5)
+    assert not np.allclose(once.thresholds, often.thresholds)
+    mean = lambda m: np.mean([r.expected_grade for r in o.score(docs, m, keep_grade=2).collect()])
+    assert mean(often) < mean(once)

@@ -58,11 +58,14 @@ def test_posterior_against_plain_python(spark):
 
     d = total(hosts, domain.get)
     s = total(d, suffix.get)
-    whole = sum(v[1] for v in s.values()) / sum(v[0] for v in s.values())
+    all_n, all_k = sum(v[0] for v in s.values()), sum(v[1] for v in s.values())
     ms, md, mh = strength(s, lambda x: 0), strength(d, suffix.get), strength(hosts, domain.get)
     for h, (n, k) in hosts.items():
-        ps = (ms * whole + s[suffix[domain[h]]][1]) / (ms + s[suffix[domain[h]]][0])
-        pd = (md * ps + d[domain[h]][1]) / (md + d[domain[h]][0])
+        # priors from all hosts but this one
+        (sn, sk), (dn, dk) = s[suffix[domain[h]]], d[domain[h]]
+        whole = (all_k - k) / (all_n - n) if all_n > n else 0.1
+        ps = (ms * whole + sk - k) / (ms + sn - n)
+        pd = (md * ps + dk - k) / (md + dn - n)
         a, b = mh * pd + k, mh * (1 - pd) + n - k
         assert abs(rows[h].bad_rate - a / (a + b)) < 1e-9
         assert (rows[h].verdict == "block") == (rows[h].bad_bound > 0.5)
@@ -78,3 +81,12 @@ def test_hot_host_is_salted(spark):
     pages = spark.range(5000).select(F.col("id").alias("page_id"), F.lit("http://hot.example.org/x").alias("url"))
     out = u.judge_urls(pages, spark.createDataFrame([("hot.example.org", 1)] * 30, "host string, bad int"), RULES)
     assert out.groupBy("verdict").count().collect()[0]["count"] == 5000
+
+
+def test_one_bad_label_blocks_no_host(spark):
+    """The host's own outcome isn't also in the rates of its domain and suffix."""
+    urls = [(1, "http://new.org/x", "", 0), (2, "http://good.com/x", "", 0)]
+    rows = {r.host: r for r in judge(spark, urls, [("new.org", 1)] + [("good.com", int(i % 10 == 0)) for i in range(50)]).collect()}
+    assert rows["new.org"].verdict == "allow" and rows["new.org"].bad_bound < 0.3
+    alone = judge(spark, urls[:1], [("new.org", 1)]).first()
+    assert alone.verdict == "allow"
