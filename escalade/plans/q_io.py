@@ -18,6 +18,16 @@ def s1(spark, sf):
     return IO.read_table(spark, f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
 
 
+@register("S1_read_csv_split", "select doc_id, text, source from documents where text is not null and doc_id is not null")
+def s1_csv(spark, sf):
+    """Documents (quotes, line breaks and all) written as CSV and read back in parallel, records cut by quote parity."""
+    from escalade.session import scratch_path
+    path = scratch_path(spark, "documents") + ".csv"
+    docs = load(spark, sf, "documents").where("text is not null and doc_id is not null")
+    IO.write_table(docs.select("doc_id", "text", "source"), path)
+    return IO.read_table(spark, path, docs.select("doc_id", "text", "source").schema)
+
+
 @register("S7_normalize_routing_results", with_views(["routing_results"], """
 select request_id, weak_input::bigint as weak_input, weak_output::bigint as weak_output,
        strong_input::bigint as strong_input, strong_output::bigint as strong_output,

@@ -14,11 +14,11 @@ from pyspark.sql import types as T
 from escalade.functions.quantiles import valid
 from escalade.operators.datasets import orient_pairs, prefix_split, to_adequacy_samples
 from escalade.schemas import ADEQUACY_SCHEMA, PAIRWISE_SCHEMA, TOKENS_USED
+from escalade.sources.records import read_csv
 
 READ_FORMATS = (".csv", ".json", ".jsonl", ".parquet")
 WRITE_FORMATS = ("csv", "json", "jsonl", "parquet")
 # Texts hold quotes and line breaks; Spark's CSV writer would also trim blanks by default. Blanks stay on reading too.
-CSV_READ = {"header": True, "multiLine": True, "escape": '"', "quote": '"'}
 CSV_WRITE = {"header": True, "escape": '"', "quote": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
@@ -29,13 +29,14 @@ def _suffix(path: str) -> str:
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Read by suffix: .csv (header, quoted multi-line), .json (array of records or lines), .jsonl, .parquet."""
+    """Read by suffix: .csv (header, quoted multi-line records, cut in parallel), .json (an array of records or lines, file by
+    file), .jsonl, .parquet."""
     suf = _suffix(path)
     if suf not in READ_FORMATS:
         raise ValueError(f"Unsupported format: {suf or path}")
     r = spark.read
     if suf == ".csv":
-        df = r.options(**CSV_READ).csv(path)
+        df = read_csv(spark, path)
         if schema is None:
             return df
         # by the names of the header: a schema given to the CSV reader would go by position
@@ -44,9 +45,15 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     if schema is not None:
         r = r.schema(schema)
     if suf == ".json":
-        # JSON Lines (what write_table makes) stay splittable; only an array of records is read as whole files
-        first = spark.read.text(path).where(F.trim("value") != "").first()
-        return r.option("multiLine", first is not None and first["value"].lstrip().startswith("[")).json(path)
+        # JSON Lines (what write_table makes) stay splittable; only files that hold an array of records are read whole
+        lines = spark.read.text(path).where(F.trim("value") != "").select(
+            F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), "value", F.monotonically_increasing_id().alias("i"))
+        begins = lines.groupBy("f").agg(F.min_by(F.substring(F.ltrim("value"), 1, 1), F.struct("b", "i")).alias("c"))
+        arrays, plain = ([x.f for x in begins.where((F.col("c") == "[") if whole else (F.col("c") != "[")).collect()] for whole in (True, False))
+        if not arrays:
+            return r.json(path)
+        whole = r.option("multiLine", True).json(arrays)
+        return whole.unionByName(r.option("multiLine", False).json(plain), allowMissingColumns=True) if plain else whole
     if suf == ".jsonl":
         return r.json(path)
     return r.parquet(path)
