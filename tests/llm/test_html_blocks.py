@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from escalade.llm import html_blocks as h
@@ -36,3 +38,18 @@ def test_spark_rows(spark):
 def test_very_long_page():
     page = "<article>" + "".join(f"<p>{LONG}</p>" for _ in range(3000)) + "</article>"
     assert h.main_text(page, TREE).count("\n\n") == 2999
+
+
+def test_pages_without_marks(spark):
+    """With every class, id, role and region element taken away, only counts, densities and neighbours are left to go by."""
+    from tests.conftest import SF001
+    pages = [r.html for r in spark.read.parquet(f"{SF001}/pages.parquet").select("html").collect()]
+    kept = found = both = 0
+    for page in pages:
+        bare = re.sub(r"""\s(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", "", page)
+        bare = re.sub(r"(</?)(?:article|main|nav|header|footer|aside|form|section)\b", r"\1div", bare)
+        want, got = h.main_text(page, TREE).split(), h.main_text(bare, TREE).split()
+        rest = list(want)
+        hits = sum(1 for w in got if w in rest and not rest.remove(w)) if len(want) < 3000 else len(set(want) & set(got))
+        kept, found, both = kept + len(want), found + len(got), both + hits
+    assert both / kept > 0.97 and both / found > 0.93, (both / kept, both / found)

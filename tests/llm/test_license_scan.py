@@ -47,11 +47,67 @@ def test_long_text_in_segments(monkeypatch):
     assert {(k, at) for _, k, at, _, _ in s.scan_texts([text], T)} == {(4, 511), (1, 511 + 12 + 3000)}
 
 
-def test_bands_reach_the_promised_chance():
-    rng = np.random.default_rng(5)
-    for c in T.classes:
-        assert c.bands <= len(T.factors)
-    assert rng is not None
+def altered(rng, words, k, low, high):
+    """A template's words with some replaced, so that its shingles are kept to a share of low to high; None if that can't be met."""
+    own, places = list(words), rng.sample(range(len(words)), len(words))
+    sets = T.sets[k]
+    for at in places:
+        share = len(np.intersect1d(s.shingles(s.word_hashes(" ".join(own))), sets)) / len(sets)
+        if share < high:
+            return own if share >= low else None
+        own[at] = f"changed{rng.randrange(10**6)}"
+    return None
+
+
+@pytest.mark.parametrize("low,high", [(0.8, 0.85), (0.85, 0.92), (0.92, 1.0)])
+def test_recall_of_altered_notices(low, high):
+    """At the least containment too, at most a few of a thousand are missed; every find is above the bound."""
+    rng = random.Random(int(low * 100))
+    texts, want = [], set()
+    while len(texts) < 250:
+        k = rng.randrange(len(s.TEMPLATES))
+        own = altered(rng, s.TEMPLATES[k][1].split(), k, low, high)
+        if own is not None:
+            noise = [f"q{rng.randrange(500)}" for _ in range(rng.randint(0, 120))]
+            want.add((len(texts), k))
+            texts.append(" ".join(noise + own + noise))
+    found = list(s.scan_texts(texts, T))
+    assert all(share >= 0.8 - 1e-9 for *_, share in found)
+    assert len(want - {(i, k) for i, k, *_ in found}) <= 3
+
+
+def brute(text, min_containment=0.8):
+    """(template) of every template of which some window of twice its length holds enough shingles, by trying all windows."""
+    h = s.shingles(s.word_hashes(text))
+    out = set()
+    for k, own in enumerate(T.sets):
+        hit = np.isin(h, own)
+        width = 2 * len(own)
+        for at in np.flatnonzero(hit):
+            if len(np.unique(h[at:at + width][hit[at:at + width]])) >= min_containment * len(own) - 1e-9:
+                out.add(k)
+                break
+    return out
+
+
+def test_finds_against_all_windows():
+    rng = random.Random(15)
+    texts = []
+    for _ in range(60):
+        parts = [f"q{rng.randrange(300)}" for _ in range(60)]
+        for k in rng.sample(range(len(s.TEMPLATES)), rng.randrange(3)):
+            own = s.TEMPLATES[k][1].split()
+            for _ in range(rng.choice([0, 0, 1, 2, 6])):
+                own[rng.randrange(len(own))] = "other"
+            parts += own + [f"q{rng.randrange(300)}" for _ in range(60)]
+        texts.append(" ".join(parts))
+    got = {}
+    for i, k, *_ in s.scan_texts(texts, T):
+        got.setdefault(i, set()).add(k)
+    want = {i: brute(t) for i, t in enumerate(texts)}
+    assert sum(map(len, want.values())) > 25
+    assert all(got.get(i, set()) <= w for i, w in want.items())
+    assert sum(len(w - got.get(i, set())) for i, w in want.items()) <= 1
 
 
 def test_odd_rows(spark):
