@@ -6,7 +6,7 @@
 2. ``monotonically_increasing_id()`` right after the sort encodes (partition id, position in partition);
 3. the layout is pinned with a reliable ``checkpoint`` (the range bounds come from a sample, and a recomputed
    stage must not see different bounds than the one that produced the per-partition counts);
-4. per-partition row counts (one row per partition: a proven size bound) are prefix-summed and broadcast;
+4. per-partition row counts (one row per partition: a proven size bound) are summed up on the driver and broadcast;
 5. ordinal = offset[partition] + position.
 
 Every step is distributed; the only driver-side data is one row per partition.
@@ -14,7 +14,9 @@ Every step is distributed; the only driver-side data is one row per partition.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _POS_BITS = 33
@@ -42,11 +44,11 @@ def global_ordinals_with_count(df: DataFrame, order_by: list[Column | str], name
             .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(_POS_MASK))).drop("_mid"))
     if checkpoint:
         laid = laid.checkpoint(eager=True)
-    # one row per partition: persisted, so the count below and the join share one pass over the data
-    counts = laid.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt")).persist()
-    total = counts.agg(F.sum("_cnt").alias("n")).first()["n"] or 0
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).cast("bigint").alias("_off"))
+    # one row per partition comes to the driver, is summed up there and goes back as a small table
+    counts = sorted(tuple(r) for r in laid.groupBy("_pid").agg(F.count(F.lit(1))).collect())
+    ends = list(accumulate((n for _, n in counts), initial=0))
+    total = ends[-1]
+    offsets = laid.sparkSession.createDataFrame([(pid, at) for (pid, _), at in zip(counts, ends)], "_pid bigint, _off bigint")
     out = (laid.join(F.broadcast(offsets), "_pid")
            .withColumn(name, (F.col("_off") + F.col("_pos")).cast("bigint"))
            .drop("_pid", "_pos", "_off"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from escalade.operators.routing import Scorer, _decide, _finish, route
 from escalade.operators.training import score_column
-from escalade.schemas import CASCADE_THRESHOLD, ROUTER_THRESHOLD, Prices
+from escalade.schemas import CASCADE_THRESHOLD, ROUTER_THRESHOLD, Prices, RoutingConfig
 
 STATUSES = ("served", "failed", "no_response", "no_user_message", "invalid")
 RESULT = ("request_id", "ts", "status", "error", "model_used", "routing_score", "weak_quality_score", "evaluator_triggered", "cost_usd",
@@ -104,6 +104,12 @@ def settle(answered: DataFrame, scorer: Scorer | ModelScorer | None = None, win_
         F.when(served, F.col("response")).alias("response"), F.when(served, tokens).alias("tokens_used"), *keep)
 
 
+def settle_by(config: RoutingConfig, answered: DataFrame, scorer: Scorer | ModelScorer | None = None, win_rate: str | None = None,
+              keep: tuple[str, ...] = ()) -> DataFrame:
+    """``settle`` with the thresholds and prices of a configuration."""
+    return settle(answered, scorer, win_rate, config.evaluator_threshold, config.router_threshold, config.prices, keep)
+
+
 def served_results(outcomes: DataFrame) -> DataFrame:
     """The routing results of the served requests: the input of the cost, quality and latency reports."""
     return outcomes.filter(F.col("status") == "served")

@@ -307,17 +307,15 @@ def preroute_vs_evaluator(decisions: DataFrame, win_rate: str = "win_rate",
     pt = F.col("prompt_tokens")
     wc = (pt * prices.weak_input + token_count("weak_response") * prices.weak_output) / F.lit(1e6)
     sc = (pt * prices.strong_input + token_count("strong_response") * prices.strong_output) / F.lit(1e6)
-    agree = pre_strong == casc_strong
-    both = decisions.select(F.explode(F.array(
-        F.struct(F.lit("preroute").alias("strategy"), pre_strong.alias("strong"),
-                 F.when(pre_strong, sc).otherwise(wc).alias("cost"), agree.alias("agree"),
-                 F.col("weak_quality_score").alias("q")),
-        F.struct(F.lit("evaluator").alias("strategy"), casc_strong.alias("strong"), F.col("cost_usd").alias("cost"),
-                 agree.alias("agree"), F.col("weak_quality_score").alias("q")))).alias("s")).select("s.*")
-    n = F.count(F.lit(1))
-    return both.groupBy("strategy").agg(
-        n.alias("requests"),
-        F.try_divide(F.count_if("strong") * F.lit(100.0), n.cast("double")).alias("strong_pct"),
-        F.sum("cost").alias("total_cost"),
-        F.avg(F.when(~F.col("strong"), F.col("q"))).alias("avg_quality_weak_served"),
-        F.try_divide(F.count_if("agree") * F.lit(100.0), n.cast("double")).alias("agreement_pct"))
+    q, n, pct = F.col("weak_quality_score"), F.count(F.lit(1)), lambda c, of: F.try_divide(c * F.lit(100.0), of.cast("double"))
+    # both strategies in one aggregate: each row's tokens are counted once
+    sides = {"preroute": (pre_strong, F.when(pre_strong, sc).otherwise(wc)), "evaluator": (casc_strong, F.col("cost_usd"))}
+    aggs = [n.alias("n"), F.count_if(pre_strong == casc_strong).alias("agree")]
+    for name, (strong, cost) in sides.items():
+        aggs += [F.count_if(strong).alias(f"{name}_strong"), F.sum(cost).alias(f"{name}_cost"), F.avg(F.when(~strong, q)).alias(f"{name}_q")]
+    one = decisions.agg(*aggs).where("n > 0")
+    rows = F.explode(F.array(*[F.struct(
+        F.lit(name).alias("strategy"), F.col("n").alias("requests"), pct(F.col(f"{name}_strong"), F.col("n")).alias("strong_pct"),
+        F.col(f"{name}_cost").alias("total_cost"), F.col(f"{name}_q").alias("avg_quality_weak_served"),
+        pct(F.col("agree"), F.col("n")).alias("agreement_pct")) for name in sides]))
+    return one.select(rows.alias("s")).select("s.*")

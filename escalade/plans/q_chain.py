@@ -14,6 +14,7 @@ from escalade.operators import training as T
 from escalade.plans.catalog import register, rounded
 from escalade.plans.oracle_views import with_views
 from escalade.plans.q_routing import _containment_scorer, _toks, _wset
+from escalade.schemas import routing_config
 from escalade.session import scratch_path
 from escalade.sources import fixtures as fx
 from escalade.sources.tables import load
@@ -114,6 +115,17 @@ def r8_outcomes(spark, sf):
     return _flat(_outcomes(spark, sf))
 
 
+@register("R8_outcomes_by_config", with_views(["chat_requests", "collected"], """
+select model_used, count(*)::bigint as requests, round(sum(case when status = 'served' then (w_in * 1e0 + w_out * 15e-1 + s_in * 1e1 + s_out * 3e1) / 1e6
+       else 0 end), 9) as cost_usd from out group by model_used""", extra=[_ASKED, _TABLE, *[
+    (name, sql.replace("score < 6e-1", "score < 9e-1")) for name, sql in _settled("rq")]]))
+def r8_by_config(spark, sf):
+    """Thresholds and prices from settings instead of the defaults."""
+    config = routing_config({"evaluator_threshold": "0.9", "weak_input": 1.0})
+    out = O.settle_by(config, O.with_responses(_requests(spark, sf), _responses(spark, sf)), _containment_scorer)
+    return rounded(out.groupBy("model_used").agg(F.count(F.lit(1)).alias("requests"), F.sum("cost_usd").alias("cost_usd")), ("cost_usd",))
+
+
 @register("R8_outcome_counts", with_views(["chat_requests", "collected"], """
 select status, error, count(*)::bigint as requests, round(count(*) * 1e2 / sum(count(*)) over (), 6) as pct
 from out group by status, error""", extra=[_ASKED, _TABLE, *_settled("rq")]))

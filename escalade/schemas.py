@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import types as T
 
@@ -49,6 +49,19 @@ class RoutingConfig:
                 raise ValueError(f"{name} must be within [0, 1], got {v}")
 
 
+def routing_config(settings) -> RoutingConfig:
+    """The configuration from named settings, a mapping or a session's ``conf`` (keys ``escalade.<name>``): router_threshold,
+    evaluator_threshold and the four prices (weak_input, ..); what isn't set keeps its default, what isn't a number raises."""
+    def get(name: str, default: float) -> float:
+        value = settings.get(f"escalade.{name}", None)
+        value = settings.get(name, None) if value is None and hasattr(settings, "keys") else value
+        return default if value is None else float(value)
+
+    base = RoutingConfig()
+    prices = Prices(**{f.name: get(f.name, f.default) for f in fields(Prices)})
+    return RoutingConfig(get("router_threshold", base.router_threshold), get("evaluator_threshold", base.evaluator_threshold), prices)
+
+
 PRICES_SCHEMA = T.StructType([
     T.StructField("model", T.StringType(), False),
     T.StructField("input_per_m", T.DoubleType(), False),

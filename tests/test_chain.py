@@ -86,3 +86,23 @@ def test_stream_emits_unanswered_requests_when_their_time_is_over(spark, tmpdir_
     build = lambda: S.awaited_responses(*[S.file_stream(spark, f, "*.parquet") for f in folders], "10 minutes", "1 minute")
     out = S.run_to_close(build, "waiting", list(zip(folders, ("ts", "responded_at"))))
     assert sorted((r.request_id, r.answered, r.weak_response) for r in out.collect()) == [(1, True, "in time"), (2, None, None), (3, None, None)]
+
+
+def test_thresholds_and_prices_from_settings(spark):
+    import pytest
+
+    from escalade.schemas import RoutingConfig, routing_config
+    assert routing_config({}) == RoutingConfig()
+    config = routing_config({"router_threshold": "0.4", "strong_output": 31})
+    assert (config.router_threshold, config.evaluator_threshold, config.prices.strong_output, config.prices.weak_input) == (0.4, 0.7, 31.0, 0.5)
+    spark.conf.set("escalade.evaluator_threshold", "0.05")
+    try:
+        loose = routing_config(spark.conf)
+    finally:
+        spark.conf.unset("escalade.evaluator_threshold")
+    requests, answers = tables(spark)
+    got = {r.request_id: r.model_used for r in O.settle_by(loose, O.with_responses(requests, answers), judge).collect()}
+    assert loose.evaluator_threshold == 0.05 and got[6] == "weak"
+    for bad in ({"router_threshold": 2}, {"weak_input": "cheap"}):
+        with pytest.raises(ValueError):
+            routing_config(bad)
