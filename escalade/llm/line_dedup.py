@@ -35,7 +35,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from escalade.llm.common import checked_broadcast, ready, words_of
+from escalade.llm.common import checked_broadcast, ready
 
 _P = (1 << 61) - 1
 _BLOCK = 32
@@ -103,12 +103,18 @@ def near_words_apart(a: Column, b: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, places: Places) -> DataFrame:
-    """(at, text_key, line) of every line of (doc, text)."""
-    lines = docs.select("doc", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n", -1))
-                        .alias("line_no", "line"))
+    """(at, text_key, line) of every line of (doc, text), with spaces for the other blanks that part words."""
+    text = F.col("text")
+    spaced = F.when(text.rlike(r"[\t\x0B\f\r]"), F.translate(text, "\t\x0b\f\r", "    ")).otherwise(text)
+    lines = docs.select("doc", F.xxhash64("text").alias("text_key"), F.posexplode(F.split(spaced, "\n", -1)).alias("line_no", "line"))
     return lines.select(places.at(F.col("doc"), F.col("line_no")).alias("at"), "text_key", "line")
 
 
+def words_in(line: Column) -> Column:
+    """The words of such a line (split at one character, for which no pattern has to be run)."""
+    return F.array_remove(F.split(line, " ", -1), "")
+
+
 def _half_keys(words: Column, n: Column) -> list[Column]:
     """Hashes of the first and last m words, for m = half of n and half of n - 1."""
     def key(side: int, m: Column) -> Column:
@@ -165,7 +171,7 @@ def repeated_lines(docs: DataFrame, min_letters: int = MIN_LETTERS, near_words:
     keys = [F.when((n >= near_words) & F.col("long"), key).alias(f"half{i}") for i, key in enumerate(_half_keys(words, n))]
     # all that is needed of every line, in numbers: written once, read for the groups and for what goes
     lines = lines_of(docs, places).withColumn("long", long).filter(F.lit(short_too) | F.col("long"))
-    lines = (lines.withColumn("words", words_of(F.col("line"))).filter(n > 0)
+    lines = (lines.withColumn("words", words_in(F.col("line"))).filter(n > 0)
              .select("text_key", "at", "long", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"), *keys)).checkpoint()
     halves = [f"half{i}" for i in range(4)]
     groups = lines.groupBy("k1", "k2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("c"),
@@ -174,7 +180,7 @@ def repeated_lines(docs: DataFrame, min_letters: int = MIN_LETTERS, near_words:
             .repartition("half"))
     shared = each.groupBy("half").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("half")
     chosen = each.join(shared, "half").select("at", "k1").distinct().checkpoint()
-    texts = (lines_of(docs, places).join(checked_broadcast(chosen, 40), "at").withColumn("words", words_of(F.col("line")))
+    texts = (lines_of(docs, places).join(checked_broadcast(chosen, 40), "at").withColumn("words", words_in(F.col("line")))
              .filter(F.xxhash64("words") == F.col("k1")).select("at", "k1", "words").dropDuplicates(["at", "k1"]).checkpoint())
     pairs = earliest_near(texts)
     ours, theirs = texts.withColumnRenamed("words", "a"), texts.select(F.col("at").alias("first"), F.col("words").alias("b"))
@@ -190,8 +196,8 @@ def repeated_lines(docs: DataFrame, min_letters: int = MIN_LETTERS, near_words:
 
 def dedup_lines(docs: DataFrame, min_letters: int = MIN_LETTERS, near_words: int = NEAR_WORDS, id_col: str = "doc_id",
                 text_col: str = "text", count_names: tuple[str, ...] = ("n_lines", "n_removed")) -> DataFrame:
-    """``docs`` with repeated lines taken out of the text, and its numbers of lines (before) and of removed ones; with a third name
-    also of its own lines: those that aren't blank, stay, and equal no earlier line (short ones may stay and equal one)."""
+    """``docs`` with repeated lines taken out of the text, and its numbers of lines (before) and of removed ones; with two more names
+    also of its own lines (not blank, they stay and equal no earlier line) and of those that equal or nearly equal one (removed or, if short, not)."""
     ready(docs.sparkSession)
     doc = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST))
     repeats = repeated_lines(docs.select(doc.alias("doc"), F.col(text_col).alias("text")), min_letters, near_words, len(count_names) > 2)
@@ -202,12 +208,17 @@ def dedup_lines(docs: DataFrame, min_letters: int = MIN_LETTERS, near_words: int
     numbers = by_doc.agg(F.count(F.lit(1)), F.sum(F.size("_gone"))).first()
     if 56 * numbers[0] + 8 * (numbers[1] or 0) <= 32 << 20:
         by_doc = F.broadcast(by_doc)
+    # the text goes on as its lines, split once: what is looked up by number below has to be there already
     plain = docs.drop(*count_names)
-    joined = plain.join(by_doc, (doc == F.col("_doc")) & (F.xxhash64(F.col(text_col)) == F.col("_key")), "left")
-    pieces = F.split(F.col(text_col), "\n", -1)
+    held = plain.select(*[F.col(f"`{c}`") for c in plain.columns if c != text_col], doc.alias("_own"), F.xxhash64(F.col(text_col)).alias("_own_key"),
+                        F.split(F.col(text_col), "\n", -1).alias("_lines"))
+    joined = held.join(by_doc, (F.col("_own") == F.col("_doc")) & (F.col("_own_key") == F.col("_key")), "left")
+    pieces = F.col("_lines")
     stay = F.array_except(F.sequence(F.lit(0).cast("bigint"), (F.size(pieces) - 1).cast("bigint")), F.col("_gone"))
-    text = F.when(F.coalesce(F.size("_gone"), F.lit(0)) == 0, F.col(text_col)).otherwise(
-        F.array_join(F.transform(stay, lambda i: F.element_at(pieces, (i + 1).cast("int"))), "\n"))
-    counts = [F.size(pieces), F.size("_gone"), F.size(F.filter(pieces, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))) - F.coalesce("_repeats", F.lit(0))]
-    cols = [text.alias(c) if c == text_col else F.col(c) for c in plain.columns]
+    kept = F.when(F.coalesce(F.size("_gone"), F.lit(0)) == 0, pieces).otherwise(F.transform(stay, lambda i: F.get(pieces, i.cast("int"))))
+    counts = [F.size(pieces), F.size("_gone")]
+    if len(count_names) > 2:
+        repeats = F.coalesce("_repeats", F.lit(0))
+        counts += [F.size(F.filter(pieces, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))) - repeats, repeats]
+    cols = [F.array_join(kept, "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in plain.columns]
     return joined.select(*cols, *[F.coalesce(c, F.lit(0)).cast("bigint").alias(name) for c, name in zip(counts, count_names)])

@@ -40,15 +40,14 @@ def judged(rows, min_letters=d.MIN_LETTERS, near_words=d.NEAR_WORDS):
                     gone.add(place)
     whole = {(i, text): None if text is None else
              "\n".join(x for k, x in enumerate(text.split("\n")) if (i is None, i or 0, k) not in gone) for i, text in rows}
-    own = {(i is None, i or 0) for (i, text) in rows if text is not None and any(
-        x.split() and (i is None, i or 0, k) not in gone | repeats for k, x in enumerate(text.split("\n")))}
-    return whole, {(i, text) for i, text in rows if (i is None, i or 0) in own}
+    told = [((i, text), [(i is None, i or 0, k) in gone | repeats for k, x in enumerate((text or "").split("\n")) if x.split()]) for i, text in rows]
+    return whole, {row for row, said in told if not all(said) or not said}
 
 
 def texts_after(rows):
-    """What the pipeline's stage keeps: documents without a line of their own go if they lost one."""
+    """What the pipeline's stage keeps: documents go whose every line repeats an earlier one."""
     whole, own = judged(rows)
-    return {i: whole[(i, t)] for i, t in rows if whole[(i, t)] == t or (i, t) in own}
+    return {i: whole[(i, t)] for i, t in rows if (i, t) in own}
 
 
 def brute(rows, *floors):
