@@ -6,8 +6,8 @@ Parquet and read again as the next one's ``docs``. All but the last return the c
 * quality: trained on the labelled documents, drops those whose chance of the top grade is under 0.7.
 * lines: takes out every line of ten letters and digits or more that an earlier line equals (word for word: a line without
   spaces is compared whole) or, from five words on, nearly equals (one word without a number is a fifth of it at most); the
-  same floors as op3_line_dedup. Then it drops documents that lost lines and have no line of their own left: what stays is
-  blank, or equals an earlier line and is only kept for being short. ``n_chars`` follows the text.
+  same floors as op3_line_dedup. Then it drops documents that have no line of their own left: every non-blank one of theirs
+  repeated an earlier line (short ones stay in other texts, but don't keep a document). ``n_chars`` follows the text.
 * near_duplicates: of documents that link (directly or through others), the one with the smallest id stays; they link if
   their sets of five-word shingles have a Jaccard similarity of 0.8 or more (op5_jaccard_join has its own: three, 0.9).
 * decontaminate: drops documents that overlap a benchmark item.
@@ -38,9 +38,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    names = ("_n_lines", "_n_removed", "_n_own")
-    out = line_dedup.dedup_lines(docs, count_names=names)
-    out = out.filter("_n_removed = 0 or _n_own > 0")
+    names = ("_n_lines", "_n_removed", "_n_own", "_n_repeats")
+    out = line_dedup.dedup_lines(docs, count_names=names).filter("_n_repeats = 0 or _n_own > 0")
     n_chars = F.when(F.col("_n_removed") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
 
