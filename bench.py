@@ -23,7 +23,7 @@ HEADLINE = [
     "F2_token_usage", "F3_adequacy_label", "F11_encode_pair", "F12_pool_mean", "F16_assemble_messages",
     "P1_generate_prompts", "P3_adequacy_dataset", "X1_combine_datasets", "D1_prefix_split", "D2_random_split_exact",
     "D5_collate", "P8_validate_requests", "R3_mf_win_rate", "R4_sw_win_rate", "R8_cascade", "R9_preroute_vs_evaluator",
-    "A17_weighted_bce", "A21_binary_metrics_batched", "U3_score_batch", "ST1_assemble_chunks", "ST2_window_metrics",
+    "A17_weighted_bce", "A21_binary_metrics_batched", "ST1_assemble_chunks", "ST2_window_metrics",
     "S8_profile_table", "J1_pair_responses",
 ]
 
