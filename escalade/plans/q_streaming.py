@@ -54,7 +54,7 @@ select strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') as window_start, mod
 from routing_results group by all"""))
 def st2_stream(spark, sf):
     """Complete mode over the file stream: every window is in the result, closed by a watermark or not."""
-    events = S.file_stream(spark, sf, "events.parquet")
+    events = S.table_stream(spark, sf, "events")
     rr = fx.routing_results_from(events)
     out = S.run_available_now(W.window_cost_by_model(rr, "1 day"), "st2", "complete")
     return rounded(out.select(F.date_format("window_start", _FMT).alias("window_start"), "model_used", "n",
@@ -85,7 +85,7 @@ select id, array_to_string(t, ' ') || ' ' as content, len(t)::bigint as n_chunks
 def st1_stream(spark, sf):
     """Chunk assembly on a stream in complete mode: assistant turns of the conversations file arrive as word chunks;
     every completion is in the result."""
-    conv = S.file_stream(spark, sf, "conversations.parquet").where(F.col("role") == "assistant")
+    conv = S.table_stream(spark, sf, "conversations").where(F.col("role") == "assistant")
     words = conv.select((F.col("conv_id") * 4294967296 + F.col("turn")).alias("id"),
                         F.posexplode(F.array_remove(F.split("text", r"\s+"), "")).alias("seq", "w"))
     chunks = words.select("id", F.col("seq").cast("bigint").alias("seq"), F.concat("w", F.lit(" ")).alias("content"),

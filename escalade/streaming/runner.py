@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from escalade.operators.routing import Scorer, cascade
 from escalade.schemas import CASCADE_THRESHOLD
 from escalade.session import scratch_path
+from escalade.sources.tables import load
 
 
 def run_available_now(stream: DataFrame, name: str, output_mode: str = "append", fmt: str = "parquet") -> DataFrame:
@@ -109,3 +110,10 @@ def file_stream(spark: SparkSession, directory: str, file_glob: str = "*", fmt:
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     return r.load(directory)
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A file source over one driver table, be it one parquet file or a folder of them. The last dot as a glob: Spark would
+    take a plain path as the base of partition folders, which a single file can't be."""
+    schema = load(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/{name}[.]parquet")
