@@ -62,7 +62,7 @@ def st2_stream(spark, sf):
 
 
 def _st3(spark, sf):
-    conv = S.file_stream(spark, sf, "conversations.parquet")
+    conv = S.table_stream(spark, sf, "conversations")
     req = conv.where(F.col("role") == "user").select((F.col("conv_id") * 4294967296 + F.col("turn")).alias("request_id"))
     from escalade.plans.q_routing import _cascade_input, _cascade_out, _containment_scorer
     responses = _cascade_input(spark, sf)

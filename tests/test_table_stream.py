@@ -29,5 +29,7 @@ def test_streams_read_a_table_of_one_file_or_of_many(spark, tmpdir_path, parts):
     chunks = {(r.id >> 32, r.id & 0xFFFFFFFF): (r.content, r.n_chunks, r.role) for r in q["ST1_assemble_chunks_stream"](spark, tmpdir_path).collect()}
     assert chunks == {(7, 1): ("the moon pulls the sea ", 5, "assistant"), (8, 1): ("weak pull ", 2, "assistant"),
                       (12, 1): ("hello there you ", 3, "assistant")}
+    streamed, batch = (sorted(map(tuple, q[n](spark, tmpdir_path).collect()), key=repr) for n in ("ST3_cascade_stream", "R8_cascade"))
+    assert streamed == batch and len(streamed) == 3
     streamed, batch = (sorted(map(tuple, q[n](spark, tmpdir_path).collect())) for n in ("ST2_window_cost_by_model_stream", "ST2_window_cost_by_model"))
     assert streamed == batch and len(streamed) == 3
