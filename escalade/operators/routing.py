@@ -109,6 +109,10 @@ def query_model_similarity(queries: DataFrame, models: DataFrame, emb: str = "em
 
 # ---------------------------------------------------------------- similarity-weighted router
 
+#: Queries and battles that one task multiplies at most, about.
+GROUP_ROWS = (8192, 16_384)
+
+
 def _unit_rows(vectors) -> np.ndarray:
     m = np.vstack([np.asarray(v, dtype=np.float64) for v in vectors])
     n = np.linalg.norm(m, axis=1, keepdims=True)
@@ -116,15 +120,24 @@ def _unit_rows(vectors) -> np.ndarray:
     return m / n
 
 
+def _grid(n_q: int, n_b: int, query_rows: int, battle_rows: int, cores: int) -> tuple[int, int]:
+    """Groups of queries and of battles: as few as their size allows, since each row is copied once per group of the other side, but
+    of battles enough for some tasks on every core, where there are that many."""
+    grid_q = max(1, -(-n_q // max(query_rows, GROUP_ROWS[0])))
+    spread = min(-(-4 * cores // grid_q), n_b // max(battle_rows, 512))
+    return grid_q, max(1, -(-n_b // max(battle_rows, GROUP_ROWS[1])), spread)
+
+
 def sw_win_rate(queries: DataFrame, battles: DataFrame, gamma: float = 10.0, q_id: str = "query_id",
                 emb: str = "embedding", win: str = "strong_wins", battle_id: str = "battle_id",
                 query_rows: int = 2048, battle_rows: int = 8192) -> DataFrame:
     """Per query, weight every past battle by gamma^(1 + cos / max cos) and take the weighted strong win rate.
 
     Every (query, battle) cosine is needed, so the work is a dense product; it is never materialised as pair rows. Queries
-    and battles are dealt by a hash of their ids into groups of bounded size, and each cell of the grid is one matrix
-    product. Two passes (the maximum cosine, then the weighted sums with it) are reduced per query by partial
-    aggregation. Equal embeddings have different ids, so they don't meet in one group.
+    and battles are dealt by a hash of their ids into groups of bounded size, and each pair of groups is multiplied in one task,
+    in cells of ``query_rows`` by ``battle_rows``: the cells bound what a task holds of the product, while rows are copied once per
+    group (``GROUP_ROWS``), not once per cell. Two passes (the maximum cosine, then the weighted sums with it) are reduced per query
+    by partial aggregation. Equal embeddings have different ids, so they don't meet in one group.
 
     Without battles the rate and the maximum are NULL. If no battle has a positive cosine, dividing by the maximum would turn
     the order round (or be undefined): then all battles weigh the same. Rows without an embedding get NULL.
@@ -132,7 +145,7 @@ def sw_win_rate(queries: DataFrame, battles: DataFrame, gamma: float = 10.0, q_i
     q = queries.select(F.col(q_id).alias("q"), F.col(emb).alias("e")).where("e is not null")
     b = battles.select(F.col(battle_id).alias("b"), F.col(emb).alias("e"), F.col(win).cast("double").alias("w")).where(
         "e is not null and w is not null")
-    grid_q, grid_b = max(1, -(-q.count() // query_rows)), max(1, -(-b.count() // battle_rows))
+    grid_q, grid_b = _grid(q.count(), b.count(), query_rows, battle_rows, queries.sparkSession.sparkContext.defaultParallelism)
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     cells = b.select("e", "w", deal("b", grid_b).alias("cb"), every(grid_q).alias("cq"))
@@ -146,15 +159,30 @@ def sw_win_rate(queries: DataFrame, battles: DataFrame, gamma: float = 10.0, q_i
     def most(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
             return pd.DataFrame({"q": x["q"][:0], "m": np.empty(0)})
-        return pd.DataFrame({"q": x["q"], "m": (_unit_rows(x["e"]) @ _unit_rows(y["e"]).T).max(axis=1)})
+        us, vs, m = _unit_rows(x["e"]), _unit_rows(y["e"]), np.full(len(x), -np.inf)
+        for i in range(0, len(us), query_rows):
+            u, own = us[i:i + query_rows], m[i:i + query_rows]
+            for j in range(0, len(vs), battle_rows):
+                np.maximum(own, (u @ vs[j:j + battle_rows].T).max(axis=1), out=own)
+        return pd.DataFrame({"q": x["q"], "m": m})
 
     def weigh(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
             return pd.DataFrame({"q": x["q"][:0], "sw": np.empty(0), "s": np.empty(0)})
-        top = x["m"].to_numpy()[:, None]
-        share = np.where(top > 0, (_unit_rows(x["e"]) @ _unit_rows(y["e"]).T) / np.where(top > 0, top, 1.0), 0.0)
-        w = np.exp(lg * (1.0 + share))
-        return pd.DataFrame({"q": x["q"], "sw": w @ y["w"].to_numpy(), "s": w.sum(axis=1)})
+        top = x["m"].to_numpy(dtype=np.float64)
+        alike = ~(top > 0)
+        # gamma^(1 + cos / max) without its factor gamma, which leaves the rate as it is
+        us = _unit_rows(x["e"]) * (lg / np.where(alike, 1.0, top))[:, None]
+        vs, won = _unit_rows(y["e"]), np.column_stack([y["w"].to_numpy(dtype=np.float64), np.ones(len(y))])
+        sums = np.zeros((len(us), 2))
+        for i in range(0, len(us), query_rows):
+            u, flat, own = us[i:i + query_rows], alike[i:i + query_rows], sums[i:i + query_rows]
+            for j in range(0, len(vs), battle_rows):
+                w = u @ vs[j:j + battle_rows].T
+                np.exp(w, out=w)
+                w[flat] = 1.0
+                own += w @ won[j:j + battle_rows]
+        return pd.DataFrame({"q": x["q"], "sw": sums[:, 0], "s": sums[:, 1]})
 
     top = meet(q, most, "m").groupBy("q").agg(F.max("m").alias("m"))
     sums = meet(q.join(top, "q"), weigh, "sw", "s").groupBy("q").agg(F.sum("sw").alias("sw"), F.sum("s").alias("s"))
