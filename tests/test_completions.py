@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from escalade.streaming import completions as C
 from escalade.streaming import runner as S
@@ -50,3 +51,27 @@ def test_state_returns_to_nothing(spark, tmpdir_path):
 def test_too_many_chunks_raise(spark, tmpdir_path):
     with pytest.raises(Exception, match="more than 3 chunks"):
         run(spark, f"{tmpdir_path}/m", [[chunk(1, s, "x") for s in range(5)]], "many", max_chunks=3)
+
+
+def test_chunks_of_a_completion_reach_the_state_as_one_row(spark, tmpdir_path):
+    """1,200 chunks of 4 completions, interleaved, some twice: the state is asked per completion, not per chunk."""
+    rows = [chunk(i, s, f"w{s} ", role="assistant" if s == 0 else None, finish="stop" if s == 299 else None) for s in range(300) for i in (1, 2, None, 4)
+            for _ in range(2 if s % 7 == 0 else 1)]
+    stream = spark.createDataFrame(rows, CHUNK_SCHEMA).coalesce(1).withColumn("at", F.unix_millis("created"))
+    kept = [f"{c} array<struct<seq: bigint, said: string>>" for c in ("role", "finish_reason")]
+    packs = stream.mapInArrow(C._pack, ", ".join(["id bigint, index int, created timestamp, at bigint, seq array<bigint>, content array<string>", *kept])).collect()
+    assert sorted((p.id or 0, len(p.seq), [tuple(r) for r in p.role], [tuple(r) for r in p.finish_reason]) for p in packs) == [
+        (i, 343, [(0, "assistant")] * 2, [(299, "stop")]) for i in (0, 1, 2, 4)]
+    rows = [r for r in rows if r[0]]
+    got, _ = run(spark, f"{tmpdir_path}/p", [rows[500:], rows[:500]], "packs")
+    assert [(r[0], *r[3:]) for r in got] == [(i, 300, "assistant", "stop") for i in (1, 2, 4)]
+    assert {r[2] for r in got} == {"".join(f"w{s} " for s in range(300))}
+
+
+def test_a_late_chunk_is_not_carried_by_a_timely_one(spark, tmpdir_path):
+    """Chunks of one completion with different times: the watermark judges each on its own, also where they came together."""
+    goes_on = [chunk(9, None, None, 60)]
+    mixed = [chunk(1, 0, "late ", 0), chunk(1, 1, "in ", 61), chunk(1, 2, "time", 61, finish="stop")]
+    end = [chunk(9, None, None, 600)]
+    got, _ = run(spark, f"{tmpdir_path}/l", [goes_on, goes_on, mixed, end, end], "late")
+    assert got == [(1, 0, "in time", 2, None, "stop")]
