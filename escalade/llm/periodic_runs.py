@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from escalade.llm.common import ready
 
-_PIECE = 1 << 18  # words handled at once, unless one text has more
+_PIECE = 1 << 15  # words handled at once, unless one text has more: arrays that stay small are also faster
 _RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
 RESULT = "n_words bigint, runs array<struct<start: bigint, length: bigint, period: bigint>>, collapsed string"
 

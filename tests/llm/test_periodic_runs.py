@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
+import pyarrow as pa
 import pytest
 
 from escalade.llm import periodic_runs as p
@@ -101,3 +103,25 @@ def test_query_on_odd_rows(spark, tmpdir_path):
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmpdir_path}/documents.parquet")
     got = sorted((tuple(r) for r in QUERIES["op13_periodic_runs"](spark, tmpdir_path).collect()), key=str)
     assert got == sorted((digest(*r) for r in rows), key=str)
+
+
+def test_texts_are_split_once(spark):
+    plan = QUERIES["op13_periodic_runs"](spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+
+
+def test_memory_of_a_task_is_bounded():
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(500)) + " x y" * 50 for _ in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600), pa.int64()), pa.array(texts)], names=["doc_id", "_text"])
+    rows, runs = 0, []
+    tracemalloc.start()
+    try:
+        for piece in p._collapse(6, 4, 1)(iter([batch])):
+            rows += piece.num_rows
+            runs += [[(r["start"], r["length"], r["period"]) for r in x] for x in piece.column("runs").to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 600 and runs[::60] == [brute(split(t)) for t in texts[::60]]
+    assert peak < 25e6
