@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from escalade.functions.arrow import append_columns
+from escalade.functions.ordinals import global_ordinals_with_count
 from escalade.schemas import COLLECT_CONCURRENCY, SCORE_BATCH_SIZE
 
 TextModel = Callable[[str], str]                      # prompt -> response
@@ -78,7 +79,7 @@ def collect_with_ledger(prompts: DataFrame, weak_fn: TextModel, strong_fn: TextM
                         retry_interrupted: bool = False) -> DataFrame:
     """U2 for calls that cost money: at most ``max_concurrent`` calls at once in the whole job, and none twice over restarts.
 
-    ``ledger`` is a folder that outlives the run (shared by driver and executors). Prompts are handled in waves of about
+    ``ledger`` is a folder that outlives the run (shared by driver and executors). Prompts are handled in waves of at most
     ``wave_rows``: a wave's keys are appended to ``ledger/claims``, then ``max_concurrent`` tasks call one prompt after the other and
     append what came back to ``ledger/results`` (a finished task's rows stay even if its wave doesn't end). A restart skips every key
     with a claim. Keys that were claimed but have no result were cut off in mid-call: they are returned with the error
@@ -99,9 +100,8 @@ def collect_with_ledger(prompts: DataFrame, weak_fn: TextModel, strong_fn: TextM
     spark.createDataFrame([], told).write.mode("append").parquet(results)
     read = lambda path, schema: spark.read.schema(schema).parquet(path)
     skip = read(results, told) if retry_interrupted else read(claims, T.StructType([told[key]]))
-    todo = asked.join(skip.select(key).distinct(), key, "left_anti").checkpoint()  # as it is now: the ledger grows below
-    waves = -(-todo.count() // wave_rows)
-    todo = todo.withColumn("_wave", F.pmod(F.xxhash64(key), F.lit(max(waves, 1))))
+    # checkpointed there, as it is now: the ledger grows below
+    todo, n = global_ordinals_with_count(asked.join(skip.select(key).distinct(), key, "left_anti"), [key], "_row")
 
     def run(texts: list) -> tuple[list, list, list, list]:
         out = []
@@ -111,8 +111,8 @@ def collect_with_ledger(prompts: DataFrame, weak_fn: TextModel, strong_fn: TextM
             out.append((w or "", s or "", we if we is not None else se, wn + sn))
         return tuple(list(c) for c in zip(*out)) if out else ([], [], [], [])
 
-    for number in range(waves):
-        wave = todo.where(F.col("_wave") == number).drop("_wave")
+    for start in range(0, n, wave_rows):
+        wave = todo.where(F.col("_row").between(start, start + wave_rows - 1)).drop("_row")
         wave.select(key).write.mode("append").parquet(claims)
         # as many tasks as permits, each calling one by one: no more run at once, however large the cluster is
         called = append_columns(wave.repartition(max_concurrent), ["prompt"], run, list(told.fields[1:]))
